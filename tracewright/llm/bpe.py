@@ -211,16 +211,16 @@ def worker_encoder(source: str) -> Encoder:
 
 
 def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool = False) -> DataFrame:
-    """``df`` with ``ids`` (array of int) and ``decoded``; with ``digest`` their count and hashes, and without the text."""
+    """``df`` with ``n_tokens`` and ``ids`` (array of int) and, for ``text``, what the ids decode to; with ``digest`` hashes of both instead."""
     small_batches(df.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         source = f.read()
     packed = df.sparkSession.sparkContext.broadcast(source)  # a vocabulary file: some MB at any size of the data
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
-    kept = [c for c in df.columns if c not in made and not (digest and c == text)]
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", text]
+    kept = [c for c in df.columns if c not in made and c != text]
     fields = [df.schema[c] for c in kept]
     fields += [T.StructField("n_tokens", T.LongType())]
-    fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest else [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest else [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField(text, T.StringType())]
     schema = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +236,13 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool
                     first.append(hashlib.sha256(ids.encode()).hexdigest())
                     second.append(hashlib.sha256(decoded.encode()).hexdigest())
                 else:
-                    first.append([int(i) for i in ids.split(",")] if ids else [])
+                    first.append(list(map(int, ids.split(","))) if ids else [])
                     second.append(decoded)
             kinds = [pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()]
             arrays = [batch.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *made])
 
-    source_columns = [*kept, text] if text not in kept else kept
-    return df.select(*source_columns).mapInArrow(run, schema)
+    return df.select(*kept, text).mapInArrow(run, schema)
 
 
 def vocabulary_file() -> str:
