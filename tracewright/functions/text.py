@@ -1,0 +1,117 @@
+"""Column functions over command, output and reply texts. All JVM-side."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Error words, rollback commands and offload marks; fixed values.
+ERROR_RX = r"(?i)\b(error|exception|traceback|failed|failure|fatal|panic|undefined|not found|no such file|permission denied|cannot|segfault|segmentation fault|abort|assertion)\b"
+SUCCESS_RX = r"(?i)\b(passed|success|succeeded|successful|ok|done|built|completed)\b"
+ROLLBACK_RX = r"(?i)\bgit (revert|reset --?hard|stash|checkout --? )|\bundo\b|rollback"
+OFFLOAD_RX = r"(?i)\bsaved to [\w/.-]+|offloaded|\[truncated\]"
+REMINDER_RX = r"(?is)<system-reminder>.*?</system-reminder>"
+SPACE = r"[ \t\n\x0b\f\r]+"
+TOOLS = {"Bash": "bash", "Read": "view", "View": "view", "NotebookRead": "view", "LS": "view", "Edit": "edit", "Write": "edit", "MultiEdit": "edit", "NotebookEdit": "edit", "Grep": "search", "Glob": "search", "WebSearch": "search", "WebFetch": "search"}
+
+
+def trim_space(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "")
+
+
+def has_error(text: Column) -> Column:
+    return F.coalesce(text.rlike(ERROR_RX), F.lit(False))
+
+
+def has_success(text: Column) -> Column:
+    return F.coalesce(text.rlike(SUCCESS_RX), F.lit(False))
+
+
+def is_rollback(command: Column) -> Column:
+    return F.coalesce(command.rlike(ROLLBACK_RX), F.lit(False))
+
+
+def is_offloaded(text: Column) -> Column:
+    return F.coalesce((F.length(text) < 4096) & text.rlike(OFFLOAD_RX), F.lit(False))
+
+
+def command_signature(cmd: Column) -> Column:
+    return F.left(F.concat_ws(" ", F.slice(F.split(trim_space(cmd), SPACE), 1, 3)), F.lit(80))
+
+
+def error_signature(text: Column) -> Column:
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), trim_space), lambda x: x != "")
+    return F.left(F.coalesce(F.get(F.filter(lines, lambda x: x.rlike(ERROR_RX)), F.lit(0)), F.get(lines, F.lit(0)), F.lit("")), F.lit(120))
+
+
+def tool_class(name: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in TOOLS.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, name), F.lit("other"))
+
+
+def truncate_output(text: Column, first: int = 15, last: int = 10) -> Column:
+    lines = F.split(text, "\n")
+    n = F.size(lines)
+    cut = F.concat_ws("\n", F.concat_ws("\n", F.slice(lines, 1, first)), F.format_string("[... %s lines omitted ...]", n - first - last), F.concat_ws("\n", F.slice(lines, F.greatest(n - last + 1, F.lit(1)), F.lit(last))))
+    return F.when(n <= first + last + 3, text).otherwise(cut)
+
+
+def truncate_middle(text: Column, most: int = 8000) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most // 2)), F.format_string("\n[... %s chars truncated ...]\n", F.length(text) - most), F.right(text, F.lit(most // 2)))).otherwise(text)
+
+
+def cap_response(text: Column, most: int = 500) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[truncated]"))).otherwise(text)
+
+
+def parse_verdict(text: Column) -> Column:
+    """struct<should, reason, summary> of a judge's reply."""
+    got = lambda rx: F.nullif(F.regexp_extract(text, rx, 1), F.lit(""))
+    return F.struct(F.upper(got(r"(?i)SHOULD_CHECKPOINT:\s*(YES|NO)\b")).alias("should"), F.trim(got(r"(?i)REASON:[ \t]*([^\n]+)")).alias("reason"), trim_space(got(r"(?is)SUMMARY:\s*(.+)")).alias("summary"))
+
+
+def parse_tool_call(text: Column) -> Column:
+    """struct<name, arguments> of the first call in a reply; the last of repeated parameters counts; else null."""
+    rx = r"(?s)<tool_call>\s*<function=([^>]+)>(.*?)</function>\s*</tool_call>"
+    name, body = F.regexp_extract(text, rx, 1), F.regexp_extract(text, rx, 2)
+    par = r"(?s)<parameter=([^>]+)>(.*?)</parameter>"
+    keys, values = F.regexp_extract_all(body, F.lit(par), F.lit(1)), F.transform(F.regexp_extract_all(body, F.lit(par), F.lit(2)), trim_space)
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["k"]))
+    return F.when(name != "", F.struct(name.alias("name"), F.map_from_entries(last).alias("arguments")))
+
+
+def summary_text(kind: Column, finding: Column, evidence: Column, next_direction: Column, legacy: Column) -> Column:
+    """One line of a structured checkpoint; else the legacy summary; else ''."""
+    label = F.when(kind == "milestone_achieved", "Milestone").when(kind == "approach_eliminated", "Approach eliminated")
+    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name), c))
+    full = F.concat_ws(". ", F.concat(label, F.lit(": "), F.coalesce(finding, F.lit(""))), part("Evidence: ", evidence), part("Next: ", next_direction))
+    return F.when(label.isNotNull(), full).otherwise(F.coalesce(legacy, F.lit("")))
+
+
+def extract_usage(body: Column) -> Column:
+    """The first usage of an event stream or JSON body: struct<input_tokens, cache_creation, cache_read, output_tokens>."""
+    head = F.left(body, F.lit(32768))
+    events = F.transform(F.filter(F.split(head, "\n"), lambda x: F.startswith(x, F.lit("data: "))), lambda x: F.substr(x, F.lit(7)))
+    found = F.filter(F.transform(events, lambda x: F.coalesce(F.get_json_object(x, "$.message.usage"), F.get_json_object(x, "$.usage"))), lambda x: x.isNotNull())
+    raw = F.coalesce(F.get(found, F.lit(0)), F.get_json_object(head, "$.usage"))
+    n = lambda k: F.get_json_object(raw, f"$.{k}").cast("bigint")
+    return F.when(raw.isNotNull(), F.struct(n("input_tokens").alias("input_tokens"), n("cache_creation_input_tokens").alias("cache_creation"), n("cache_read_input_tokens").alias("cache_read"), n("output_tokens").alias("output_tokens")))
+
+
+def session_key(texts: Column) -> Column:
+    """First non-empty user text without reminders, 200 characters; ``texts`` is in order."""
+    clean = F.filter(F.transform(texts, lambda t: trim_space(F.regexp_replace(t, REMINDER_RX, ""))), lambda t: t != "")
+    return F.coalesce(F.left(F.get(clean, F.lit(0)), F.lit(200)), F.lit("__default__"))
+
+
+def utf16_length(text: Column) -> Column:
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
+
+
+def render_step(idx: Column, role: Column, cmd: Column, output: Column, text: Column, most: int = 2000) -> Column:
+    """A step as one prompt entry."""
+    said = lambda who: F.concat(F.format_string("[%3d] ", idx), F.lit(who), F.left(text, F.lit(500)), F.when(F.length(text) > 500, F.format_string(" (…%s more chars)", F.length(text) - 500)).otherwise(""))
+    out = truncate_output(output)
+    shown = F.when(F.length(out) > most, F.concat(F.left(out, F.lit(most)), F.lit("…"))).otherwise(out)
+    return F.when(role == "user_text", said("USER: ")).when(role == "assistant_text", said("ASST: ")).otherwise(F.concat(F.format_string("[%3d] ", idx), F.left(cmd, F.lit(200)), F.lit("\n"), shown))
