@@ -9,8 +9,8 @@
    hub, the smallest document, with which each other document makes a candidate if the
    length and positional filters allow. N-grams of the table are dealt over lanes by
    document, each with a hub of its own, and the hubs meet in turn: no n-gram fills a task.
-4. Candidates are verified once: the sets of the documents concerned are made again from the text,
-   pass the suffix filter (counts between fixed pivots bound the overlap), then intersected.
+4. Candidates pass the suffix filter on sketches (counts between fixed pivots bound the overlap).
+   The rest is verified once: the sets concerned are made again from the text and intersected.
 5. Links give components. Only n-grams whose documents still lie in different components make
    further candidates, all of those across components, so a group of near copies costs
    links in proportion to its size and no pair across groups is missed. They are verified as
@@ -46,8 +46,6 @@ from tracewright.llm.components import components
 FREQUENT, PER_LANE = 65536, 2048
 #: Bits of the bitmap over ids (8 MB).
 BITS = 1 << 26
-#: Bounds of the suffix filter's counts.
-_PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 
 
 class WordNumbers(dict):
@@ -132,20 +130,44 @@ def prefix(grams: np.ndarray, often: np.ndarray, counts: np.ndarray, num: int, d
     return np.concatenate((rare, grams[common][order]))[:m]
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """How many n-grams lie between equally spaced pivots, about two each, a byte each; empty where a byte is too small."""
+    bits = max(0, (len(grams) // 2).bit_length() - 1)
+    if not bits or bits > 32:
+        return b""
+    counts = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def sketches_reach(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) -> bool:
+    """The suffix filter: what lies between two pivots in both sets is the smaller count at most."""
+    if den * min(na, nb) < num * max(na, nb):
+        return False
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    while len(x) > len(y):
+        x = x[::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[::2] + y[1::2]
+    return (num + den) * int(np.minimum(x, y).sum()) >= num * (na + nb)
+
+
 def summaries(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Per row: doc_id, size of the set, its signature and its prefix."""
+    """Per row: doc_id, size of the set, its signature, prefix and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sig, pre = [], [], []
+            size, sig, pre, sk = [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingles(t, n)
                 size.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 pre.append(prefix(s, often, counts, num, den).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(pre, pa.binary())], names=["doc_id", "n", "sig", "prefix"])
+                sk.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(pre, pa.binary()), pa.array(sk, pa.binary())], names=["doc_id", "n", "sig", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, sig binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, sig binary, prefix binary, sketch binary")
 
 
 def postings(classes: DataFrame, often: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -250,11 +272,6 @@ def among(ids: DataFrame, bits: int = BITS):
 def intersects(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Whether the Jaccard similarity of two sorted sets is num / den or more."""
     need = -(-num * (len(a) + len(b)) // (num + den))
-    # suffix filter: what falls between pivots bounds the overlap
-    ca = np.diff(np.concatenate(([0], np.searchsorted(a, _PIVOTS), [len(a)])))
-    cb = np.diff(np.concatenate(([0], np.searchsorted(b, _PIVOTS), [len(b)])))
-    if np.minimum(ca, cb).sum() < need:
-        return False
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
@@ -262,9 +279,28 @@ def intersects(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return int((b[at] == a).sum()) >= need
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, stored: Stored) -> DataFrame:
-    """Of the distinct ``pairs`` (a, b) those whose sets reach the threshold."""
-    wanted = among(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+def with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``table`` (id, ...) for either side, as a_... and b_...."""
+    for side in "ab":
+        pairs = pairs.join(table.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+    return pairs
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
+def verify(pairs: DataFrame, sums: DataFrame, docs: DataFrame, n: int, num: int, den: int, stored: Stored) -> DataFrame:
+    """Of the distinct ``pairs`` (a, b) those whose sets reach the threshold, as (u, v)."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [sketches_reach(*x, num, den) for x in zip(*(batch.column(c).to_pylist() for c in ("a_sketch", "b_sketch", "a_n", "b_n")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    sketched = sums.where(among(ends(pairs))(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "n", "sketch")
+    near = stored.keep(with_both(pairs, sketched, ["n", "sketch"]).mapInArrow(prune, "a bigint, b bigint").distinct())
+    wanted = among(ends(near))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,12 +311,11 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, stored
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            a, b = batch.column("a_s").to_pylist(), batch.column("b_s").to_pylist()
             good = [intersects(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return stored.keep(both.select("a", "b", "sa", "sb").mapInArrow(check, "u bigint, v bigint"))
+    return stored.keep(with_both(near, sets, ["s"]).mapInArrow(check, "u bigint, v bigint"))
 
 
 def across(s: DataFrame, labels: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
@@ -312,11 +347,11 @@ def cluster(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc: str
     met = hubs.join(hubs.groupBy("gram").agg(F.min("doc").alias("first")), "gram").where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
     tried = stored.keep(s.where("close").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(met).distinct())
     copies = full.join(full.groupBy("sig").agg(F.min("doc_id").alias("first")), "sig").where("doc_id != first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    edges = verify(tried, docs, n, num, den, stored).unionByName(copies)
+    edges = verify(tried, sums, docs, n, num, den, stored).unionByName(copies)
     labels = stored.keep(components(edges, stored))
     more = stored.keep(across(s, labels, tried, num, den))
     if not more.isEmpty():
-        found = verify(more, docs, n, num, den, stored)
+        found = verify(more, sums, docs, n, num, den, stored)
         if not found.isEmpty():
             labels = stored.keep(components(edges.unionByName(found), stored))
     ids = labels.select(F.col("node").alias("doc_id"), "component")
