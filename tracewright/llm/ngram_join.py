@@ -11,10 +11,10 @@
    document, each with a hub of its own, and the hubs meet in turn: no n-gram fills a task.
 4. Candidates pass the suffix filter on sketches (counts between fixed pivots bound the overlap).
    The rest is verified once: the sets concerned are made again from the text and intersected.
-5. Links give components. Only n-grams whose documents still lie in different components make
-   further candidates, all of those across components, so a group of near copies costs
-   links in proportion to its size and no pair across groups is missed. They are verified as
-   before and the components are taken again. The result is exact: no cap on anything.
+5. Links give components. Documents of n-grams that still lie in different components meet in
+   tiles of bounded size, where all pairs across components are compared by their sketches; only
+   those that pass become rows and are verified as before. Then the components are
+   taken again. No pair across components is missed: the result is exact, with no cap.
 
 Which documents a step needs is told by a bitmap of fixed size over hashed ids, so texts are
 shuffled only where they are needed; ids that share a bit only add work.
@@ -44,6 +44,8 @@ from tracewright.llm.components import components
 
 #: N-grams in the table of frequent ones, and counts per lane of such an n-gram.
 FREQUENT, PER_LANE = 65536, 2048
+#: Documents of one n-gram in a block; two blocks make a tile.
+BLOCK = 1024
 #: Bits of the bitmap over ids (8 MB).
 BITS = 1 << 26
 
@@ -318,18 +320,80 @@ def verify(pairs: DataFrame, sums: DataFrame, docs: DataFrame, n: int, num: int,
     return stored.keep(with_both(near, sets, ["s"]).mapInArrow(check, "u bigint, v bigint"))
 
 
-def across(s: DataFrame, labels: DataFrame, tried: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidates, not ``tried`` yet, between documents of different components that share a prefix n-gram."""
-    rows = s.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("c"))
-    mixed = rows.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("doc", "c")).getField("c").alias("c0")).where("lo < hi").select("gram", "c0")
-    live = rows.join(mixed, "gram")
-    left = live.where("c != c0").select("gram", "c0", *[F.col(x).alias(f"a_{x}") for x in ("doc", "n", "pos", "c")])
-    right = live.select("gram", *[F.col(x).alias(f"b_{x}") for x in ("doc", "n", "pos", "c")])
-    met = left.join(right, "gram").where(
-        (F.col("a_c") != F.col("b_c")) & ((F.col("b_c") == F.col("c0")) | (F.col("a_doc") < F.col("b_doc"))) & may_reach(F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos"), num, den)
-    )
-    pairs = met.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+def tile_pairs(gram: int, same: bool, docs: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of one tile whose sketches may reach the threshold and whose smallest common n-gram this is.
+
+    ``docs``: (doc, size, component, n-grams, sketch, whether in the first block). Sketches are compared
+    a row against all at once; nothing else is kept of a pair.
+    """
+    docs.sort(key=lambda d: d[1])
+    n = np.array([d[1] for d in docs], np.int64)
+    comp = np.array([d[2] for d in docs], np.int64)
+    first = np.array([d[5] for d in docs], bool)
+    width = np.array([len(d[4]) for d in docs], np.int64)
+    folded: dict[int, np.ndarray] = {}
+    out = []
+    for i in range(len(docs) - 1):
+        end = int(np.searchsorted(n, den * n[i] // num, "right"))
+        j = np.arange(i + 1, end)
+        j = j[(comp[j] != comp[i]) & (same | (first[j] != first[i]))]
+        if not len(j):
+            continue
+        w = int(width[i])
+        known = j[(width[j] == w) | (width[j] == 2 * w)] if w else j[:0]
+        if len(known):
+            if w not in folded:
+                m = np.zeros((len(docs), w), np.int64)
+                for k in np.flatnonzero((width == w) | (width == 2 * w)):
+                    x = np.frombuffer(docs[k][4], np.uint8).astype(np.int64)
+                    m[k] = x if len(x) == w else x[::2] + x[1::2]
+                folded[w] = np.minimum(m, 65535).astype(np.uint16)
+            m = folded[w]
+            most = np.minimum(m[known], m[i]).sum(axis=1, dtype=np.int64)
+            known = known[(num + den) * most >= num * (n[known] + n[i])]
+            j = np.concatenate((known, j[(width[j] != w) & (width[j] != 2 * w)]))
+        mine = set(docs[i][3])
+        for k in j.tolist():
+            if min(mine.intersection(docs[k][3])) == gram:
+                out.append((min(docs[i][0], docs[k][0]), max(docs[i][0], docs[k][0])))
+    return out
+
+
+def pair_rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def across(s: DataFrame, labels: DataFrame, sums: DataFrame, tried: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Pairs, not ``tried`` yet, of different components that share a prefix n-gram and pass length and suffix filters.
+
+    Documents of an n-gram meet in tiles of two blocks at most, dealt by the document; pairs are
+    compared inside a tile and only those that pass become rows.
+    """
+    rows = s.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    mixed = rows.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2").select("gram", "m")  # of two, the hub has met the other
+    live = rows.join(mixed, "gram").groupBy("doc").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_set(F.struct("gram", "m")).alias("at"))
+    sketches = sums.where(among(live.select("doc"))(F.col("doc_id"))).groupBy(F.col("doc_id").alias("doc")).agg(F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    met = live.join(sketches, "doc").select("doc", "n", "c", F.when(F.col("copies") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), F.transform("at", lambda x: x["gram"]).alias("grams"), F.explode("at").alias("g"))
+    blocks = F.ceil(F.col("g.m") / block).cast("int")
+    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    tiles = met.select("doc", "n", "c", "sketch", "grams", F.col("g.gram").alias("gram"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tiles = tiles.select(F.col("gram"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "n", "c", "sketch", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            got: list[tuple[int, int]] = []
+            for gram, lo, hi, own_, doc, n, c, sk, grams in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if key != (gram, lo, hi):
+                    if len(held) > 1:
+                        got += tile_pairs(key[0], key[1] == key[2], held, num, den)
+                    key, held = (gram, lo, hi), []
+                held.append((doc, n, c, grams, sk, own_ == lo))
+            yield pair_rows(got)
+        yield pair_rows(tile_pairs(key[0], key[1] == key[2], held, num, den) if len(held) > 1 else [])
+
+    found = tiles.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
+    return found.distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def cluster(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc: str = "doc_id", text: str = "text", stored: Stored | None = None) -> DataFrame:
@@ -349,7 +413,7 @@ def cluster(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc: str
     copies = full.join(full.groupBy("sig").agg(F.min("doc_id").alias("first")), "sig").where("doc_id != first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     edges = verify(tried, sums, docs, n, num, den, stored).unionByName(copies)
     labels = stored.keep(components(edges, stored))
-    more = stored.keep(across(s, labels, tried, num, den))
+    more = stored.keep(across(s, labels, sums, tried, num, den))
     if not more.isEmpty():
         found = verify(more, sums, docs, n, num, den, stored)
         if not found.isEmpty():
