@@ -178,7 +178,13 @@ def content(lines: list[tuple[str, int, str]]) -> list[str]:
     size = lambda c: sum(len(body[i][0]) for i in c)
     most = max(map(size, clusters))
     chosen = [c for c in clusters if 3 * size(c) >= most]
-    return [t for t, _ in body[chosen[0][0] : chosen[-1][-1] + 1]]
+    first, last = chosen[0][0], chosen[-1][-1]
+    plain = [len(t) / n >= threshold for t, n in body]
+    while first < last and not plain[first]:  # smoothing lifts the lines beside the content
+        first += 1
+    while last > first and not plain[last]:
+        last -= 1
+    return [t for t, _ in body[first : last + 1]]
 
 
 def main_text(html: str | None) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import load, small_batches
+from tracewright.llm.common import Stored, load, small_batches
 
 #: Byte ids of the registered query are 0 to 255.
 END, PAD = 256, 257
@@ -68,10 +68,15 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6, inverse: bool
 SEQUENCE = "shard int, slot bigint, doc_id bigint, part int, n_tokens int, body binary"
 
 
-def sequences(df: DataFrame, tokens: str = "tokens", doc: str = "doc_id", width: int = 1, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, int]:
-    """All sequences in their shards (one partition each, in slot order), and their number."""
+def sequences(df: DataFrame, tokens: str = "tokens", doc: str = "doc_id", width: int = 1, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY, scan: bool = False) -> tuple[DataFrame, int]:
+    """All sequences in their shards (one partition each, in slot order), and their number.
+
+    Both passes must see the same partitions: set ``scan`` where ``df`` reads files and no more;
+    else its two columns are written to the shared folder first.
+    """
     small_batches(df.sparkSession)
     rows = df.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.col(tokens), F.lit(b"")).alias("tokens"))
+    rows = rows if scan else Stored(df.sparkSession).keep(rows)
     made = F.floor(F.octet_length("tokens") / width / seq_len) + 1  # with the end mark
     counts = dict(rows.select(F.spark_partition_id().alias("p"), made.alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect())  # a row per partition
     total, first = 0, {}
@@ -175,7 +180,7 @@ def read_from(folder: str, slot: int, seq_len: int = SEQ_LEN, per_shard: int = P
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTF-8 bytes are the token ids, as byte-level models read them."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("tokens"))
-    return records(sequences(docs)[0]).select("slot", "shard", "offset", "doc_id", "part", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+    return records(sequences(docs, scan=True)[0]).select("slot", "shard", "offset", "doc_id", "part", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
 
 
 ORACLE = None
