@@ -43,7 +43,7 @@ from tracewright.llm.common import Stored, load, small_batches
 from tracewright.llm.components import components
 
 #: N-grams in the table of frequent ones, and counts per lane of such an n-gram.
-FREQUENT, PER_LANE = 65536, 2048
+FREQUENT, PER_LANE = 1 << 20, 2048
 #: Documents of one n-gram in a block; two blocks make a tile.
 BLOCK = 1024
 #: Bits of the bitmap over ids (8 MB).
@@ -87,10 +87,11 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 _constants_of: dict[int, np.ndarray] = {}
 
 
-def frequent(docs: DataFrame, n: int, most: int = FREQUENT, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams (sorted) and their counts, over all documents.
+def frequent(docs: DataFrame, n: int, stored: Stored, most: int = FREQUENT, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams (sorted) and their counts, over all documents: ``most`` of them at most.
 
-    Tasks count ``chunk`` n-grams at a time and report those met three times or more.
+    Tasks count ``chunk`` n-grams at a time and report those met three times or more. Counts fall into levels of
+    an eighth of a doubling; the table takes the highest levels that fit, so that nothing is sorted in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +113,18 @@ def frequent(docs: DataFrame, n: int, most: int = FREQUENT, chunk: int = 1 << 21
                     held, size = [], 0
         yield counted()
 
-    top = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most)
-    rows = sorted((np.uint64(g & 0xFFFFFFFFFFFFFFFF), c) for g, c in top.collect())  # FREQUENT rows at most
-    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+    level = F.floor(8 * F.log2("n")).cast("int")
+    table = stored.keep(docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    floor, room = 1 << 30, most
+    for at, grams in sorted(table.groupBy(level.alias("at")).count().collect(), reverse=True):  # 512 levels at most
+        room -= grams
+        if room < 0:
+            break
+        floor = at
+    top = table.where(level >= floor).toArrow()  # ``most`` rows at most
+    grams, counts = top.column("gram").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], counts[order]
 
 
 def prefix(grams: np.ndarray, often: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -320,10 +330,10 @@ def verify(pairs: DataFrame, sums: DataFrame, docs: DataFrame, n: int, num: int,
     return stored.keep(with_both(near, sets, ["s"]).mapInArrow(check, "u bigint, v bigint"))
 
 
-def tile_pairs(gram: int, same: bool, docs: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+def tile_pairs(same: bool, docs: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of one tile whose sketches may reach the threshold and whose smallest common n-gram this is.
 
-    ``docs``: (doc, size, component, n-grams, sketch, whether in the first block). Sketches are compared
+    ``docs``: (doc, size, component, its smaller n-grams, sketch, whether in the first block). Sketches are compared
     a row against all at once; nothing else is kept of a pair.
     """
     docs.sort(key=lambda d: d[1])
@@ -354,7 +364,7 @@ def tile_pairs(gram: int, same: bool, docs: list[tuple], num: int, den: int) ->
             j = np.concatenate((known, j[(width[j] != w) & (width[j] != 2 * w)]))
         mine = set(docs[i][3])
         for k in j.tolist():
-            if min(mine.intersection(docs[k][3])) == gram:
+            if mine.isdisjoint(docs[k][3]):
                 out.append((min(docs[i][0], docs[k][0]), max(docs[i][0], docs[k][0])))
     return out
 
@@ -370,13 +380,15 @@ def across(s: DataFrame, labels: DataFrame, sums: DataFrame, tried: DataFrame, n
     compared inside a tile and only those that pass become rows.
     """
     rows = s.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    mixed = rows.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2").select("gram", "m")  # of two, the hub has met the other
+    sums_of = [F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")]
+    mixed = rows.groupBy("gram").agg(*sums_of).where("lo < hi and m > 2")  # of two, the hub has met the other
+    mixed = mixed.groupBy("m", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "m")  # of n-grams with the same documents, one
     live = rows.join(mixed, "gram").groupBy("doc").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_set(F.struct("gram", "m")).alias("at"))
     sketches = sums.where(among(live.select("doc"))(F.col("doc_id"))).groupBy(F.col("doc_id").alias("doc")).agg(F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
-    met = live.join(sketches, "doc").select("doc", "n", "c", F.when(F.col("copies") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), F.transform("at", lambda x: x["gram"]).alias("grams"), F.explode("at").alias("g"))
+    met = live.join(sketches, "doc").select("doc", "n", "c", F.when(F.col("copies") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), F.transform("at", lambda x: x["gram"]).alias("all"), F.explode("at").alias("g"))
     blocks = F.ceil(F.col("g.m") / block).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    tiles = met.select("doc", "n", "c", "sketch", "grams", F.col("g.gram").alias("gram"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tiles = met.select("doc", "n", "c", "sketch", F.filter("all", lambda x: x < F.col("g.gram")).alias("grams"), F.col("g.gram").alias("gram"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     tiles = tiles.select(F.col("gram"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "n", "c", "sketch", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,11 +398,11 @@ def across(s: DataFrame, labels: DataFrame, sums: DataFrame, tried: DataFrame, n
             for gram, lo, hi, own_, doc, n, c, sk, grams in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if key != (gram, lo, hi):
                     if len(held) > 1:
-                        got += tile_pairs(key[0], key[1] == key[2], held, num, den)
+                        got += tile_pairs(key[1] == key[2], held, num, den)
                     key, held = (gram, lo, hi), []
                 held.append((doc, n, c, grams, sk, own_ == lo))
             yield pair_rows(got)
-        yield pair_rows(tile_pairs(key[0], key[1] == key[2], held, num, den) if len(held) > 1 else [])
+        yield pair_rows(tile_pairs(key[1] == key[2], held, num, den) if len(held) > 1 else [])
 
     found = tiles.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
     return found.distinct().join(tried, ["a", "b"], "left_anti")
@@ -402,7 +414,7 @@ def cluster(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc: str
     small_batches(spark)
     stored = stored or Stored(spark)
     docs = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    often, counts = frequent(docs, n)
+    often, counts = frequent(docs, n, stored)
     sums = stored.keep(summaries(docs, n, num, den, often, counts))
     full = sums.where("n > 0 and doc_id is not null")
     classes = full.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("m.doc_id", "m.n", "m.prefix")
