@@ -209,7 +209,7 @@ def postings(classes: DataFrame, often: np.ndarray, counts: np.ndarray) -> DataF
     return classes.select("doc_id", "n", "prefix").mapInArrow(run, "gram bigint, lane int, doc bigint, n int, pos int")
 
 
-SHARED = "gram bigint, lane int, doc bigint, n int, pos int, hub bigint, close boolean"
+SHARED = "gram bigint, lane int, doc bigint, n int, pos int, hub bigint, close boolean, done boolean"
 
 
 def may_reach(na, nb, pa_, pb, num: int, den: int):
@@ -222,7 +222,10 @@ def may_reach(na, nb, pa_, pb, num: int, den: int):
 
 
 def shared(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """Postings of n-grams with two classes or more, with the hub of their run; close: the filters allow the two."""
+    """Postings of n-grams with two classes or more, with the hub of their run.
+
+    close: the filters allow the two; done: a run of two, of which nothing but a close pair is needed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # gram, lane, doc, n, pos of the open run's hub; whether it went out
@@ -233,7 +236,7 @@ def shared(posts: DataFrame, num: int, den: int) -> DataFrame:
             if not len(gram):
                 continue
             if held is not None and not out and gram[0] == held[0] and lane[0] == held[1]:
-                yield _rows([held[0]], [held[1]], [held[2]], [held[3]], [held[4]], [held[2]], [False])
+                yield _rows([held[0]], [held[1]], [held[2]], [held[3]], [held[4]], [held[2]], [False], [False])
                 out = True
             new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (lane[1:] != lane[:-1])))
             starts = np.flatnonzero(new)
@@ -247,6 +250,10 @@ def shared(posts: DataFrame, num: int, den: int) -> DataFrame:
                 hub[0], hub_n[0], hub_pos[0] = held[2], held[3], held[4]
                 goes[0] = True
             last = len(starts) - 1
+            two = (run_size == 2) & (lane[starts] < 0)  # the last run of a batch may go on, the first may have begun before
+            two[last] = False
+            if follows:
+                two[0] = False
             if last or not follows:
                 held = (gram[-1], lane[-1], hub[last], hub_n[last], hub_pos[last])
             out = bool(goes[last])
@@ -254,14 +261,15 @@ def shared(posts: DataFrame, num: int, den: int) -> DataFrame:
             if m.any():
                 w = which[m]
                 close = (doc[m] != hub[w]) & may_reach(size[m], hub_n[w], pos[m], hub_pos[w], num, den)
-                yield _rows(gram[m], lane[m], doc[m], size[m], pos[m], hub[w], close)
+                k = close | ~two[w]
+                yield _rows(gram[m][k], lane[m][k], doc[m][k], size[m][k], pos[m][k], hub[w][k], close[k], two[w][k])
 
     return posts.repartition("gram", "lane").sortWithinPartitions("gram", "lane", "doc").mapInArrow(run, SHARED)
 
 
-def _rows(gram, lane, doc, size, pos, hub, close) -> pa.RecordBatch:
-    arrays = [pa.array(gram, pa.int64()), pa.array(lane, pa.int32()), pa.array(doc, pa.int64()), pa.array(np.asarray(size, np.int32)), pa.array(np.asarray(pos, np.int32)), pa.array(hub, pa.int64()), pa.array(np.asarray(close, bool))]
-    return pa.RecordBatch.from_arrays(arrays, names=["gram", "lane", "doc", "n", "pos", "hub", "close"])
+def _rows(gram, lane, doc, size, pos, hub, close, done) -> pa.RecordBatch:
+    arrays = [pa.array(gram, pa.int64()), pa.array(lane, pa.int32()), pa.array(doc, pa.int64()), pa.array(np.asarray(size, np.int32)), pa.array(np.asarray(pos, np.int32)), pa.array(hub, pa.int64()), pa.array(np.asarray(close, bool)), pa.array(np.asarray(done, bool))]
+    return pa.RecordBatch.from_arrays(arrays, names=["gram", "lane", "doc", "n", "pos", "hub", "close", "done"])
 
 
 def among(ids: DataFrame, bits: int = BITS):
@@ -382,7 +390,7 @@ def across(s: DataFrame, labels: DataFrame, sums: DataFrame, tried: DataFrame, n
     compared inside a tile and only those that pass become rows.
     """
     width = max(math.log(den / num) * 1.0001, 1e-6)  # lengths that may link lie in the same or in neighbouring bands
-    rows = s.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "doc", "n", F.coalesce("component", "doc").alias("c"), F.floor(F.log("n") / width).cast("int").alias("band"))
+    rows = s.where("not done").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "doc", "n", F.coalesce("component", "doc").alias("c"), F.floor(F.log("n") / width).cast("int").alias("band"))
     bands = rows.groupBy("gram", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
     grams = bands.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"), F.collect_list(F.struct("band", "lo", "hi", "m", "x", "y")).alias("at"))
     around = lambda b, f, what: f(F.transform(F.filter("at", lambda o: F.abs(o["band"] - b["band"]) <= 1), lambda o: o[what]))
