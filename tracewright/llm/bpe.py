@@ -25,6 +25,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -34,7 +35,9 @@ from tracewright.llm.common import load, small_batches
 #: The byte-level pattern for words; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and letters of words, that a worker keeps before it empties its table.
-TABLE_WORDS, TABLE_CHARS = 600_000, 12_000_000
+TABLE_WORDS, TABLE_CHARS = 250_000, 6_000_000
+#: Characters of texts that are split into words at once (one text at least).
+GROUP_CHARS = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -198,6 +201,20 @@ class Encoder:
             yield ",".join([g[0] for g in got]), b"".join([g[1] for g in got])
 
 
+def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """``texts`` in order, in groups of about ``GROUP_CHARS`` characters."""
+    held: list[str | None] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _workers: dict[str, Encoder] = {}
 
 
@@ -229,14 +246,14 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool
             if encoder is None:
                 encoder = worker_encoder(packed.value)
             counts, first, second = [], [], []
-            for ids, raw in encoder.encode_all(batch.column(text).to_pylist()):
+            for ids, raw in (x for group in groups(batch.column(text).to_pylist()) for x in encoder.encode_all(group)):
                 decoded = raw.decode("utf-8", "replace")
                 counts.append(ids.count(",") + 1 if ids else 0)
                 if digest:
                     first.append(hashlib.sha256(ids.encode()).hexdigest())
                     second.append(hashlib.sha256(decoded.encode()).hexdigest())
                 else:
-                    first.append(list(map(int, ids.split(","))) if ids else [])
+                    first.append(np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32))
                     second.append(decoded)
             kinds = [pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()]
             arrays = [batch.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
