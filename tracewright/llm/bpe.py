@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tracewright.llm.common import load, small_batches
+from tracewright.llm.common import give_back, load, small_batches
 
 #: The byte-level pattern for words; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and letters of words, that a worker keeps before it empties its table.
-TABLE_WORDS, TABLE_CHARS = 250_000, 6_000_000
+TABLE_WORDS, TABLE_CHARS = 120_000, 3_000_000
 #: Characters of texts that are split into words at once (one text at least).
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 
 def byte_letters() -> dict[int, str]:
@@ -258,6 +258,8 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool
             kinds = [pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()]
             arrays = [batch.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *made])
+            del batch, counts, first, second, arrays
+        give_back()
 
     return df.select(*kept, text).mapInArrow(run, schema)
 
