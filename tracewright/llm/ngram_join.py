@@ -362,11 +362,10 @@ def tile_pairs(same: bool, docs: list[tuple], num: int, den: int) -> list[tuple[
         known = j[(width[j] == w) | (width[j] == 2 * w)] if w else j[:0]
         if len(known):
             if w not in folded:
-                m = np.zeros((len(docs), w), np.int64)
+                folded[w] = m = np.zeros((len(docs), w), np.uint16)
                 for k in np.flatnonzero((width == w) | (width == 2 * w)):
-                    x = np.frombuffer(docs[k][4], np.uint8).astype(np.int64)
+                    x = np.frombuffer(docs[k][4], np.uint8).astype(np.uint16)
                     m[k] = x if len(x) == w else x[::2] + x[1::2]
-                folded[w] = np.minimum(m, 65535).astype(np.uint16)
             m = folded[w]
             most = np.minimum(m[known], m[i]).sum(axis=1, dtype=np.int64)
             known = known[(num + den) * most >= num * (n[known] + n[i])]
