@@ -389,16 +389,23 @@ def across(s: DataFrame, labels: DataFrame, sums: DataFrame, tried: DataFrame, n
     compared inside a tile and only those that pass become rows.
     """
     width = max(math.log(den / num) * 1.0001, 1e-6)  # lengths that may link lie in the same or in neighbouring bands
-    rows = s.where("not done").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "doc", "n", F.coalesce("component", "doc").alias("c"), F.floor(F.log("n") / width).cast("int").alias("band"))
-    bands = rows.groupBy("gram", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
-    grams = bands.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"), F.collect_list(F.struct("band", "lo", "hi", "m", "x", "y")).alias("at"))
+    rows = s.where("not done").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "lane", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    rows = rows.repartition("gram", "lane").withColumn("band", F.floor(F.log("n") / width).cast("int"))  # read twice, dealt once; lanes bound what a key has
+    listed = F.collect_list(F.struct("band", "lo", "hi", "m", "x", "y")).alias("at")
+    bands = rows.groupBy("gram", "lane", "band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    by_lane = bands.groupBy("gram", "lane").agg(F.max("lane").alias("dealt"), listed)
+    parts = by_lane.where("dealt >= 0").select("gram", "lane", F.inline("at")).groupBy("gram", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.collect_set("lane").alias("lanes"))
+    dealt = parts.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m"), F.array_distinct(F.flatten(F.collect_list("lanes"))).alias("lanes"), listed)
+    total = F.aggregate(F.col("at.m"), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    single = by_lane.where("dealt < 0").select("gram", F.array_min("at.lo").alias("lo"), F.array_max("at.hi").alias("hi"), total.alias("m"), F.array("lane").alias("lanes"), "at")
+    grams = single.unionByName(dealt)
     around = lambda b, f, what: f(F.transform(F.filter("at", lambda o: F.abs(o["band"] - b["band"]) <= 1), lambda o: o[what]))
     mixed = grams.where("lo < hi and m > 2")  # of two, the hub has met the other
-    mixed = mixed.select("gram", F.filter("at", lambda b: around(b, F.array_min, "lo") < around(b, F.array_max, "hi")).alias("at")).where(F.size("at") > 0)
+    mixed = mixed.select("gram", "lanes", F.filter("at", lambda b: around(b, F.array_min, "lo") < around(b, F.array_max, "hi")).alias("at")).where(F.size("at") > 0)
     over = lambda what, f: F.aggregate(F.col("at")[what], F.lit(0).cast("bigint"), f)
-    mixed = mixed.select("gram", F.col("at.band").alias("bands"), over("m", lambda a, b: a + b).alias("m"), over("x", lambda a, b: a.bitwiseXOR(b)).alias("x"), over("y", lambda a, b: a.bitwiseXOR(b)).alias("y"))
-    mixed = mixed.groupBy("m", "x", "y").agg(F.min(F.struct("gram", "bands")).alias("g")).select("g.gram", "g.bands", "m")  # of n-grams with the same documents, one
-    live = rows.join(mixed, "gram").where(F.array_contains("bands", F.col("band"))).groupBy("doc").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_set(F.struct("gram", "m")).alias("at"))
+    mixed = mixed.select("gram", "lanes", F.col("at.band").alias("bands"), over("m", lambda a, b: a + b).alias("m"), over("x", lambda a, b: a.bitwiseXOR(b)).alias("x"), over("y", lambda a, b: a.bitwiseXOR(b)).alias("y"))
+    mixed = mixed.groupBy("m", "x", "y").agg(F.min(F.struct("gram", "bands", "lanes")).alias("g")).select("g.gram", F.explode("g.lanes").alias("lane"), "g.bands", "m")  # of n-grams with the same documents, one
+    live = rows.join(mixed, ["gram", "lane"]).where(F.array_contains("bands", F.col("band"))).groupBy("doc").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_set(F.struct("gram", "m")).alias("at"))
     sketches = sums.where(among(live.select("doc"))(F.col("doc_id"))).groupBy(F.col("doc_id").alias("doc")).agg(F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     met = live.join(sketches, "doc").select("doc", "n", "c", F.when(F.col("copies") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), F.transform("at", lambda x: x["gram"]).alias("all"), F.explode("at").alias("g"))
     blocks = F.ceil(F.col("g.m") / block).cast("int")
