@@ -143,13 +143,27 @@ def prefix(grams: np.ndarray, often: np.ndarray, counts: np.ndarray, num: int, d
     return np.concatenate((rare, grams[common][order]))[:m]
 
 
+def sketch_bits(n: int) -> int:
+    return max(0, (n // 2).bit_length() - 1)
+
+
 def sketch(grams: np.ndarray) -> bytes:
-    """How many n-grams lie between equally spaced pivots, about two each, a byte each; empty where a byte is too small."""
-    bits = max(0, (len(grams) // 2).bit_length() - 1)
+    """How many n-grams lie between equally spaced pivots, two to four on average.
+
+    Half a byte each where that is enough, else a byte; empty where a byte is too small.
+    """
+    bits = sketch_bits(len(grams))
     if not bits or bits > 32:
         return b""
     counts = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    most, counts = counts.max(), counts.astype(np.uint8)
+    return (counts[::2] << 4 | counts[1::2]).tobytes() if most < 16 else counts.tobytes() if most < 256 else b""
+
+
+def sketch_counts(raw: bytes, n: int) -> np.ndarray:
+    """The counts of a sketch of ``n`` n-grams."""
+    x = np.frombuffer(raw, np.uint8)
+    return np.stack((x >> 4, x & 15), axis=1).ravel() if 2 * len(x) == 1 << sketch_bits(n) else x
 
 
 def sketches_reach(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) -> bool:
@@ -158,7 +172,7 @@ def sketches_reach(a: bytes, b: bytes, na: int, nb: int, num: int, den: int) ->
         return False
     if not a or not b:
         return True
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    x, y = sketch_counts(a, na).astype(np.int64), sketch_counts(b, nb).astype(np.int64)
     while len(x) > len(y):
         x = x[::2] + x[1::2]
     while len(y) > len(x):
@@ -349,7 +363,8 @@ def tile_pairs(same: bool, docs: list[tuple], num: int, den: int) -> list[tuple[
     n = np.array([d[1] for d in docs], np.int64)
     comp = np.array([d[2] for d in docs], np.int64)
     first = np.array([d[5] for d in docs], bool)
-    width = np.array([len(d[4]) for d in docs], np.int64)
+    counts = [sketch_counts(d[4], d[1]) for d in docs]
+    width = np.array([len(x) for x in counts], np.int64)
     folded: dict[int, np.ndarray] = {}
     out = []
     for i in range(len(docs) - 1):
@@ -364,7 +379,7 @@ def tile_pairs(same: bool, docs: list[tuple], num: int, den: int) -> list[tuple[
             if w not in folded:
                 folded[w] = m = np.zeros((len(docs), w), np.uint16)
                 for k in np.flatnonzero((width == w) | (width == 2 * w)):
-                    x = np.frombuffer(docs[k][4], np.uint8).astype(np.uint16)
+                    x = counts[k].astype(np.uint16)
                     m[k] = x if len(x) == w else x[::2] + x[1::2]
             m = folded[w]
             most = np.minimum(m[known], m[i]).sum(axis=1, dtype=np.int64)
