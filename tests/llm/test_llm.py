@@ -170,6 +170,27 @@ def test_token_output(spark, tmp_path):
     assert len(again) == total - 40 and (again[0] == read[40]).all()
 
 
+def test_token_output_query_writes_shards(spark, monkeypatch, tmp_path):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "shared_dir", lambda _: tmp_path.as_uri())
+    rows = registry.queries()["op8_token_output"](spark, SF).collect()
+    folder = str(next(tmp_path.glob("tracewright-shards-*")))
+    read = list(token_output.read_from(folder, 0))
+    assert sorted(r.slot for r in rows) == list(range(len(read)))
+    docs = {}
+    for r in rows:
+        assert hashlib.sha256(read[r.slot].tobytes()).hexdigest() == r.record_sha256
+        docs.setdefault(r.doc_id, []).append((r.part, read[r.slot]))
+    lib = Tokenizer.from_file(bpe.vocabulary_file())
+    _, end, pad = token_output.vocabulary_marks(bpe.vocabulary_file())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(docs) == set(texts)
+    for d, parts in docs.items():
+        ids = [int(x) for _, p in sorted(parts, key=lambda x: x[0]) for x in p if x != pad]
+        assert ids == [*lib.encode(texts[d] or "", add_special_tokens=False).ids, end]
+
+
 def test_decontaminate(spark, edge):
     rng = random.Random(5)
     for _ in range(200):

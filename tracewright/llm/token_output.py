@@ -3,7 +3,8 @@
 Every document's token ids, with an end mark, are cut into sequences of ``seq_len`` tokens, numbered
 without gaps; a keyed Feistel network over the next even power of two permutes the numbers, walking
 its cycle until it is back below the number of sequences. The result is the sequence's global
-slot in training order. Shard k holds the slots from k * per_shard on; records have one
+slot in training order. The registered query encodes every document once by the BPE vocabulary,
+keeps the packed ids in the shared folder and writes the shards there. Shard k holds the slots from k * per_shard on; records have one
 fixed stride, so slot to (shard, byte offset) is arithmetic and a reader resumes by seeking.
 
 Plan: counts per input partition (one number each) give the first number of each partition; one
@@ -22,18 +23,21 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import Stored, load, small_batches
+from tracewright.llm.bpe import groups, vocabulary_file
+from tracewright.llm.common import Stored, give_back, load, shared_dir, small_batches
 
-#: Byte ids of the registered query are 0 to 255.
+#: End mark and padding where the ids are bytes, 0 to 255; ``vocabulary_marks`` has those of a vocabulary.
 END, PAD = 256, 257
 SEQ_LEN, PER_SHARD, KEY = 1024, 16384, 20250131
 
@@ -136,51 +140,112 @@ def records(seqs: DataFrame, width: int = 1, seq_len: int = SEQ_LEN, per_shard:
     return seqs.mapInArrow(run, schema)
 
 
-def write_shards(recs: DataFrame, folder: str) -> DataFrame:
-    """Write shard files into ``folder``, one that all executors share; returns a row per shard.
+def write_shards(recs: DataFrame, folder: str, slots: bool = False) -> DataFrame:
+    """Write shard files into ``folder``, one that all executors share; returns a row per shard, or with ``slots`` per record.
 
-    A file appears under its name only when whole, so tasks may be run again; the same shard
-    always has the same bytes.
+    A file appears under its name only when whole, and its rows only after it, so tasks may be run
+    again; the same shard always has the same bytes.
     """
+    kept = ["slot", "offset", "doc_id", "part", "n_tokens"] if slots else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, n, digest, out, name = None, 0, hashlib.sha256(), None, ""
+        shard, n, digest, out, name, rows, each = None, 0, hashlib.sha256(), None, "", [], []
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for s, r in zip(batch.column("shard").to_pylist(), batch.column("record").to_pylist(), strict=True):
                 if out is None:
                     shard = s
-                    os.makedirs(folder, exist_ok=True)
-                    name = f"{folder}/.shard-{s:06d}.{TaskContext.get().taskAttemptId()}"
-                    out = open(name, "wb")
+                    store.create_dir(root, recursive=True)
+                    name = f"{root}/.shard-{s:06d}.{TaskContext.get().taskAttemptId()}"
+                    out = store.open_output_stream(name)
                 elif s != shard:
                     raise RuntimeError("a partition holds two shards")
                 out.write(r)
                 digest.update(r)
                 n += 1
+                if slots:
+                    each.append(hashlib.sha256(r).hexdigest())
+            if slots:
+                rows.append(batch.select(kept))
         if out is not None:
             out.close()
-            os.replace(name, f"{folder}/shard-{shard:06d}.bin")
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names=["shard", "n_records", "sha256"])
+            store.move(name, f"{root}/shard-{shard:06d}.bin")
+            many = n if slots else 1
+            table = pa.Table.from_batches(rows).combine_chunks() if slots else None
+            own = [table.column(c).combine_chunks() for c in kept] + ([pa.array(each)] if slots else [])
+            made = [pa.array([shard] * many, pa.int32()), pa.array([n] * many, pa.int64()), pa.array([digest.hexdigest()] * many)]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[*kept, *(["record_sha256"] if slots else []), "shard", "n_records", "sha256"])
 
-    return recs.mapInArrow(run, "shard int, n_records bigint, sha256 string")
+    record_fields = "slot bigint, offset bigint, doc_id bigint, part int, n_tokens int, record_sha256 string, " if slots else ""
+    return recs.mapInArrow(run, record_fields + "shard int, n_records bigint, sha256 string")
 
 
 def read_from(folder: str, slot: int, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, out_type: str = "<u2") -> Iterator[np.ndarray]:
     """The records from ``slot`` on, in training order."""
     stride = seq_len * np.dtype(out_type).itemsize
     shard, at = divmod(slot, per_shard)
-    while os.path.exists(name := f"{folder}/shard-{shard:06d}.bin"):
-        with open(name, "rb") as f:
+    store, root = fs.FileSystem.from_uri(folder)
+    while store.get_file_info(name := f"{root}/shard-{shard:06d}.bin").type == fs.FileType.File:
+        with store.open_input_file(name) as f:
             f.seek(at * stride)
             while raw := f.read(stride):
                 yield np.frombuffer(raw, out_type)
         shard, at = shard + 1, 0
 
 
+_workers: dict[str, object] = {}
+
+
+def worker_tokenizer(source: str):
+    """This Python worker's tokenizer: it lives from task to task."""
+    key = hashlib.sha256(source.encode()).hexdigest()
+    if key not in _workers:
+        from tokenizers import Tokenizer
+
+        _workers.clear()
+        _workers[key] = Tokenizer.from_str(source)
+    return _workers[key]
+
+
+def vocabulary_marks(path: str) -> tuple[int, int, int]:
+    """Bytes an id takes, end mark and padding: the two ids after the vocabulary's last."""
+    from tokenizers import Tokenizer
+
+    n = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+    return (2 if n + 1 < 1 << 16 else 4), n, n + 1
+
+
+def encoded(df: DataFrame, vocabulary_path: str, width: int, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """Every row's doc_id and ``tokens``: its ids by the library, packed little-endian in ``width`` bytes each."""
+    small_batches(df.sparkSession)
+    with open(vocabulary_path, encoding="utf-8") as f:
+        packed = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: some MB at any size of the data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        lib = None
+        for batch in batches:
+            lib = lib or worker_tokenizer(packed.value)
+            tokens = []
+            for group in groups(batch.column("text").to_pylist()):
+                tokens += [np.array(e.ids, f"<u{width}").tobytes() for e in lib.encode_batch_fast([t or "" for t in group], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
+        give_back()
+
+    return df.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, tokens binary")
+
+
+def materialise(df: DataFrame, vocabulary_path: str, folder: str, text: str = "text", doc: str = "doc_id", seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+    """Texts to shard files in ``folder``, encoded once; a row per slot with its digest and its shard's."""
+    width, end, pad = vocabulary_marks(vocabulary_path)
+    seqs, _ = sequences(encoded(df, vocabulary_path, width, text, doc), width=width, seq_len=seq_len, per_shard=per_shard, key=key)
+    return write_shards(records(seqs, width, seq_len, per_shard, end, pad, f"<u{width}"), folder, slots=True)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UTF-8 bytes are the token ids, as byte-level models read them."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("tokens"))
-    return records(sequences(docs, scan=True)[0]).select("slot", "shard", "offset", "doc_id", "part", "n_tokens", F.sha2("record", 256).alias("record_sha256"))
+    folder = f"{shared_dir(spark)}/tracewright-shards-{uuid.uuid4().hex}"
+    rows = materialise(load(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file(), folder)
+    return rows.select("slot", "shard", "offset", "doc_id", "part", "n_tokens", "record_sha256", F.col("sha256").alias("shard_sha256"))
 
 
 ORACLE = None
