@@ -110,6 +110,17 @@ def test_html():
     assert t("<article>a<script>var x='<p>';</script><style>p{}</style><!-- c -->b") in ("a b", "ab")
 
 
+def test_html_ratios_decide_on_every_page():
+    t = html_text.main_text
+    long = "long words of an article that go on and on " * 5
+    body = " ".join([long.strip()] * 3)
+    page = f"<body><article><a>read</a> <a>more</a></article>{{}}<p>{long}</p><p>{long}</p><p>{long}</p>{{}}</body>"
+    assert t(page.format("<div>", "</div>")) == body
+    assert t(page.format("<main>", "</main>")).endswith(body)
+    assert t(f"<body><main><p>{long}</p><article><h2>Short</h2><p>{long}</p></article><p>{long}</p></main></body>") == " ".join([long.strip(), "Short", long.strip(), long.strip()])
+    assert t(f"<body><div><a>x</a> <a>y</a></div><article><h1>A</h1><p>{long}</p><p>b</p></article><div><a>z</a></div></body>") == f"A {long.strip()} b"
+
+
 def brute_components(rows, n, num, den):
     sets = {}
     for d, t in rows:

@@ -6,11 +6,14 @@ has its text, the number of tags met while it was open, and the region it stands
 the nearest enclosing article, main or body, or a part that is never content (menus, headers,
 footers, asides, forms, scripts, styles, notices, adverts, comments), known by tag, role, class or id.
 
-Which region holds the content: where a page marks an article or main element, that one. Else
-the ratios (characters per tag) are smoothed by a Gaussian over neighbouring lines; lines above
-a share of the standard deviation form clusters, and the lines from the first to the last line
-of the clusters that hold at least a third of the largest cluster's text are content.
-Lines inside the content are all kept, however short.
+Which lines are content is decided on every page by the ratios (characters per tag; lines of an
+article or main element count ``MARKED`` times). They are smoothed by a Gaussian over neighbouring
+lines; lines above a share of the standard deviation form clusters, and the clusters that hold at
+least a third of the largest one's text are chosen. Where article or main lines hold half of the chosen
+text or more, that element bounds the content: all its lines are kept, however short (main with
+its articles if the clusters reach into main itself, else the articles), and dense lines of
+chosen clusters outside it. Else (a teaser beside the body, or no such element) the lines
+from the first to the last line of the chosen clusters are content, however short.
 
 Defined results
   null, empty or tagless html: the text is what stands outside tags; empty if none.
@@ -44,6 +47,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "nav navbar navigation menu submenu sidebar sidebars aside ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup comment comments commentlist disqus reply replies respond discussion footer masthead breadcrumb breadcrumbs share sharing social related recommended recommendations widget widgets toolbar pagination pager login search skip".split()
 )
+#: What a ratio counts for in an article or main element; fixed value.
+MARKED = 2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -158,14 +163,11 @@ def smoothed(values: list[float], radius: int = 2) -> list[float]:
 
 
 def content(lines: list[tuple[str, int, str]]) -> list[str]:
-    for region in ("article", "main"):
-        inside = [t for t, _, r in lines if r == region]
-        if inside:
-            return inside
-    body = [(t, n) for t, n, r in lines if r]
+    body = [x for x in lines if x[2]]
     if len(body) <= 1:
-        return [t for t, _ in body]
-    ratio = smoothed([len(t) / n for t, n in body])
+        return [t for t, _, _ in body]
+    own = [len(t) / n * (1 if r == "body" else MARKED) for t, n, r in body]
+    ratio = smoothed(own)
     mean = sum(ratio) / len(ratio)
     threshold = min(mean, math.sqrt(sum((x - mean) ** 2 for x in ratio) / len(ratio)))
     clusters: list[list[int]] = []
@@ -178,13 +180,14 @@ def content(lines: list[tuple[str, int, str]]) -> list[str]:
     size = lambda c: sum(len(body[i][0]) for i in c)
     most = max(map(size, clusters))
     chosen = [c for c in clusters if 3 * size(c) >= most]
-    first, last = chosen[0][0], chosen[-1][-1]
-    plain = [len(t) / n >= threshold for t, n in body]
-    while first < last and not plain[first]:  # smoothing lifts the lines beside the content
-        first += 1
-    while last > first and not plain[last]:
-        last -= 1
-    return [t for t, _ in body[first : last + 1]]
+    dense = [i for c in chosen for i in c if own[i] >= threshold]  # smoothing lifts the lines beside the content
+    regions = {body[i][2] for i in dense}
+    marked = {"main", "article"} if "main" in regions else {"article"} & regions
+    if marked and 2 * size(i for i in dense if body[i][2] in marked) >= size(dense):
+        far = set(dense)
+        return [t for i, (t, _, r) in enumerate(body) if r in marked or i in far]
+    first, last = (dense[0], dense[-1]) if dense else (chosen[0][0], chosen[-1][-1])
+    return [t for t, _, _ in body[first : last + 1]]
 
 
 def main_text(html: str | None) -> str:
