@@ -153,3 +153,11 @@ def test_rewind_keeps_pairs(spark):
     out = [r.text for r in rewrite.rewind(df).orderBy("ord").collect()]
     assert out == ["m0", "[4 earlier turns elided]", "m5", "m6", "m7", "m8"]
     assert rewrite.elisions(df).first().turns_elided == 4
+
+
+def test_explicit_rollback_is_annotated(spark):
+    cmds = ["make", "git revert HEAD", "ls", None, "git reset --hard", "git status", "git stash", "x"]
+    rows = [("s", i, "Bash", False, i, 0, None, c) for i, c in enumerate(cmds)] + [("s", 8, "Read", False, 8, 0, None, "undo")]
+    steps = spark.createDataFrame(rows, "session_id string, idx long, tool_name string, has_error boolean, sig long, err long, file long, cmd string")
+    got = [(r.after_step, r.progress_type, r.detector) for r in annotate.annotate(steps).orderBy("after_step").collect()]
+    assert got == [(i, "approach_eliminated", "E2") for i in (1, 4, 6)]

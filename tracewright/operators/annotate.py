@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions import text
+
 READS, EDITS = ["Read", "Grep", "Glob"], ["Edit", "Write", "MultiEdit"]
 
 
@@ -41,6 +43,12 @@ def repeated_failure(steps: DataFrame) -> DataFrame:
     return rows.where("n = 2").select("session_id", F.col("idx").alias("after_step"), "sig", "err")
 
 
+def explicit_rollback(steps: DataFrame) -> DataFrame:
+    """Bash steps whose command takes work back; with the command's first 200 characters."""
+    hits = steps.where((F.col("tool_name") == "Bash") & text.is_rollback(F.col("cmd")))
+    return hits.select("session_id", F.col("idx").alias("after_step"), F.left("cmd", F.lit(200)).alias("evidence"))
+
+
 def edit_reverted(steps: DataFrame, max_gap: int = 4) -> DataFrame:
     """A file edited again within ``max_gap`` steps."""
     order = W.partitionBy("session_id", "file").orderBy("idx")
@@ -71,7 +79,7 @@ def deduplicate(events: DataFrame) -> DataFrame:
 
 def annotate(steps: DataFrame) -> DataFrame:
     """All detectors, de-duplicated."""
-    kinds = [("M1", "milestone_achieved", edit_after_reads(steps)), ("M4", "milestone_achieved", success_after_failure(steps)), ("E1", "approach_eliminated", repeated_failure(steps)), ("E3", "approach_eliminated", edit_reverted(steps))]
+    kinds = [("M1", "milestone_achieved", edit_after_reads(steps)), ("M4", "milestone_achieved", success_after_failure(steps)), ("E1", "approach_eliminated", repeated_failure(steps)), ("E2", "approach_eliminated", explicit_rollback(steps)), ("E3", "approach_eliminated", edit_reverted(steps))]
     found = None
     for name, kind, hits in kinds:
         h = hits.select("session_id", "after_step", F.lit(kind).alias("progress_type"), F.lit(name).alias("detector"))

@@ -27,7 +27,16 @@ def query(name: str, sql: str | None = None):
 
 
 def _steps(spark, d):
-    return V.steps(spark, d).withColumn("err", F.col("k") % 3).withColumn("n_chars", F.col("k") * 10).withColumn("file", F.when(F.col("file") != 6, F.col("file")))
+    """Steps without commands: the events hold none."""
+    return V.steps(spark, d).withColumn("err", F.col("k") % 3).withColumn("n_chars", F.col("k") * 10).withColumn("file", F.when(F.col("file") != 6, F.col("file"))).withColumn("cmd", F.lit(None).cast("string"))
+
+
+COMMANDS = ["git revert HEAD", "make test", "git reset --hard", "ls", "git checkout -- a.py", "git status", "GIT STASH", "undo it", "rm -r out", None, "echo undone"]
+
+
+def _commands(spark, d):
+    """Steps with commands by k."""
+    return _steps(spark, d).withColumn("cmd", F.get(F.array(*map(F.lit, COMMANDS)), (F.col("k") % len(COMMANDS)).cast("int")))
 
 
 S = V.STEPS.replace("json_extract_string(props, '$.k')::bigint % 7 as file", "nullif(json_extract_string(props, '$.k')::bigint % 7, 6) as file") + ", st as (select *, k % 3 as err, k * 10 as n_chars from steps)"
@@ -44,6 +53,11 @@ query("wn3_repeated_failure", f"with {S}, {E1} select * from e1")(lambda s, d: a
 query("wn5_edit_reverted", f"with {S}, {E3} select * from e3")(lambda s, d: annotate.edit_reverted(_steps(s, d)))
 query("wn6_stale_outputs", f"with {S}, {EXP} select * from ex")(lambda s, d: annotate.stale_outputs(_steps(s, d)))
 query("wn7_annotate", f"with {S}, {M1}, {M4}, {E1}, {E3}, {ALL} select * from ann")(lambda s, d: annotate.annotate(_steps(s, d)))
+SC = S + ", sc as (select *, ([" + ", ".join("null" if c is None else f"'{c}'" for c in COMMANDS) + f"])[k % {len(COMMANDS)} + 1] as cmd from st)"
+E2 = f"e2 as (select session_id, idx as after_step, left(cmd, 200) as evidence from sc where tool_name = 'Bash' and regexp_matches(cmd, '{text.ROLLBACK_RX}'))"
+ALL_E2 = ALL.replace("from e1 union all", "from e1 union all select session_id, after_step, 'approach_eliminated', 'E2' from e2 union all")
+query("wn4_explicit_rollback", f"with {SC}, {E2} select * from e2")(lambda s, d: annotate.explicit_rollback(_commands(s, d)))
+query("wn7_annotate_commands", f"with {SC}, {M1}, {M4}, {E1}, {E2}, {E3}, {ALL_E2} select * from ann")(lambda s, d: annotate.annotate(_commands(s, d)))
 query(
     "sl1_merge_labels",
     f"with {S}, {M1}, {M4}, {E1}, {E3}, {ALL}, {EXP}, u as (select session_id, expire as step, 'expire' as kind from ex union all select session_id, after_step, 'checkpoint' from ann) select *, (row_number() over (partition by session_id order by step, case when kind = 'expire' then 0 else 1 end) - 1)::bigint as seq from u",
