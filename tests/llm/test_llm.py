@@ -234,6 +234,21 @@ def test_licenses(edge, spark):
     assert [(r.licences, r.verdict) for r in licenses.scan(df).collect()] == [(["MIT"], "permissive"), (["GPL-3.0"], "restricted"), ([], "unknown")]
 
 
+def test_license_rules_take_only_their_own(spark):
+    apache, bsd = ["Apache2Ref", "Apache2Comply", "AsIsBasis"], ["BsdUse", "BsdNotice", "BsdBinary"]
+    cases = [
+        (apache + ["GplRef"] + apache, ["Apache-2.0", "GPL"]),
+        (["Apache2Ref", "GplRef", "Apache2Comply"], ["Apache-2.0", "GPL"]),
+        (bsd + ["MitRef"] + bsd + ["BsdNoEndorse"], ["MIT", "BSD-3-Clause", "BSD-2-Clause"]),
+        (["MitGrant", "MitGrant", "MitKeep", "MitKeep", "SomeLicense"], ["MIT"]),
+        (["MitKeep", "MitGrant"], []),
+        (bsd[::-1], []),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, ids array<string>")
+    got = {r.i: r.found for r in df.select("i", licenses.licences(F.col("ids")).alias("found")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

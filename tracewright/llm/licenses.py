@@ -3,8 +3,8 @@
 A text is cut into sentences, which are normalised (lower case, punctuation and white space to
 single spaces). A sentence that fits a known one becomes its identifier; other sentences leave
 no trace, so any prose may stand between. Rules are tried in order on the sequence of
-identifiers; what a rule matches is used up, so a specific licence hides the general sentence it
-contains. All of it is array and string functions within a row: no shuffle.
+identifiers; a rule uses up the identifiers it names, nearest ones first, again until it no longer
+fits, so a specific licence hides the general sentence it contains and no other. All of it is array and string functions within a row: no shuffle.
 
 Defined results
   null or empty text: no sentences, no licences, verdict ``none``.
@@ -90,7 +90,7 @@ OTHER = r"[^a-z0-9]+"
 
 
 def rule_pattern(parts: list[str]) -> str:
-    """On `` A  B  C ``: each identifier stands between spaces."""
+    """For the SQL, on `` A  B  C ``: each identifier stands between spaces. Takes all between them too, unlike ``used``."""
     out = ""
     for i, p in enumerate(parts):
         one = (".* " if i else " ") + p.rstrip("?") + " "
@@ -115,21 +115,48 @@ def sentence_ids(text: Column) -> Column:
 
 def licences(ids: Column) -> Column:
     """Licences found in the sequence, each once, in rule order."""
-    seq = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
-    state = F.struct(seq.alias("left"), F.array().cast("array<string>").alias("found"))
+    state = F.struct(ids.alias("left"), F.array().cast("array<string>").alias("found"))
     for name, parts in RULES:
-        state = _apply(state, name, rule_pattern(parts))
+        state = _apply(state, name, parts)
     return F.array_distinct(state["found"])
 
 
-def _apply(state: Column, name: str, pattern: str) -> Column:
-    return let(
-        state,
-        lambda s: F.when(
-            s["left"].rlike(pattern),
-            F.struct(F.regexp_replace(s["left"], pattern, " ").alias("left"), F.concat(s["found"], F.array(F.lit(name))).alias("found")),
-        ).otherwise(s),
-    )
+def used(left: Column, parts: list[str]) -> Column:
+    """Positions that all matches of a rule take: each identifier goes on with the latest match that waits for it."""
+    none = F.array().cast("array<int>")
+    needed = len([p for p in parts if not p.endswith("?")])
+    # w0: matches with the first part, w1: with two, and so on, as positions; a match holds the last ones of its list
+    begin = F.struct(F.lit(0).alias("at"), *[F.array().cast("array<array<int>>").alias(f"w{j}") for j in range(len(parts))])
+
+    def step(acc: Column, x: Column) -> Column:
+        out = [acc[f"w{j}"] for j in range(len(parts))]
+        for j, p in enumerate(parts):
+            hit = x == p.rstrip("?")
+            if j == 0:
+                out[0] = F.when(hit, F.concat(acc["w0"], F.array(F.array(acc["at"])))).otherwise(out[0])
+            else:
+                before = acc[f"w{j - 1}"]
+                hit = hit & (F.size(before) > 0)
+                out[j - 1] = F.when(hit, F.slice(before, 1, F.greatest(F.size(before) - 1, F.lit(0)))).otherwise(out[j - 1])
+                out[j] = F.when(hit, F.concat(acc[f"w{j}"], F.array(F.concat(F.get(before, F.size(before) - 1), F.array(acc["at"]))))).otherwise(out[j])
+        return F.struct((acc["at"] + 1).alias("at"), *[c.alias(f"w{j}") for j, c in enumerate(out)])
+
+    done = lambda acc: F.flatten(F.concat(*[acc[f"w{j}"] for j in range(needed - 1, len(parts))]))
+    fits = F.lit(True)
+    for p in parts[:needed]:
+        fits = fits & F.array_contains(left, p)
+    return F.when(fits, F.aggregate(left, begin, step, done)).otherwise(none)
+
+
+def _apply(state: Column, name: str, parts: list[str]) -> Column:
+    def one(s: Column) -> Column:
+        left = s["left"]
+        taken = lambda u: F.struct(F.filter(left, lambda x, i: ~F.array_contains(u, i)).alias("left"), F.concat(s["found"], F.array(F.lit(name))).alias("found"))
+        if len(parts) == 1:
+            return F.when(F.array_contains(left, parts[0]), F.struct(F.filter(left, lambda x: x != parts[0]).alias("left"), F.concat(s["found"], F.array(F.lit(name))).alias("found"))).otherwise(s)
+        return let(used(left, parts), lambda u: F.when(F.size(u) > 0, taken(u)).otherwise(s))
+
+    return let(state, one)
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
