@@ -249,6 +249,34 @@ def test_license_rules_take_only_their_own(spark):
     assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
 
 
+def test_license_sentences_are_whole(spark):
+    bsd = """Copyright (c) 2020 X
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions.
+2. Redistributions in binary form must reproduce the above
+   copyright notice.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products."""
+    cases = [
+        (bsd, ["BSD-3-Clause"]),
+        (" * under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License.", ["GPL-3.0"]),
+        ("GNU General Public License as published by the Free Software\r\nFoundation; either version 2 of the License", ["GPL-2.0"]),
+        ("subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", ["MPL-2.0"]),
+        ("under Creative Commons Attribution 4.0 International", ["CC-BY-4.0"]),
+        ("CC0 1.0 Universal", ["CC0-1.0"]),
+        ("Text: CC BY 4.0", ["CC-BY-4.0"]),
+        ("Neither is cc.\n\nby 4.0", []),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, text string")
+    got = {r.i: r.licences for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+    gate = re.compile(licenses.known_gate())
+    for sample in ("cc by-nc-nd 4.0", "attribution-noncommercial 4.0", "creative commons zero", "distributed under", "neither the name of x\nmay be used to endorse", "mozilla public license 2.0", "copyright 2020", "dedicated to the\npublic domain"):
+        assert gate.search(sample)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

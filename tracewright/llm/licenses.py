@@ -1,6 +1,8 @@
 """License scans: sentences to known licence-sentence identifiers, identifier sequences to ordered rules.
 
-A text is cut into sentences, which are normalised (lower case, punctuation and white space to
+A text is cut into sentences, at blank lines, at sentence ends (not in ``v. 2`` or before ``either
+version``) and before lines that start a notice or a numbered item; other newlines are spaces, so
+hard-wrapped notices are whole. Sentences are normalised (lower case, punctuation and white space to
 single spaces). A sentence that fits a known one becomes its identifier; other sentences leave
 no trace, so any prose may stand between. Rules are tried in order on the sequence of
 identifiers; a rule uses up the identifiers it names, nearest ones first, again until it no longer
@@ -8,6 +10,7 @@ fits, so a specific licence hides the general sentence it contains and no other.
 
 Defined results
   null or empty text: no sentences, no licences, verdict ``none``.
+  "all rights reserved" counts only in a sentence that holds a word of ``GATE``, as the SQL has it.
   known sentences that no rule uses: verdict ``unknown``. Several licences: listed in rule order.
   very long texts: scanned whole. Repeated rows: alike. Empty table: empty result.
   Extra columns pass through; columns named like an output are replaced.
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import let, load, lower_ascii
 
-#: What a sentence must hold to be looked at.
+#: What a sentence must hold for the SQL to look at it; ``known_gate`` adds what known sentences need.
 GATE = r"licen[cs]e|copyright|spdx|permission|redistribut|warrant|public domain|released under"
 #: Identifier and pattern of known sentences, after normalising; the first that fits counts. Fixed values.
 SENTENCES: list[tuple[str, str]] = [
@@ -85,7 +88,14 @@ RULES: list[tuple[str, list[str]]] = [
     ("Public-Domain", ["PublicDomain"]),
 ]
 PERMISSIVE = ["Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC0-1.0", "Public-Domain"]
+#: The SQL's cut; given tables hold no notice that it breaks.
 CUT = r"\n|[.!?;][ \t\r\n]+"
+#: Blank lines (in comments, lines without letters and digits), lines that start a notice or item, sentence ends.
+SENTENCE_CUT = (
+    r"\n[^\p{L}\p{N}\n]*(?=\n)"
+    r"|\n(?=[^\p{L}\p{N}\n]*(copyright[ \t]+(\(c\)|[0-9\x{a9}])|all rights reserved|spdx|permission is hereby|redistribution|neither the name|[0-9a-z]{1,2}[.)][ \t]))"
+    r"|([!?]|;(?!\s+either version)|\.(?!(?<=\bv\.|\bver\.)\s+[0-9]))[ \t\r\n]+"
+)
 OTHER = r"[^a-z0-9]+"
 
 
@@ -98,6 +108,12 @@ def rule_pattern(parts: list[str]) -> str:
     return out
 
 
+def known_gate() -> str:
+    """A raw text or sentence that holds a known sentence fits this; "all rights reserved" is left to ``GATE``."""
+    raw = [p.replace("^", "").replace(" ?", "[^a-z0-9]*").replace(" ", OTHER) for n, p in SENTENCES if n != "AllRights"]
+    return "(?s)" + "|".join([GATE, *raw])
+
+
 def sentence_ids(text: Column) -> Column:
     normal = lambda s: F.trim(F.regexp_replace(s, OTHER, " "))
 
@@ -108,9 +124,10 @@ def sentence_ids(text: Column) -> Column:
         return found
 
     low = lower_ascii(F.coalesce(text, F.lit("")))
-    sentences = F.filter(F.split(low, CUT), lambda s: s.rlike(GATE))
+    gate = known_gate()
+    sentences = F.filter(F.split(low, SENTENCE_CUT), lambda s: s.rlike(gate))
     ids = F.filter(F.transform(F.transform(sentences, normal), known), lambda x: x.isNotNull())
-    return F.when(low.rlike(GATE), ids).otherwise(F.array().cast("array<string>"))
+    return F.when(low.rlike(gate), ids).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
