@@ -87,6 +87,15 @@ def test_secrets(spark, edge):
     assert [len(r.spans_found) for r in secrets.scan(high).collect()] == [1, 0]
 
 
+def test_secrets_beside_spans_and_placeholders(spark):
+    key = "qZ7xR2mK9pL4vN8wB3cT6yH1"
+    digest = "d41d8cd98f00b204e9800998ecf8427e"
+    rows = [(1, f"https://host/{digest}/{key} x"), (2, f"é sk_test_{key} x"), (3, "example_placeholder_test_dummy_sample"), (4, f"{key}/{digest}"), (5, f"a password=hunter22hunter/{key}"), (6, f"k {key} z"), (7, "test/123e4567-e89b-12d3-a456-426614174000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(secrets.scan(df)).collect()}
+    assert got == {1: "https://host/[SECRET]/[SECRET] x", 2: "é sk_test_[SECRET] x", 3: rows[2][1], 4: "[SECRET]/[SECRET]", 5: "a [SECRET]", 6: "k [SECRET] z", 7: rows[6][1]}
+
+
 def test_bpe_equals_library(spark, edge):
     from tokenizers import Tokenizer
 

@@ -5,8 +5,9 @@ Base kinds are patterns: ``assign`` (a named value), ``access`` (access key ids)
 and digits. A window of 20 characters slides over the candidate; the sum of n * log2(n) over
 its character counts is updated by what enters and what leaves, so each step costs one
 window and no recount. Per character class (hex, alphanumeric, base64) a threshold, in bits, is met
-or not; the span is the whole candidate. Candidates on the allow-list (UUIDs, digests named
-as such, placeholders) and those that overlap a base span are suppressed.
+or not; the span is the whole candidate. Base spans and placeholder words are cut out of a candidate;
+each piece of 24 or more that is left, without separators at its ends, is then judged on its own.
+Pieces that are UUIDs or digests named as such are suppressed.
 
 Positions are code points. ``split`` by the pattern and the matches themselves give the gaps
 and the lengths, whose running sums are the starts: one array pass, no shuffle, no Python.
@@ -37,8 +38,10 @@ KINDS = ["assign", "access", "hex", "entropy"]
 WINDOW = 20
 #: Bits per character that a window must reach, by class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
-#: Candidates that are no secrets: UUIDs and placeholders (repetitions stay below the thresholds).
+#: For the SQL, candidates that are no secrets: UUIDs and placeholders (repetitions stay below the thresholds).
 ALLOWED = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.*[-_/])?(example|sample|placeholder|dummy|test)([-_/].*)?$"]
+#: Pieces that are no secrets, and words that are cut out of candidates.
+UUID, NAMED = ALLOWED[0], r"(?<![^/_-])(example|sample|placeholder|dummy|test)(?![^/_-])"
 #: What stands before a candidate that is a public digest.
 DIGEST_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|integrity|commit|revision)[\"'=: -]{1,4}$"
 
@@ -111,20 +114,40 @@ def base_spans(t: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
+def pieces(s: Column, base: Column) -> Column:
+    """The candidate, or what base spans and placeholder words leave of it, as spans of the candidate's least length."""
+    hole = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    spans = F.transform(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), lambda b: hole(b["start"], b["end"]))
+    words = F.when(s["hit"].rlike(NAMED), F.transform(located(s["hit"], NAMED, 3), lambda w: hole(s["start"] + w["start"], s["start"] + w["end"]))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    begin = F.struct(s["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        gap = F.when(h["start"] > acc["at"], F.array(hole(acc["at"], h["start"]))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+        return F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+
+    def trimmed(g: Column) -> Column:
+        raw = F.substr(s["hit"], (g["start"] - s["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
+        start = g["start"] + F.length(F.regexp_extract(raw, "^[/=_-]*", 0))
+        hit = F.regexp_replace(raw, "^[/=_-]+|[/_-]+$", "")
+        return F.struct(start.alias("start"), F.lit(3).alias("kind"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
+
+    def cut(holes: Column) -> Column:
+        gaps = F.aggregate(holes, begin, step, lambda acc: F.concat(acc["out"], F.when(acc["at"] < s["end"], F.array(hole(acc["at"], s["end"]))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))))
+        return F.when(F.size(holes) == 0, F.array(s)).otherwise(F.filter(F.transform(gaps, trimmed), lambda x: F.length(x["hit"]) >= 24))
+
+    return let(F.array_sort(F.concat(spans, words)), cut)
+
+
 def entropy_spans(t: Column, base: Column) -> Column:
-    """High-entropy candidates that overlap no base span and are not allowed."""
+    """High-entropy pieces of candidates that are not allowed."""
 
     def secret(s: Column) -> Column:
         c = s["hit"]
         mixed = c.rlike(r"[0-9]") & c.rlike(r"[A-Za-z]")
-        allowed = F.lit(False)
-        for p in ALLOWED:
-            allowed = allowed | c.rlike(p)
         before = F.substring(t, F.greatest(s["start"] - 15, F.lit(1)).cast("int"), F.least(s["start"], F.lit(16)).cast("int"))
-        clear = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.when(mixed & clear, ~allowed & ~before.rlike(DIGEST_BEFORE) & (window_peak(c) >= threshold(c))).otherwise(F.lit(False))
+        return F.when(mixed, ~c.rlike(UUID) & ~before.rlike(DIGEST_BEFORE) & (window_peak(c) >= threshold(c))).otherwise(F.lit(False))
 
-    return F.when(t.rlike(CANDIDATE), F.filter(located(t, CANDIDATE, 3), secret)).otherwise(F.array().cast(SPAN))
+    return F.when(t.rlike(CANDIDATE), F.filter(F.flatten(F.transform(located(t, CANDIDATE, 3), lambda s: pieces(s, base))), secret)).otherwise(F.array().cast(SPAN))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
