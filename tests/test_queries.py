@@ -19,3 +19,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_inputs(spark):
+    from tracewright.plans import views
+
+    assert registry.QUERIES["ag20_drop_totals_whole"](spark, SF).first().before == views.steps(spark, SF).count()
+    got = registry.QUERIES["rw1_compact_whole"](spark, SF).where("not compacted").select("req", "idx", "out")
+    want = views.messages(spark, SF).selectExpr("req", "idx", "repeat(concat(text, '\n'), 20) as whole")
+    assert got.join(want, ["req", "idx"]).where("out <> whole").count() == 0
+    assert registry.QUERIES["rw1_compact_whole"](spark, SF).where("compacted").count() > 0

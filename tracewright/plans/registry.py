@@ -73,6 +73,18 @@ def _label_events(s, d):
 FLT2 = f"with {S}, r as (select *, case when k % 4 = 0 then 'user_text' else 'tool' end as role from st), e as (select session_id, case when k % 10 <> 0 then idx + k % 9 end as expire, idx as event_no from r where k % 2 = 0), f as (select e.session_id, expire, event_no, case when expire is null then null when r.idx is null then 'out_of_range' when role <> 'tool' then 'non_tool' when tool_name in ('Read', 'Edit') then 'file_based' end as reason from e left join r on r.session_id = e.session_id and r.idx = e.expire)"
 query("flt2_filter_events", FLT2 + " select session_id, expire, event_no, reason from f")(lambda s, d: _label_events(s, d))
 query("ag20_drop_totals", FLT2 + " select count(*) as before, count(*) filter (reason is null) as after, count(*) filter (reason = 'out_of_range') as out_of_range, count(*) filter (reason = 'non_tool') as non_tool, count(*) filter (reason = 'file_based') as file_based from f")(lambda s, d: labels.drop_totals(_label_events(s, d)))
+
+
+def _every_label_event(s, d):
+    """Every step is an event; a checkpoint, without expire, at each tenth k."""
+    st = _steps(s, d).withColumn("role", F.when(F.col("k") % 4 == 0, "user_text").otherwise("tool"))
+    ev = st.select("session_id", F.when(F.col("k") % 10 != 0, F.col("idx") + F.col("k") % 9).alias("expire"), F.col("idx").alias("event_no"))
+    return labels.filter_events(ev, st.select("session_id", "idx", "role", "tool_name"))
+
+
+FLT2_WHOLE = FLT2.replace(" from r where k % 2 = 0)", " from r)")
+query("flt2_filter_events_whole", FLT2_WHOLE + " select session_id, expire, event_no, reason from f")(_every_label_event)
+query("ag20_drop_totals_whole", FLT2_WHOLE + " select count(*) as before, count(*) filter (reason is null) as after, count(*) filter (reason = 'out_of_range') as out_of_range, count(*) filter (reason = 'non_tool') as non_tool, count(*) filter (reason = 'file_based') as file_based from f")(lambda s, d: labels.drop_totals(_every_label_event(s, d)))
 AUD = f"with {S}, {M4}, {E1}, {E3}, o as (select session_id, list(distinct after_step) as o from (select session_id, after_step from m4 union all select session_id, after_step from e3) group by 1), t as (select session_id, list(distinct after_step) as s from (select session_id, after_step from m4 union all select session_id, after_step from e1) group by 1), b as (select session_id, coalesce(o, []) as o, coalesce(s, []) as s from o full join t using (session_id)), a as (select session_id, len(o)::bigint as n_original, len(s)::bigint as n_strict, list_sort(list_filter(s, lambda x: not list_contains(o, x))) as added, list_sort(list_filter(s, lambda x: list_contains(o, x))) as kept, list_sort(list_filter(o, lambda x: not list_contains(s, x))) as dropped from b)"
 
 
@@ -108,6 +120,16 @@ def _compact(s, d):
 
 RW1 = f"with {MSG}, b as (select req, idx, role, case when idx % 4 <> 0 then 'Bash' else 'Read' end as tool, repeat(left(text, 40) || chr(10), 10) as text from messages), l as (select *, string_split(text, chr(10)) as l, count(*) filter (role = 'assistant') over (partition by req) - count(*) filter (role = 'assistant') over (partition by req order by idx) as age from b), z as (select *, '[COMPACTED — ' || len(l) || ' lines → 5]' || chr(10) || array_to_string(l[1:3], chr(10)) || chr(10) || '[... ' || (len(l) - 5) || ' lines compacted ...]' || chr(10) || array_to_string(l[len(l)-1:len(l)], chr(10)) as z from l), c as (select *, role = 'user' and tool = 'Bash' and age >= 2 and not starts_with(text, '[COMPACTED') and len(l) >= 8 and length(text) > length(z) as compacted from z) select req, idx, compacted, case when compacted then floor((length(text) - length(z)) / 4 + 0.5)::bigint else 0 end as tokens_saved, case when compacted then z else text end as out from c"
 query("rw1_compact", RW1)(_compact)
+
+
+def _compact_whole(s, d):
+    """Whole texts, twenty times each so that some are long, by the default parameters."""
+    m = V.messages(s, d).select("req", "idx", "role", F.when(F.col("idx") % 4 != 0, "Bash").otherwise("Read").alias("tool"), F.repeat(F.concat("text", F.lit("\n")), F.lit(20)).alias("text"))
+    return rewrite.compact(m).select("req", "idx", "compacted", "tokens_saved", "out")
+
+
+RW1_WHOLE = f"with {MSG}, b as (select req, idx, role, case when idx % 4 <> 0 then 'Bash' else 'Read' end as tool, repeat(text || chr(10), 20) as text from messages), l as (select *, string_split(text, chr(10)) as l, count(*) filter (role = 'assistant') over (partition by req) - count(*) filter (role = 'assistant') over (partition by req order by idx) as age from b), z as (select *, '[COMPACTED — ' || len(l) || ' lines → 40]' || chr(10) || array_to_string(l[1:30], chr(10)) || chr(10) || '[... ' || (len(l) - 40) || ' lines compacted ...]' || chr(10) || array_to_string(l[len(l)-9:len(l)], chr(10)) as z from l), c as (select *, role = 'user' and tool = 'Bash' and age >= 2 and not starts_with(text, '[COMPACTED') and len(l) >= 50 and length(text) > length(z) as compacted from z) select req, idx, compacted, case when compacted then floor((length(text) - length(z)) / 4 + 0.5)::bigint else 0 end as tokens_saved, case when compacted then z else text end as out from c"
+query("rw1_compact_whole", RW1_WHOLE)(_compact_whole)
 query("ag3_floor_percentiles", f"with {MSG}, r as (select role, length(text)::bigint as n, row_number() over (partition by role order by length(text)) - 1 as rn, count(*) over (partition by role) as c from messages) select role, count(*) as count, sum(n)::bigint as total, max(n) as max, max(case when rn = floor(c * 0.5) then n end) as p50, max(case when rn = floor(c * 0.9) then n end) as p90 from r group by role")(
     lambda s, d: stats.floor_percentiles(V.messages(s, d).select("role", F.length("text").cast("bigint").alias("n")), ["role"], "n", {"p50": 0.5, "p90": 0.9})
 )
