@@ -59,6 +59,29 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_columns(df: DataFrame, replaced: list[str]) -> list[str]:
+    """The columns of ``df`` but those ``replaced``, in any case."""
+    low = {c.lower() for c in replaced}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names`` changed where needed so that none is one of ``taken``, in any case."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in low:
+            pass
+        out.append(name)
+        low.add(name.lower())
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

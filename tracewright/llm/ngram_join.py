@@ -12,12 +12,13 @@
 4. Candidates pass the suffix filter on sketches (counts between fixed pivots bound the overlap).
    The rest is verified once: the sets concerned are made again from the text and intersected.
 5. Links give components. Documents of n-grams that still lie in different components meet in
-   tiles of bounded size, where all pairs across components are compared by their sketches; only
-   those that pass become rows and are verified as before. Then the components are
-   taken again. No pair across components is missed: the result is exact, with no cap.
+   tiles of bounded size, where all pairs across components are compared by their sketches; the
+   documents with a partner come again with their sets, are verified in the tile, and only links
+   that join components become rows. No pair across components is missed: the result is exact, with no cap.
 
-Which documents a step needs is told by a bitmap of fixed size over hashed ids, so texts are
-shuffled only where they are needed; ids that share a bit only add work.
+Which documents a step needs is told by a bitmap over hashed ids, so texts are
+shuffled only where they are needed; ids that share a bit only add work. N-grams outside the table are rarer
+than all in it; a run of any length streams by.
 
 Defined results
   null, empty or wordless text: the empty set, linked with nothing, component: itself.
@@ -40,15 +41,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Stored, load, small_batches
+from tracewright.llm.common import Stored, fresh, load, quoted, small_batches
 from tracewright.llm.components import components
 
 #: N-grams in the table of frequent ones, and counts per lane of such an n-gram.
 FREQUENT, PER_LANE = 1 << 20, 2048
 #: Documents of one n-gram in a block; two blocks make a tile.
 BLOCK = 1024
-#: Bits of the bitmap over ids (8 MB).
-BITS = 1 << 26
+#: Parts that the exact copies of one text are dealt over.
+COPY_LANES = 64
+#: Most bits of a bitmap over ids (64 MB): beyond that many ids it would tell nothing and is left out.
+BITS = 1 << 29
 
 
 class WordNumbers(dict):
@@ -286,8 +289,12 @@ def _rows(gram, lane, doc, size, pos, hub, close, done) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["gram", "lane", "doc", "n", "pos", "hub", "close", "done"])
 
 
-def among(ids: DataFrame, bits: int = BITS):
-    """A column function that is true for the ids of ``ids`` (one bigint column) and for few others."""
+def among(ids: DataFrame, most: int = BITS):
+    """A column function that is true for the ids of ``ids`` (one bigint column, stored) and for few others; for all where they are more than ``most``."""
+    n = ids.count()
+    if n > most:
+        return lambda c: c.isNotNull()
+    bits = min(most, max(1 << 18, 1 << (8 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     at = place(F.col(ids.columns[0])) + 1  # the bitmap functions count from 1
     blocks = ids.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()  # bits / 8 bytes at most
@@ -325,6 +332,17 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
 
 
+def sets_of(docs: DataFrame, wanted, n: int) -> DataFrame:
+    """(id, s): the set of each row whose id is ``wanted``, made from the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, n).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "s"])
+
+    return docs.where(wanted(F.col("doc_id"))).select("doc_id", "text").mapInArrow(run, "id bigint, s binary")
+
+
 def verify(pairs: DataFrame, sums: DataFrame, docs: DataFrame, n: int, num: int, den: int, stored: Stored) -> DataFrame:
     """Of the distinct ``pairs`` (a, b) those whose sets reach the threshold, as (u, v)."""
 
@@ -337,12 +355,7 @@ def verify(pairs: DataFrame, sums: DataFrame, docs: DataFrame, n: int, num: int,
     near = stored.keep(with_both(pairs, sketched, ["n", "sketch"]).mapInArrow(prune, "a bigint, b bigint").distinct())
     wanted = among(ends(near))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, n).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "s"])
-
-    sets = stored.keep(docs.where(wanted(F.col("doc_id"))).select("doc_id", "text").mapInArrow(sets_of, "id bigint, s binary"))
+    sets = stored.keep(sets_of(docs, wanted, n))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,20 +366,19 @@ def verify(pairs: DataFrame, sums: DataFrame, docs: DataFrame, n: int, num: int,
     return stored.keep(with_both(near, sets, ["s"]).mapInArrow(check, "u bigint, v bigint"))
 
 
-def tile_pairs(same: bool, docs: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of one tile whose sketches may reach the threshold and whose smallest common n-gram this is.
+def tile_pairs(same: bool, docs: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Places (i, j) in ``docs`` of one tile, pairs whose sketches may reach the threshold and whose smallest common n-gram this is.
 
-    ``docs``: (doc, size, component, its smaller n-grams, sketch, whether in the first block). Sketches are compared
-    a row against all at once; nothing else is kept of a pair.
+    ``docs``, by size: (doc, size, component, its smaller n-grams, sketch, whether in the first block). Sketches are
+    compared a row against all at once; nothing is kept of a pair.
     """
-    docs.sort(key=lambda d: d[1])
     n = np.array([d[1] for d in docs], np.int64)
     comp = np.array([d[2] for d in docs], np.int64)
     first = np.array([d[5] for d in docs], bool)
     counts = [sketch_counts(d[4], d[1]) for d in docs]
+    smaller = [frozenset(d[3]) for d in docs]
     width = np.array([len(x) for x in counts], np.int64)
     folded: dict[int, np.ndarray] = {}
-    out = []
     for i in range(len(docs) - 1):
         end = int(np.searchsorted(n, den * n[i] // num, "right"))
         j = np.arange(i + 1, end)
@@ -385,23 +397,45 @@ def tile_pairs(same: bool, docs: list[tuple], num: int, den: int) -> list[tuple[
             most = np.minimum(m[known], m[i]).sum(axis=1, dtype=np.int64)
             known = known[(num + den) * most >= num * (n[known] + n[i])]
             j = np.concatenate((known, j[(width[j] != w) & (width[j] != 2 * w)]))
-        mine = set(docs[i][3])
         for k in j.tolist():
-            if mine.isdisjoint(docs[k][3]):
-                out.append((min(docs[i][0], docs[k][0]), max(docs[i][0], docs[k][0])))
-    return out
+            if smaller[i].isdisjoint(smaller[k]):
+                yield i, k
+
+
+def tile_hopeful(same: bool, docs: list[tuple], num: int, den: int) -> list[int]:
+    """Places in ``docs`` (by size) that have a partner by their sketches."""
+    hopeful: set[int] = set()
+    for pair in tile_pairs(same, docs, num, den):
+        hopeful.update(pair)
+    return sorted(hopeful)
+
 
+def tile_links(same: bool, docs: list[tuple], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Verified links of a tile that join components which no earlier link of the tile joins: fewer than it has documents."""
+    up = {d[2]: d[2] for d in docs}
 
-def pair_rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
 
+    links = []
+    for i, j in tile_pairs(same, docs, num, den):
+        x, y = root(docs[i][2]), root(docs[j][2])
+        if x != y and intersects(sets[i], sets[j], num, den):
+            up[max(x, y)] = min(x, y)
+            links.append((docs[i][0], docs[j][0]))
+    return links
 
-def across(s: DataFrame, labels: DataFrame, sums: DataFrame, tried: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Pairs, not ``tried`` yet, of different components that share a prefix n-gram and pass length and suffix filters.
+
+def across(s: DataFrame, labels: DataFrame, sums: DataFrame, docs: DataFrame, size: int, num: int, den: int, stored: Stored, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between different components, enough of them to join all that links join.
 
     Lengths fall into bands; an n-gram's band counts only if it and its neighbours hold two components.
-    Documents of an n-gram meet in tiles of two blocks at most, dealt by the document; pairs are
-    compared inside a tile and only those that pass become rows.
+    Documents of an n-gram meet in tiles of two blocks at most, dealt by the document. A first pass
+    compares sketches inside a tile and names the documents that have a partner there; for these the sets of
+    ``size``-grams are made again, and a second pass verifies inside the tile. No pair becomes a row: a tile gives
+    a row per hopeful document, then fewer links than documents.
     """
     width = max(math.log(den / num) * 1.0001, 1e-6)  # lengths that may link lie in the same or in neighbouring bands
     rows = s.where("not done").join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "lane", "doc", "n", F.coalesce("component", "doc").alias("c"))
@@ -420,29 +454,50 @@ def across(s: DataFrame, labels: DataFrame, sums: DataFrame, tried: DataFrame, n
     over = lambda what, f: F.aggregate(F.col("at")[what], F.lit(0).cast("bigint"), f)
     mixed = mixed.select("gram", "lanes", F.col("at.band").alias("bands"), over("m", lambda a, b: a + b).alias("m"), over("x", lambda a, b: a.bitwiseXOR(b)).alias("x"), over("y", lambda a, b: a.bitwiseXOR(b)).alias("y"))
     mixed = mixed.groupBy("m", "x", "y").agg(F.min(F.struct("gram", "bands", "lanes")).alias("g")).select("g.gram", F.explode("g.lanes").alias("lane"), "g.bands", "m")  # of n-grams with the same documents, one
-    live = rows.join(mixed, ["gram", "lane"]).where(F.array_contains("bands", F.col("band"))).groupBy("doc").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_set(F.struct("gram", "m")).alias("at"))
+    live = stored.keep(rows.join(mixed, ["gram", "lane"]).where(F.array_contains("bands", F.col("band"))).groupBy("doc").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.collect_set(F.struct("gram", "m")).alias("at")))
     sketches = sums.where(among(live.select("doc"))(F.col("doc_id"))).groupBy(F.col("doc_id").alias("doc")).agg(F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     met = live.join(sketches, "doc").select("doc", "n", "c", F.when(F.col("copies") == 1, F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"), F.transform("at", lambda x: x["gram"]).alias("all"), F.explode("at").alias("g"))
     blocks = F.ceil(F.col("g.m") / block).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     tiles = met.select("doc", "n", "c", "sketch", F.filter("all", lambda x: x < F.col("g.gram")).alias("grams"), F.col("g.gram").alias("gram"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tiles = tiles.select(F.col("gram"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "n", "c", "sketch", "grams")
+    tiles = tiles.select(F.col("gram"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "n", "c", "grams", "sketch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_tiles(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
+        """``done(key, rows)`` of every tile of rows in tile order; a row's last column is its sketch or set."""
         key, held = None, []
         for batch in batches:
-            got: list[tuple[int, int]] = []
-            for gram, lo, hi, own_, doc, n, c, sk, grams in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            for gram, lo, hi, *row in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
                 if key != (gram, lo, hi):
                     if len(held) > 1:
-                        got += tile_pairs(key[1] == key[2], held, num, den)
+                        yield done(key, held)
                     key, held = (gram, lo, hi), []
-                held.append((doc, n, c, grams, sk, own_ == lo))
-            yield pair_rows(got)
-        yield pair_rows(tile_pairs(key[1] == key[2], held, num, den) if len(held) > 1 else [])
-
-    found = tiles.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(run, "a bigint, b bigint")
-    return found.distinct().join(tried, ["a", "b"], "left_anti")
+                held.append(row)
+        if len(held) > 1:
+            yield done(key, held)
+
+    def entries(key: tuple, held: list, sketches: list[bytes]) -> list[tuple]:
+        return [(doc, n, c, grams, sk, own_ == key[1]) for (own_, doc, n, c, grams, _), sk in zip(held, sketches, strict=True)]
+
+    def hopeful(key: tuple, held: list) -> pa.RecordBatch:
+        held.sort(key=lambda r: r[2])
+        some = [held[i] for i in tile_hopeful(key[1] == key[2], entries(key, held, [r[5] for r in held]), num, den)]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        own_columns = [pa.array([r[i] for r in some], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*(pa.array([k] * len(some), kind) for k, kind in zip(key, [pa.int64(), pa.int32(), pa.int32()], strict=True)), *own_columns], names=["gram", "lo", "hi", "own", "doc", "n", "c", "grams"])
+
+    def links(key: tuple, held: list) -> pa.RecordBatch:
+        held.sort(key=lambda r: r[2])
+        sets = [np.frombuffer(r[5], np.uint64) for r in held]
+        found = tile_links(key[1] == key[2], entries(key, held, [sketch(x) for x in sets]), sets, num, den)
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["u", "v"])
+
+    by_tile = lambda df: df.repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
+    named = stored.keep(by_tile(tiles).mapInArrow(lambda batches: in_tiles(batches, hopeful), "gram bigint, lo int, hi int, own int, doc bigint, n int, c bigint, grams array<bigint>"))
+    if named.isEmpty():
+        return named.select(F.col("doc").alias("u"), F.col("doc").alias("v"))
+    sets = sets_of(docs, among(named.select("doc")), size).withColumnsRenamed({"id": "doc", "s": "set"})
+    full = named.join(sets, "doc").select("gram", "lo", "hi", "own", "doc", F.floor(F.octet_length("set") / 8).cast("int").alias("n"), "c", "grams", "set")
+    return by_tile(full).mapInArrow(lambda batches: in_tiles(batches, links), "u bigint, v bigint")
 
 
 def cluster(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc: str = "doc_id", text: str = "text", stored: Stored | None = None) -> DataFrame:
@@ -453,34 +508,52 @@ def cluster(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc: str
     docs = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     often, counts = frequent(docs, n, stored)
     sums = stored.keep(summaries(docs, n, num, den, often, counts))
-    full = sums.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("m.doc_id", "m.n", "m.prefix")
-    s = stored.keep(shared(postings(classes, often, counts), num, den))
+    full = sums.where("n > 0 and doc_id is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_LANES)).cast("int"))
+    classes = stored.keep(full.groupBy("sig", "part").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m"), F.count(F.lit(1)).alias("rows")).groupBy("sig").agg(F.min("m").alias("m"), F.sum("rows").alias("rows"), F.collect_list("part").alias("parts")))
+    s = stored.keep(shared(postings(classes.select("m.doc_id", "m.n", "m.prefix"), often, counts), num, den))
     hubs = s.where("lane >= 0 and doc = hub").select("gram", "doc").distinct()
     met = hubs.join(hubs.groupBy("gram").agg(F.min("doc").alias("first")), "gram").where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
     tried = stored.keep(s.where("close").select(F.col("hub").alias("a"), F.col("doc").alias("b")).unionByName(met).distinct())
-    copies = full.join(full.groupBy("sig").agg(F.min("doc_id").alias("first")), "sig").where("doc_id != first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    edges = verify(tried, sums, docs, n, num, den, stored).unionByName(copies)
+    several = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    again = full.select("doc_id", "sig").join(several, "doc_id").join(classes.select("sig", F.col("m.doc_id").alias("first")), "sig").where("doc_id != first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    edges = verify(tried, sums, docs, n, num, den, stored).unionByName(again)
     labels = stored.keep(components(edges, stored))
-    more = stored.keep(across(s, labels, sums, tried, num, den))
-    if not more.isEmpty():
-        found = verify(more, sums, docs, n, num, den, stored)
-        if not found.isEmpty():
-            labels = stored.keep(components(edges.unionByName(found), stored))
-    ids = labels.select(F.col("node").alias("doc_id"), "component")
-    return sums.select("doc_id", F.col("n").cast("bigint").alias("n_shingles")).join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = stored.keep(across(s, labels, sums, docs, n, num, den, stored))
+    if not found.isEmpty():
+        labels = stored.keep(joined(labels, found, stored))
+    ids = labels.select(F.col("node").alias("first"), "component")
+    placed = classes.select("sig", "parts", "rows", F.col("m.doc_id").alias("first")).join(ids, "first", "left").where("rows > 1 or component is not null")
+    placed = placed.select("sig", F.explode("parts").alias("part"), F.coalesce("component", "first").alias("component"))  # as many rows as the copies have, no key of more than its part
+    rows = sums.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"), F.pmod(F.xxhash64("doc_id"), F.lit(COPY_LANES)).cast("int").alias("part"))
+    out = rows.join(placed, ["sig", "part"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def joined(labels: DataFrame, links: DataFrame, stored: Stored) -> DataFrame:
+    """``labels`` (node, component) after more ``links`` (u, v): only the components that they touch are taken again."""
+    of = labels.withColumnsRenamed({"node": "end"})
+    for end in "uv":
+        links = links.join(of.withColumnsRenamed({"end": end, "component": f"{end}_c"}), end, "left")
+    more = stored.keep(components(links.select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v")), stored))
+    alone = more.select("node", F.col("node").alias("component")).join(labels, "node", "left_anti")
+    moved = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return labels.unionByName(alone).join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest doc_id."""
+    """``docs`` with one row of each group of near copies: that of the smallest doc_id; of rows that repeat it the one whose text sorts first.
+
+    Columns of any name pass through unchanged. Rows without a doc_id all stay.
+    """
     stored = Stored(docs.sparkSession)
+    goes, rows, place = fresh(docs.columns, "goes", "rows", "place")
     groups = stored.keep(cluster(docs, n, num, den, stored=stored))
-    goes = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias("goes"), F.count(F.lit(1)).alias("rows")).where("goes = 1 or rows > 1")
-    goes = stored.keep(goes)
-    suspect = among(goes.select("doc_id"))(F.col("doc_id"))
-    held = docs.where(suspect).join(goes, "doc_id", "left").where("goes is null or goes = 0")
-    once = held.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_row = 1 or rows is null")
-    return docs.where(~suspect).unionByName(once.select(*docs.columns))
+    found = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")).cast("int")).alias(goes), F.count(F.lit(1)).alias(rows)).where(f"{goes} = 1 or {rows} > 1")
+    found = stored.keep(found)
+    suspect = among(found.select("doc_id"))(F.col("doc_id"))
+    held = docs.where(suspect).join(found, "doc_id", "left").where(f"{goes} is null or {goes} = 0")
+    once = held.withColumn(place, F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where(f"{place} = 1 or {rows} is null")
+    return docs.where(~suspect).unionByName(once.select(*map(quoted, docs.columns)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
