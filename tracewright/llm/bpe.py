@@ -1,20 +1,22 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The words (pre-tokens) that a worker has not met yet are laid out once each as one array of symbols.
-An index maps each adjacent pair to all its positions; a heap holds the ranks of the pairs
-present. The lowest active rank is applied at all its positions, left to right, and only
-the lists of the pairs beside each merge change. A worker keeps the ids of words it has met in a
+The words (pre-tokens) that a worker has not met yet are laid out once each as one array of symbols,
+and an index over it holds the rank of the pair at each position. Each word's lowest active rank is
+applied at all its positions, left to right, and only the entries of the pairs beside a merge change;
+this repeats until no rank is active. As words share no pair, that is the same as to apply the ranks in ascending order over
+the whole partition, but a round does it for all words at once. Long words go through the same index kept
+as lists of positions by pair with a heap of the active ranks. A worker keeps the ids of words it has met in a
 table of bounded size that is emptied when full; words are then encoded again, with the same ids.
 
-Byte-level vocabularies in the ``tokenizers`` JSON form are read; the vocabulary file is read once
-on the driver and travels with the task. Words are split by the file's byte-level pattern. Letters
-newer than Python's Unicode tables may be classed differently by the two regex engines, so a
-text with such a character is split by the library's own byte-level pre-tokenizer.
+Byte-level vocabularies in the ``tokenizers`` JSON form are read; a file with settings that this module does not
+follow is refused. The vocabulary file is read once on the driver and travels with the task. Words are split
+by the file's byte-level pattern. Letters newer than Python's Unicode tables may be classed differently by the two
+regex engines, so a text with such a character is split by the library's own byte-level pre-tokenizer.
 
 Defined results
   null text: encoded as the empty text (no ids). Special tokens in a text get their own ids.
-  empty table: empty result. Repeated rows are encoded alike. Very long words: n log n.
-  Extra columns pass through; columns named like an output are replaced.
+  empty table: empty result. Repeated rows are encoded alike. Very long texts: whole, a part at a time; very long words: n log n.
+  Extra columns pass through; columns named like an output, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -22,22 +24,33 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import give_back, load, small_batches
+from tracewright.llm.common import give_back, kept_columns, load, quoted, small_batches
 
 #: The byte-level pattern for words; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same with its alternatives in another order (no two of those moved can begin alike), and for ASCII texts by the standard library.
+LETTERS_FIRST = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ASCII_ONLY = r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Words, and letters of words, that a worker keeps before it empties its table.
 TABLE_WORDS, TABLE_CHARS = 250_000, 6_000_000
-#: Characters of texts that are split into words at once (one text at least).
-GROUP_CHARS = 1 << 20
+#: Characters of texts, and words of one text, that are held at once.
+GROUP_CHARS, GROUP_WORDS = 1 << 20, 1 << 18
+#: Bytes of a word beyond which the index is kept as lists.
+LONG_WORD = 64
+#: The rank of a pair that has none.
+NO_RANK = np.int32(1 << 30)
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,11 +63,26 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+def check_settings(j: dict) -> None:
+    """Refuses a file that asks for more than byte-level BPE as this module does it."""
+    model, pre = j["model"], j.get("pre_tokenizer") or {}
+    plain = {"dropout": (None, 0, 0.0), "unk_token": (None,), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "byte_fallback": (None, False), "ignore_merges": (None, False)}
+    wrong = [k for k, fit in plain.items() if model.get(k) not in fit]
+    wrong += ["model"] if model.get("type", "BPE") != "BPE" else []
+    wrong += ["normalizer"] if j.get("normalizer") else []
+    wrong += ["pre_tokenizer"] if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False else []
+    wrong += ["decoder"] if (j.get("decoder") or {}).get("type") != "ByteLevel" else []
+    wrong += ["added_tokens"] if any(t.get(k) for t in j.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip")) else []
+    if wrong:
+        raise ValueError(f"vocabulary settings not supported: {', '.join(wrong)}")
+
+
 class Vocabulary:
     """What a vocabulary file says: ids of bytes, ranks of pairs, merges by rank, bytes of ids, special tokens."""
 
     def __init__(self, text: str) -> None:
         j = json.loads(text)
+        check_settings(j)
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
         vocab = j["model"]["vocab"]
@@ -65,9 +93,16 @@ class Vocabulary:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank.setdefault(vocab[a] << 20 | vocab[b], len(self.merge))
             self.merge.append((vocab[a], vocab[b], vocab[a + b]))
-        self.bytes_of = {i: bytes(back[c] for c in w) if all(c in back for c in w) else w.encode() for w, i in vocab.items()}
-        self.special = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
-        self.bytes_of |= {i: w.encode() for w, i in self.special.items()}
+        bytes_of = {i: bytes(back[c] for c in w) if all(c in back for c in w) else w.encode() for w, i in vocab.items()}
+        self.special = {t["content"]: t["id"] for t in j.get("added_tokens") or []}
+        bytes_of |= {i: w.encode() for w, i in self.special.items()}
+        if max(bytes_of) >= 1 << 19:
+            raise ValueError("ids of 2^19 and more are not supported")
+        of = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+        self.size = np.fromiter(map(len, of), np.int64, len(of))  # of an id, in bytes
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(of), np.uint8)
+        self.names = [str(i) for i in range(len(of))]
 
 
 class PairIndex:
@@ -131,6 +166,95 @@ class PairIndex:
         return [[s for s in sym[a : b - 1] if s >= 0] for a, b in zip(starts, starts[1:], strict=False)]
 
 
+class ArrayIndex:
+    """The index as arrays: encodes many short words at once."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.byte_id = np.array(vocabulary.byte_id, np.int32)
+        self.made = np.array([m[2] for m in vocabulary.merge], np.int32)
+        merges = np.array([m[:2] for m in vocabulary.merge], np.int64).reshape(-1, 2)
+        self.keys = np.append(merges[:, 0] << 20 | merges[:, 1], -1)  # by rank; the last stands for none
+        self.slots = np.full(1 << 20, -1, np.int32)
+        todo, step = np.unique(self.keys[:-1], return_index=True)[1], 0  # of a pair given twice the first rank counts
+        while len(todo):
+            at = self._slot(self.keys[todo], step)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            todo, step = todo[self.slots[at] != todo], step + 1
+
+    @staticmethod
+    def _slot(keys: np.ndarray, step: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64) + step) & 0xFFFFF
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 20 | b
+        got = self.slots[self._slot(keys, 0)]
+        fits = self.keys[got] == keys
+        out = np.where(fits, got, NO_RANK)
+        more, step = np.flatnonzero(~fits & (got >= 0)), 1
+        while len(more):
+            got = self.slots[self._slot(keys[more], step)]
+            fits = self.keys[got] == keys[more]
+            out[more[fits]] = got[fits]
+            more, step = more[~fits & (got >= 0)], step + 1
+        return out
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has; no word is empty."""
+        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, words), np.int64, len(words)))
+        rank = np.full(len(sym), NO_RANK)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self.ranks(sym[inside], sym[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            lowest = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(starts, append=len(sym))
+            live = lowest < NO_RANK
+            if not live.all():
+                m = np.repeat(live, sizes)
+                done.append((word[~m], sym[~m]))
+                sym, word, rank, lowest, sizes = sym[m], word[m], rank[m], lowest[live], sizes[live]
+                if not len(sym):
+                    break
+            at = np.flatnonzero(rank == np.repeat(lowest, sizes))
+            first = np.concatenate(([True], np.diff(at) != 1))
+            if not first.all():  # the same letter in a row: every other pair of it
+                at = at[(at - at[first][np.cumsum(first) - 1]) % 2 == 0]
+            sym[at] = self.made[rank[at]]
+            stays = np.ones(len(sym), bool)
+            stays[at + 1] = False
+            sym, word, rank = sym[stays], word[stays], rank[stays]
+            at -= np.arange(len(at))
+            for beside in (at[at > 0] - 1, at):
+                rank[beside] = NO_RANK
+                beside = beside[beside < len(sym) - 1]
+                beside = beside[word[beside] == word[beside + 1]]
+                rank[beside] = self.ranks(sym[beside], sym[beside + 1])
+        order = np.argsort(np.concatenate([d[0] for d in done]), kind="stable") if done else np.empty(0, np.int64)
+        ids = np.concatenate([d[1] for d in done])[order] if done else np.empty(0, np.int32)
+        return ids, np.bincount(np.concatenate([d[0] for d in done]) if done else np.empty(0, np.int64), minlength=len(words))
+
+
+class WordNumbers(dict):
+    """Words to numbers in the order of their first meeting; ``new`` lists those met since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices ``values[start : start + size]``, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+
+
 def unassigned_class() -> str:
     """A regex class of the characters that Python's tables have no category for."""
     spans, start = [], None
@@ -151,66 +275,148 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         import regex
 
-        self.v, self.index = vocabulary, PairIndex(vocabulary)
-        self.words = regex.compile(PATTERN).findall
+        self.v, self.lists, self.arrays = vocabulary, PairIndex(vocabulary), ArrayIndex(vocabulary)
+        self.pattern, self.ascii = regex.compile(LETTERS_FIRST), re.compile(ASCII_ONLY)
         self.newer = regex.compile(unassigned_class()).search
         self.first_newer = next(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
-        self.table: dict[str, tuple[str, bytes]] = {}
-        self.chars = 0
-        self.unsure: set[str] = set()
         self.plain = None
-
-    def plain_split(self, text: str) -> list[str]:
-        if self.plain is None:
-            from tokenizers.pre_tokenizers import ByteLevel
-
-            self.plain = ByteLevel(add_prefix_space=False, use_regex=True)
-        return [text[a:b] for _, (a, b) in self.plain.pre_tokenize_str(text)]
-
-    def parts(self, text: str, split) -> list[str]:
-        """Words, and special tokens as they are."""
-        pieces = self.cut(text) if self.cut else [text]
-        return split(text) if len(pieces) == 1 else [w for i, p in enumerate(pieces) for w in ([p] if i % 2 else split(p))]
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.table]
+        self.forget()
+
+    def forget(self) -> None:
+        self.table, self.chars, self.unsure = WordNumbers(), 0, set()
+        self.ids, self.size, self.start = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
+        for i, p in enumerate(self.cut(text) if self.cut else [text]):
+            if p:
+                yield i % 2 == 1, p
+
+    def words(self, text: str, plain: bool = False) -> Iterator[list[str]]:
+        """Words, and special tokens as they are, ``GROUP_WORDS`` at most of a long text at a time."""
+        for special, p in self.pieces(text):
+            if special:
+                yield [p]
+            elif plain:
+                if self.plain is None:
+                    from tokenizers.pre_tokenizers import ByteLevel
+
+                    self.plain = ByteLevel(add_prefix_space=False, use_regex=True)
+                yield [p[a:b] for _, (a, b) in self.plain.pre_tokenize_str(p)]
+            elif len(p) <= GROUP_CHARS:
+                yield (self.ascii if p.isascii() else self.pattern).findall(p)
+            else:
+                found = map(itemgetter(0), (self.ascii if p.isascii() else self.pattern).finditer(p))
+                while some := list(islice(found, GROUP_WORDS)):
+                    yield some
+
+    def learn(self) -> None:
+        """Encodes the words that the table has numbered but holds no ids of."""
+        new, self.table.new = self.table.new, []
+        if not new:
+            return
         special = self.v.special
-        for w, ids in zip(new, self.index.encode([w if w not in special else "" for w in new]), strict=True):
-            ids = [special[w]] if w in special else ids
-            self.table[w] = (",".join(map(str, ids)), b"".join(map(self.v.bytes_of.__getitem__, ids)))
-            self.chars += len(w)
+        raw = [w.encode("utf-8", "replace") for w in new]
+        apart = {i: [special[w]] if w in special else None for i, w in enumerate(new) if len(raw[i]) > LONG_WORD or w in special}
+        long = [i for i, ids in apart.items() if ids is None]
+        apart |= zip(long, self.lists.encode([new[i] for i in long]), strict=True)
+        ids, size = self.arrays.encode([r for i, r in enumerate(raw) if i not in apart] if apart else raw)
+        if apart:
+            sizes = np.zeros(len(new), np.int64)
+            short = np.ones(len(new), bool)
+            short[list(apart)] = False
+            sizes[short] = size
+            sizes[list(apart)] = [len(x) for x in apart.values()]
+            every = np.empty(sizes.sum(), np.int32)
+            starts = np.cumsum(sizes) - sizes
+            mine = np.repeat(short, sizes)
+            every[mine] = ids
+            for i, x in apart.items():
+                every[starts[i] : starts[i] + len(x)] = x
+            ids, size = every, sizes
+        base = len(self.size)
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+        self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
+        self.chars += sum(map(len, new))
+        for i, w in enumerate(new):
             if not w.isascii() and max(w) >= self.first_newer and self.newer(w):
-                self.unsure.add(w)
-
-    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
-        """Per text: its ids as decimal numbers joined by commas, and the bytes they stand for."""
+                self.unsure.add(base + i)
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        return gather(self.ids, self.start[numbers], self.size[numbers])
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """The ids of a long text, part by part; the table is emptied on the way if need be."""
+        for plain in (False, True):
+            out = []
+            for words in self.words(text, plain):
+                for a in range(0, len(words), GROUP_WORDS):
+                    if self.chars > TABLE_CHARS or len(self.table) > TABLE_WORDS:
+                        self.forget()
+                    part = words[a : a + GROUP_WORDS]
+                    numbers = np.fromiter(map(self.table.__getitem__, part), np.int64, len(part))
+                    self.learn()
+                    if not plain and self.unsure and np.isin(numbers, list(self.unsure)).any():
+                        out = None
+                        break
+                    out.append(self._ids(numbers))
+                if out is None:
+                    break
+            if out is not None:
+                break
+        return np.concatenate(out) if out else np.empty(0, np.int32)
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Per text its ids."""
         if self.chars > TABLE_CHARS or len(self.table) > TABLE_WORDS:
-            self.table, self.chars, self.unsure = {}, 0, set()
-        split = [self.parts(t or "", self.words) for t in texts]
-        find = self.table.get
-        found = [list(map(find, words)) for words in split]
-        self.learn({w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None})
-        for text, words, got in zip(texts, split, found, strict=True):
-            if self.unsure and not self.unsure.isdisjoint(words):
-                words = self.parts(text or "", self.plain_split)
-                self.learn(set(words))
-                got = list(map(find, words))
-            elif None in got:
-                got = list(map(find, words))
-            yield ",".join([g[0] for g in got]), b"".join([g[1] for g in got])
+            self.forget()
+        find = self.table.__getitem__
+        if len(texts) == 1 and len(texts[0] or "") > GROUP_CHARS:
+            yield self.encode_long(texts[0])
+            return
+        numbers = []
+        for t in texts:
+            words = [w for part in self.words(t or "") for w in part]
+            numbers.append(np.fromiter(map(find, words), np.int64, len(words)))
+        self.learn()
+        if self.unsure:
+            unsure = list(self.unsure)
+            for i, t in enumerate(texts):
+                if np.isin(numbers[i], unsure).any():
+                    words = [w for part in self.words(t or "", plain=True) for w in part]
+                    numbers[i] = np.fromiter(map(find, words), np.int64, len(words))
+            self.learn()
+        ids = self._ids(np.concatenate(numbers)) if numbers else np.empty(0, np.int32)
+        at = 0
+        for n in numbers:
+            size = int(self.size[n].sum())
+            yield ids[at : at + size]
+            at += size
+
+    def decode(self, ids: np.ndarray) -> str:
+        """What ``ids`` stand for."""
+        parts = [gather(self.v.bytes, self.v.start[x], self.v.size[x]).tobytes() for a in range(0, len(ids), GROUP_WORDS) for x in [ids[a : a + GROUP_WORDS]]]
+        return b"".join(parts).decode("utf-8", "replace")
+
+    def digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decimal ids joined by commas."""
+        out = hashlib.sha256()
+        name = self.v.names.__getitem__
+        for a in range(0, len(ids), GROUP_WORDS):
+            out.update(((("," if a else "") + ",".join(map(name, ids[a : a + GROUP_WORDS].tolist()))).encode()))
+        return out.hexdigest()
 
 
 def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """``texts`` in order, in groups of about ``GROUP_CHARS`` characters."""
+    """``texts`` in order, in groups of about ``GROUP_CHARS`` characters; a longer text is a group of its own."""
     held: list[str | None] = []
     size = 0
     for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size >= GROUP_CHARS:
+        if held and size + len(t or "") > GROUP_CHARS:
             yield held
             held, size = [], 0
+        held.append(t)
+        size += len(t or "")
     if held:
         yield held
 
@@ -234,7 +440,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool
         source = f.read()
     packed = df.sparkSession.sparkContext.broadcast(source)  # a vocabulary file: some MB at any size of the data
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", text]
-    kept = [c for c in df.columns if c not in made and c != text]
+    kept = kept_columns(df, [*made, text])
     fields = [df.schema[c] for c in kept]
     fields += [T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest else [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField(text, T.StringType())]
@@ -246,22 +452,18 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool
             if encoder is None:
                 encoder = worker_encoder(packed.value)
             counts, first, second = [], [], []
-            for ids, raw in (x for group in groups(batch.column(text).to_pylist()) for x in encoder.encode_all(group)):
-                decoded = raw.decode("utf-8", "replace")
-                counts.append(ids.count(",") + 1 if ids else 0)
-                if digest:
-                    first.append(hashlib.sha256(ids.encode()).hexdigest())
-                    second.append(hashlib.sha256(decoded.encode()).hexdigest())
-                else:
-                    first.append(np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32))
-                    second.append(decoded)
+            for ids in (x for group in groups(batch.column(batch.num_columns - 1).to_pylist()) for x in encoder.encode_all(group)):
+                decoded = encoder.decode(ids)
+                counts.append(len(ids))
+                first.append(encoder.digest(ids) if digest else ids)
+                second.append(hashlib.sha256(decoded.encode()).hexdigest() if digest else decoded)
             kinds = [pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.string()]
-            arrays = [batch.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
+            arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *made])
             del batch, counts, first, second, arrays
         give_back()
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*map(quoted, kept), F.col(text)).mapInArrow(run, schema)
 
 
 def vocabulary_file() -> str:
