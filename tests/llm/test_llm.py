@@ -109,6 +109,36 @@ def test_bpe_equals_library(spark, edge):
         assert r.text == (r.was or "")
 
 
+def test_bpe_query_digests_equal_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 50)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 3000)
+    monkeypatch.setattr(bpe, "GROUP_WORDS", 70)
+    monkeypatch.setattr(bpe, "_workers", {})
+    lib = Tokenizer.from_file(bpe.vocabulary_file())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = registry.queries()["op5_bpe"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = lib.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    encoder = bpe.Encoder(bpe.Vocabulary(open(bpe.vocabulary_file(), encoding="utf-8").read()))
+    long = " ".join(f"wörd{i} \u0558{i % 7}" for i in range(2000)) + "<|endoftext|>" + "ab" * 3000
+    (ids,) = encoder.encode_all([long])
+    assert ids.tolist() == lib.encode(long, add_special_tokens=False).ids and encoder.decode(ids) == long
+
+
+def test_bpe_refuses_other_settings():
+    import json
+
+    j = json.load(open(bpe.vocabulary_file(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"model": j["model"] | {"byte_fallback": True}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(j | change))
+
+
 def test_html():
     t = html_text.main_text
     assert t(None) == t("") == "" and t("plain  text") == "plain text"
@@ -154,6 +184,7 @@ def brute_components(rows, n, num, den):
 def test_ngram_join(spark, monkeypatch, n, num, den, lane, block):
     monkeypatch.setattr(ngram_join, "PER_LANE", lane)
     monkeypatch.setattr(ngram_join.across, "__defaults__", (block,))
+    monkeypatch.setattr(ngram_join, "COPY_LANES", 3)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(60)]
     rows = [(1000, None), (1001, ""), (1002, " \n"), (1003, "ONE"), (1004, "one")]
@@ -175,40 +206,94 @@ def test_ngram_join_edges(spark, edge):
     assert ngram_join.keep_one(edge).where("doc_id = 4").count() == 1
 
 
-def test_token_output(spark, tmp_path):
+def test_permutation():
     slots = token_output.permute(np.arange(1000), 1000, 7)
     assert sorted(slots.tolist()) == list(range(1000))
     assert (token_output.permute(slots, 1000, 7, inverse=True) == np.arange(1000)).all()
-    docs = spark.createDataFrame([(i, b"x" * (i * 3)) for i in range(50)] + [(99, None)], "doc_id long, tokens binary").repartition(4)
-    seqs, total = token_output.sequences(docs, seq_len=16, per_shard=32)
-    recs = token_output.records(seqs, seq_len=16, per_shard=32)
-    shards = token_output.write_shards(recs, str(tmp_path)).collect()
-    assert sum(r.n_records for r in shards) == total
-    read = list(token_output.read_from(str(tmp_path), 0, seq_len=16, per_shard=32))
-    assert len(read) == total and sum(int((r == 120).sum()) for r in read) == sum(i * 3 for i in range(50)) and sum(int((r == token_output.END).sum()) for r in read) == 51
-    again = list(token_output.read_from(str(tmp_path), 40, seq_len=16, per_shard=32))
-    assert len(again) == total - 40 and (again[0] == read[40]).all()
+
+
+def test_cutter():
+    rng = random.Random(5)
+    for _ in range(50):
+        docs = [(i, bytes(rng.randrange(256) for _ in range(rng.choice([2, 4, 6, 40])))) for i in range(rng.randint(1, 30))]
+        cutter, out = token_output.Cutter(8, 2), []
+        for a in range(0, len(docs), 4):
+            out += cutter.add([d for d, _ in docs[a : a + 4]], [t for _, t in docs[a : a + 4]])
+        out += cutter.last()
+        stream = b"".join(t for _, t in docs)
+        assert b"".join(o[2] for o in out) == stream and all(len(o[2]) == 16 for o in out[:-1])
+        owner = [(d, k // 2) for d, t in docs for k in range(len(t))]
+        for n, (ids, first, body) in enumerate(out):
+            mine = owner[n * 16 : n * 16 + len(body)]
+            assert ids == list(dict.fromkeys(d for d, _ in mine)) and first == mine[0][1]
+
+
+def documents_of(read, end, pad):
+    """The token lists of a partition's stream, from its sequences in order."""
+    out, held = [], []
+    for t in (t for record in read for t in record.tolist() if t != pad):
+        if t == end:
+            out.append(held)
+            held = []
+        else:
+            held.append(t)
+    assert not held
+    return out
+
+
+@pytest.mark.parametrize("seq_len,per_shard,tasks", [(16, 32, 4), (64, 8, 16384)])
+def test_token_output(spark, monkeypatch, tmp_path, edge, seq_len, per_shard, tasks):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "MOST_TASKS", tasks)
+    lib = Tokenizer.from_file(bpe.vocabulary_file())
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 9), "clash") for i in range(60)], "doc_id long, text string, shard string").unionByName(edge.select("doc_id", "text", "shard").where("doc_id is null or doc_id != 5")).repartition(4)
+    rows = token_output.materialise(docs, token_output.vocabulary_file(), tmp_path.as_uri(), seq_len=seq_len, per_shard=per_shard).collect()
+    with open(token_output.vocabulary_file(), "rb") as f:
+        width, end, pad = token_output.vocabulary_marks(f.read())
+    read = list(token_output.read_from(tmp_path.as_uri(), 0, seq_len, width))
+    assert sorted(r.slot for r in rows) == list(range(len(read)))
+    for r in rows:
+        assert hashlib.sha256(read[r.slot].tobytes()).hexdigest() == r.record_sha256 and int((read[r.slot] != pad).sum()) == r.n_tokens
+    again = list(token_output.read_from(tmp_path.as_uri(), 7, seq_len, width))
+    assert len(again) == len(read) - 7 and (again[0] == read[7]).all()
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r.doc_id, []).append(lib.encode(r.text or "", add_special_tokens=False).ids)
+    starts = sum(int((x == end).sum()) for x in read)
+    assert starts == sum(map(len, want.values()))
+    for d, lists in want.items():
+        if d is not None and len(lists) == 1:
+            mine = sorted((r for r in rows if d in r.doc_ids), key=lambda r: (r.doc_ids[0] == d, r.first_token))
+            stream = [t for r in mine for t in read[r.slot].tolist()]
+            tokens = [*lists[0], end]
+            assert any(stream[k : k + len(tokens)] == tokens for k in range(len(stream)))
 
 
 def test_token_output_query_writes_shards(spark, monkeypatch, tmp_path):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_output, "shared_dir", lambda _: tmp_path.as_uri())
-    rows = registry.queries()["op8_token_output"](spark, SF).collect()
-    folder = str(next(tmp_path.glob("tracewright-shards-*")))
+    rows = {r.slot: r for r in registry.queries()["op8_token_output"](spark, SF).collect()}
+    folder = next(tmp_path.glob("tracewright-shards-*")).as_uri()
     read = list(token_output.read_from(folder, 0))
-    assert sorted(r.slot for r in rows) == list(range(len(read)))
-    docs = {}
-    for r in rows:
-        assert hashlib.sha256(read[r.slot].tobytes()).hexdigest() == r.record_sha256
-        docs.setdefault(r.doc_id, []).append((r.part, read[r.slot]))
+    assert sorted(rows) == list(range(len(read)))
+    with open(token_output.vocabulary_file(), "rb") as f:
+        _, end, pad = token_output.vocabulary_marks(f.read())
     lib = Tokenizer.from_file(bpe.vocabulary_file())
-    _, end, pad = token_output.vocabulary_marks(bpe.vocabulary_file())
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert set(docs) == set(texts)
-    for d, parts in docs.items():
-        ids = [int(x) for _, p in sorted(parts, key=lambda x: x[0]) for x in p if x != pad]
-        assert ids == [*lib.encode(texts[d] or "", add_special_tokens=False).ids, end]
+    lib.encode_special_tokens = True
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(docs) == sum(int((x == end).sum()) for x in read)
+    total = -(-sum(len((r.text or "").encode()) + 1 for r in docs) // token_output.SEQ_LEN)
+    # one partition: the places of the numbers in order, ranked, are the slots
+    places = token_output.permute(np.arange(len(read)), total, token_output.KEY)
+    in_order = [read[s] for s in np.argsort(np.argsort(places))]
+    assert documents_of(in_order, end, pad) == [lib.encode(r.text or "", add_special_tokens=False).ids for r in docs]
+    assert all(hashlib.sha256(read[s].tobytes()).hexdigest() == r.record_sha256 for s, r in rows.items())
+
+
+def test_token_output_empty(spark, edge, tmp_path):
+    assert token_output.materialise(edge.limit(0), token_output.vocabulary_file(), tmp_path.as_uri()).count() == 0
 
 
 def test_decontaminate(spark, edge):
