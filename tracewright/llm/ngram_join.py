@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Stored, fresh, load, quoted, small_batches
+from tracewright.llm.common import Stored, fresh, give_back, load, quoted, small_batches
 from tracewright.llm.components import components
 
 #: N-grams in the table of frequent ones, and counts per lane of such an n-gram.
@@ -57,7 +57,7 @@ BITS = 1 << 29
 class WordNumbers(dict):
     def __missing__(self, word: bytes) -> int:
         n = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = n
         return n
@@ -196,6 +196,7 @@ def summaries(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, co
                 pre.append(prefix(s, often, counts, num, den).tobytes() if len(s) else b"")
                 sk.append(sketch(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(pre, pa.binary()), pa.array(sk, pa.binary())], names=["doc_id", "n", "sig", "prefix", "sketch"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, sig binary, prefix binary, sketch binary")
 
@@ -339,6 +340,7 @@ def sets_of(docs: DataFrame, wanted, n: int) -> DataFrame:
         for batch in batches:
             sets = [shingles(t, n).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "s"])
+        give_back()
 
     return docs.where(wanted(F.col("doc_id"))).select("doc_id", "text").mapInArrow(run, "id bigint, s binary")
 
@@ -474,6 +476,8 @@ def across(s: DataFrame, labels: DataFrame, sums: DataFrame, docs: DataFrame, si
                 held.append(row)
         if len(held) > 1:
             yield done(key, held)
+        held.clear()
+        give_back()
 
     def entries(key: tuple, held: list, sketches: list[bytes]) -> list[tuple]:
         return [(doc, n, c, grams, sk, own_ == key[1]) for (own_, doc, n, c, grams, _), sk in zip(held, sketches, strict=True)]
