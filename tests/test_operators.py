@@ -21,6 +21,10 @@ def test_usage(spark):
     assert (got.input_tokens, got.cache_read, got.output_tokens) == (7, 3, None)
     assert one(spark, "data: {broken", text.extract_usage) is None
     assert one(spark, None, text.extract_usage) is None
+    long = '{"content":"' + "x" * 40000 + '","usage":{"input_tokens":8}}'
+    assert one(spark, long, text.extract_usage).input_tokens == 8
+    assert one(spark, long, lambda c: text.extract_usage(c, most=32768)) is None
+    assert one(spark, 'data: {"usage":3}\ndata:  {"usage":{"output_tokens":2}} ', text.extract_usage).output_tokens == 2
 
 
 def test_tool_call(spark):
@@ -103,14 +107,114 @@ def test_judge_stream_equals_fold(spark, tmp_path):
     assert got == sorted(tuple(r) for r in state.judge(df).collect())
 
 
-def test_compact_is_idempotent(spark):
-    long = "\n".join(f"line {i}" for i in range(200))
-    rows = [(1, 0, "user", None, "go"), (1, 1, "assistant", None, ""), (1, 2, "user", "Bash", long), (1, 3, "assistant", None, ""), (1, 4, "assistant", None, ""), (1, 5, "user", "Bash", long)]
-    df = spark.createDataFrame(rows, "req int, idx int, role string, tool string, text string")
-    once = rewrite.compact(df)
-    assert [r.compacted for r in once.orderBy("idx").collect()] == [False, False, True, False, False, False]
-    again = rewrite.compact(once.select("req", "idx", "role", "tool", F.col("out").alias("text")))
-    assert again.where("compacted").count() == 0
+MESSAGE = "req int, idx long, role string, content string"
+
+
+def use(i, name="Bash", **given):
+    return {"type": "tool_use", "id": i, "name": name, "input": given}
+
+
+def result(i, content, **more):
+    return {"type": "tool_result", "tool_use_id": i, "content": content, **more}
+
+
+def table(spark, *requests):
+    rows = [(n, i, role, c if c is None or isinstance(c, str) else json.dumps(c, separators=(",", ":"), ensure_ascii=False)) for n, messages in enumerate(requests) for i, (role, c) in enumerate(messages)]
+    return spark.createDataFrame(rows, MESSAGE)
+
+
+def read(df, order="idx"):
+    out = {}
+    for r in df.orderBy("req", order).collect():
+        out.setdefault(r.req, []).append((r.role, json.loads(r.content) if (r.content or "").startswith(("[{", "[]")) else r.content))
+    return out
+
+
+LONG = "\n".join(f"line {i}" for i in range(200))
+SHORT = "[COMPACTED — 200 lines → 40]\n" + "\n".join(f"line {i}" for i in range(30)) + "\n\n[... 160 lines compacted ...]\n\n" + "\n".join(f"line {i}" for i in range(190, 200))
+
+
+def test_compact(spark):
+    old = [("user", "go"), ("assistant", [use("a"), use("b", "Read"), use("c")]), ("user", [result("a", LONG, is_error=False, cache_control={"type": "ephemeral"}), result("b", LONG), result("c", [{"type": "text", "text": LONG}]), result("zz", LONG)])]
+    df = table(spark, [*old, ("assistant", "x"), ("assistant", [use("d")]), ("user", [result("d", LONG)])], [*old, ("assistant", "x")], [("user", None), ("assistant", "[not json")])
+    out = rewrite.compact(df)
+    got = read(out)
+    assert got[0][2][1] == [result("a", SHORT, is_error=False, cache_control={"type": "ephemeral"}), result("b", LONG), result("c", SHORT), result("zz", LONG)]
+    assert got[0][5] == ("user", [result("d", LONG)]) and got[1] == read(df)[1] and got[2][0] == ("user", None)
+    row = out.where("n_compacted > 0").first()
+    assert (row.n_compacted, row.tokens_saved) == (2, 2 * int((len(LONG) - len(SHORT)) / 4 + 0.5))
+    assert read(rewrite.compact(out)) == got
+    assert rewrite.compact(df.limit(0)).count() == 0
+
+
+def test_rewind(spark):
+    mark = lambda i, **given: use(i, "mcp__any__checkpoint_progress", **given)
+    step = lambda i: [("assistant", [use(i)]), ("user", [result(i, "r")])]
+    first = [mark("k", progress_type="milestone_achieved", finding="F", evidence="", next_direction="N")]
+    second = [{"type": "text", "text": "so"}, use("q", "checkpoint_progress", summary="old")]
+    df = table(
+        spark,
+        [("user", "goal"), *step("a"), *step("b"), ("assistant", first), ("user", [result("k", "ok")]), *step("c"), ("assistant", second), ("assistant", "end")],
+        [("user", "goal"), *step("a")],
+        [("user", "goal"), ("assistant", first), ("user", "ok"), ("assistant", [mark("z", finding="only")])],
+        [("user", "g"), *step("a"), ("assistant", [use("n", "xcheckpoint_progress")])],
+    )
+    got = read(rewrite.renumber(rewrite.rewind(df)))
+    note = lambda t: ("user", [{"type": "text", "text": f"[Previous exploration elided — agent summary: {t}]"}])
+    assert got[0] == [("user", "goal"), note("Milestone: F. Next: N"), ("assistant", first), ("user", [result("k", "ok")]), note("old"), ("assistant", second), ("assistant", "end")]
+    assert all(got[i] == read(df)[i] for i in (1, 2, 3))
+    gone = sorted((r.req, r.anchor_idx, r.turns_elided, r.bytes_saved, r.summary) for r in rewrite.elisions(df).collect())
+    sent = [{"role": r, "content": c} for r, c in read(df)[0]]
+    size = lambda a, b: len(json.dumps(sent[a:b], separators=(",", ":")))
+    assert gone == [(0, 5, 4, size(1, 5), "Milestone: F. Next: N"), (0, 9, 2, size(7, 9), "old")]
+
+
+def test_judge_rewind(spark):
+    step = lambda i: [("assistant", [use(i)]), ("user", [result(i, "r")])]
+    cases = [
+        [("user", "goal"), *step("a"), *step("b"), ("assistant", "done")],
+        [("user", "goal"), *step("a"), ("assistant", "x")],
+        [("user", "goal"), *step("a"), ("assistant", [use("b"), use("c")]), ("user", [result("b", "r")])],
+        [("user", "goal"), ("assistant", "a"), ("user", "b"), ("assistant", "c")],
+        [("user", "goal"), *step("a"), ("user", [result("b", "r")])],
+        [("user", "goal"), *step("a"), *step("b")],
+    ]
+    df = table(spark, *cases)
+    said = spark.createDataFrame([(i, "S" if i < 5 else "") for i in range(6)], "req int, summary string")
+    out = rewrite.judge_rewind(df, said)
+    got = read(rewrite.renumber(out))
+    text_ = "[Checkpoint note from your prior reasoning — prior exploration elided]\nS\n\nThe next messages show the most-recent verification evidence. Continue with any remaining work from the original task."
+    assert got[0] == [("user", "goal"), ("user", [{"type": "text", "text": text_}]), *step("b"), ("assistant", "done")]
+    assert all(got[i] == cases[i] for i in range(1, 6))
+    assert {r.req: r.n_elided for r in out.collect()} == {0: 2, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_harness_rewind(spark):
+    many = [("system", "s"), ("user", "goal"), ("assistant", "1"), ("tool", "r1"), ("assistant", "2"), ("tool", "r2"), ("assistant", "tail")]
+    df = table(spark, many, many[:3], many[:4])
+    said = spark.createDataFrame([(i, "S") for i in range(3)], "req int, summary string")
+    out = rewrite.harness_rewind(df, said)
+    got = read(rewrite.renumber(out))
+    note = ("user", None)
+    assert [r for r, _ in got[0]] == ["system", "user", "assistant", "tool", "user"] and [c for _, c in got[0]][:4] == ["s", "goal", "2", "r2"] and note[1] is None
+    assert rewrite.renumber(out).where("req = 0 and idx = 4").first().content.startswith("[Checkpoint note from your prior reasoning]\nS\n\nThe turn immediately above")
+    assert got[1] == many[:3] and len(got[2]) == 5
+    assert {r.req: r.n_elided for r in out.collect()} == {0: 2, 1: 0, 2: 0}
+
+
+def test_cache_mark(spark):
+    cc = {"cache_control": {"type": "ephemeral"}}
+    df = table(spark, [("user", "a"), ("assistant", "b"), ("user", "c")], [("user", [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]), ("user", "z")], [("user", "only")], [("user", []), ("user", "z")])
+    got = read(rewrite.cache_mark(df))
+    assert got[0] == [("user", "a"), ("assistant", [{"type": "text", "text": "b", **cc}]), ("user", "c")]
+    assert got[1][0] == ("user", [{"type": "text", "text": "x"}, {"type": "text", "text": "y", **cc}])
+    assert got[2] == [("user", [{"type": "text", "text": "only", **cc}])] and got[3][0] == ("user", [])
+
+
+def test_last_turn_calls(spark):
+    df = table(spark, [("user", "g"), ("assistant", [use("a"), use("b")]), ("user", [result("a", "1"), result("a", "2")])], [("assistant", [use("a")]), ("assistant", "text")])
+    got = sorted((r.req, r.id, r.name, r.output) for r in normalize.last_turn_calls(df).collect())
+    assert got == [(0, "a", "Bash", "2"), (0, "b", "Bash", "")]
 
 
 def test_inject(spark):
@@ -147,17 +251,65 @@ def test_readers(spark, tmp_path):
     assert [(x.expire, x.checkpoint and x.checkpoint.after_step) for x in e] == [(1, None), (2, None), (None, 2)]
 
 
-def test_rewind_keeps_pairs(spark):
-    rows = [(1, i, "assistant" if i % 2 else "user", f"m{i}", i == 5) for i in range(9)]
-    df = spark.createDataFrame(rows, "req int, idx int, role string, text string, anchor boolean")
-    out = [r.text for r in rewrite.rewind(df).orderBy("ord").collect()]
-    assert out == ["m0", "[4 earlier turns elided]", "m5", "m6", "m7", "m8"]
-    assert rewrite.elisions(df).first().turns_elided == 4
-
-
-def test_explicit_rollback_is_annotated(spark):
-    cmds = ["make", "git revert HEAD", "ls", None, "git reset --hard", "git status", "git stash", "x"]
-    rows = [("s", i, "Bash", False, i, 0, None, c) for i, c in enumerate(cmds)] + [("s", 8, "Read", False, 8, 0, None, "undo")]
-    steps = spark.createDataFrame(rows, "session_id string, idx long, tool_name string, has_error boolean, sig long, err long, file long, cmd string")
-    got = [(r.after_step, r.progress_type, r.detector) for r in annotate.annotate(steps).orderBy("after_step").collect()]
-    assert got == [(i, "approach_eliminated", "E2") for i in (1, 4, 6)]
+STEP = "session_id int, idx long, role string, tool_name string, cmd string, output string, input_file string"
+
+
+def simulate(steps):
+    """The annotator step by step."""
+    import re
+
+    rx = re.compile(r"\b(error|exception|traceback|undefined|cannot find|failed|fatal|not found|syntax error|unresolved|permission denied|no such file|abort|segmentation fault|command not found)\b", re.I)
+    bad = lambda t: bool(rx.search(t))
+    err = lambda t: next((x.strip()[:120] for x in t.split("\n") if x.strip() and bad(x)), next((x.strip()[:120] for x in t.split("\n") if x.strip()), ""))
+    raw, reads, fired, history, seen, edited = [], [], False, {}, {}, {}
+    for idx, role, tool, cmd, out, file in steps:
+        if role != "tool":
+            continue
+        if tool in ("Read", "Grep", "Glob"):
+            reads.append(file or cmd)
+        if tool in ("Edit", "Write", "MultiEdit"):
+            f = file or cmd
+            if len(reads) >= 2 and not fired:
+                fired = True
+                raw.append((idx, 0, 0, f"First edit to {f} after exploring {len(reads)} file(s) — likely identified fix location.", f"Read/Grep steps: {'; '.join(reads[-5:][:3])}. Edit target: {f}."[:400]))
+            if f:
+                if f in edited and idx - edited[f] <= 4:
+                    raw.append((idx, 1, 4, f"Re-edited {f} within {idx - edited[f]} steps — prior attempt wasn't right.", "Same file edited twice in short succession"))
+                edited[f] = idx
+        if tool == "Bash":
+            sig = " ".join(cmd.split()[:3])[:80]
+            if sig:
+                h = history.setdefault(sig, [])
+                if any(map(bad, h)) and not bad(out):
+                    raw.append((idx, 0, 1, f"`{sig}` now succeeds after {len(h)} prior failure(s).", err(h[-1])[:300]))
+                    h.clear()
+                h.append(out)
+            if bad(out) and sig and err(out):
+                key = (sig, err(out)[:60])
+                seen[key] = seen.get(key, 0) + 1
+                if seen[key] == 2:
+                    raw.append((idx, 1, 2, f"Same error from `{sig}` repeated — current approach isn't fixing it.", f"Error signature: {err(out)[:200]}"))
+            if re.search(r"\bgit (revert|reset --?hard|stash|checkout --? )|\bundo\b|rollback", cmd, re.I):
+                raw.append((idx, 1, 3, "Explicit rollback — prior edits didn't work.", f"Rollback command: {cmd[:200]}"))
+    kept = []
+    for c in sorted(raw, key=lambda c: c[:3]):
+        if not kept or c[0] - kept[-1][0] > 1:
+            kept.append(c)
+    return [(c[0], c[3], c[4]) for c in kept]
+
+
+def test_annotate_simulation(spark):
+    rng = random.Random(11)
+    cmds = ["make all", "make  all", "", "git stash", "ls a b c d", "x" * 300]
+    outs = ["ok", "boom\n error: cannot find it", "failed", "", "panic", "y" * 200 + " error", "no such file\n"]
+    rows, want = [], []
+    for s in range(120):
+        steps, idx = [], 0
+        for _ in range(rng.randint(0, 25)):
+            tool = rng.choice(["Bash", "Bash", "Bash", "Read", "Grep", "Edit", "Write", "Other"])
+            steps.append((idx, rng.choice(["tool"] * 9 + ["user_text"]), tool, rng.choice(cmds) if tool == "Bash" else rng.choice(["p", "q", ""]), rng.choice(outs), rng.choice([None, "f.py", ""])))
+            idx += rng.choice([1, 1, 1, 2])
+        rows += [(s, *x) for x in steps]
+        want += [(s, *x) for x in simulate(steps)]
+    got = [(r.session_id, r.after_step, r.finding, r.evidence) for r in annotate.annotate(spark.createDataFrame(rows, STEP)).collect()]
+    assert sorted(got) == sorted(want)

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Two-sided 5 % points of Student's t by degrees of freedom; fixed values.
-T_TABLE = [(1, 12.706), (2, 4.303), (3, 3.182), (4, 2.776), (5, 2.571), (6, 2.447), (7, 2.365), (8, 2.306), (9, 2.262), (10, 2.228), (15, 2.131), (20, 2.086), (25, 2.060), (30, 2.042), (40, 2.021), (60, 2.000), (120, 1.980)]
+T_TABLE = [
+    (1, 12.71), (2, 4.30), (3, 3.18), (4, 2.78), (5, 2.57), (6, 2.45), (7, 2.36), (8, 2.31), (9, 2.26), (10, 2.23), (11, 2.20), (12, 2.18), (13, 2.16), (14, 2.14), (15, 2.13),
+    (16, 2.12), (17, 2.11), (18, 2.10), (19, 2.09), (20, 2.09), (21, 2.08), (22, 2.07), (23, 2.07), (24, 2.06), (25, 2.06), (30, 2.04), (40, 2.02), (60, 2.00), (120, 1.98),
+]
 
 
 def t_critical(df: Column) -> Column:
@@ -19,11 +22,13 @@ def t_critical(df: Column) -> Column:
 
 
 def floor_percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """sorted[floor(n * q)] per group, by rank: no group is collected."""
+    """sorted[floor(n * q)] per group. Equal values are counted first, so a task holds a group's distinct values and no more."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("rn"), F.count(F.lit(1)).over(w).alias("_n"))
+    rows = counts.select("*", F.sum("_c").over(w.orderBy(value)).alias("_end"), F.sum("_c").over(w).alias("_n"))
     at = lambda q: F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.sum(value).alias("total"), F.max(value).alias("max"), *[F.max(F.when(F.col("rn") == at(q), F.col(value))).alias(k) for k, q in quantiles.items()])
+    pick = lambda q: F.max(F.when((F.col("_end") > at(q)) & (F.col("_end") - F.col("_c") <= at(q)), F.col(value)))
+    return rows.groupBy(*by).agg(F.sum("_c").alias("count"), F.sum(F.col(value) * F.col("_c")).alias("total"), F.max(value).alias("max"), *[pick(q).alias(k) for k, q in quantiles.items()])
 
 
 def paired(pairs: DataFrame, by: list[str], off: str, on: str) -> DataFrame:

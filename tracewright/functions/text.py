@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Error words, rollback commands and offload marks; fixed values.
-ERROR_RX = r"(?i)\b(error|exception|traceback|failed|failure|fatal|panic|undefined|not found|no such file|permission denied|cannot|segfault|segmentation fault|abort|assertion)\b"
-SUCCESS_RX = r"(?i)\b(passed|success|succeeded|successful|ok|done|built|completed)\b"
+#: Error words, success marks, rollback commands, offload marks and tool classes; fixed values.
+ERROR_RX = r"(?i)\b(error|exception|traceback|undefined|cannot find|failed|fatal|not found|syntax error|unresolved|permission denied|no such file|abort|segmentation fault|command not found)\b"
+SUCCESS_RX = r"(?i)\b(build (succeeded|successful)|compilation (successful|ok)|passed|passing|\bok\b|finished in \d|tests? (passed|ok)|\[==========\] .* passed|all tests passed)\b"
 ROLLBACK_RX = r"(?i)\bgit (revert|reset --?hard|stash|checkout --? )|\bundo\b|rollback"
 OFFLOAD_RX = r"(?i)\bsaved to [\w/.-]+|offloaded|\[truncated\]"
 REMINDER_RX = r"(?is)<system-reminder>.*?</system-reminder>"
 SPACE = r"[ \t\n\x0b\f\r]+"
-TOOLS = {"Bash": "bash", "Read": "view", "View": "view", "NotebookRead": "view", "LS": "view", "Edit": "edit", "Write": "edit", "MultiEdit": "edit", "NotebookEdit": "edit", "Grep": "search", "Glob": "search", "WebSearch": "search", "WebFetch": "search"}
+TOOLS = {"Bash": "bash", "bash": "bash", "Read": "view", "view": "view", "Edit": "edit", "Write": "edit", "MultiEdit": "edit", "Grep": "search", "Glob": "search", "Agent": "other", "Task": "other", "TodoRead": "other", "TodoWrite": "other"}
 
 
 def trim_space(c: Column) -> Column:
@@ -57,7 +57,8 @@ def truncate_output(text: Column, first: int = 15, last: int = 10) -> Column:
 
 
 def truncate_middle(text: Column, most: int = 8000) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most // 2)), F.format_string("\n[... %s chars truncated ...]\n", F.length(text) - most), F.right(text, F.lit(most // 2)))).otherwise(text)
+    """First and last halves of a text longer than ``most`` around a mark with its whole length."""
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most // 2)), F.format_string("\n... [truncated, total %s chars]\n", F.length(text)), F.right(text, F.lit(most // 2)))).otherwise(text)
 
 
 def cap_response(text: Column, most: int = 500) -> Column:
@@ -82,21 +83,26 @@ def parse_tool_call(text: Column) -> Column:
 
 
 def summary_text(kind: Column, finding: Column, evidence: Column, next_direction: Column, legacy: Column) -> Column:
-    """One line of a structured checkpoint; else the legacy summary; else ''."""
-    label = F.when(kind == "milestone_achieved", "Milestone").when(kind == "approach_eliminated", "Approach eliminated")
-    part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name), c))
+    """One line of a checkpoint that says anything structured, as a milestone unless an approach was eliminated; else the legacy summary; else ''."""
+    label = F.when(kind == "approach_eliminated", "Approach eliminated").otherwise("Milestone")
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    part = lambda name, c: F.when(has(c), F.concat(F.lit(name), c))
     full = F.concat_ws(". ", F.concat(label, F.lit(": "), F.coalesce(finding, F.lit(""))), part("Evidence: ", evidence), part("Next: ", next_direction))
-    return F.when(label.isNotNull(), full).otherwise(F.coalesce(legacy, F.lit("")))
+    return F.when(has(finding) | has(evidence) | has(next_direction), full).otherwise(F.coalesce(legacy, F.lit("")))
 
 
-def extract_usage(body: Column) -> Column:
-    """The first usage of an event stream or JSON body: struct<input_tokens, cache_creation, cache_read, output_tokens>."""
-    head = F.left(body, F.lit(32768))
-    events = F.transform(F.filter(F.split(head, "\n"), lambda x: F.startswith(x, F.lit("data: "))), lambda x: F.substr(x, F.lit(7)))
-    found = F.filter(F.transform(events, lambda x: F.coalesce(F.get_json_object(x, "$.message.usage"), F.get_json_object(x, "$.usage"))), lambda x: x.isNotNull())
+def extract_usage(body: Column, most: int | None = None) -> Column:
+    """The first usage of an event stream or JSON body: struct<input_tokens, cache_creation, cache_read, output_tokens>.
+
+    The whole body is read; a caller that only holds the head of a body says so by ``most`` characters.
+    """
+    head = body if most is None else F.left(body, F.lit(most))
+    events = F.transform(F.filter(F.split(head, "\n"), lambda x: F.startswith(x, F.lit("data: "))), lambda x: trim_space(F.substr(x, F.lit(7))))
+    usage = lambda x: F.coalesce(F.get_json_object(x, "$.message.usage"), F.get_json_object(x, "$.usage"))
+    found = F.filter(F.transform(events, usage), lambda x: F.startswith(x, F.lit("{")))
     raw = F.coalesce(F.get(found, F.lit(0)), F.get_json_object(head, "$.usage"))
     n = lambda k: F.get_json_object(raw, f"$.{k}").cast("bigint")
-    return F.when(raw.isNotNull(), F.struct(n("input_tokens").alias("input_tokens"), n("cache_creation_input_tokens").alias("cache_creation"), n("cache_read_input_tokens").alias("cache_read"), n("output_tokens").alias("output_tokens")))
+    return F.when(F.startswith(raw, F.lit("{")), F.struct(n("input_tokens").alias("input_tokens"), n("cache_creation_input_tokens").alias("cache_creation"), n("cache_read_input_tokens").alias("cache_read"), n("output_tokens").alias("output_tokens")))
 
 
 def session_key(texts: Column) -> Column:
@@ -109,9 +115,12 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 
 
-def render_step(idx: Column, role: Column, cmd: Column, output: Column, text: Column, most: int = 2000) -> Column:
+def render_step(idx: Column, role: Column, tool: Column, cmd: Column, output: Column, text: Column, most: int = 2000) -> Column:
     """A step as one prompt entry."""
-    said = lambda who: F.concat(F.format_string("[%3d] ", idx), F.lit(who), F.left(text, F.lit(500)), F.when(F.length(text) > 500, F.format_string(" (…%s more chars)", F.length(text) - 500)).otherwise(""))
-    out = truncate_output(output)
-    shown = F.when(F.length(out) > most, F.concat(F.left(out, F.lit(most)), F.lit("…"))).otherwise(out)
-    return F.when(role == "user_text", said("USER: ")).when(role == "assistant_text", said("ASST: ")).otherwise(F.concat(F.format_string("[%3d] ", idx), F.left(cmd, F.lit(200)), F.lit("\n"), shown))
+    number = F.format_string("[%3d] ", idx)
+    over = lambda c, n, form: F.when(F.length(c) > n, F.format_string(form, F.length(c) - n)).otherwise("")
+    said = lambda who: F.concat(number, F.lit(who), F.left(text, F.lit(500)), over(text, 500, "  (…%s more chars)"))
+    out = truncate_output(F.coalesce(output, F.lit("")))
+    shown = F.concat(F.left(out, F.lit(most)), over(out, most, "\n[... %s chars truncated ...]"))
+    call = F.concat(number, F.lit("TOOL "), tool, F.lit(": "), F.left(cmd, F.lit(200)), over(cmd, 200, " (…%s)"), F.lit("\n     → "), shown)
+    return F.when(role == "user_text", said("USER: ")).when(role == "assistant_text", said("ASST: ")).otherwise(call)

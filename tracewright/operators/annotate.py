@@ -1,66 +1,87 @@
-"""Heuristic annotator: detectors over ordered tool steps, de-duplication, stale outputs, merged labels.
+"""Heuristic annotator: detectors over ordered steps, de-duplication, stale outputs, merged labels.
 
-Inputs are step tables (session_id, idx, tool_name, ...). Every detector is a window over one
-session's order; detectors of one session share the session's partitioning.
+Steps: session_id, idx, role, tool_name, cmd, output, input_file. ``prepared`` deals them by session once; every
+detector is a window within a session, so all share that exchange. A detector returns CHECKPOINT rows.
+
+Defined results: null cmd, output or input_file count as empty; steps without a command or an error text never pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
 
 READS, EDITS = ["Read", "Grep", "Glob"], ["Edit", "Write", "MultiEdit"]
+CHECKPOINT = ["session_id", "after_step", "progress_type", "detector", "finding", "evidence", "next_direction"]
+MILESTONE, ELIMINATED = "milestone_achieved", "approach_eliminated"
 
 
-def edit_after_reads(steps: DataFrame, least: int = 2) -> DataFrame:
-    """First edit of a session after ``least`` reads; with the first 3 of the last 5 reads."""
-    before = W.partitionBy("session_id").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    read = F.when(F.col("tool_name").isin(READS), F.col("idx"))
-    rows = steps.select("session_id", "idx", "tool_name", F.count(read).over(before).alias("n_reads"), F.collect_list(read).over(before).alias("reads"))
-    hits = rows.where(F.col("tool_name").isin(EDITS) & (F.col("n_reads") >= least))
-    first = hits.groupBy("session_id").agg(F.min_by(F.struct("idx", "n_reads", "reads"), "idx").alias("h"))
-    reads = F.col("h.reads")
-    last5 = F.slice(reads, -F.least(F.size(reads), F.lit(5)), F.least(F.size(reads), F.lit(5)))
-    return first.select("session_id", F.col("h.idx").alias("after_step"), F.col("h.n_reads").alias("n_reads"), F.slice(last5, 1, 3).alias("evidence"))
+def prepared(steps: DataFrame) -> DataFrame:
+    """Tool steps dealt by session, with has_error, the signatures of command and error, and the file or command they touch."""
+    cmd, output = (F.coalesce(F.col(c), F.lit("")) for c in ("cmd", "output"))
+    tools = steps.where("role = 'tool'").repartition("session_id")
+    return tools.select("session_id", "idx", "tool_name", cmd.alias("cmd"), text.has_error(output).alias("has_error"), text.command_signature(cmd).alias("sig"), text.error_signature(output).alias("err"), F.coalesce(F.nullif("input_file", F.lit("")), cmd).alias("target"))
+
 
+def _checkpoint(hits: DataFrame, kind: str, detector: str, finding: Column, evidence: Column, next_direction: str) -> DataFrame:
+    return hits.select("session_id", F.col("idx").alias("after_step"), F.lit(kind).alias("progress_type"), F.lit(detector).alias("detector"), finding.alias("finding"), evidence.alias("evidence"), F.lit(next_direction).alias("next_direction"))
 
-def success_after_failure(steps: DataFrame) -> DataFrame:
-    """Commands that succeed right after the same command failed; n_history counts from the previous hit on."""
+
+def edit_after_reads(tools: DataFrame, least: int = 2) -> DataFrame:
+    """First edit of a session after ``least`` reads; its evidence names the first 3 of the last 5 reads."""
+    before = W.partitionBy("session_id").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    is_read = F.col("tool_name").isin(READS)
+    rows = tools.where(F.col("tool_name").isin(READS + EDITS)).select("session_id", "idx", "target", is_read.alias("is_read"), F.count_if(is_read).over(before).alias("n"))
+    first = rows.where(~F.col("is_read") & (F.col("n") >= least)).groupBy("session_id").agg(F.min_by(F.struct("idx", "n", "target"), "idx").alias("h"))
+    joined = rows.where("is_read").join(first, "session_id").where("idx < h.idx and n >= greatest(h.n - 5, 0) and n < greatest(h.n - 5, 0) + 3")  # n of a read: its number from 0
+    reads = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "target"))), lambda x: x["target"]), "; ")
+    hits = joined.groupBy("session_id", "h").agg(reads.alias("reads")).select("session_id", "h.*", "reads")
+    finding = F.concat(F.lit("First edit to "), "target", F.lit(" after exploring "), F.col("n").cast("string"), F.lit(" file(s) — likely identified fix location."))
+    evidence = F.left(F.concat(F.lit("Read/Grep steps: "), "reads", F.lit(". Edit target: "), "target", F.lit(".")), F.lit(400))
+    return _checkpoint(hits, MILESTONE, "M1", finding, evidence, "Verify the edit with a test or build.")
+
+
+def success_after_failure(tools: DataFrame) -> DataFrame:
+    """Commands that succeed right after the same command failed; runs are counted from the previous such success on."""
     order = W.partitionBy("session_id", "sig").orderBy("idx")
-    bash = steps.where(F.col("tool_name") == "Bash")
-    rows = bash.select("session_id", "sig", "idx", "has_error", F.lag("has_error").over(order).alias("prev"), F.row_number().over(order).alias("rn"))
-    hits = rows.withColumn("hit", F.coalesce(F.col("prev") & ~F.col("has_error"), F.lit(False))).where("hit")
-    return hits.select("session_id", F.col("idx").alias("after_step"), "sig", (F.col("rn") - F.coalesce(F.lag("rn").over(order), F.lit(1))).cast("bigint").alias("n_history"))
+    bash = tools.where((F.col("tool_name") == "Bash") & (F.col("sig") != ""))
+    rows = bash.select("session_id", "sig", "idx", "has_error", F.lag("has_error").over(order).alias("failed"), F.lag("err").over(order).alias("prev_err"), F.row_number().over(order).alias("rn"))
+    hits = rows.where("failed and not has_error").withColumn("n", F.col("rn") - F.coalesce(F.lag("rn").over(order), F.lit(1)))
+    finding = F.concat(F.lit("`"), "sig", F.lit("` now succeeds after "), F.col("n").cast("string"), F.lit(" prior failure(s)."))
+    evidence = F.coalesce(F.nullif(F.left("prev_err", F.lit(300)), F.lit("")), F.lit("prior runs showed error output"))
+    return _checkpoint(hits, MILESTONE, "M4", finding, evidence, "Build is usable; move to next subtask or verify correctness.")
 
 
-def repeated_failure(steps: DataFrame) -> DataFrame:
-    """The second failure of one (command, error) of a session."""
-    order = W.partitionBy("session_id", "sig", "err").orderBy("idx")
-    rows = steps.where((F.col("tool_name") == "Bash") & F.col("has_error")).withColumn("n", F.row_number().over(order))
-    return rows.where("n = 2").select("session_id", F.col("idx").alias("after_step"), "sig", "err")
+def repeated_failure(tools: DataFrame) -> DataFrame:
+    """The second failure of one command with one error, by its first 60 characters, in a session."""
+    rows = tools.where((F.col("tool_name") == "Bash") & F.col("has_error") & (F.col("sig") != "") & (F.col("err") != "")).withColumn("head", F.left("err", F.lit(60)))
+    hits = rows.withColumn("n", F.row_number().over(W.partitionBy("session_id", "sig", "head").orderBy("idx"))).where("n = 2")
+    finding = F.concat(F.lit("Same error from `"), "sig", F.lit("` repeated — current approach isn't fixing it."))
+    return _checkpoint(hits, ELIMINATED, "E1", finding, F.concat(F.lit("Error signature: "), F.left("err", F.lit(200))), "Change strategy; the current edits are not addressing the root cause.")
 
 
-def explicit_rollback(steps: DataFrame) -> DataFrame:
-    """Bash steps whose command takes work back; with the command's first 200 characters."""
-    hits = steps.where((F.col("tool_name") == "Bash") & text.is_rollback(F.col("cmd")))
-    return hits.select("session_id", F.col("idx").alias("after_step"), F.left("cmd", F.lit(200)).alias("evidence"))
+def explicit_rollback(tools: DataFrame) -> DataFrame:
+    """Bash steps whose command takes work back."""
+    hits = tools.where((F.col("tool_name") == "Bash") & text.is_rollback(F.col("cmd")))
+    return _checkpoint(hits, ELIMINATED, "E2", F.lit("Explicit rollback — prior edits didn't work."), F.concat(F.lit("Rollback command: "), F.left("cmd", F.lit(200))), "Revisit the hypothesis; the reverted change was not correct.")
 
 
-def edit_reverted(steps: DataFrame, max_gap: int = 4) -> DataFrame:
+def edit_reverted(tools: DataFrame, max_gap: int = 4) -> DataFrame:
     """A file edited again within ``max_gap`` steps."""
-    order = W.partitionBy("session_id", "file").orderBy("idx")
-    rows = steps.where(F.col("tool_name").isin(EDITS) & F.col("file").isNotNull()).withColumn("gap", F.col("idx") - F.lag("idx").over(order))
-    return rows.where(F.col("gap") <= max_gap).select("session_id", F.col("idx").alias("after_step"), "file", "gap")
+    order = W.partitionBy("session_id", "target").orderBy("idx")
+    rows = tools.where(F.col("tool_name").isin(EDITS) & (F.col("target") != "")).withColumn("gap", F.col("idx") - F.lag("idx").over(order))
+    finding = F.concat(F.lit("Re-edited "), "target", F.lit(" within "), F.col("gap").cast("string"), F.lit(" steps — prior attempt wasn't right."))
+    return _checkpoint(rows.where(F.col("gap") <= max_gap), ELIMINATED, "E3", finding, F.lit("Same file edited twice in short succession"), "Settle on an approach before making more edits.")
 
 
 def stale_outputs(steps: DataFrame, stale_after: int = 3, min_chars: int = 500) -> DataFrame:
     """Long Bash outputs at least ``stale_after`` steps before the session's last."""
     last = F.max("idx").over(W.partitionBy("session_id"))
-    rows = steps.withColumn("last", last).where((F.col("tool_name") == "Bash") & (F.col("n_chars") >= min_chars) & (F.col("last") - F.col("idx") >= stale_after))
-    return rows.select("session_id", F.col("idx").alias("expire"))
+    rows = steps.select("session_id", "idx", "role", "tool_name", F.length("output").alias("n_chars"), last.alias("last"))
+    return rows.where((F.col("role") == "tool") & (F.col("tool_name") == "Bash") & (F.col("n_chars") >= min_chars) & (F.col("last") - F.col("idx") >= stale_after)).select("session_id", F.col("idx").alias("expire"))
 
 
 def deduplicate(events: DataFrame) -> DataFrame:
@@ -74,16 +95,15 @@ def deduplicate(events: DataFrame) -> DataFrame:
     cut = F.when(F.col("after_step") - F.lag("after_step").over(order) <= 1, 0).otherwise(1)
     islands = one.withColumn("cut", cut).withColumn("island", F.sum("cut").over(order))
     start = F.min("after_step").over(W.partitionBy("session_id", "island"))
-    return islands.withColumn("start", start).where((F.col("after_step") - F.col("start")) % 2 == 0).select("session_id", "after_step", "progress_type", "detector")
+    return islands.withColumn("start", start).where((F.col("after_step") - F.col("start")) % 2 == 0).select(*events.columns)
 
 
 def annotate(steps: DataFrame) -> DataFrame:
     """All detectors, de-duplicated."""
-    kinds = [("M1", "milestone_achieved", edit_after_reads(steps)), ("M4", "milestone_achieved", success_after_failure(steps)), ("E1", "approach_eliminated", repeated_failure(steps)), ("E2", "approach_eliminated", explicit_rollback(steps)), ("E3", "approach_eliminated", edit_reverted(steps))]
-    found = None
-    for name, kind, hits in kinds:
-        h = hits.select("session_id", "after_step", F.lit(kind).alias("progress_type"), F.lit(name).alias("detector"))
-        found = h if found is None else found.unionByName(h)
+    tools = prepared(steps)
+    found = edit_after_reads(tools)
+    for detector in (success_after_failure, repeated_failure, explicit_rollback, edit_reverted):
+        found = found.unionByName(detector(tools))
     return deduplicate(found)
 
 

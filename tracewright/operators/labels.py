@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tools whose outputs name files; expiring them is not learned. Fixed values.
-FILE_BASED = ["Read", "Write", "Edit", "MultiEdit", "NotebookEdit", "view", "edit", "read", "write", "str_replace_editor"]
+FILE_BASED = ["Read", "read_file", "read_many_files", "list_directory", "Edit", "Write", "MultiEdit", "replace", "write_file", "apply_patch"]
 
 
 def filter_events(events: DataFrame, steps: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions import text as text_functions
+from tracewright.functions.stats import floor_percentiles
+
 BLOCK = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:map<string,string>,tool_use_id:string,content:string>>"
 
 
@@ -21,6 +24,63 @@ def result_text(content: Column) -> Column:
     return F.when(F.startswith(F.ltrim(content), F.lit("[")) & parsed.isNotNull(), F.concat_ws("\n", texts)).otherwise(F.coalesce(content, F.lit("")))
 
 
+def raw_blocks(content: Column) -> Column:
+    """The JSON texts of the blocks of a list; null for a string."""
+    return F.when(F.startswith(F.ltrim(content), F.lit("[")), F.from_json(content, "array<string>"))
+
+
+def field(block: str, name: str) -> Column:
+    """A field of a block's JSON text: strings as they are, else JSON."""
+    return F.get_json_object(block, f"$.{name}")
+
+
+def tool_names(messages: DataFrame) -> DataFrame:
+    """(req, id, name) of every tool use of an assistant message; of a repeated id the last name."""
+    b = messages.where("role = 'assistant'").select("req", "idx", F.posexplode(raw_blocks(F.col("content"))).alias("pos", "b"))
+    uses = b.select("req", "idx", "pos", field("b", "type").alias("type"), field("b", "id").alias("id"), field("b", "name").alias("name")).where("type = 'tool_use' and id <> '' and name <> ''")
+    return uses.groupBy("req", "id").agg(F.max_by("name", F.struct("idx", "pos")).alias("name"))
+
+
+def last_turn_calls(messages: DataFrame) -> DataFrame:
+    """Tool uses of each request's last assistant message with the last result of their id, '' without one: (req, pos, id, name, input, output)."""
+    last = messages.where("role = 'assistant'").groupBy("req").agg(F.max_by("content", "idx").alias("content"))
+    uses = last.select("req", F.posexplode(raw_blocks(F.col("content"))).alias("pos", "b")).where(field("b", "type") == "tool_use")
+    results = messages.where("role = 'user'").select("req", "idx", F.posexplode(raw_blocks(F.col("content"))).alias("rpos", "b")).where(field("b", "type") == "tool_result")
+    results = results.groupBy("req", field("b", "tool_use_id").alias("id")).agg(F.max_by(result_text(field("b", "content")), F.struct("idx", "rpos")).alias("output"))
+    uses = uses.select("req", F.col("pos").cast("bigint").alias("pos"), field("b", "id").alias("id"), field("b", "name").alias("name"), field("b", "input").alias("input"))
+    return uses.join(results, ["req", "id"], "left").withColumn("output", F.coalesce("output", F.lit("")))
+
+
+def tally_results(messages: DataFrame) -> DataFrame:
+    """Per request over its tool results: count, total, longest, middle and ninth-tenth length in UTF-16 units, and offloaded ones."""
+    b = messages.where("role = 'user'").select("req", F.explode(raw_blocks(F.col("content"))).alias("b")).where(field("b", "type") == "tool_result")
+    sized = b.select("req", result_text(field("b", "content")).alias("t")).select("req", text_functions.utf16_length(F.col("t")).alias("n"), text_functions.is_offloaded(F.col("t")).cast("int").alias("off"))
+    sizes = floor_percentiles(sized, ["req"], "n", {"p50_chars": 0.5, "p90_chars": 0.9}).withColumnsRenamed({"total": "total_chars", "max": "max_chars"})
+    off = sized.groupBy("req").agg(F.sum("off").alias("offloaded_markers"))
+    all_ = messages.select("req").distinct()
+    return all_.join(sizes, "req", "left").join(off, "req", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+
+
+def request_summary(bodies: DataFrame) -> DataFrame:
+    """(req, body, betas) to what a request asks for; ``body`` is its JSON, ``betas`` the header's value.
+
+    A body that is no JSON object gives nulls and zeros, as an empty one does.
+    """
+    body = lambda path: F.get_json_object("body", path)
+    size = lambda path: F.coalesce(F.size(F.from_json(body(path), "array<string>")), F.lit(0))
+    system = F.coalesce(F.from_json(body("$.system"), "array<struct<text:string>>"), F.array().cast("array<struct<text:string>>"))
+    plain = ~F.startswith(F.ltrim(body("$.system")), F.lit("["))
+    total = F.aggregate(system, F.lit(0).cast("bigint"), lambda a, b: a + F.coalesce(text_functions.utf16_length(b["text"]), F.lit(0).cast("bigint")))
+    edits = F.from_json(body("$.context_management.edits"), "array<struct<type:string>>")
+    return bodies.select(
+        "req", body("$.model").alias("model"), (F.coalesce(body("$.stream"), F.lit("")) == "true").alias("stream"), body("$.max_tokens").cast("bigint").alias("max_tokens"),
+        F.filter(F.transform(F.coalesce(F.split("betas", ","), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "").alias("betas"),
+        F.when(size("$.messages") > 0, size("$.messages")).otherwise(0).cast("bigint").alias("message_count"), F.when(size("$.tools") > 0, size("$.tools")).otherwise(0).cast("bigint").alias("tool_count"),
+        F.coalesce(F.when(plain, text_functions.utf16_length(body("$.system"))), total).alias("system_size_chars"), F.when(body("$.context_management").isNotNull(), F.coalesce(F.transform(edits, lambda e: e["type"]), F.array().cast("array<string>"))).alias("strategies"),
+        text_functions.utf16_length(F.col("body")).alias("body_size_chars"),
+    )
+
+
 def blocks(messages: DataFrame) -> DataFrame:
     """(req, idx, role, content) to one row per block."""
     parsed = F.when(F.startswith(F.ltrim("content"), F.lit("[")), F.from_json("content", BLOCK))

@@ -75,3 +75,65 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUNS = """runs as (select o_orderkey as num, case when o_orderkey % 2 = 0 then 'off' else 'on' end as proxy, o_orderpriority as task, o_totalprice as dur,
   o_orderkey % 5 as exit_code, case when o_orderkey % 3 <> 0 then o_orderkey % 2 end as verify_exit, o_custkey % 7 as checkpoints from orders)"""
+
+
+#: What the commands and outputs of the traces are taken from: inputs, not rules of the engine.
+COMMANDS = ["make test", "git revert HEAD", "ls -la src lib", "git checkout -- a.py", "python -m pytest tests -x", "GIT STASH", "undo it", "make  test", "", "echo undone", "make test"]
+OUTPUTS = ["ok", "12 passed in 3s", "x\nError: cannot find module y\nat line 3", "panic now", "assertion hit", "unresolved symbol main", "cannot open file", "  \nmake: *** No such file", "", "build succeeded", "Traceback (most recent call last):\nValueError: bad", "finished in 3s", "saved to /tmp/x.txt", "compiled"]
+
+
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of whole sessions, with commands, outputs and texts: one session per user, ordered by time."""
+    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    idx = (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
+    kind, k = F.col("event_type"), F.col("k")
+    role = F.when((F.col("idx") == 0) | ((kind == "signup") & (k % 4 == 3)), "user_text").when((kind == "signup") & (k % 4 == 0), "assistant_text").otherwise("tool")
+    tool = F.when(kind == "view", pick(["Read", "Glob", "read_file"], k)).when(kind == "click", "Grep").when(kind == "purchase", pick(["Edit", "Write", "MultiEdit"], k)).when((kind == "signup") & (k % 4 == 1), "mcp__bookmarks__checkpoint_progress").otherwise("Bash")
+    rows = e.withColumn("idx", idx).withColumn("role", role).withColumn("tool_name", F.when(F.col("role") == "tool", tool).otherwise(""))
+    file = F.concat(F.lit("src/f"), (k % 7).cast("string"), F.lit(".py"))
+    has_file = F.col("tool_name").isin("Read", "read_file", "Edit", "Write", "MultiEdit")
+    cmd = F.when(F.col("tool_name") == "Bash", pick(COMMANDS, k)).when(F.col("tool_name").isin("Grep", "Glob"), F.concat(F.lit("pattern_"), (k % 9).cast("string"))).when(has_file, file).otherwise("")
+    out = pick(OUTPUTS, k + F.col("idx"))
+    is_tool = F.col("role") == "tool"
+    return rows.select(
+        F.col("user_id").alias("session_id"), "idx", "role", "tool_name", cmd.alias("cmd"), F.when(is_tool, F.when(k % 10 == 0, F.repeat(F.concat(out, F.lit("\n")), 60)).otherwise(out)).otherwise("").alias("output"),
+        F.when(has_file & (k % 7 < 6), file).alias("input_file"), F.when(~is_tool, F.concat(F.lit("say "), k.cast("string"), F.repeat(F.lit(" word"), (k * 2).cast("int")))).otherwise("").alias("text"), "k",
+    )
+
+
+_list = lambda values: "[" + ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
+TRACE = f"""tr0 as (select user_id as session_id, (row_number() over (partition by user_id order by ts, event_id) - 1)::bigint as idx, event_type, json_extract_string(props, '$.k')::bigint as k from events),
+  tr1 as (select *, case when idx = 0 or event_type = 'signup' and k % 4 = 3 then 'user_text' when event_type = 'signup' and k % 4 = 0 then 'assistant_text' else 'tool' end as role from tr0),
+  tr2 as (select *, case when role <> 'tool' then '' when event_type = 'view' then ['Read', 'Glob', 'read_file'][1 + k % 3] when event_type = 'click' then 'Grep' when event_type = 'purchase' then ['Edit', 'Write', 'MultiEdit'][1 + k % 3] when event_type = 'signup' and k % 4 = 1 then 'mcp__bookmarks__checkpoint_progress' else 'Bash' end as tool_name,
+    {_list(OUTPUTS)}[1 + (k + idx) % {len(OUTPUTS)}] as o from tr1),
+  trace as (select session_id, idx, role, tool_name, case when tool_name = 'Bash' then {_list(COMMANDS)}[1 + k % {len(COMMANDS)}] when tool_name in ('Grep', 'Glob') then 'pattern_' || (k % 9) when tool_name in ('Read', 'read_file', 'Edit', 'Write', 'MultiEdit') then 'src/f' || (k % 7) || '.py' else '' end as cmd,
+    case when role <> 'tool' then '' when k % 10 = 0 then repeat(o || chr(10), 60) else o end as output, case when tool_name in ('Read', 'read_file', 'Edit', 'Write', 'MultiEdit') and k % 7 < 6 then 'src/f' || (k % 7) || '.py' end as input_file,
+    case when role <> 'tool' then 'say ' || k || repeat(' word', (k * 2)::int) else '' end as text, k from tr2)"""
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the traces as clients send them: strings, or JSON lists of blocks with uses, results and checkpoints."""
+    t = trace(spark, sf_dir)
+    tool = F.col("role") == "tool"
+    rows = t.select("*", F.explode(F.when(tool, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"))
+    q = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    k, step = F.col("k").cast("string"), F.col("idx").cast("string")
+    kind = F.when(F.col("k") % 3 == 0, "approach_eliminated").otherwise("milestone_achieved")
+    said = F.when(F.col("k") % 8 == 1, q('"summary":"legacy ', k, '"')).otherwise(q('"progress_type":"', kind, '","finding":"f', k, '","evidence":"', F.when(F.col("k") % 5 == 0, "").otherwise(q("e", k)), '","next_direction":"n', k, '"'))
+    given = F.when(F.col("tool_name") == "Bash", q('"command":"', F.col("cmd"), '"')).when(F.col("tool_name").isin("Grep", "Glob"), q('"pattern":"', F.col("cmd"), '"')).when(F.col("tool_name").contains("checkpoint"), said).otherwise(q('"file_path":"', F.col("cmd"), '"'))
+    use = q('[{"type":"tool_use","id":"call_', step, '","name":"', F.col("tool_name"), '","input":{', given, "}}]")
+    out = q('"', F.replace("output", F.lit("\n"), F.lit("\\n")), '"')
+    result = q('[{"type":"tool_result","tool_use_id":"call_', step, '","content":', F.when(F.col("k") % 3 == 0, q('[{"type":"text","text":', out, "}]")).otherwise(out), "}", F.when(F.col("k") % 5 == 0, ',{"type":"text","text":"note"}').otherwise(""), "]")
+    role = F.when((F.col("role") == "user_text") | (F.col("part") == 1), "user").otherwise("assistant")
+    idx = (F.row_number().over(W.partitionBy("session_id").orderBy("idx", "part")) - 1).cast("bigint")
+    return rows.select(F.col("session_id").alias("req"), idx.alias("idx"), role.alias("role"), F.when(~tool, F.col("text")).when(F.col("part") == 0, use).otherwise(result).alias("content"))
+
+
+REQUESTS = TRACE + """, rq0 as (select *, unnest(case when role = 'tool' then [0, 1] else [0] end) as part from trace),
+  messages as (select session_id as req, (row_number() over (partition by session_id order by idx, part) - 1)::bigint as idx, case when role = 'user_text' or part = 1 then 'user' else 'assistant' end as role,
+    case when role <> 'tool' then text when part = 0 then '[{"type":"tool_use","id":"call_' || idx || '","name":"' || tool_name || '","input":{' ||
+      case when tool_name = 'Bash' then '"command":"' || cmd || '"' when tool_name in ('Grep', 'Glob') then '"pattern":"' || cmd || '"' when tool_name like '%checkpoint%' then
+        case when k % 8 = 1 then '"summary":"legacy ' || k || '"' else '"progress_type":"' || case when k % 3 = 0 then 'approach_eliminated' else 'milestone_achieved' end || '","finding":"f' || k || '","evidence":"' || case when k % 5 = 0 then '' else 'e' || k end || '","next_direction":"n' || k || '"' end
+      else '"file_path":"' || cmd || '"' end || '}}]'
+    else '[{"type":"tool_result","tool_use_id":"call_' || idx || '","content":' || case when k % 3 = 0 then '[{"type":"text","text":"' || replace(output, chr(10), '\\n') || '"}]' else '"' || replace(output, chr(10), '\\n') || '"' end || '}' || case when k % 5 = 0 then ',{"type":"text","text":"note"}' else '' end || ']' end as content from rq0)"""
