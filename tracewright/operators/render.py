@@ -1,52 +1,213 @@
-"""Sessions to prompts and training chunks. Token counts use the estimate of four characters a token unless a column is given."""
+"""Sessions to prompts, chat messages and training chunks.
+
+Messages of a session: (session_id, idx, role, content, tool, call_id, arguments, step). Token counts come from a column
+function of (role, content, arguments); the default estimates four characters a token, a tokenizer's count can be given.
+
+Defined results: null texts count as empty; sessions without steps give no messages; chunks that do not fit give no row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import cap_response
+
+#: The checkpoint tool's name in training data and its answer; fixed values.
+CHECKPOINT_TOOL = "mcp__bookmarks__checkpoint_progress"
+CHECKPOINT_ACK = "Checkpoint saved. Prior exploration may now be condensed."
+
 
 def transcript(steps: DataFrame, by: str, order: str, line: str) -> DataFrame:
     """Ordered string aggregation of ``line``."""
     return steps.groupBy(by).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line])).alias("transcript"))
 
 
-def estimate_tokens(text):
+def estimate_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("bigint")
 
 
-def context_window(messages: DataFrame, budget: int = 8192, goal_budget: int = 2048, reserve: int = 512, min_context: int = 10) -> DataFrame:
-    """Backward fill: per request the goal (first user message) and the newest messages that fit the budget.
+def call_arguments(tool: Column, cmd: Column, input_file: Column) -> Column:
+    """The arguments of a tool call, by tool, as JSON."""
+    target = F.coalesce(F.nullif(input_file, F.lit("")), cmd)
+    j = lambda **named: F.to_json(F.struct(*[c.alias(k) for k, c in named.items()]))
+    return (
+        F.when(tool == "Bash", j(command=cmd)).when(tool == "Read", j(file_path=target)).when(tool.isin("Write", "Edit", "MultiEdit"), j(file_path=target, content=F.lit("[elided]")))
+        .when(tool.isin("Grep", "Glob"), j(pattern=cmd)).otherwise(j(input=cmd))
+    )
+
+
+def chat_messages(steps: DataFrame) -> DataFrame:
+    """Text steps become one message, tool steps a call and its response; ``idx`` numbers a session's messages, ``step`` is the step's."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    tool, none = F.col("role") == "tool", F.lit(None).cast("string")
+    message = lambda part, role, content, args: F.struct(F.lit(part).alias("part"), role.alias("role"), content.alias("content"), args.alias("arguments"))
+    call = message(0, F.lit("assistant"), none, call_arguments(F.col("tool_name"), text("cmd"), F.col("input_file")))
+    response = message(1, F.lit("tool"), text("output"), none)
+    said = message(0, F.when(F.col("role") == "user_text", "user").otherwise("assistant"), text("text"), none)
+    rows = steps.select("session_id", F.col("idx").alias("step"), F.when(tool, F.col("tool_name")).alias("tool"), F.when(tool, F.concat(F.lit("call_"), F.col("idx").cast("string"))).alias("call_id"), F.explode(F.when(tool, F.array(call, response)).otherwise(F.array(said))).alias("m"))
+    idx = (F.row_number().over(W.partitionBy("session_id").orderBy("step", "m.part")) - 1).cast("bigint")
+    return rows.select("session_id", idx.alias("idx"), "m.role", "m.content", "tool", "call_id", "m.arguments", "step")
+
+
+def anchors(messages: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Checkpoints with the index of the last message of their step; those of unknown steps go. ``chunk`` numbers a session's."""
+    last = messages.groupBy("session_id", F.col("step").alias("after_step")).agg(F.max("idx").alias("anchor_idx"))
+    rows = checkpoints.join(last, ["session_id", "after_step"])
+    chunk = F.row_number().over(W.partitionBy("session_id").orderBy("after_step")) - 1
+    return rows.withColumn("chunk", chunk.cast("bigint"))
+
+
+def token_counts(messages: DataFrame) -> DataFrame:
+    """``messages`` with n_tokens, the estimate over content and arguments."""
+    return messages.withColumn("n_tokens", estimate_tokens(F.concat(F.coalesce("content", F.lit("")), F.coalesce("arguments", F.lit("")))))
+
 
-    ``messages``: req, idx, role, n_tokens. Returns the messages kept, with n_context; requests without
-    a goal within its budget, or with fewer than ``min_context`` others, give none.
+def response_tokens(most: int) -> Column:
+    """Tokens of a message whose content is capped."""
+    return estimate_tokens(F.concat(cap_response(F.coalesce("content", F.lit("")), most), F.coalesce("arguments", F.lit(""))))
+
+
+def completions(messages: DataFrame, at: DataFrame, post: int = 1, most: int = 500) -> DataFrame:
+    """Per checkpoint the next ``post`` assistant tool calls after it with their responses, capped: (session_id, chunk, idx, role, content, arguments, n_tokens)."""
+    order = W.partitionBy("session_id").orderBy("idx")
+    calls = messages.withColumn("is_call", (F.col("role") == "assistant") & F.col("arguments").isNotNull()).withColumn("answers", F.coalesce(F.lag("is_call").over(order), F.lit(False)) & (F.col("role") == "tool"))
+    numbered = calls.withColumn("call", F.count_if("is_call").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    seen = numbered.select("session_id", F.col("idx").alias("anchor_idx"), F.col("call").alias("calls_before"))
+    a = at.join(seen, ["session_id", "anchor_idx"]).select("session_id", "chunk", F.explode(F.sequence(F.col("calls_before") + 1, F.col("calls_before") + post)).alias("call"))
+    rows = numbered.where("is_call or answers").join(a, ["session_id", "call"])
+    capped = F.when(F.col("answers"), cap_response(F.col("content"), most)).otherwise(F.col("content"))
+    return rows.withColumn("n_tokens", response_tokens(most)).select("session_id", "chunk", "idx", "role", capped.alias("content"), "arguments", "n_tokens")
+
+
+def fill(messages: DataFrame, targets: DataFrame, budget: int = 8192, goal_budget: int = 2048, reserve: int = 512, min_context: int = 10) -> DataFrame:
+    """Per target the newest messages up to ``end_idx`` that fit beside goal and completion: ``targets`` with first_idx, n_context and n_tokens.
+
+    ``targets``: session_id, end_idx, completion_tokens and more. The goal is message 0, a user's, and must fit ``goal_budget``; what is
+    left beside goal and completion must be ``reserve`` at least; fewer than ``min_context`` messages give no chunk.
+    Running sums and thresholds are sorted together, so the fill is a lookup: no target reads messages another has read.
     """
-    req = W.partitionBy("req")
-    goal = F.min(F.when(F.col("role") == "user", F.col("idx"))).over(req)
-    rows = messages.withColumn("goal", goal).withColumn("goal_tokens", F.max(F.when(F.col("idx") == F.col("goal"), F.col("n_tokens"))).over(req))
-    rows = rows.where((F.col("goal_tokens") <= goal_budget) & (F.lit(budget) - F.col("goal_tokens") >= reserve) & (F.col("idx") >= F.col("goal")))
-    back = F.sum(F.when(F.col("idx") > F.col("goal"), F.col("n_tokens")).otherwise(0)).over(req.orderBy(F.desc("idx")))
-    rows = rows.withColumn("fits", (F.col("idx") == F.col("goal")) | (back + F.col("goal_tokens") <= budget)).where("fits")
-    rows = rows.withColumn("n_context", F.count_if(F.col("idx") > F.col("goal")).over(req))
-    return rows.where(F.col("n_context") >= min_context).select("req", "idx", "role", "n_tokens", "n_context")
-
-
-def positives(messages: DataFrame, post: int = 1) -> DataFrame:
-    """Per checkpoint message the next ``post`` assistant messages: (req, anchor_idx, idx)."""
-    order = W.partitionBy("req").orderBy("idx")
-    a = messages.withColumn("anchor_idx", F.last(F.when(F.col("anchor"), F.col("idx")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
-    turns = a.where((F.col("role") == "assistant") & F.col("anchor_idx").isNotNull())
-    rank = F.row_number().over(W.partitionBy("req", "anchor_idx").orderBy("idx"))
-    return turns.withColumn("k", rank).where(F.col("k") <= post).select("req", "anchor_idx", "idx")
-
-
-def negatives(messages: DataFrame, ratio: float = 1.0, seed: int = 42) -> DataFrame:
-    """Per request, round-half-even(checkpoints x ratio) assistant turns after a user turn that follow no checkpoint, by hash rank."""
-    order = W.partitionBy("req").orderBy("idx")
-    req = W.partitionBy("req")
-    rows = messages.withColumn("prev_role", F.lag("role").over(order)).withColumn("prev_anchor", F.coalesce(F.lag("anchor", 1).over(order), F.lit(False)) | F.coalesce(F.lag("anchor", 2).over(order), F.lit(False)))
-    rows = rows.withColumn("quota", F.bround(F.count_if("anchor").over(req) * F.lit(ratio)).cast("bigint"))
-    fit = rows.where((F.col("role") == "assistant") & ~F.col("anchor") & (F.col("prev_role") == "user") & ~F.col("prev_anchor"))
-    rank = F.row_number().over(req.orderBy(F.md5(F.concat_ws("/", F.col("req").cast("string"), F.col("idx").cast("string"), F.lit(str(seed)))), "idx"))
-    return fit.withColumn("k", rank).where(F.col("k") <= F.col("quota")).select("req", "idx")
+    order = W.partitionBy("session_id").orderBy("idx")
+    sums = messages.select("session_id", "idx", F.sum("n_tokens").over(order).alias("upto"))
+    goals = messages.where("idx = 0 and role = 'user'").where(F.col("n_tokens") <= goal_budget).select("session_id", F.col("n_tokens").alias("goal_tokens"))
+    room = F.lit(budget) - F.col("goal_tokens") - F.col("completion_tokens")
+    t = targets.join(goals, "session_id").where(room >= reserve).join(sums.withColumnsRenamed({"idx": "end_idx", "upto": "total"}), ["session_id", "end_idx"])
+    wanted = t.select("session_id", (F.col("total") - room).alias("value"), F.lit(-1).cast("bigint").alias("idx"), F.struct(*t.columns).alias("t"))
+    rows = wanted.unionByName(sums.select("session_id", F.col("upto").alias("value"), "idx"), allowMissingColumns=True)
+    onward = W.partitionBy("session_id").orderBy("value", "idx").rowsBetween(W.currentRow, W.unboundedFollowing)
+    before = F.first(F.when(F.col("idx") >= 0, F.struct("idx", "value")), ignorenulls=True).over(onward)  # the last message that does not go in
+    t = rows.withColumn("before", before).where("idx < 0").select("t.*", "before")
+    t = t.withColumn("first_idx", F.least(F.col("before.idx"), F.col("end_idx")) + 1).withColumn("n_context", F.col("end_idx") - F.col("first_idx") + 1).where(F.col("n_context") >= min_context)
+    used = F.when(F.col("n_context") > 0, F.col("total") - F.col("before.value")).otherwise(0)
+    return t.withColumn("n_tokens", F.col("goal_tokens") + F.col("completion_tokens") + used).drop("total", "before")
+
+
+def positives(messages: DataFrame, checkpoints: DataFrame, post: int = 1, most: int = 500, **limits: int) -> DataFrame:
+    """A chunk per checkpoint that fits: its call, the answer and what really followed are the completion."""
+    m = token_counts(messages)
+    at = anchors(m, checkpoints)
+    call = F.to_json(F.struct("progress_type", "finding", "evidence", "next_direction"))
+    after = completions(m, at, post, most).groupBy("session_id", "chunk").agg(F.sum("n_tokens").alias("after_tokens"), F.count_if(F.col("role") == "assistant").alias("post_steps"))
+    t = at.join(after, ["session_id", "chunk"], "left").select("session_id", "chunk", F.col("anchor_idx").alias("end_idx"), F.col("after_step").alias("checkpoint_step"), "progress_type", call.alias("call"), (estimate_tokens(call) + estimate_tokens(F.lit(CHECKPOINT_ACK)) + F.coalesce("after_tokens", F.lit(0))).alias("completion_tokens"), F.coalesce("post_steps", F.lit(0)).alias("post_steps"))
+    return fill(m, t, **limits)
+
+
+def completion_messages(messages: DataFrame, checkpoints: DataFrame, post: int = 1, most: int = 500) -> DataFrame:
+    """What the model learns to say at each checkpoint, in order: its call, the answer, then the calls that really followed with capped responses."""
+    at = anchors(messages, checkpoints)
+    none = F.lit(None).cast("string")
+    call = F.struct(F.lit(-2).cast("bigint").alias("idx"), F.lit("assistant").alias("role"), none.alias("content"), F.to_json(F.struct("progress_type", "finding", "evidence", "next_direction")).alias("arguments"), F.lit(CHECKPOINT_TOOL).alias("tool"))
+    ack = F.struct(F.lit(-1).cast("bigint").alias("idx"), F.lit("tool").alias("role"), F.lit(CHECKPOINT_ACK).alias("content"), none.alias("arguments"), F.lit(CHECKPOINT_TOOL).alias("tool"))
+    own = at.select("session_id", "chunk", F.inline(F.array(call, ack)))
+    after = completions(messages, at, post, most).select("session_id", "chunk", "idx", "role", "content", "arguments")
+    return own.unionByName(after.join(messages.select("session_id", "idx", "tool"), ["session_id", "idx"]))
+
+
+def negative_candidates(messages: DataFrame, at: DataFrame, seed: int = 42) -> DataFrame:
+    """Assistant tool calls after a tool or user message that is no checkpoint's anchor, ranked by hash: (session_id, idx, rank)."""
+    order = W.partitionBy("session_id").orderBy("idx")
+    rows = messages.withColumn("prev", F.lag("role").over(order)).where((F.col("role") == "assistant") & F.col("arguments").isNotNull() & F.col("prev").isin("tool", "user") & (F.col("idx") > 0))
+    fit = rows.join(at.select("session_id", (F.col("anchor_idx") + 1).alias("idx")), ["session_id", "idx"], "left_anti")
+    key = F.md5(F.concat_ws("/", F.col("session_id").cast("string"), F.col("idx").cast("string"), F.lit(str(seed))))
+    return fit.select("session_id", "idx", F.row_number().over(W.partitionBy("session_id").orderBy(key, "idx")).alias("rank"))
+
+
+def negatives(messages: DataFrame, checkpoints: DataFrame, made: DataFrame, ratio: float = 1.0, seed: int = 42, most: int = 500, **limits: int) -> DataFrame:
+    """Per session round-half-even(positive chunks x ratio) chunks whose completion is an ordinary call and its capped response.
+
+    ``made``: the positive chunks. Three times as many candidates are taken by rank; the first that fit count.
+    """
+    m = token_counts(messages)
+    quota = made.groupBy("session_id").agg(F.bround(F.count(F.lit(1)) * F.lit(ratio)).cast("bigint").alias("quota")).where("quota > 0")
+    c = negative_candidates(m, anchors(m, checkpoints), seed).join(quota, "session_id").where("rank <= quota * 3")
+    response = m.where("role = 'tool'").select("session_id", (F.col("idx") - 1).alias("idx"), response_tokens(most).alias("response_tokens"))
+    own = m.select("session_id", "idx", F.col("n_tokens").alias("own_tokens"))
+    t = c.join(own, ["session_id", "idx"]).join(response, ["session_id", "idx"], "left").select("session_id", F.col("idx").alias("anchor_idx"), (F.col("idx") - 1).alias("end_idx"), "rank", "quota", (F.col("own_tokens") + F.coalesce("response_tokens", F.lit(0))).alias("completion_tokens"))
+    built = fill(m, t, **limits).withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("rank")))
+    return built.where("n <= quota").drop("n", "quota", "rank")
+
+
+def cold_starts(messages: DataFrame, most: int = 500) -> DataFrame:
+    """Per session that begins with a user's message: the goal alone, completed by the first assistant tool call and its capped response."""
+    m = token_counts(messages)
+    goals = m.where("idx = 0 and role = 'user'").select("session_id", F.col("n_tokens").alias("goal_tokens"))
+    first = m.where("role = 'assistant' and arguments is not null and idx > 0").groupBy("session_id").agg(F.min("idx").alias("call_idx"))
+    own = m.select("session_id", F.col("idx").alias("call_idx"), F.col("n_tokens").alias("own_tokens"))
+    response = m.where("role = 'tool'").select("session_id", (F.col("idx") - 1).alias("call_idx"), response_tokens(most).alias("response_tokens"))
+    rows = goals.join(first, "session_id").join(own, ["session_id", "call_idx"]).join(response, ["session_id", "call_idx"], "left")
+    return rows.select("session_id", "call_idx", (F.col("goal_tokens") + F.col("own_tokens") + F.coalesce("response_tokens", F.lit(0))).alias("n_tokens"))
+
+
+def chunks(messages: DataFrame, checkpoints: DataFrame, ratio: float = 1.0, seed: int = 42, cold: int = 1, post: int = 1, most: int = 500, **limits: int) -> DataFrame:
+    """All training chunks: (session_id, label, at, progress_type, first_idx, end_idx, n_context, n_tokens); cold starts ``cold`` times each."""
+    pos = positives(messages, checkpoints, post, most, **limits)
+    neg = negatives(messages, checkpoints, pos, ratio, seed, most, **limits)
+    shape = ["session_id", "label", "at", "progress_type", "first_idx", "end_idx", "n_context", "n_tokens"]
+    none, zero = F.lit(None).cast("string").alias("progress_type"), F.lit(0).cast("bigint")
+    out = pos.withColumns({"label": F.lit("positive"), "at": F.col("checkpoint_step")}).select(shape).unionByName(neg.withColumns({"label": F.lit("negative"), "at": F.col("anchor_idx")}).select("session_id", "label", "at", none, "first_idx", "end_idx", "n_context", "n_tokens"))
+    again = cold_starts(messages, most).select("*", F.explode(F.array_repeat(F.lit(1), cold)))
+    return out.unionByName(again.select("session_id", F.lit("cold_start").alias("label"), F.col("call_idx").alias("at"), none, (zero + 1).alias("first_idx"), zero.alias("end_idx"), zero.alias("n_context"), "n_tokens"))
+
+
+def chunk_messages(messages: DataFrame, chunk: DataFrame, most: int = 500) -> DataFrame:
+    """The messages of chunks, in order: the goal, the context, then for negatives and cold starts the call and its capped response
+    (``completion_messages`` has those of positives).
+
+    ``chunk``: rows of ``chunks``. A chunk's context is at most its budget of tokens, whatever its session holds.
+    """
+    m = messages.withColumn("capped", cap_response(F.col("content"), most))
+    rows = chunk.where("label <> 'positive'").withColumn("call", F.when(F.col("label") == "negative", F.col("end_idx") + 1).otherwise(F.col("at")))
+    rows = rows.unionByName(chunk.where("label = 'positive'").withColumn("call", F.lit(None).cast("bigint")))
+    places = F.array_union(F.array(F.lit(0).cast("bigint")), F.when(F.col("n_context") > 0, F.sequence("first_idx", "end_idx")).otherwise(F.array().cast("array<bigint>")))
+    places = F.transform(places, lambda x: F.struct(x.alias("idx"), F.lit(False).alias("done")))
+    tail = F.when(F.col("call").isNull(), F.array().cast("array<struct<idx:bigint,done:boolean>>")).otherwise(F.array(F.struct(F.col("call").alias("idx"), F.lit(True).alias("done")), F.struct((F.col("call") + 1).alias("idx"), F.lit(True).alias("done"))))
+    named = rows.select("session_id", "label", "at", F.inline(F.concat(places, tail)))
+    joined = named.join(m, ["session_id", "idx"]).where(~F.col("done") | (F.col("role") == "tool") | F.col("arguments").isNotNull())
+    return joined.select("session_id", "label", "at", "idx", "done", "role", F.when(F.col("done") & (F.col("role") == "tool"), F.col("capped")).otherwise(F.col("content")).alias("content"), "arguments")
+
+
+def chunk_totals(made: DataFrame) -> DataFrame:
+    """Counts by label and the spread of token counts: sorted[floor(n * q)]."""
+    from tracewright.functions.stats import floor_percentiles
+
+    n = lambda label: F.count_if(F.col("label") == label).alias(label)
+    counts = made.agg(n("positive"), n("negative"), n("cold_start"), F.min("n_tokens").alias("min"))
+    spread = floor_percentiles(made.withColumn("one", F.lit(1)), ["one"], "n_tokens", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}).select("p25", "p50", "p75", "p95", "max")
+    return counts.join(F.broadcast(spread))  # one row each
+
+
+def unknown_tools(messages: DataFrame, known: list[str]) -> DataFrame:
+    """Per session the tool names that are not ``known``."""
+    names = messages.where("tool is not null").groupBy("session_id").agg(F.collect_set("tool").alias("names"))
+    return names.select("session_id", F.array_sort(F.array_except("names", F.array(*map(F.lit, known)))).alias("unknown"))
+
+
+def review(steps: DataFrame, checkpoints: DataFrame, expires: DataFrame, most: int = 110) -> DataFrame:
+    """A line a step for human review: number, an EXPIRED badge, the entry's first ``most`` characters, and what checkpoints fire after it."""
+    marks = checkpoints.groupBy("session_id", F.col("after_step").alias("idx")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("progress_type", F.lit(": "), "finding"))), " | ").alias("fires"))
+    gone = expires.select("session_id", F.col("expire").alias("idx"), F.lit(True).alias("gone")).distinct()
+    entry = F.when(F.col("role") == "tool", F.concat_ws(" ", F.concat(F.lit("TOOL "), "tool_name"), "cmd")).otherwise(F.concat(F.when(F.col("role") == "user_text", "USER: ").otherwise("ASST: "), "text"))
+    rows = steps.join(marks, ["session_id", "idx"], "left").join(gone, ["session_id", "idx"], "left")
+    line = F.concat(F.format_string("[%3d]", "idx"), F.when(F.col("gone"), " [EXPIRED] ").otherwise(" "), F.left(entry, F.lit(most)))
+    return rows.select("session_id", "idx", line.alias("line"), "fires")

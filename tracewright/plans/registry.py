@@ -28,16 +28,6 @@ query("rn2_transcript", f"with {MSG} select req, string_agg(case role when 'user
 )
 
 
-def _tokens(s, d):
-    return V.messages(s, d).withColumn("n_tokens", render.estimate_tokens(F.col("text")))
-
-
-query("rn7_context_window", f"with {MSG}, t as (select *, floor(length(text) / 4)::bigint as n_tokens, min(case when role = 'user' then idx end) over (partition by req) as goal from messages), g as (select *, max(case when idx = goal then n_tokens end) over (partition by req) as gt from t), k as (select * from g where gt <= 400 and 900 - gt >= 100 and idx >= goal), b as (select *, sum(case when idx > goal then n_tokens else 0 end) over (partition by req order by idx desc) as back from k), f as (select *, count(*) filter (idx > goal) over (partition by req) as n_context from b where idx = goal or back + gt <= 900) select req, idx, role, n_tokens, n_context from f where n_context >= 2")(
-    lambda s, d: render.context_window(_tokens(s, d), budget=900, goal_budget=400, reserve=100, min_context=2)
-)
-query("rn8_positive_turns", f"with {MSG}, a as (select *, max(case when anchor then idx end) over (partition by req order by idx rows between unbounded preceding and 1 preceding) as anchor_idx from messages), k as (select *, row_number() over (partition by req, anchor_idx order by idx) as k from a where role = 'assistant' and anchor_idx is not null) select req, anchor_idx, idx from k where k <= 1")(lambda s, d: render.positives(V.messages(s, d)))
-query("rn11_negative_quota", f"with {MSG}, a as (select *, lag(role) over o as pr, coalesce(lag(anchor, 1) over o, false) or coalesce(lag(anchor, 2) over o, false) as pa, count(*) filter (anchor) over (partition by req) as quota from messages window o as (partition by req order by idx)), k as (select *, row_number() over (partition by req order by md5(req || '/' || idx || '/42'), idx) as k from a where role = 'assistant' and not anchor and pr = 'user' and not pa) select req, idx from k where k <= quota")(lambda s, d: render.negatives(V.messages(s, d)))
-
 R = V.RUNS
 AP = "ap as (select * from (select task, num as off_num, lead(num) over o as on_num, dur as off_dur, lead(dur) over o as on_dur, proxy, lead(proxy) over o as np from runs window o as (partition by task order by num)) where proxy = 'off' and np = 'on' and on_num = off_num + 1)"
 query("jn6_adjacent_pairs", f"with {R}, {AP} select task, off_num, on_num, off_dur, on_dur from ap")(lambda s, d: runs.adjacent_pairs(V.runs(s, d)))
