@@ -313,3 +313,23 @@ def test_annotate_simulation(spark):
         want += [(s, *x) for x in simulate(steps)]
     got = [(r.session_id, r.after_step, r.finding, r.evidence) for r in annotate.annotate(spark.createDataFrame(rows, STEP)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_sessions_of_other_shapes(spark):
+    from tracewright.operators import sessions
+
+    messages = json.dumps([{"role": "user", "content": " go "}, {"role": "assistant", "content": "x", "tool_uses": [{"tool": "Bash", "input": {"command": "ls"}, "output": {"text": "a"}}, "bad", {"tool": "Read", "input": {"path": "p"}, "output": [{"content": "1"}, "2"]}]}, {"role": "user", "content": " "}, {"role": "bot", "content": "done", "tool_uses": []}])
+    df = spark.createDataFrame([(1, messages), (2, '[{"role":"user","content":"only"}]'), (3, "broken"), (4, None)], "session_id int, messages string")
+    got = [tuple(r) for r in sessions.from_tool_uses(df).orderBy("idx").collect()]
+    assert got == [(1, 0, "user_text", "", "", "", None, "go"), (1, 1, "tool", "Bash", "ls", "a", None, ""), (1, 2, "tool", "Read", "p", "1\n2", "p", ""), (1, 3, "assistant_text", "", "", "", None, "done")]
+    reply = 'Sure:\n{"events": [{"expire": 3}, {"expire": 4.7}, {"expire": "a"}, {"checkpoint": {"after_step": 5, "progress_type": "m", "evidence": 2}}]} ok'
+    replies = spark.createDataFrame([(1, reply), (2, "none"), (3, None), (4, '{"events": 3}')], "session_id int, reply string")
+    got = [tuple(r) for r in sessions.reply_events(replies).orderBy("pos").collect()]
+    assert got == [(1, 0, 3, None, None, None, None, None), (1, 1, 4, None, None, None, None, None), (1, 3, None, 5, "m", "", "2", "")]
+
+
+def test_headers(spark):
+    df = spark.createDataFrame([({"Authorization": "a", "Cookie": "c", "x-api-key": "k"},), (None,)], "h map<string,string>")
+    got = [r.o for r in df.select(text.passed_headers(F.col("h")).alias("o")).collect()]
+    own = {"content-type": "application/json", "accept": "application/json", "accept-encoding": "identity"}
+    assert got == [own | {"Authorization": "a", "x-api-key": "k"}, own]

@@ -48,3 +48,17 @@ def money(c: Column) -> Column:
 
 def thousands(c: Column) -> Column:
     return F.when(c >= 1e6, F.format_string("%.1fM", c / 1e6)).when(c >= 1e3, F.format_string("%.1fK", c / 1e3)).otherwise(c.cast("bigint").cast("string"))
+
+
+def fmt_usd(v: Column) -> Column:
+    return F.when(v.isNotNull(), F.format_string("$%.3f", F.bround(v.cast("double"), 3))).otherwise("—")
+
+
+def fmt_seconds(ms: Column) -> Column:
+    return F.when(ms.isNotNull(), F.format_string("%.0fs", F.bround(ms.cast("double") / 1000, 0))).otherwise("—")
+
+
+def fmt_k(v: Column) -> Column:
+    """Millions with two decimals, thousands and less without; a dash for null."""
+    x = v.cast("double")
+    return F.when(x.isNull(), "—").when(F.abs(x) >= 1e6, F.format_string("%.2fM", F.bround(x / 1e6, 2))).when(F.abs(x) >= 1e3, F.format_string("%.0fK", F.bround(x / 1e3, 0))).otherwise(F.format_string("%.0f", F.bround(x, 0)))

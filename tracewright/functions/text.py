@@ -124,3 +124,28 @@ def render_step(idx: Column, role: Column, tool: Column, cmd: Column, output: Co
     shown = F.concat(F.left(out, F.lit(most)), over(out, most, "\n[... %s chars truncated ...]"))
     call = F.concat(number, F.lit("TOOL "), tool, F.lit(": "), F.left(cmd, F.lit(200)), over(cmd, 200, " (…%s)"), F.lit("\n     → "), shown)
     return F.when(role == "user_text", said("USER: ")).when(role == "assistant_text", said("ASST: ")).otherwise(call)
+
+
+#: What a checkpoint may say, and the headers that a side request may carry; fixed values.
+PROGRESS_TYPES = ["milestone_achieved", "approach_eliminated"]
+PASSED_HEADERS = ["authorization", "x-api-key", "anthropic-version", "anthropic-beta", "user-agent"]
+
+
+def missing_fields(kind: Column, finding: Column, evidence: Column, next_direction: Column) -> Column:
+    """The fields that a checkpoint lacks, by name; none for a valid one."""
+    blank = lambda c: trim_space(F.coalesce(c, F.lit(""))) == ""
+    named = [F.when(~F.coalesce(kind.isin(PROGRESS_TYPES), F.lit(False)), "progress_type")] + [F.when(blank(c), n) for n, c in (("finding", finding), ("evidence", evidence), ("next_direction", next_direction))]
+    return F.array_compact(F.array(*named))
+
+
+def checkpoint_ack(kind: Column, finding: Column, evidence: Column, next_direction: Column) -> Column:
+    """What the checkpoint tool answers to a valid call."""
+    label = F.when(kind == "milestone_achieved", "Milestone").otherwise("Approach eliminated")
+    return F.concat(label, F.lit(": "), finding, F.lit(". Evidence: "), evidence, F.lit(". Next: "), next_direction, F.lit(". Prior exploration will be condensed for focus; the full history remains accessible via bookmark_recall."))
+
+
+def passed_headers(headers: Column) -> Column:
+    """The headers (a map) that a side request may carry, names in any case, beside its own."""
+    own = {"content-type": "application/json", "accept": "application/json", "accept-encoding": "identity"}
+    kept = F.map_filter(headers, lambda k, v: F.lower(k).isin(PASSED_HEADERS))
+    return F.map_concat(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.coalesce(kept, F.create_map().cast("map<string,string>")))

@@ -16,10 +16,9 @@ def adjacent_pairs(runs: DataFrame) -> DataFrame:
 
 
 def positional_pairs(runs: DataFrame) -> DataFrame:
-    """Per task: the k-th off run with the k-th on run, in the order of their names."""
-    name = F.col("num").cast("string")
-    side = lambda p: runs.where(F.col("proxy") == p).select("task", F.row_number().over(W.partitionBy("task").orderBy(name)).cast("bigint").alias("k"), F.col("num").alias(f"{p}_num"), F.col("dur").alias(f"{p}_dur"))
-    return side("off").join(side("on"), ["task", "k"])
+    """The k-th off run with the k-th on run, in the order of their names, over all runs; the longer side's rest goes. A row per run directory is numbered in one task."""
+    side = lambda p: runs.where(F.col("proxy") == p).select(F.row_number().over(W.orderBy(F.col("num").cast("string"))).cast("bigint").alias("k"), F.col("num").alias(f"{p}_num"), F.col("dur").alias(f"{p}_dur"))
+    return side("off").join(side("on"), "k")
 
 
 def compare(runs: DataFrame) -> DataFrame:
@@ -31,17 +30,52 @@ def compare(runs: DataFrame) -> DataFrame:
 
 def condition(rewind: Column, hint: Column) -> Column:
     return (
-        F.when((rewind == "on") & (hint == "on"), "rewind+hint").when((rewind == "on") & (hint == "off"), "rewind-only").when((rewind == "off") & (hint == "off"), "baseline")
+        F.when((rewind == "on") & (hint == "on"), "rewind+hint").when((rewind == "on") & (hint == "off"), "rewind-only").when(F.coalesce(rewind, F.lit("?")).isin("off", "?"), "baseline")
         .otherwise(F.concat(F.lit("rewind="), F.coalesce(rewind, F.lit("?")), F.lit("/hint="), F.coalesce(hint, F.lit("?"))))
     )
 
 
 def by_condition(runs: DataFrame) -> DataFrame:
-    """Per (task, proxy): run count, median duration, checkpoint rate, pass and verify counts, and the same over verified runs."""
-    ok = F.col("verify_exit") == 0
-    return runs.groupBy("task", "proxy").agg(
-        F.count(F.lit(1)).alias("n"), F.median("dur").alias("median_dur"), F.avg((F.col("checkpoints") > 0).cast("int")).alias("checkpoint_rate"), F.count_if(F.col("exit_code") == 0).alias("n_pass"),
-        F.when(F.count("verify_exit") > 0, F.count_if(ok)).alias("n_verified"), F.median(F.when(ok, F.col("dur"))).alias("median_dur_ok"),
+    """Per (task, condition): number of runs, medians of cost, duration, turns and saved bytes, rates of runs with checkpoints and with verdict ok; the same (``_ok``) over ok runs alone.
+
+    ``runs``: task, condition, cost, dur_ms, turns, bytes_saved, checkpoints, verdict. Groups without an ok run stay, with n_ok 0.
+    """
+    ok = F.coalesce(F.col("verdict") == "ok", F.lit(False))
+    values = {"cost": "cost", "dur": "dur_ms", "turns": "turns", "saved": "bytes_saved"}
+    has = (F.col("checkpoints") > 0).cast("int")
+    return runs.groupBy("task", "condition").agg(
+        F.count(F.lit(1)).alias("n"), *[F.median(c).alias(f"median_{n}") for n, c in values.items()], F.avg(has).alias("checkpoint_rate"), F.avg(ok.cast("int")).alias("ok_rate"),
+        F.count_if(ok).alias("n_ok"), *[F.median(F.when(ok, F.col(c))).alias(f"median_{n}_ok") for n, c in values.items()], F.avg(F.when(ok, has)).alias("checkpoint_rate_ok"),
+    )
+
+
+def rewind_totals(telemetry: DataFrame) -> DataFrame:
+    """Per run the number of rewinds and the bytes they saved, null as 0; runs without one stay."""
+    hit = F.col("type") == "rewind_applied"
+    return telemetry.groupBy("run").agg(F.count_if(hit).alias("rewinds"), F.coalesce(F.sum(F.when(hit, F.coalesce("bytes_saved", F.lit(0)))), F.lit(0)).cast("bigint").alias("bytes_saved"))
+
+
+def with_rewinds(tasks: DataFrame, totals: DataFrame) -> DataFrame:
+    """A run's totals beside each of its tasks; runs without telemetry count 0."""
+    j = tasks.join(totals, "run", "left")
+    return j.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rewinds", "bytes_saved")})
+
+
+METRICS = ["duration_seconds", "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "total_cost_usd", "num_turns"]
+
+
+def task_metrics(summaries: DataFrame) -> DataFrame:
+    """Per task and metric: how many runs have a number for it and its median; tasks without any number give no row."""
+    values = [F.struct(F.lit(m).alias("metric"), F.col(m).try_cast("double").alias("value")) for m in METRICS]
+    return summaries.select("task", F.inline(F.array(*values))).where("value is not null").groupBy("task", "metric").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("median"))
+
+
+def harness_totals(turns: DataFrame) -> DataFrame:
+    """Per turn log: steps, tool calls, the judge's YES answers, rewinds, input tokens and seconds."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return turns.groupBy("log").agg(
+        (F.max("turn") + 1).alias("steps"), F.count_if(F.col("tool_call").isNotNull()).alias("n_tool_calls"), F.count_if(F.col("shadow.should") == "YES").alias("n_shadow_yes"), F.count_if("rewind_applied").alias("n_rewinds"),
+        total("agent_prompt_tokens").cast("bigint").alias("total_input_tokens"), total("t_turn_s").alias("turn_seconds"),
     )
 
 
@@ -49,7 +83,7 @@ def cache_run(telemetry: DataFrame) -> DataFrame:
     """Per run: token totals, weighted cost, hit rate, compactions and the spike after them."""
     order = W.partitionBy("run").orderBy("line")
     grp = F.count_if(F.col("type") == "cache_stats").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = telemetry.withColumn("grp", grp)
+    rows = telemetry.where(F.col("type").isin("cache_stats", "compact")).withColumn("grp", grp)
     follow = F.max(F.col("type") == "compact").over(W.partitionBy("run", "grp"))
     rows = rows.withColumn("follow_up", (F.col("type") == "cache_stats") & follow)
     stats = F.col("type") == "cache_stats"
@@ -57,7 +91,7 @@ def cache_run(telemetry: DataFrame) -> DataFrame:
     creation = F.when(stats, F.coalesce("cache_creation", F.lit(0)))
     after = F.when(F.col("follow_up"), F.coalesce("cache_creation", F.lit(0)))
     out = rows.groupBy("run").agg(
-        F.count_if(stats).alias("n_requests"), F.count_if(~stats).alias("n_compact"), F.count_if("follow_up").alias("n_follow_up"), total("input_tokens"), total("cache_creation"), total("cache_read"), total("output_tokens"),
+        F.count_if(stats).alias("n_requests"), F.count_if(~stats).alias("n_compact"), F.count_if("follow_up").alias("n_follow_up"), F.coalesce(F.sum(F.when(~stats, F.coalesce("saved", F.lit(0)))), F.lit(0)).cast("bigint").alias("compact_tokens_saved_est"), total("input_tokens"), total("cache_creation"), total("cache_read"), total("output_tokens"),
         F.when((F.count(after) > 0) & (F.count(creation) >= 3), F.median(after) - F.median(creation)).alias("creation_spike"),
     )
     cost = F.col("input_tokens") + 1.25 * F.col("cache_creation") + 0.1 * F.col("cache_read")

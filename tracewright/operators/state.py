@@ -1,49 +1,79 @@
-"""Keyed state machines as ordered folds, and event-sourced bookmarks.
+"""Keyed state machines over ordered streams, and event-sourced bookmarks.
 
-The folds are per conversation; a conversation is one agent's history, so its array is
-bounded by one client's requests.
+A machine's rows are dealt by key and sorted; one pass carries a counter from row to row, so the work is linear and
+a task holds one batch, however many requests a key has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_OUT = "array<struct<seq:bigint,outcome:string,cooldown:int>>"
+OUTCOMES = "key {}, seq long, outcome string, cooldown int"
 
 
-def judge(requests: DataFrame, cooldown: int = 3, min_messages: int = 6) -> DataFrame:
-    """(key, seq, n_messages, verdict, summary, can_elide) to outcomes, in request order.
+def _machine(rows: DataFrame, step: Callable[[int, object], tuple[str, int]]) -> DataFrame:
+    """``step(cooldown, row)`` gives outcome and cooldown after each row of a key, in the order of seq."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, left = None, 0
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                if r.key != key:
+                    key, left = r.key, 0
+                outcome, left = step(left, r)
+                out.append((r.key, r.seq, outcome, left))
+            yield pd.DataFrame(out, columns=["key", "seq", "outcome", "cooldown"])
+
+    schema = OUTCOMES.format(rows.schema["key"].dataType.simpleString())
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, schema)
 
-    too_short leaves the state; in cooldown the judge is not asked; a null verdict is an error.
-    """
-    items = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "n_messages", "verdict", "summary", "can_elide"))).alias("a"))
-    zero = F.struct(F.lit(0).alias("c"), F.array().cast(_OUT).alias("out"))
 
-    def step(acc, x):
-        free = (
-            F.when(x["verdict"].isNull(), "shadow_error").when(x["verdict"] != "YES", "shadow_no").when(F.coalesce(x["summary"], F.lit("")) == "", "no_summary").when(~x["can_elide"], "nothing_to_elide").otherwise("fired")
-        )
-        outcome = F.when(x["n_messages"] < min_messages, "too_short").when(acc["c"] > 0, "cooldown").otherwise(free)
-        c = F.when(outcome == "too_short", acc["c"]).when(outcome == "cooldown", acc["c"] - 1).when(outcome == "fired", cooldown).otherwise(0)
-        return F.struct(c.cast("int").alias("c"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), outcome.alias("outcome"), c.cast("int").alias("cooldown")))).alias("out"))
+def judge_step(r, left: int, cooldown: int, min_messages: int) -> tuple[str, int]:
+    """One request: too_short leaves the state; in cooldown the judge is not asked; a null verdict is an error."""
+    if r.n_messages < min_messages:
+        return "too_short", left
+    if left > 0:
+        return "cooldown", left - 1
+    if r.verdict is None:
+        return "shadow_error", 0
+    if r.verdict != "YES":
+        return "shadow_no", 0
+    if not r.summary:
+        return "no_summary", 0
+    return ("fired", cooldown) if r.can_elide else ("nothing_to_elide", 0)
 
-    return items.select("key", F.inline(F.aggregate("a", zero, step, lambda acc: acc["out"])))
+
+def judge(requests: DataFrame, cooldown: int = 3, min_messages: int = 6) -> DataFrame:
+    """(key, seq, n_messages, verdict, summary, can_elide) to outcomes, in request order."""
+    return _machine(requests.select("key", "seq", "n_messages", "verdict", "summary", "can_elide"), lambda left, r: judge_step(r, left, cooldown, min_messages))
 
 
 def harness(turns: DataFrame, cooldown: int = 3) -> DataFrame:
     """(key, seq, verdict, summary, n_elided): the judge is asked each turn; fires on YES with a summary out of cooldown."""
-    items = turns.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "verdict", "summary", "n_elided"))).alias("a"))
-    zero = F.struct(F.lit(0).alias("c"), F.array().cast(_OUT).alias("out"))
 
-    def step(acc, x):
-        wants = (x["verdict"] == "YES") & (F.coalesce(x["summary"], F.lit("")) != "") & (acc["c"] == 0)
-        outcome = F.when(F.coalesce(wants, F.lit(False)) & (x["n_elided"] >= 1), "fired").when(F.coalesce(wants, F.lit(False)), "unchanged").otherwise("wait")
-        c = F.when(outcome == "fired", cooldown).when(outcome == "unchanged", acc["c"]).otherwise(F.greatest(acc["c"] - 1, F.lit(0)))
-        return F.struct(c.cast("int").alias("c"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), outcome.alias("outcome"), c.cast("int").alias("cooldown")))).alias("out"))
+    def step(left: int, r) -> tuple[str, int]:
+        if r.verdict == "YES" and r.summary and left == 0:
+            return ("fired", cooldown) if r.n_elided >= 1 else ("unchanged", left)
+        return "wait", max(left - 1, 0)
+
+    return _machine(turns.select("key", "seq", "verdict", "summary", "n_elided"), step)
+
 
-    return items.select("key", F.inline(F.aggregate("a", zero, step, lambda acc: acc["out"])))
+def bookmark_lists(events: DataFrame) -> DataFrame:
+    """What each list event (session, seq, kind 'list') returns: names in the order they were first marked, each with its latest summary."""
+    order = W.partitionBy("session", "name").orderBy("seq")
+    marks = events.where("kind = 'mark'").select("session", "name", "summary", F.col("seq").alias("since"), F.lead("seq").over(order).alias("until"), F.first("seq").over(order).alias("born"))
+    lists = events.where("kind = 'list'").select("session", "seq")
+    live = lists.join(marks, "session").where("since < seq and (until is null or until > seq)")
+    lines = live.groupBy("session", "seq").agg(F.array_sort(F.collect_list(F.struct("born", F.concat(F.lit("- "), "name", F.lit(": "), "summary").alias("line")))).alias("a"))
+    joined = lists.join(lines, ["session", "seq"], "left")
+    return joined.select("session", "seq", F.coalesce(F.size("a"), F.lit(0)).alias("count"), F.when(F.size("a") > 0, F.array_join(F.transform("a", lambda x: x["line"]), "\n")).otherwise("(no bookmarks saved yet)").alias("listed"))
 
 
 def bookmarks(events: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ query("rn2_transcript", f"with {MSG} select req, string_agg(case role when 'user
 R = V.RUNS
 AP = "ap as (select * from (select task, num as off_num, lead(num) over o as on_num, dur as off_dur, lead(dur) over o as on_dur, proxy, lead(proxy) over o as np from runs window o as (partition by task order by num)) where proxy = 'off' and np = 'on' and on_num = off_num + 1)"
 query("jn6_adjacent_pairs", f"with {R}, {AP} select task, off_num, on_num, off_dur, on_dur from ap")(lambda s, d: runs.adjacent_pairs(V.runs(s, d)))
-query("jn7_positional_pairs", f"with {R}, a as (select task, proxy, num, dur, row_number() over (partition by task, proxy order by num::varchar) as k from runs) select x.task, x.k, x.num as off_num, x.dur as off_dur, y.num as on_num, y.dur as on_dur from a x join a y on x.task = y.task and x.k = y.k and x.proxy = 'off' and y.proxy = 'on'")(lambda s, d: runs.positional_pairs(V.runs(s, d)))
+query("jn7_positional_pairs", f"with {R}, a as (select proxy, num, dur, row_number() over (partition by proxy order by num::varchar) as k from runs) select x.k, x.num as off_num, x.dur as off_dur, y.num as on_num, y.dur as on_dur from a x join a y on x.k = y.k and x.proxy = 'off' and y.proxy = 'on'")(lambda s, d: runs.positional_pairs(V.runs(s, d)))
 query("jn8_compare", f"with {R}, f as (select task, count(dur) filter (proxy = 'off') as n_off, median(dur) filter (proxy = 'off') as median_off, count(dur) filter (proxy = 'on') as n_on, median(dur) filter (proxy = 'on') as median_on from runs group by task) select task, n_off, round(median_off, 4) as median_off, n_on, round(median_on, 4) as median_on, round((median_on - median_off) * 100 / median_off, 4) as delta_pct from f")(
     lambda s, d: runs.compare(V.runs(s, d)).select("task", "n_off", F.round("median_off", 4).alias("median_off"), "n_on", F.round("median_on", 4).alias("median_on"), F.round("delta_pct", 4).alias("delta_pct"))
 )
@@ -43,10 +43,33 @@ query("ag6_paired_stats", f"with {R}, {AP}, s as (select task, count(*) as n, av
 query("ag8_pooled_change", f"with {R}, {AP} select count(*) as n, round(sum(off_dur), 2) as off_total, round(sum(on_dur), 2) as on_total, round((sum(on_dur) - sum(off_dur)) * 100 / greatest(sum(off_dur), 1), 6) as pct from ap")(
     lambda s, d: runs.adjacent_pairs(V.runs(s, d)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("off_dur"), 2).alias("off_total"), F.round(F.sum("on_dur"), 2).alias("on_total"), F.round((F.sum("on_dur") - F.sum("off_dur")) * 100 / F.greatest(F.sum("off_dur"), F.lit(1.0)), 6).alias("pct"))
 )
-query("ag9_by_condition", f"with {R} select task, proxy, count(*) as n, round(median(dur), 4) as median_dur, round(avg(case when checkpoints > 0 then 1 else 0 end), 6) as checkpoint_rate, count(*) filter (exit_code = 0) as n_pass, case when count(verify_exit) > 0 then count(*) filter (verify_exit = 0) end as n_verified, round(median(dur) filter (verify_exit = 0), 4) as median_dur_ok from runs group by task, proxy")(
-    lambda s, d: runs.by_condition(V.runs(s, d)).select("task", "proxy", "n", F.round("median_dur", 4).alias("median_dur"), F.round("checkpoint_rate", 6).alias("checkpoint_rate"), "n_pass", "n_verified", F.round("median_dur_ok", 4).alias("median_dur_ok"))
+MED = ", ".join(f"round(median({c}){f}, 4) as median_{n}{o}" for f, o in (("", ""), (" filter (verdict = 'ok')", "_ok")) for n, c in (("cost", "cost"), ("dur", "dur_ms"), ("turns", "turns"), ("saved", "bytes_saved")))
+query("ag9_by_condition", f"with {V.BENCH_RUNS} select task, condition, count(*) as n, {MED}, round(avg(case when checkpoints > 0 then 1 else 0 end), 6) as checkpoint_rate, round(avg(case when verdict = 'ok' then 1 else 0 end), 6) as ok_rate, count(*) filter (verdict = 'ok') as n_ok, round(avg(case when checkpoints > 0 then 1 else 0 end) filter (verdict = 'ok'), 6) as checkpoint_rate_ok from bench group by task, condition")(
+    lambda s, d: (lambda g: g.select(*[F.round(c, 4 if c.startswith("median") else 6).alias(c) if c.startswith(("median", "checkpoint", "ok")) else c for c in g.columns]))(runs.by_condition(V.bench_runs(s, d)))
 )
-query("ag12_cache_runs", f"with {V.TELEMETRY}, g as (select *, count(*) filter (type = 'cache_stats') over (partition by run order by line rows between unbounded preceding and 1 preceding) as grp from telemetry), f as (select *, type = 'cache_stats' and bool_or(type = 'compact') over (partition by run, grp) as fu from g), a as (select run, count(*) filter (type = 'cache_stats') as n_requests, count(*) filter (type = 'compact') as n_compact, count(*) filter (fu) as n_follow_up, coalesce(sum(input_tokens) filter (type = 'cache_stats'), 0)::bigint as input_tokens, coalesce(sum(cache_creation) filter (type = 'cache_stats'), 0)::bigint as cache_creation, coalesce(sum(cache_read) filter (type = 'cache_stats'), 0)::bigint as cache_read, coalesce(sum(output_tokens) filter (type = 'cache_stats'), 0)::bigint as output_tokens, case when count(*) filter (fu) > 0 and count(*) filter (type = 'cache_stats') >= 3 then median(coalesce(cache_creation, 0)) filter (fu) - median(coalesce(cache_creation, 0)) filter (type = 'cache_stats') end as creation_spike from f group by run) select *, round(input_tokens + 1.25 * cache_creation + 0.1 * cache_read, 4)::double as weighted_cost, round(coalesce(cache_read / nullif(input_tokens + cache_creation + cache_read, 0), 0), 6) as hit_rate from a")(
+query("ag16_rewind_totals", f"with {V.STEPS} select session_id as run, count(*) filter (tool_name = 'Edit') as rewinds, coalesce(sum(case when tool_name = 'Edit' and k % 5 <> 0 then k end), 0)::bigint as bytes_saved from steps group by 1")(
+    lambda s, d: runs.rewind_totals(_rewinds(s, d))
+)
+query("jn14_task_rewinds", f"with {V.STEPS}, {V.BENCH_RUNS}, t as (select session_id as run, count(*) filter (tool_name = 'Edit') as rewinds, coalesce(sum(case when tool_name = 'Edit' and k % 5 <> 0 then k end), 0)::bigint as bytes_saved from steps group by 1) select bench.run, task, coalesce(rewinds, 0) as rewinds, coalesce(t.bytes_saved, 0) as bytes_saved from bench left join t on t.run = bench.run")(
+    lambda s, d: runs.with_rewinds(V.bench_runs(s, d).select("run", "task"), runs.rewind_totals(_rewinds(s, d)))
+)
+query("ag17_task_metrics", "with s as (select o_orderpriority as task, o_totalprice as v, o_orderkey as k from orders) select task, metric, count(*) as n, round(median(value), 4) as median from (select task, 'duration_seconds' as metric, v::double as value from s union all select task, 'input_tokens', k from s where k % 3 <> 0 union all select task, 'total_cost_usd', v / 100 from s union all select task, 'num_turns', k % 40 from s) group by 1, 2")(
+    lambda s, d: runs.task_metrics(V.load(s, d, "orders").select(F.col("o_orderpriority").alias("task"), F.col("o_totalprice").cast("string").alias("duration_seconds"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey").cast("string")).otherwise("n/a").alias("input_tokens"), *[F.lit(None).cast("string").alias(c) for c in runs.METRICS[2:5]], (F.col("o_totalprice") / 100).alias("total_cost_usd"), (F.col("o_orderkey") % 40).alias("num_turns"))).withColumn("median", F.round("median", 4))
+)
+query("ag23_harness_totals", f"with {V.STEPS} select session_id as log, max(idx) + 1 as steps, count(*) filter (tool_name <> 'Edit') as n_tool_calls, count(*) filter (k % 3 = 0) as n_shadow_yes, count(*) filter (k % 9 = 0) as n_rewinds, sum(k)::bigint as total_input_tokens, round(sum(value), 4) as turn_seconds from steps group by 1")(
+    lambda s, d: runs.harness_totals(V.steps(s, d).select(F.col("session_id").alias("log"), F.col("idx").alias("turn"), F.when(F.col("tool_name") != "Edit", F.struct(F.col("tool_name").alias("name"))).alias("tool_call"), F.struct(F.when(F.col("k") % 3 == 0, "YES").otherwise("NO").alias("should")).alias("shadow"), (F.col("k") % 9 == 0).alias("rewind_applied"), F.col("k").alias("agent_prompt_tokens"), F.col("value").alias("t_turn_s"))).withColumn("turn_seconds", F.round("turn_seconds", 4))
+)
+query("snk5_formatted", "select o_orderkey, '$' || printf('%.3f', o_totalprice) as usd, case when abs(k) >= 1000000 then printf('%.2fM', k / 1000000) when abs(k) >= 1000 then printf('%.0fK', k / 1000) else printf('%.0f', k) end as k from (select o_orderkey, o_totalprice, o_orderkey * 997.0::double + 0.3 as k from orders)")(
+    lambda s, d: V.load(s, d, "orders").select("o_orderkey", stats.fmt_usd(F.col("o_totalprice")).alias("usd"), stats.fmt_k(F.col("o_orderkey") * 997.0 + 0.3).alias("k"))
+)
+
+
+def _rewinds(s, d):
+    """Edits stand for rewinds."""
+    return V.steps(s, d).select(F.col("session_id").alias("run"), F.when(F.col("tool_name") == "Edit", "rewind_applied").otherwise("cache_stats").alias("type"), F.when(F.col("k") % 5 != 0, F.col("k")).alias("bytes_saved"))
+
+
+query("ag12_cache_runs", f"with {V.TELEMETRY}, g as (select *, count(*) filter (type = 'cache_stats') over (partition by run order by line rows between unbounded preceding and 1 preceding) as grp from telemetry), f as (select *, type = 'cache_stats' and bool_or(type = 'compact') over (partition by run, grp) as fu from g), a as (select run, count(*) filter (type = 'cache_stats') as n_requests, count(*) filter (type = 'compact') as n_compact, count(*) filter (fu) as n_follow_up, coalesce(sum(saved) filter (type = 'compact'), 0)::bigint as compact_tokens_saved_est, coalesce(sum(input_tokens) filter (type = 'cache_stats'), 0)::bigint as input_tokens, coalesce(sum(cache_creation) filter (type = 'cache_stats'), 0)::bigint as cache_creation, coalesce(sum(cache_read) filter (type = 'cache_stats'), 0)::bigint as cache_read, coalesce(sum(output_tokens) filter (type = 'cache_stats'), 0)::bigint as output_tokens, case when count(*) filter (fu) > 0 and count(*) filter (type = 'cache_stats') >= 3 then median(coalesce(cache_creation, 0)) filter (fu) - median(coalesce(cache_creation, 0)) filter (type = 'cache_stats') end as creation_spike from f group by run) select *, round(input_tokens + 1.25 * cache_creation + 0.1 * cache_read, 4)::double as weighted_cost, round(coalesce(cache_read / nullif(input_tokens + cache_creation + cache_read, 0), 0), 6) as hit_rate from a")(
     lambda s, d: runs.cache_run(V.telemetry(s, d))
 )
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import annotate, labels, normalize, render, rewrite
+from tracewright.operators import annotate, labels, normalize, render, rewrite, sessions, state
 from tracewright.plans import views as V
 from tracewright.plans.catalog import query
 
@@ -268,3 +268,66 @@ query("flt11_unknown_tools", f"with {V.TRACE} select session_id, list_sort(list(
 query("rn12_review", f"with {ALL}, {EXP}, f as (select session_id, after_step as idx, progress_type || ': ' || finding as fires from ann) select session_id, idx, '[' || lpad(idx::varchar, greatest(3, length(idx::varchar))::int, ' ') || ']' || case when ex.expire is not null then ' [EXPIRED] ' else ' ' end || left(case role when 'tool' then 'TOOL ' || tool_name || ' ' || cmd when 'user_text' then 'USER: ' || text else 'ASST: ' || text end, 110) as line, fires from trace left join f using (session_id, idx) left join ex on ex.session_id = trace.session_id and ex.expire = trace.idx")(
     lambda s, d: render.review(V.trace(s, d), annotate.annotate(V.trace(s, d)), annotate.stale_outputs(V.trace(s, d)))
 )
+
+
+def _dataset(s, d):
+    """Traces in the shape of datasets with paired tool uses."""
+    t = V.trace(s, d)
+    q = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    k = F.col("k").cast("string")
+    out = F.when(F.col("k") % 3 == 0, q('{"text":"t', k, '"}')).when(F.col("k") % 3 == 1, q('["l', k, '",{"content":"c"},{"text":"x"}]')).otherwise(q('"plain ', k, '"'))
+    given = F.when(F.col("k") % 4 == 0, q('{"command":"","path":"p', k, '"}')).when(F.col("k") % 4 == 1, q('{"other":', k, "}")).otherwise(q('{"file_path":"f', k, '","command":"c', k, '"}'))
+    message = F.when(F.col("role") == "tool", q('{"role":"assistant","content":"left out","tool_uses":[{"tool":"', F.col("tool_name"), '","input":', given, ',"output":', out, "}]}")).otherwise(q('{"role":"', F.when(F.col("role") == "user_text", "user").otherwise("model"), '","content":"', F.when(F.col("k") % 5 == 0, "  ").otherwise(q(" say ", k, " ")), '"}'))
+    rows = t.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", message.alias("m")))), lambda x: x["m"]), ",").alias("m"))
+    return rows.select("session_id", q("[", F.col("m"), "]").alias("messages"))
+
+
+query(
+    "nrm9_tool_use_sessions",
+    f"""with {V.TRACE}, v as (select *, (row_number() over (partition by session_id order by idx) - 1)::bigint as n, bool_or(role = 'tool') over (partition by session_id) as any_tool from trace where role = 'tool' or k % 5 <> 0)
+    select session_id, n as idx, role, tool_name, case when role <> 'tool' then '' when k % 4 = 0 then 'p' || k when k % 4 = 1 then '{{"other":' || k || '}}' else 'c' || k end as cmd, case when role <> 'tool' then '' when k % 3 = 0 then 't' || k when k % 3 = 1 then 'l' || k || chr(10) || 'c' || chr(10) || 'x' else 'plain ' || k end as output,
+      case when role = 'tool' and k % 4 = 0 then 'p' || k when role = 'tool' and k % 4 > 1 then 'f' || k end as input_file, case when role = 'tool' then '' else 'say ' || k end as text from v where any_tool""",
+)(lambda s, d: sessions.from_tool_uses(_dataset(s, d)))
+
+
+def _replies(s, d):
+    """A reply per step, fenced or broken by k."""
+    q = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    k, i = F.col("k").cast("string"), F.col("idx").cast("string")
+    events = q('{"events":[{"expire":', i, '},{"expire":"', k, '"},{"expire":"x"},{"expire":1,"checkpoint":{}},{"other":1},{"checkpoint":{"after_step":"', i, '","progress_type":"p","finding":"f', k, '"}},{"checkpoint":{"after_step":2}},{"checkpoint":7},5]}')
+    return V.trace(s, d).select(q(F.col("session_id").cast("string"), "/", i).alias("session_id"), F.when(F.col("k") % 4 == 0, q("no JSON ", k)).when(F.col("k") % 4 == 1, q("```json\n", events, "\n```")).when(F.col("k") % 4 == 2, q("{broken ", k, "}")).otherwise(events).alias("reply"))
+
+
+query(
+    "nrm17_reply_events",
+    f"with {V.TRACE}, v as (select session_id || '/' || idx as session_id, idx, k from trace where k % 4 in (1, 3)), n as (select null::varchar as z) select session_id, 0::bigint as pos, idx as expire, null::bigint as after_step, z as progress_type, z as finding, z as evidence, z as next_direction from v, n union all select session_id, 1, k, null, z, z, z, z from v, n union all select session_id, 5, null, idx, 'p', 'f' || k, '', '' from v",
+)(lambda s, d: sessions.reply_events(_replies(s, d)))
+
+
+def _calls(s, d):
+    """Checkpoint calls with gaps by k."""
+    k = F.col("k")
+    part = lambda p, n: F.when(k % p != 0, F.concat(F.lit(n), k.cast("string")))
+    return V.trace(s, d).select("session_id", "idx", F.when(k % 6 == 0, "other").when(k % 6 == 1, None).when(k % 6 < 4, "milestone_achieved").otherwise("approach_eliminated").alias("kind"), F.coalesce(part(5, "f"), F.lit(" \n")).alias("finding"), part(7, "e").alias("evidence"), F.coalesce(part(4, "n"), F.lit("")).alias("next_direction"))
+
+
+query(
+    "flt13_checkpoint_calls",
+    f"""with {V.TRACE}, v as (select session_id, idx, k % 6 > 1 as kind, k % 5 <> 0 as f, k % 7 <> 0 as e, k % 4 <> 0 as n, k from trace), w as (select session_id, idx, list_filter([case when not kind then 'progress_type' end, case when not f then 'finding' end, case when not e then 'evidence' end, case when not n then 'next_direction' end], lambda x: x is not null) as missing, k from v)
+    select session_id, idx, missing, case when len(missing) = 0 then case when k % 6 < 4 then 'Milestone' else 'Approach eliminated' end || ': f' || k || '. Evidence: e' || k || '. Next: n' || k || '. Prior exploration will be condensed for focus; the full history remains accessible via bookmark_recall.' end as ack from w""",
+)(lambda s, d: (lambda c, m: c.select("session_id", "idx", m.alias("missing"), F.when(F.size(m) == 0, text.checkpoint_ack(*map(F.col, ("kind", "finding", "evidence", "next_direction")))).alias("ack")))(_calls(s, d), text.missing_fields(*map(F.col, ("kind", "finding", "evidence", "next_direction")))))
+
+
+def _bookmark_events(s, d):
+    k = F.col("k")
+    return V.trace(s, d).select(F.col("session_id").alias("session"), F.col("idx").alias("seq"), F.when(k % 3 == 0, "mark").when(k % 3 == 1, "list").otherwise("recall").alias("kind"), F.concat(F.lit("n"), (k % 5).cast("string")).alias("name"), F.concat(F.lit("s"), k.cast("string")).alias("summary"))
+
+
+query(
+    "st8_bookmark_lists",
+    f"with {V.TRACE}, m as (select session_id, idx, 'n' || (k % 5) as name, 's' || k as summary from trace where k % 3 = 0), l as (select session_id, idx from trace where k % 3 = 1), b as (select l.session_id, l.idx, name, arg_max(summary, m.idx) as summary, min(m.idx) as born from l join m on m.session_id = l.session_id and m.idx < l.idx group by 1, 2, 3), a as (select session_id, idx, count(*)::int as count, string_agg('- ' || name || ': ' || summary, chr(10) order by born) as listed from b group by 1, 2) select l.session_id as session, l.idx as seq, coalesce(count, 0) as count, coalesce(listed, '(no bookmarks saved yet)') as listed from l left join a using (session_id, idx)",
+)(lambda s, d: state.bookmark_lists(_bookmark_events(s, d)))
+query("so5_distinct_expires", f"with {V.TRACE}, {EXP} select session_id, list_sort(list(distinct expire)) as expires from ex group by 1")(lambda s, d: annotate.stale_outputs(V.trace(s, d)).groupBy("session_id").agg(F.array_sort(F.collect_set("expire")).alias("expires")))
+query("jn4_step_checkpoints", f"with {ALL} select t.session_id, t.idx, list(progress_type order by progress_type) filter (progress_type is not null) as fires from trace t left join ann on ann.session_id = t.session_id and ann.after_step = t.idx group by 1, 2 having count(progress_type) > 0")(
+    lambda s, d: V.trace(s, d).select("session_id", "idx").join(annotate.annotate(V.trace(s, d)).withColumnsRenamed({"after_step": "idx"}), ["session_id", "idx"]).groupBy("session_id", "idx").agg(F.array_sort(F.collect_list("progress_type")).alias("fires"))
+)

@@ -46,13 +46,14 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 != 0, k * 3).alias("cache_creation"),
         (k * 7).alias("cache_read"),
         (k % 13).alias("output_tokens"),
+        F.when(k % 4 != 0, k).alias("saved"),
         "ts",
     )
 
 
 TELEMETRY = """telemetry as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::bigint as line,
   case when event_type = 'signup' then 'compact' else 'cache_stats' end as type, k as input_tokens, case when k % 10 <> 0 then k * 3 end as cache_creation,
-  k * 7 as cache_read, k % 13 as output_tokens, ts from (select *, json_extract_string(props, '$.k')::bigint as k from events))"""
+  k * 7 as cache_read, k % 13 as output_tokens, case when k % 4 <> 0 then k end as saved, ts from (select *, json_extract_string(props, '$.k')::bigint as k from events))"""
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,3 +138,19 @@ REQUESTS = TRACE + """, rq0 as (select *, unnest(case when role = 'tool' then [0
         case when k % 8 = 1 then '"summary":"legacy ' || k || '"' else '"progress_type":"' || case when k % 3 = 0 then 'approach_eliminated' else 'milestone_achieved' end || '","finding":"f' || k || '","evidence":"' || case when k % 5 = 0 then '' else 'e' || k end || '","next_direction":"n' || k || '"' end
       else '"file_path":"' || cmd || '"' end || '}}]'
     else '[{"type":"tool_result","tool_use_id":"call_' || idx || '","content":' || case when k % 3 = 0 then '[{"type":"text","text":"' || replace(output, chr(10), '\\n') || '"}]' else '"' || replace(output, chr(10), '\\n') || '"' end || '}' || case when k % 5 = 0 then ',{"type":"text","text":"note"}' else '' end || ']' end as content from rq0)"""
+
+
+def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark runs with conditions, costs and verdicts, one per order."""
+    from tracewright.operators.runs import condition
+
+    o = load(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rewind = F.when(k % 3 == 0, "on").when(k % 3 == 1, "off")
+    hint = F.when(c % 3 == 0, "on").when(c % 3 == 1, "off")
+    verdict = F.when(c % 4 == 0, "ok").when(c % 4 == 1, "wrong_area").when(c % 4 == 2, "no_patch")
+    return o.select(F.col("o_orderpriority").alias("task"), condition(rewind, hint).alias("condition"), F.when(k % 7 != 0, F.col("o_totalprice") / 1000).alias("cost"), F.when(k % 11 != 0, k * 10).alias("dur_ms"), (c % 50).alias("turns"), (c % 3).alias("checkpoints"), (k % 1000).alias("bytes_saved"), verdict.alias("verdict"), k.alias("run"))
+
+
+BENCH_RUNS = """bench as (select o_orderpriority as task, case when o_orderkey % 3 = 0 and o_custkey % 3 = 0 then 'rewind+hint' when o_orderkey % 3 = 0 and o_custkey % 3 = 1 then 'rewind-only' when o_orderkey % 3 <> 0 then 'baseline' else 'rewind=on/hint=?' end as condition, case when o_orderkey % 7 <> 0 then o_totalprice / 1000 end as cost, case when o_orderkey % 11 <> 0 then o_orderkey * 10 end as dur_ms,
+  o_custkey % 50 as turns, o_custkey % 3 as checkpoints, o_orderkey % 1000 as bytes_saved, case o_custkey % 4 when 0 then 'ok' when 1 then 'wrong_area' when 2 then 'no_patch' end as verdict, o_orderkey as run from orders)"""

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STEP = "struct<idx:bigint,role:string,tool_name:string,cmd:string,output:string,input_file:string,text:string>"
 CHECKPOINT = "struct<after_step:bigint,progress_type:string,finding:string,evidence:string,next_direction:string>"
 SESSION = f"session_id string, source string, steps array<{STEP}>, events array<struct<expire:bigint,checkpoint:{CHECKPOINT}>>, checkpoints array<{CHECKPOINT}>, expire_step_ids array<bigint>"
-EVENT = "sessionId string, timestamp bigint, type string, url string, input_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, output_tokens bigint, anchorIdx bigint, turnsElided bigint, bytesSaved bigint, summary string, toolName string, tokensSavedEstimate bigint, name string, progress_type string, finding string, evidence string, next_direction string"
+EVENT = "sessionId string, timestamp bigint, type string, url string, input_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, output_tokens bigint, anchorIdx bigint, turnsElided bigint, bytesSaved bigint, summary string, toolName string, tokensSavedEstimate bigint, name string, progress_type string, finding string, evidence string, next_direction string, sessionKey string, should string, reason string, elided bigint, rewindCount bigint, remaining bigint, attempt bigint, status bigint, delayMs bigint, compactCount bigint, overwrote boolean, found boolean, count bigint, bookmark_count bigint"
 SUMMARY = "task_id string, mode string, model string, max_turns bigint, duration_seconds bigint, exit_code bigint, run_suffix string, input_tokens bigint, output_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint, total_cost_usd double, num_turns bigint, claude_duration_ms bigint, claude_duration_api_ms bigint, stop_reason string, is_error boolean, error string"
 MANIFEST = "schema_version bigint, default_model string, default_max_turns bigint, tasks array<struct<id:string,tier:bigint,max_turns:bigint,model:string,fixture:struct<url:string,ref:string,shallow:boolean,submodules:boolean,submodule_pins:map<string,string>,build_cmd:string>>>"
 TURN = "turn bigint, t_turn_s double, agent_prompt_tokens bigint, agent_raw_output string, tool_call struct<name:string,arguments:map<string,string>>, shadow struct<should:string,reason:string,summary:string,raw:string>, rewind_applied boolean, rewind_n_elided bigint, tool_result string"
@@ -96,7 +95,8 @@ def candidates(parts: list[DataFrame], most: int = 30000, least_steps: int = 20,
     """Datasets in order, each one's first ``most`` sessions by id, of a number of tool steps in range."""
     out = None
     for n, p in enumerate(parts):
-        first = p.withColumn("source_ord", F.lit(n)).withColumn("_rn", F.row_number().over(W.partitionBy(F.lit(n)).orderBy("session_id"))).where(F.col("_rn") <= most).drop("_rn") if most else p
+        first = p.withColumn("source_ord", F.lit(n))
+        first = first.orderBy("session_id").limit(most) if most else first  # a bounded top-k: no window over the whole dataset
         out = first if out is None else out.unionByName(first, allowMissingColumns=True)
     n_tools = F.size(F.filter("steps", lambda s: s["role"] == "tool"))
     return out.where((n_tools >= least_steps) & (n_tools <= most_steps))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewright.operators.state import judge_step
+
 OUTCOMES = "key string, seq long, outcome string, cooldown int"
 
 
@@ -23,23 +25,24 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "run").agg(F.count(F.lit(1)).alias("n")).select("run", "session_window.start", "session_window.end", "n")
 
 
-def judge(requests: DataFrame, cooldown: int = 3, min_messages: int = 6) -> DataFrame:
-    """The same machine as the batch fold, over a stream of (key, seq, n_messages, verdict, summary, can_elide)."""
+def judge(requests: DataFrame, cooldown: int = 3, min_messages: int = 6, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """The same machine as the batch one, over a stream of (key, seq, n_messages, verdict, summary, can_elide).
+
+    A key without requests for ``ttl_ms`` is forgotten and starts anew, so state does not grow for ever. Requests of a key
+    are in order within a micro-batch; a client sends the next one after the answer to the last, so batches are in order too.
+    """
 
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         left = state.get[0] if state.exists else 0
-        rows = pd.concat(frames).sort_values("seq")
         out = []
-        for r in rows.itertuples(index=False):
-            if r.n_messages < min_messages:
-                outcome = "too_short"
-            elif left > 0:
-                outcome, left = "cooldown", left - 1
-            else:
-                outcome = "shadow_error" if r.verdict is None else "shadow_no" if r.verdict != "YES" else "no_summary" if not r.summary else "fired" if r.can_elide else "nothing_to_elide"
-                left = cooldown if outcome == "fired" else 0
+        for r in pd.concat(frames).sort_values("seq").itertuples(index=False):
+            outcome, left = judge_step(r, left, cooldown, min_messages)
             out.append((key[0], r.seq, outcome, left))
         state.update((left,))
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["key", "seq", "outcome", "cooldown"])
 
-    return requests.groupBy("key").applyInPandasWithState(run, OUTCOMES, "left int", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("key").applyInPandasWithState(run, OUTCOMES, "left int", "append", GroupStateTimeout.ProcessingTimeTimeout)
