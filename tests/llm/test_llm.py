@@ -386,3 +386,76 @@ def test_pipeline(spark):
             assert r.ids == lib.encode(docs[r.doc_id].text, add_special_tokens=False).ids
     groups = {d: c for d, _, c in brute_components([(d, docs[d].text) for d in kept], 5, 80, 100)}
     assert len(set(groups.values())) == len(kept)
+
+
+def test_clashing_names_and_dots(spark, tmp_path):
+    """Columns named like an output in another case are replaced, dotted names pass."""
+    text = "one two three " * 40
+    df = spark.createDataFrame([(1, text, "a", "b", 3)], "doc_id long, text string, N_WORDS string, `x.y` string, Fail_Bits int")
+    for out in (quality_rules.ledger(df), decontaminate.mark(df.drop("Fail_Bits"), spark.createDataFrame([(1, "one")], "item_id long, text string")), bpe.encode(df, bpe.vocabulary_file()), secrets.scan(df), licenses.scan(df)):
+        r = out.first()
+        assert r["x.y"] == "b" and len({c.lower() for c in out.columns}) == len(out.columns)
+    pages = spark.createDataFrame([(1, "a://net/de/", "<p>t", "h", "d")], "page_id long, url string, html string, HOST string, `x.y` string")
+    rules = spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")
+    assert url_filters.filter_urls(pages, rules).first()["x.y"] == "d" and html_text.extract(pages).first()["x.y"] == "d"
+
+
+def test_html_table(spark):
+    rows = [(1, None), (2, ""), (3, "<p>a &lt; b"), (3, "<p>a &lt; b"), (4, "<p>" + "long words here " * 20000 + "</p>")]
+    pages = spark.createDataFrame([(i, h, "u", 7) for i, h in rows], "page_id long, html string, url string, N_Chars int")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect())
+    assert got[:4] == [(1, "", 0), (2, "", 0), (3, "a < b", 5), (3, "a < b", 5)] and got[4][2] == 20000 * 16 - 1
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_empty_tables(spark, edge):
+    none = edge.limit(0)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for out in (quality_rules.ledger(none), bpe.encode(none, bpe.vocabulary_file()), secrets.redact(secrets.scan(none)), licenses.scan(none), decontaminate.mark(none, bench), ngram_join.keep_one(none)):
+        assert out.count() == 0
+    assert decontaminate.mark(edge, bench).count() == len(EDGE)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    good = " ".join(f"wort{i}" for i in range(80))
+    rows = [(1, good, "k", 1, "r", 9), (2, good, "k", 2, "r", 9), (2, good, "k", 2, "r", 9), (3, None, "k", 3, "r", 9), (4, good.replace("wort", "andere") + " password=abcdefgh1", "k", 4, "r", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, N_Words int, goes string, _row int").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("bigint")})
+    for table, want in ((docs, [1, 4]), (docs.limit(0), [])):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SF)
+            assert kept.columns == docs.columns
+        got = {r.doc_id: r for r in kept.collect()}
+        assert sorted(got) == want
+        for i, r in got.items():
+            assert (r.N_Words, r.goes, r._row) == (i, "r", 9) and r.n_chars == len(r.text)
+        assert corpus_pipeline.encoding(spark, kept, SF).count() == len(want)
+
+
+def test_near_copies_below_the_threshold_stay_linear(spark, monkeypatch):
+    """A group of documents, every two just below the threshold: no stored table outgrows it by more than a document's n-grams."""
+    from tracewright.llm.common import Stored
+
+    sizes = []
+    keep = Stored.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(Stored, "keep", counted)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k, at in enumerate(rng.sample(range(3, 57), 2)):
+            w[at] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.cluster(df, 3, 90, 100).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 400
+    assert max(sizes) <= 400 * 20

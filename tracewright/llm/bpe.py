@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import give_back, kept_columns, load, quoted, small_batches
+from tracewright.llm.common import give_back, kept_columns, load, map_arrow, quoted, small_batches
 
 #: The byte-level pattern for words; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -463,7 +463,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool
             del batch, counts, first, second, arrays
         give_back()
 
-    return df.select(*map(quoted, kept), F.col(text)).mapInArrow(run, schema)
+    return map_arrow(df.select(*map(quoted, kept), F.col(text)), run, schema)
 
 
 def vocabulary_file() -> str:

@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,9 +17,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset and Spark runs on this machine alone."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -70,6 +73,18 @@ def kept_columns(df: DataFrame, replaced: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: they travel by number, as ``c0`` and so on, and get ``schema``'s names again."""
+    inside = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=inside.names)
+
+    return numbered.mapInArrow(renamed, inside).toDF(*schema.names)
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """``names`` changed where needed so that none is one of ``taken``, in any case."""
     low = {c.lower() for c in taken}

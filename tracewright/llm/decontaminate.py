@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import load, small_batches
+from tracewright.llm.common import kept_columns, load, map_arrow, quoted, small_batches
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -200,6 +200,8 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int) ->
         yield block
 
 
+#: Blocks of items at most: each is held by every executor and costs a pass over the words.
+MOST_BLOCKS = 64
 HITS = "array<struct<a:int,b:int>>"
 
 
@@ -207,15 +209,17 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """``docs`` with n_words, hits (word ranges) and items (sorted ids of items with occurring windows)."""
     spark = docs.sparkSession
     small_batches(spark)
-    kept = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    out = docs.select(*kept, F.lit(0).cast("bigint").alias("n_words"), F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
+    kept = kept_columns(docs, ["n_words", "hits", "items"])
+    out = docs.select(*map(quoted, kept), F.lit(0).cast("bigint").alias("n_words"), F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
     schema = out.schema
     blocks = 0
     for block in item_blocks(benchmark, item, item_text, block_words):
+        if blocks == MOST_BLOCKS:
+            raise ValueError(f"more than {MOST_BLOCKS} blocks of {block_words} words of test items")
         sent = spark.sparkContext.broadcast(block)  # block_words words at most, and one item
-        out = out.mapInArrow(_marker(sent, kept, text, window), schema)
+        out = map_arrow(out, _marker(sent, kept, text, window), schema)
         blocks += 1
-    return out if blocks else out.mapInArrow(_marker(None, kept, text, window), schema)
+    return out if blocks else map_arrow(out, _marker(None, kept, text, window), schema)
 
 
 _workers: dict[str, Automaton] = {}
@@ -237,14 +241,14 @@ def _marker(sent, kept: list[str], text: str, window: int):
         automaton = worker_automaton(name, sent.value if sent is not None else [], window)
         for batch in batches:
             n_words, hits, items = [], [], []
-            for t, h, i in zip(batch.column(text).to_pylist(), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            for t, h, i in zip(batch.column(kept.index(text)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist(), strict=True):
                 w = words(t)
                 spans, found = automaton.match(w)
                 n_words.append(len(w))
                 hits.append([{"a": a, "b": b} for a, b in (merged([(x["a"], x["b"]) for x in h] + spans) if h else spans)])
                 items.append(sorted({*i, *(automaton.ids[k] for k in found)}))
             made = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=[*kept, "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + made, names=[*kept, "n_words", "hits", "items"])
 
     return run
 
@@ -260,14 +264,14 @@ def contaminated(share: int = 20) -> Column:
 
 def strip(marked: DataFrame, text: str = "text", longest: int = WINDOW) -> DataFrame:
     """``marked`` with the spans of ``longest`` words or more cut out of ``text``."""
+    at, hits_at = marked.columns.index(text), marked.columns.index("hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [without(t, [(h["a"], h["b"]) for h in hits if h["b"] - h["a"] >= longest]) for t, hits in zip(batch.column(text).to_pylist(), batch.column("hits").to_pylist(), strict=True)]
-            i = batch.schema.names.index(text)
-            yield batch.set_column(i, text, pa.array(cut, pa.string()))
+            cut = [without(t, [(h["a"], h["b"]) for h in hits if h["b"] - h["a"] >= longest]) for t, hits in zip(batch.column(at).to_pylist(), batch.column(hits_at).to_pylist(), strict=True)]
+            yield batch.set_column(at, "text", pa.array(cut, pa.string()))
 
-    return marked.mapInArrow(run, marked.schema)
+    return map_arrow(marked, run, marked.schema)
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:

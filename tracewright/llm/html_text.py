@@ -31,9 +31,10 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import load, small_batches
+from tracewright.llm.common import kept_columns, load, map_arrow, quoted, small_batches
 
 #: Tags that end a line; fixed values.
 BLOCK = frozenset(
@@ -199,15 +200,15 @@ def main_text(html: str | None) -> str:
 def extract(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` without its html, with ``text`` and ``n_chars``."""
     small_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in (html, "text", "n_chars")]
+    kept = kept_columns(df, [html, "text", "n_chars"])
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
+            texts = [main_text(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
-    return df.select(*kept, html).mapInArrow(run, schema)
+    return map_arrow(df.select(*map(quoted, kept), F.col(html)), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

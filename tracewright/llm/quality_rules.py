@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import let, load
+from tracewright.llm.common import fresh, kept_columns, let, load, quoted
 
 #: White space of the contract: \x20 \x09-\x0D; fixed values.
 SPACES = " \t\n\x0b\x0c\r"
@@ -77,8 +77,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("l"),
     )
     got = {"n_words": "w.n", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_dup_lines": "l.d", "n_repeat_words": "w.r", "n_lines": "l.n"}
-    rest = [c for c in df.columns if c not in got and c != "_m"]
-    return df.select(*[F.col(c) for c in rest], m.alias("_m")).select(*rest, *[F.col(f"_m.{v}").cast("bigint").alias(k) for k, v in got.items()])
+    rest = kept_columns(df, list(got))
+    (name,) = fresh(rest, "measures")
+    return df.select(*map(quoted, rest), m.alias(name)).select(*map(quoted, rest), *[F.col(f"{name}.{v}").cast("bigint").alias(k) for k, v in got.items()])
 
 
 def ledger(df: DataFrame, text: str = "text", rules: list[tuple[str, str]] = RULES) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import load, lower_ascii
+from tracewright.llm.common import kept_columns, load, lower_ascii, quoted
 
 #: (host, path, verdict) of the registered query; fixed values.
 RULES = [
@@ -85,9 +85,9 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", lanes: int | None = None) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``: the longest rule's verdict, else ``default``."""
     lanes = lanes or max(64, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = kept_columns(pages, ["host", "path", "rule", "verdict"])
     host, path = host_and_path(F.col(url))
-    row = F.struct(*[F.col(c) for c in kept])
+    row = F.struct(*map(quoted, kept))
     urls = pages.select(row.alias("_row"), host.alias("_host"), path.alias("_path")).select(
         "_row", "_host", "_path", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)).cast("int").alias("_lane"), host_key(F.col("_host")).alias("_key"), F.lit(1).alias("_kind")
     )
