@@ -244,7 +244,8 @@ def _chat(s, d):
 
 
 def _chunks(s, d, **limits):
-    return render.chunks(_chat(s, d), annotate.annotate(V.trace(s, d)), **limits)
+    """Messages and checkpoints are read several times: persisted, to be made once."""
+    return render.chunks(_chat(s, d).persist(), annotate.annotate(V.trace(s, d)).persist(), **limits)
 
 
 query("rn5_chat_messages", f"with {ALL}, {CM} select session_id, idx, role, content, tool, call_id, arguments, step from cm")(_chat)
