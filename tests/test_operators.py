@@ -333,3 +333,30 @@ def test_headers(spark):
     got = [r.o for r in df.select(text.passed_headers(F.col("h")).alias("o")).collect()]
     own = {"content-type": "application/json", "accept": "application/json", "accept-encoding": "identity"}
     assert got == [own | {"Authorization": "a", "x-api-key": "k"}, own]
+
+
+def test_formatters(spark):
+    from tracewright.functions import stats
+
+    rows = [(None,), (float("nan"),), (0.0,), (59.4,), (63.0,), (90.0,), (2500.0,), (1234567.0,), (-0.3,), (-1500.0,)]
+    v = F.col("v")
+    got = spark.createDataFrame(rows, "v double").select(*[f(v) for f in (stats.fmt_duration, stats.fmt_int, stats.money, stats.fmt_usd, stats.fmt_seconds, stats.fmt_k)]).collect()
+    miss = lambda x: x is None or x != x
+
+    def k(x):
+        return f"{x / 1e6:.2f}M" if abs(x) >= 1e6 else f"{x / 1e3:.0f}K" if abs(x) >= 1e3 else f"{x:.0f}"
+
+    for (x,), r in zip(rows, got):
+        want = ["—"] * 6 if miss(x) else [f"{x:.0f}s" if x < 60 else f"{x / 60:.1f}m", f"{x / 1000:.0f}k" if x >= 1000 else f"{x:.0f}", f"${x:.2f}", f"${x:.3f}", f"{x / 1000:.0f}s", k(x)]
+        assert list(r) == want, x
+    pairs = [(100.0, 99.7), (100.0, 150.0), (0.0, 5.0), (None, 5.0), (3.0, 1.0), (8.0, 9.0)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a double, b double").select(stats.delta_pct(F.col("a"), F.col("b"))).collect()]
+    assert got == [f"{(b - a) / a * 100:+.0f}%" if a else "—" for a, b in pairs]
+    assert one(spark, "1234567", lambda x: stats.thousands(x.cast("double"))) == "1.23M" and one(spark, "12345", lambda x: stats.thousands(x.cast("double"))) == "12.3K"
+
+
+def test_runs_of_task(spark):
+    r = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (None, "a"), (3, None)], "run int, task string")
+    assert sorted((x.run, x.task) for x in runs.of_task(r, "a").collect()) == [(1, "a"), (1, "b")]
+    assert {x.task for x in runs.task_names(r, r.where("run = 2")).collect()} == {"a", "b", None}
+    assert runs.task_names(r.limit(0), r.limit(0)).count() == 0

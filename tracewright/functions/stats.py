@@ -42,23 +42,56 @@ def paired(pairs: DataFrame, by: list[str], off: str, on: str) -> DataFrame:
     return s.withColumn("significant", F.abs("t") > F.col("t_crit")).withColumn("n_for_power", F.when(F.abs("d") > 0.05, power))
 
 
-def money(c: Column) -> Column:
-    return F.format_string("$%.2f", c)
+def mean(c: Column | str) -> Column:
+    """Mean of the values there are; null without any."""
+    return F.avg(c)
 
 
-def thousands(c: Column) -> Column:
-    return F.when(c >= 1e6, F.format_string("%.1fM", c / 1e6)).when(c >= 1e3, F.format_string("%.1fK", c / 1e3)).otherwise(c.cast("bigint").cast("string"))
+def fixed(v: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded half to even on its exact binary value, without grouping."""
+    return F.replace(F.format_number(v.cast("double"), digits), F.lit(","), F.lit(""))
+
+
+def dash(v: Column, shown: Column) -> Column:
+    """``shown``, or a dash where ``v`` is null or not a number."""
+    return F.when(v.isNull() | F.isnan(v.cast("double")), "—").otherwise(shown)
+
+
+def money(v: Column) -> Column:
+    return dash(v, F.concat(F.lit("$"), fixed(v, 2)))
+
+
+def thousands(v: Column) -> Column:
+    """Millions with two decimals, thousands with one."""
+    size = F.abs(v)
+    return F.when(size >= 1e6, F.concat(fixed(v / 1e6, 2), F.lit("M"))).when(size >= 1e3, F.concat(fixed(v / 1e3, 1), F.lit("K"))).otherwise(fixed(v, 0))
 
 
 def fmt_usd(v: Column) -> Column:
-    return F.when(v.isNotNull(), F.format_string("$%.3f", F.bround(v.cast("double"), 3))).otherwise("—")
+    return dash(v, F.concat(F.lit("$"), fixed(v, 3)))
 
 
 def fmt_seconds(ms: Column) -> Column:
-    return F.when(ms.isNotNull(), F.format_string("%.0fs", F.bround(ms.cast("double") / 1000, 0))).otherwise("—")
+    return dash(ms, F.concat(fixed(ms / 1000, 0), F.lit("s")))
 
 
 def fmt_k(v: Column) -> Column:
     """Millions with two decimals, thousands and less without; a dash for null."""
-    x = v.cast("double")
-    return F.when(x.isNull(), "—").when(F.abs(x) >= 1e6, F.format_string("%.2fM", F.bround(x / 1e6, 2))).when(F.abs(x) >= 1e3, F.format_string("%.0fK", F.bround(x / 1e3, 0))).otherwise(F.format_string("%.0f", F.bround(x, 0)))
+    size = F.abs(v)
+    return dash(v, F.when(size >= 1e6, F.concat(fixed(v / 1e6, 2), F.lit("M"))).when(size >= 1e3, F.concat(fixed(v / 1e3, 0), F.lit("K"))).otherwise(fixed(v, 0)))
+
+
+def fmt_duration(seconds: Column) -> Column:
+    """Seconds below a minute, else minutes with one decimal."""
+    return dash(seconds, F.when(seconds < 60, F.concat(fixed(seconds, 0), F.lit("s"))).otherwise(F.concat(fixed(seconds / 60, 1), F.lit("m"))))
+
+
+def fmt_int(v: Column) -> Column:
+    return dash(v, F.when(v >= 1000, F.concat(fixed(v / 1000, 0), F.lit("k"))).otherwise(fixed(v, 0)))
+
+
+def delta_pct(before: Column, after: Column) -> Column:
+    """Signed change in whole percent; a dash where a side is missing or the first is 0."""
+    x = F.try_divide(after.cast("double") - before, before) * 100
+    shown = fixed(x, 0)
+    return dash(x, F.concat(F.when(F.startswith(shown, F.lit("-")), "").otherwise("+"), shown, F.lit("%")))

@@ -111,6 +111,19 @@ def prefix_match(keys: DataFrame, prompts: DataFrame, most: int = 64) -> DataFra
     return longer.select("key", "task").unionByName(shorter.select("key", "task")).groupBy("key").agg(F.min("task").alias("task"))
 
 
+def of_task(runs: DataFrame, task: str) -> DataFrame:
+    """All rows of the runs that have the task."""
+    return runs.join(runs.where(F.col("task") == task).select("run").distinct(), "run", "left_semi")
+
+
+def task_names(*sides: DataFrame) -> DataFrame:
+    """The tasks of any side, each once."""
+    out = sides[0].select("task")
+    for s in sides[1:]:
+        out = out.unionByName(s.select("task"))
+    return out.distinct()
+
+
 def patch_verdict(patches: DataFrame, heuristics: DataFrame) -> DataFrame:
     """(task, diff) against (task, files, keywords): no_heuristic, no_patch, wrong_area or ok; keyword_hit beside it."""
     j = patches.join(heuristics, "task", "left")

@@ -64,6 +64,19 @@ query("snk5_formatted", "select o_orderkey, '$' || printf('%.3f', o_totalprice)
 )
 
 
+DUR = "case when x < 60 then printf('%.0f', x) || 's' else printf('%.1f', x / 60) || 'm' end"
+query("snk5_changes", f"select o_orderkey, {DUR} as dur, case when x >= 1000 then printf('%.0f', x / 1000) || 'k' else printf('%.0f', x) end as n, case when o_orderkey % 7 = 0 then '—' else printf('%+.0f', (o_totalprice - b) / b * 100) || '%' end as change from (select *, o_orderkey::double as x, (o_orderkey % 7 * 20000)::double as b from orders)")(
+    lambda s, d: V.load(s, d, "orders").select("o_orderkey", stats.fmt_duration(F.col("o_orderkey").cast("double")).alias("dur"), stats.fmt_int(F.col("o_orderkey").cast("double")).alias("n"), stats.delta_pct((F.col("o_orderkey") % 7 * 20000).cast("double"), F.col("o_totalprice")).alias("change"))
+)
+query("flt9_of_task", f"with {V.STEPS} select session_id as run, tool_name as task, idx from steps where session_id in (select session_id from steps where tool_name = 'Edit')")(
+    lambda s, d: runs.of_task(V.steps(s, d).select(F.col("session_id").alias("run"), F.col("tool_name").alias("task"), "idx"), "Edit")
+)
+query("so3_task_names", f"with {R} select task from runs where proxy = 'off' union select task from runs where proxy = 'on'")(lambda s, d: runs.task_names(*[V.runs(s, d).where(F.col("proxy") == p) for p in ("off", "on")]))
+query("ag5_mean", f"with {V.TELEMETRY} select run, round(avg(saved), 6) as saved, round(avg(cache_creation), 6) as cache_creation from telemetry group by run")(
+    lambda s, d: V.telemetry(s, d).groupBy("run").agg(F.round(stats.mean("saved"), 6).alias("saved"), F.round(stats.mean("cache_creation"), 6).alias("cache_creation"))
+)
+
+
 def _rewinds(s, d):
     """Edits stand for rewinds."""
     return V.steps(s, d).select(F.col("session_id").alias("run"), F.when(F.col("tool_name") == "Edit", "rewind_applied").otherwise("cache_stats").alias("type"), F.when(F.col("k") % 5 != 0, F.col("k")).alias("bytes_saved"))
@@ -110,8 +123,8 @@ query("jn10_resume", "select distinct conv_id as session_id from conversations w
 query("jn11_allow_list", "select distinct conv_id as session_id from conversations where conv_id in (select doc_id from labels where quality = 1)")(
     lambda s, d: V.load(s, d, "conversations").select(F.col("conv_id").alias("session_id")).distinct().join(V.load(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("session_id")), "session_id", "left_semi")
 )
-query("jn9_prefix_match", "with k as (select distinct left(text, 64) as key from conversations where role = 'user'), p as (select conv_id as task, left(text, 20 + conv_id % 60) as prompt from conversations where turn = 1) select key, min(task) as task from k join p on starts_with(left(key, 64), left(prompt, 64)) or starts_with(left(prompt, 64), left(key, 64)) group by key")(
-    lambda s, d: runs.prefix_match(V.load(s, d, "conversations").where("role = 'user'").select(F.left("text", F.lit(64)).alias("key")).distinct(), V.load(s, d, "conversations").where("turn = 1").select(F.col("conv_id").alias("task"), F.left("text", (F.lit(20) + F.col("conv_id") % 60).cast("int")).alias("prompt")))
+query("jn9_prefix_match", "with k as (select distinct left(text, 64) as key from conversations where role = 'user'), p as (select conv_id as task, arg_min(text, turn) as prompt from conversations where role = 'user' group by conv_id) select key, min(task) as task from k join p on starts_with(left(key, 64), left(prompt, 64)) or starts_with(left(prompt, 64), left(key, 64)) group by key")(
+    lambda s, d: runs.prefix_match(V.load(s, d, "conversations").where("role = 'user'").select(F.left("text", F.lit(64)).alias("key")).distinct(), V.load(s, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("task")).agg(F.min_by("text", "turn").alias("prompt")))
 )
 query("sl6_seeded_sample", "select doc_id from (select doc_id, row_number() over (order by md5(doc_id || '/42'), doc_id) as rn from documents) where rn <= 20")(
     lambda s, d: V.load(s, d, "documents").select("doc_id").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/42"))), "doc_id").limit(20)
