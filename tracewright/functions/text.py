@@ -82,6 +82,11 @@ def parse_tool_call(text: Column) -> Column:
     return F.when(name != "", F.struct(name.alias("name"), F.map_from_entries(last).alias("arguments")))
 
 
+def is_checkpoint(name: Column) -> Column:
+    """A parsed call is a checkpoint by its exact name."""
+    return F.coalesce(name == "mcp__bookmarks__checkpoint_progress", F.lit(False))
+
+
 def summary_text(kind: Column, finding: Column, evidence: Column, next_direction: Column, legacy: Column) -> Column:
     """One line of a checkpoint that says anything structured, as a milestone unless an approach was eliminated; else the legacy summary; else ''."""
     label = F.when(kind == "approach_eliminated", "Approach eliminated").otherwise("Milestone")

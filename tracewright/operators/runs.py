@@ -130,5 +130,5 @@ def patch_verdict(patches: DataFrame, heuristics: DataFrame) -> DataFrame:
     touched = F.exists("files", lambda f: F.contains(F.col("diff"), F.concat(F.lit("diff --git a/"), f)) | F.contains(F.col("diff"), F.concat(F.lit("+++ b/"), f)))
     added = F.filter(F.split("diff", "\n"), lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")))
     hit = F.exists("keywords", lambda k: F.exists(added, lambda x: F.contains(x, k)))
-    verdict = F.when(F.col("files").isNull(), "no_heuristic").when(F.coalesce(F.trim("diff"), F.lit("")) == "", "no_patch").when(~touched, "wrong_area").otherwise("ok")
+    verdict = F.when(F.col("files").isNull(), "no_heuristic").when(F.coalesce("diff", F.lit("")) == "", "no_patch").when(~touched, "wrong_area").otherwise("ok")
     return j.withColumn("verdict", verdict).withColumn("keyword_hit", F.coalesce(hit, F.lit(False)))

@@ -84,3 +84,8 @@ def bookmarks(events: DataFrame) -> DataFrame:
     return events.select(
         "session", "seq", "kind", "name", F.when(F.col("kind") == "mark", n > 0).alias("overwrote"), F.when(F.col("kind") == "recall", n > 0).alias("found"), F.when(F.col("kind") == "recall", F.last(marked, ignorenulls=True).over(before)).alias("recalled")
     )
+
+
+def snapshot(outcomes: DataFrame) -> DataFrame:
+    """What a machine knows of each key after its last row: cooldown left and how often it fired."""
+    return outcomes.groupBy("key").agg(F.max_by("cooldown", "seq").alias("cooldown_remaining"), F.count_if(F.col("outcome") == "fired").alias("rewind_count"))

@@ -136,3 +136,5 @@ query("relational_smoke", "select n_name, o_orderpriority, count(*) as n, round(
     lambda s, d: V.load(s, d, "lineitem").where("l_shipdate >= timestamp '1995-01-01'").join(V.load(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(V.load(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(V.load(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     .cube("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 )
+
+from tracewright.plans import wire_queries  # noqa: E402, F401  (takes inputs of this module)

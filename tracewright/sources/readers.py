@@ -107,5 +107,22 @@ def unfinished(sessions_: DataFrame, done: DataFrame) -> DataFrame:
     return sessions_.join(done.select("session_id").distinct(), "session_id", "left_anti")
 
 
+def up_to(sessions_: DataFrame, done: DataFrame, target: int, order: list[str]) -> DataFrame:
+    """Resume to a target count: in order, as many unfinished sessions as are missing; none where it is reached."""
+    left = target - done.select("session_id").distinct().count()
+    return unfinished(sessions_, done).orderBy(*order).limit(max(left, 0))
+
+
+def seeded_choice(sessions_: DataFrame, order: str, seed: int = 42, of_first: int = 20) -> DataFrame:
+    """One of the first ``of_first`` sessions, by a hash of id and seed: the same on every run and at every partitioning."""
+    first = sessions_.orderBy(order, "session_id").limit(of_first)
+    return first.orderBy(F.md5(F.concat_ws(":", F.col("session_id").cast("string"), F.lit(seed).cast("string"))), "session_id").limit(1)
+
+
+def nth(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The row at the 0-based position; none where there are fewer."""
+    return rows.orderBy(*order).offset(n).limit(1)
+
+
 def write_sessions(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
