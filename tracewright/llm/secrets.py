@@ -3,8 +3,8 @@
 Base kinds are patterns: ``assign`` (a named value), ``access`` (access key ids), ``hex`` (long hex runs). The
 ``entropy`` kind looks at candidates, runs of 24 or more of ``[A-Za-z0-9+/=_-]`` with letters
 and digits. A window of 20 characters slides over the candidate; the sum of n * log2(n) over
-its character counts is updated by what enters and what leaves, so each step costs one
-window and no recount. Per character class (hex, alphanumeric, base64) a threshold, in bits, is met
+its character counts is updated by the counts of what enters and what leaves, which are kept
+from step to step, so a step neither recounts nor reads the window. Per character class (hex, alphanumeric, base64) a threshold, in bits, is met
 or not; the span is the whole candidate. Base spans and placeholder words are cut out of a candidate;
 each piece of 24 or more that is left, without separators at its ends, is then judged on its own.
 Pieces that are UUIDs or digests named as such are suppressed.
@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,9 @@ KINDS = ["assign", "access", "hex", "entropy"]
 WINDOW = 20
 #: Bits per character that a window must reach, by class.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
-#: For the SQL, candidates that are no secrets: UUIDs and placeholders (repetitions stay below the thresholds).
-ALLOWED = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(.*[-_/])?(example|sample|placeholder|dummy|test)([-_/].*)?$"]
-#: Pieces that are no secrets, and words that are cut out of candidates.
-UUID, NAMED = ALLOWED[0], r"(?<![^/_-])(example|sample|placeholder|dummy|test)(?![^/_-])"
+#: Pieces that are no secrets (repetitions stay below the thresholds), and words that are cut out of candidates.
+UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+NAMED = r"(?<![^/_-])(example|sample|placeholder|dummy|test)(?![^/_-])"
 #: What stands before a candidate that is a public digest.
 DIGEST_BEFORE = r"(?i)(sha-?(1|224|256|384|512)|md5|integrity|commit|revision)[\"'=: -]{1,4}$"
 
@@ -74,31 +74,44 @@ def located(text: Column, pattern: str, kind: int) -> Column:
     return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, found).otherwise(F.array().cast(SPAN))
 
 
+#: Characters of candidates; each has a byte of its own in the counts of a window, any other shares the first one.
+ALPHABET = string.ascii_letters + string.digits + "+/=_-"
+COUNTERS = len(ALPHABET) // 8 + 1
+
+
 def window_peak(c: Column, window: int = WINDOW) -> Column:
-    """The largest entropy, in bits per character, of any window of ``c`` (shorter: of all of it)."""
+    """The largest entropy, in bits per character, of any window of ``c`` (shorter: of all of it).
+
+    The counts of the window are bytes packed into a few long integers; a step adds one for the character
+    that enters, takes one for the character that leaves, and reads no other. ``window`` is 127 at most.
+    """
     nlogn = lambda n: F.when(n <= 1, F.lit(0.0)).otherwise(n * F.log2(n.cast("double")))
+    shift = lambda name, x, by: F.call_function(name, x, by)
+
+    def place(ch: Column) -> Column:
+        code = F.instr(F.lit(ALPHABET), ch)
+        return F.struct(F.shiftright(code, 3).alias("at"), F.shiftleft(code.bitwiseAND(7), 3).alias("bits"))
 
-    def over(chars: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(math.inf).alias("least"))
+    def over(places: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(math.inf).alias("least"), F.array_repeat(F.lit(0).cast("bigint"), COUNTERS).alias("counts"))
+        n = F.size(places)
 
         def step(acc: Column, i: Column) -> Column:
-            entering = F.get(chars, i)
-            leaving = F.get(chars, i - window)
-            full = F.slice(chars, F.greatest(F.lit(1), i - window + 1), F.least(i, F.lit(window)))  # the window before this step
-            count = lambda x: F.size(F.filter(full, lambda y: y == x))
-            n_in, n_out = count(entering), count(leaving)
-            slid = (i >= window) & (entering != leaving)
-            s = (
-                F.when(i < window, acc["s"] + nlogn(n_in + 1) - nlogn(n_in))
-                .when(slid, acc["s"] + nlogn(n_in + 1) - nlogn(n_in) + nlogn(n_out - 1) - nlogn(n_out))
-                .otherwise(acc["s"])
-            )
-            return F.struct(s.alias("s"), F.when(i >= F.least(F.size(chars), F.lit(window)) - 1, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least"))
+            enters, leaves = F.get(places, i), F.get(places, i - window)  # nothing leaves the first window
+            count = lambda x: shift("shiftright", F.get(acc["counts"], x["at"]), x["bits"]).bitwiseAND(127)
+            unit = lambda x, j: F.when(x["at"] == j, shift("shiftleft", F.lit(1).cast("bigint"), x["bits"])).otherwise(F.lit(0).cast("bigint"))
+            n_in, n_out = count(enters), count(leaves)
+            grown = acc["s"] + nlogn(n_in + 1) - nlogn(n_in)
+            same = F.coalesce(enters == leaves, F.lit(False))
+            s = F.when(same, acc["s"]).when(i < window, grown).otherwise(grown + nlogn(n_out - 1) - nlogn(n_out))
+            counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda w, j: w + unit(enters, j) - unit(leaves, j)))
+            full = i >= F.least(n, F.lit(window)) - 1
+            return F.struct(s.alias("s"), F.when(full, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least"), counts.alias("counts"))
 
-        width = F.least(F.size(chars), F.lit(window)).cast("double")
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda acc: F.log2(width) - acc["least"] / width)
+        width = F.least(n, F.lit(window)).cast("double")
+        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: F.log2(width) - acc["least"] / width)
 
-    return let(F.filter(F.split(c, ""), lambda x: x != ""), over)
+    return let(F.transform(F.filter(F.split(c, ""), lambda x: x != ""), place), over)
 
 
 def threshold(c: Column) -> Column:
@@ -198,9 +211,19 @@ with d as (select doc_id, coalesce(text, '') as t from documents),
 {_sql_spans(ASSIGN, 0, f"length(regexp_extract(hit, $p${ASSIGN}$p$, 2)) >= 8")},
 {_sql_spans(ACCESS, 1, "length(hit) >= 16")},
 {_sql_spans(HEX, 2, "true")},
-{_sql_spans(CANDIDATE, 3, "regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]') and " + " and ".join(f"not regexp_matches(hit, $p${p}$p$)" for p in ALLOWED) + f" and not regexp_matches(substr(t, greatest(e - length(hit) - 15, 1), least(e - length(hit), 16)), $p${DIGEST_BEFORE}$p$)")},
+{_sql_spans(CANDIDATE, 3, "true")},
 b as (select doc_id, s, k, e from s0 union all select doc_id, s, k, e from s1 union all select doc_id, s, k, e from s2),
-c as (select * from s3 where not exists (select 1 from b where b.doc_id = s3.doc_id and b.s < s3.e and s3.s < b.e)),
+tok as (select doc_id, s, unnest(regexp_split_to_array(hit, '[/_-]')) as w, generate_subscripts(regexp_split_to_array(hit, '[/_-]'), 1) as i from s3),
+tp as (select doc_id, s, w, s + (sum(length(w) + 1) over (partition by doc_id, s order by i))::bigint - 1 as he from tok),
+ho as (select doc_id, s, he - length(w) as hs, he from tp where w in ('example', 'sample', 'placeholder', 'dummy', 'test')
+  union all select s3.doc_id, s3.s, b.s, b.e from s3 join b on b.doc_id = s3.doc_id and b.s < s3.e and s3.s < b.e),
+ch as (select doc_id, t, s, hit, unnest(range(s, e)) as p from s3 where exists (select 1 from ho where ho.doc_id = s3.doc_id and ho.s = s3.s)),
+lf as (select *, p - row_number() over (partition by doc_id, s order by p) as g from ch where not exists (select 1 from ho where ho.doc_id = ch.doc_id and ho.s = ch.s and ch.p >= hs and ch.p < he)),
+il as (select doc_id, t, min(p) as a, substr(any_value(hit), min(p) - s + 1, count(*)) as raw from lf group by doc_id, t, s, g),
+pc as (select doc_id, t, a + length(regexp_extract(raw, '^[/=_-]*')) as s, regexp_replace(raw, '^[/=_-]+|[/_-]+$', '', 'g') as hit from il),
+al as (select doc_id, t, s, s + length(hit) as e, hit from pc where length(hit) >= 24
+  union all select doc_id, t, s, e, hit from s3 where not exists (select 1 from ho where ho.doc_id = s3.doc_id and ho.s = s3.s)),
+c as (select doc_id, s, 3 as k, e, hit from al where regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]') and not regexp_matches(hit, $p${UUID}$p$) and not regexp_matches(substr(t, greatest(s - 15, 1), least(s, 16)), $p${DIGEST_BEFORE}$p$)),
 w as (select doc_id, s, k, e, hit, unnest(range(1, greatest(length(hit) - {WINDOW - 1}, 1) + 1)) as i from c),
 p as (select doc_id, s, k, e, hit, max(list_aggregate(string_split(substr(hit, i, {WINDOW}), ''), 'entropy')) as peak from w group by all),
 a as (select * from b union all select doc_id, s, k, e from p where peak >= case when regexp_matches(hit, '^[0-9a-fA-F-]+$') then {THRESHOLDS["hex"]} when regexp_matches(hit, '^[A-Za-z0-9]+$') then {THRESHOLDS["alnum"]} else {THRESHOLDS["base64"]} end),
