@@ -488,3 +488,25 @@ def test_near_copies_below_the_threshold_stay_linear(spark, monkeypatch):
     got = ngram_join.cluster(df, 3, 90, 100).collect()
     assert all(r.component_id == r.doc_id for r in got) and len(got) == 400
     assert max(sizes) <= 400 * 20
+
+
+def test_url_rules_nest(spark):
+    rng = random.Random(11)
+    names, paths = ["a", "ab", "b", "c-d", ""], ["", "/", "/x", "/x/", "/x/y"]
+    host = lambda n: ".".join(rng.choice(names) for _ in range(rng.randint(1, n)))
+    rules = [(host(4), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(60)] + [("", "/x", "block"), (None, "/", "block"), ("A.B", "/", None)]
+    urls = [f"s://{host(6)}{rng.choice(paths)}{rng.choice(['', 'y', '?q', '#/x'])}" for _ in range(600)] + [None, "s://", "s:///x"]
+
+    def judged(url):
+        rest = (url or "").partition("://")[2]
+        h = re.match(r"[^/?#]*", rest)[0]
+        p = re.match(r"[^?#]*", rest[len(h) :])[0]
+        fit = [(len(a), len(b), v == "block", a + b, v) for a, b, v in rules if a is not None and v is not None and h and (not a or h == a or h.endswith("." + a)) and p.startswith(b)]
+        return (fit and max(fit)[3], max(fit)[4]) if fit else (None, "allow")
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = lambda r: spark.createDataFrame(r, "host string, path string, verdict string")
+    for lanes in (1, 7):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(df, table(rules), lanes=lanes).collect()}
+        assert got == {n: judged(u) for n, u in enumerate(urls)}
+    assert {(r.rule, r.verdict) for r in url_filters.filter_urls(df, table([])).collect()} == {(None, "allow")}

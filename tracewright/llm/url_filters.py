@@ -3,8 +3,9 @@
 A host ``www.example.com`` has the canonical key ``com.example.www.``; the hosts that a rule
 covers are then exactly the keys that start with the rule's key, that is one interval of the
 sort order, and the intervals of two rules are nested or disjoint. Keys and rules are sorted
-together and swept once. A rule's row carries the stack of rules open at its start; a URL's
-row takes the stack of the last rule row before it and pops what no longer covers its key.
+together and swept once. The sweep keeps the stack: a slot per number of labels holds the last rule
+host of that depth that was passed, since two of one depth never nest, a new one ends the old. A
+URL's row pops what no longer covers its key and takes the deepest rule that is left and fits its path.
 
 Skew: the sweep runs in ``lanes`` independent lanes. URLs go to a lane by their row's own number
 rather than by host, so one host or URL with a third of all rows spreads evenly; each lane gets
@@ -15,6 +16,7 @@ Defined results
   several rules of one (host, path): the blocking one, then the smallest string, counts.
   longest rule: the longest host first, then the longest path.
   rules with a null host, path or verdict are ignored; an empty host fits every non-empty host.
+  many rules of one host travel together: each URL below it looks through all their paths.
   no rules / no URLs: every URL gets the default verdict / an empty result.
   Extra columns pass through; ``host, path, rule, verdict`` replace columns of those names.
 """
@@ -49,8 +51,8 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def rule_stacks(rules: DataFrame) -> DataFrame:
-    """One row per distinct rule host: ``key`` and ``stack``, the rules open where its interval starts."""
+def rule_nodes(rules: DataFrame) -> DataFrame:
+    """One row per rule host: ``key``, its ``depth`` in labels, and ``entries``, its paths with rules and verdicts, longest path first."""
     r = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull())
         .select(lower_ascii(F.col("host")).alias("host"), "path", "verdict")
@@ -58,28 +60,9 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.when(F.col("verdict") == "block", 0).otherwise(1), F.col("verdict"))).getField("verdict").alias("verdict"))
         .withColumn("key", host_key(F.col("host")))
     )
-    nodes = r.groupBy("key").agg(
-        F.collect_list(
-            F.struct(
-                F.length("host").alias("host_len"), F.length("path").alias("path_len"), F.col("key").alias("prefix"), "path", F.concat("host", "path").alias("rule"), "verdict"
-            )
-        ).alias("entries")
-    )
-    labels = F.split(F.col("key"), r"\.")
-    ups = nodes.select(
-        "key",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), F.size(labels) - 1),
-                lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit("."))),
-            )
-        ).alias("up"),
-    ).distinct()
-    return (
-        ups.join(nodes.select(F.col("key").alias("up"), "entries"), "up")
-        .groupBy("key")
-        .agg(F.sort_array(F.flatten(F.collect_list("entries")), asc=False).alias("stack"))
-    )
+    entry = F.struct(F.length("path").alias("path_len"), F.col("key").alias("prefix"), "path", F.concat("host", "path").alias("rule"), "verdict")
+    depth = F.when(F.col("key") == "", 0).otherwise(F.size(F.split("key", r"\.")) - 1)
+    return r.groupBy("key").agg(F.sort_array(F.collect_list(entry), asc=False).alias("entries")).withColumn("depth", depth)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", lanes: int | None = None) -> DataFrame:
@@ -91,14 +74,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     urls = pages.select(row.alias("_row"), host.alias("_host"), path.alias("_path")).select(
         "_row", "_host", "_path", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)).cast("int").alias("_lane"), host_key(F.col("_host")).alias("_key"), F.lit(1).alias("_kind")
     )
-    stacks = rule_stacks(rules)
-    starts = stacks.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"), F.col("key").alias("_key"), F.lit(0).alias("_kind"), F.col("stack").alias("_stack"))
+    nodes = rule_nodes(rules)
+    depths = sorted((x.depth for x in nodes.select("depth").distinct().collect()), reverse=True)  # labels of a host: a few dozen at most
+    starts = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"), F.col("key").alias("_key"), F.lit(0).alias("_kind"), F.col("entries").alias("_entries"), F.col("depth").alias("_depth"))
     both = urls.unionByName(starts, allowMissingColumns=True)
     sweep = W.partitionBy("_lane").orderBy("_key", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = both.withColumn("_stack", F.last("_stack", ignorenulls=True).over(sweep)).where("_kind = 1")
-    # the stack is sorted longest first: popping and picking is taking the first entry that still covers the URL
+    passed = lambda d: F.last(F.when(F.col("_depth") == d, F.col("_entries")), ignorenulls=True).over(sweep)
+    swept = both.select("*", *[passed(d).alias(f"_at{d}") for d in depths]).where("_kind = 1")
     fits = lambda e: (F.col("_key") != "") & F.col("_key").startswith(e["prefix"]) & F.col("_path").startswith(e["path"])
-    return swept.withColumn("_rule", F.get(F.filter("_stack", fits), F.lit(0))).select(
+    # deepest slot first; a slot's entries are the longest path first
+    found = [F.get(F.filter(f"_at{d}", fits), F.lit(0)) for d in depths]
+    rule = F.coalesce(*found) if found else F.lit(None).cast("struct<rule:string,verdict:string>")
+    return swept.withColumn("_rule", rule).select(
         *[F.col("_row").getField(c).alias(c) for c in kept],
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
