@@ -129,12 +129,9 @@ query("jn9_prefix_match", "with k as (select distinct left(text, 64) as key from
 query("sl6_seeded_sample", "select doc_id from (select doc_id, row_number() over (order by md5(doc_id || '/42'), doc_id) as rn from documents) where rn <= 20")(
     lambda s, d: V.load(s, d, "documents").select("doc_id").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/42"))), "doc_id").limit(20)
 )
-query("stream_window_counts", f"with {V.TELEMETRY} select time_bucket(interval '1 hour', ts) as start, type, count(*) as n, sum(input_tokens)::bigint as input_tokens from telemetry group by 1, 2")(
-    lambda s, d: V.telemetry(s, d).groupBy(F.window("ts", "1 hour").alias("w"), "type").agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens")).select("w.start", "type", "n", "input_tokens")
-)
 query("relational_smoke", "select n_name, o_orderpriority, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where l_shipdate >= timestamp '1995-01-01' group by cube (n_name, o_orderpriority)")(
     lambda s, d: V.load(s, d, "lineitem").where("l_shipdate >= timestamp '1995-01-01'").join(V.load(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(V.load(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(V.load(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     .cube("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 )
 
-from tracewright.plans import wire_queries  # noqa: E402, F401  (takes inputs of this module)
+from tracewright.plans import stream_queries, wire_queries  # noqa: E402, F401  (they take inputs of this module)
