@@ -101,7 +101,7 @@ def test_judge_stream_equals_fold(spark, tmp_path):
     df = spark.createDataFrame(rows, "key string, seq long, n_messages int, verdict string, summary string, can_elide boolean")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = telemetry.judge(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("judged").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q = stream.writeStream.format("memory").queryName("judged").outputMode("append").trigger(once=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     got = sorted(tuple(r) for r in spark.table("judged").select("key", "seq", "outcome", "cooldown").collect())
     assert got == sorted(tuple(r) for r in state.judge(df).collect())
