@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bpe, decontaminate, html_text, licenses, ngram_join, quality_rules, secrets, sharding, token_output, url_filters
+from tracewright.llm import bpe, chat_format, decontaminate, fill_in_middle, html_text, licenses, ngram_join, periodic_runs, quality_rules, secrets, sharding, token_output, url_filters
 
 OPERATORS = {
     "op1_url_filters": url_filters,
@@ -19,6 +19,9 @@ OPERATORS = {
     "op8_token_output": token_output,
     "op9_secret_scans": secrets,
     "op10_benchmark_decontamination": decontaminate,
+    "op11_chat_formatting": chat_format,
+    "op12_periodic_runs": periodic_runs,
+    "op13_fill_in_middle": fill_in_middle,
 }
 
 
