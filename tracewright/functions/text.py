@@ -110,6 +110,11 @@ def extract_usage(body: Column, most: int | None = None) -> Column:
     return F.when(F.startswith(raw, F.lit("{")), F.struct(n("input_tokens").alias("input_tokens"), n("cache_creation_input_tokens").alias("cache_creation"), n("cache_read_input_tokens").alias("cache_read"), n("output_tokens").alias("output_tokens")))
 
 
+def estimate_tokens(text: Column) -> Column:
+    """Four characters a token."""
+    return F.floor(F.length(text) / 4).cast("bigint")
+
+
 def session_key(texts: Column) -> Column:
     """First non-empty user text without reminders, 200 characters; ``texts`` is in order."""
     clean = F.filter(F.transform(texts, lambda t: trim_space(F.regexp_replace(t, REMINDER_RX, ""))), lambda t: t != "")

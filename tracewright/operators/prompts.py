@@ -7,20 +7,22 @@ own one can be given. Null contents count as empty; a call without content shows
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.render import estimate_tokens
+from tracewright.functions.text import estimate_tokens
 
 
 class Template(NamedTuple):
-    """``turn`` takes role and content."""
+    """``turn`` takes role and content; ``preamble`` stands before the first turn, the tools' schema for instance."""
 
     turn: str = "<|im_start|>%s\n%s<|im_end|>\n"
     opening: str = "<|im_start|>assistant\n"
+    preamble: str = ""
 
 
 def turn_text(template: Template, role: Column, content: Column, tool: Column, arguments: Column) -> Column:
@@ -50,18 +52,34 @@ def goal_fits(content: Column, most: int = 2048, count: Callable[[Column], Colum
     return count(F.coalesce(content, F.lit(""))) <= most
 
 
-def token_check(texts: DataFrame, vocabulary: str, column: str = "rendered", least: float = 0.9) -> DataFrame:
-    """Tokens of each text by a tokenizers file, and whether their decoding keeps ``least`` of its characters; null has none.
+def tokenizer_count(vocabulary: str) -> Callable[[Column], Column]:
+    """A count of tokens by a tokenizers file, for ``goal_fits`` and for the cost of chunks: one call a batch of texts; null has none.
 
     ``vocabulary`` is the file's content, so executors need no folder of the driver's.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(e.ids) for e in _tokenizer(vocabulary).encode_batch(texts.fillna("").astype(str).tolist(), add_special_tokens=False)], dtype="int64")
+
+    return count
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(vocabulary)
-        t.no_truncation()
-        t.no_padding()
+    t = Tokenizer.from_str(vocabulary)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def token_check(texts: DataFrame, vocabulary: str, column: str = "rendered", least: float = 0.9) -> DataFrame:
+    """Tokens of each text by a tokenizers file, and whether their decoding keeps ``least`` of its characters; null has none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = _tokenizer(vocabulary)
         for f in frames:
             text = f[column].fillna("").astype(str).tolist()
             ids = [e.ids for e in t.encode_batch(text, add_special_tokens=False)]

@@ -1,18 +1,22 @@
 """Sessions to prompts, chat messages and training chunks.
 
-Messages of a session: (session_id, idx, role, content, tool, call_id, arguments, step). Token counts come from a column
-function of (role, content, arguments); the default estimates four characters a token, a tokenizer's count can be given.
+Messages of a session: (session_id, idx, role, content, tool, call_id, arguments, step). What they cost is a ``Measure``: a count
+of a text column, four characters a token unless one is given, of the content and arguments or of turns as a template writes them.
 
 Defined results: null texts count as empty; sessions without steps give no messages; chunks that do not fit give no row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import cap_response
+from tracewright.functions.text import cap_response, estimate_tokens
+from tracewright.operators.prompts import Template, turn_text
 
 #: The checkpoint tool's name in training data and its answer; fixed values.
 CHECKPOINT_TOOL = "mcp__bookmarks__checkpoint_progress"
@@ -24,8 +28,19 @@ def transcript(steps: DataFrame, by: str, order: str, line: str) -> DataFrame:
     return steps.groupBy(by).agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line])).alias("transcript"))
 
 
-def estimate_tokens(text: Column) -> Column:
-    return F.floor(F.length(text) / 4).cast("bigint")
+class Measure(NamedTuple):
+    """What a message costs; with a template its whole turn, and the template's preamble once a chunk."""
+
+    count: Callable[[Column], Column] = estimate_tokens
+    template: Template | None = None
+
+    def message(self, role: Column, content: Column, tool: Column, arguments: Column) -> Column:
+        if self.template:
+            return self.count(turn_text(self.template, role, content, tool, arguments))
+        return self.count(F.concat(F.coalesce(content, F.lit("")), F.coalesce(arguments, F.lit(""))))
+
+    def fixed(self) -> Column:
+        return self.count(F.lit(self.template.preamble)) if self.template else F.lit(0).cast("bigint")
 
 
 def call_arguments(tool: Column, cmd: Column, input_file: Column) -> Column:
@@ -59,58 +74,59 @@ def anchors(messages: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return rows.withColumn("chunk", chunk.cast("bigint"))
 
 
-def token_counts(messages: DataFrame) -> DataFrame:
-    """``messages`` with n_tokens, the estimate over content and arguments."""
-    return messages.withColumn("n_tokens", estimate_tokens(F.concat(F.coalesce("content", F.lit("")), F.coalesce("arguments", F.lit("")))))
-
-
-def response_tokens(most: int) -> Column:
-    """Tokens of a message whose content is capped."""
-    return estimate_tokens(F.concat(cap_response(F.coalesce("content", F.lit("")), most), F.coalesce("arguments", F.lit(""))))
+def token_counts(messages: DataFrame, measure: Measure = Measure(), most: int = 500) -> DataFrame:
+    """``messages`` with n_tokens, and capped_tokens with a content of ``most`` characters at most."""
+    named = [F.col(c) for c in ("tool", "arguments")]
+    capped = cap_response(F.coalesce("content", F.lit("")), most)
+    return messages.withColumns({"n_tokens": measure.message(F.col("role"), F.col("content"), *named), "capped_tokens": measure.message(F.col("role"), capped, *named)})
 
 
 def completions(messages: DataFrame, at: DataFrame, post: int = 1, most: int = 500) -> DataFrame:
     """Per checkpoint the next ``post`` assistant tool calls after it with their responses, capped: (session_id, chunk, idx, role, content, arguments, n_tokens)."""
     order = W.partitionBy("session_id").orderBy("idx")
+    messages = messages if "capped_tokens" in messages.columns else token_counts(messages, most=most)
     calls = messages.withColumn("is_call", (F.col("role") == "assistant") & F.col("arguments").isNotNull()).withColumn("answers", F.coalesce(F.lag("is_call").over(order), F.lit(False)) & (F.col("role") == "tool"))
     numbered = calls.withColumn("call", F.count_if("is_call").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     seen = numbered.select("session_id", F.col("idx").alias("anchor_idx"), F.col("call").alias("calls_before"))
     a = at.join(seen, ["session_id", "anchor_idx"]).select("session_id", "chunk", F.explode(F.sequence(F.col("calls_before") + 1, F.col("calls_before") + post)).alias("call"))
     rows = numbered.where("is_call or answers").join(a, ["session_id", "call"])
     capped = F.when(F.col("answers"), cap_response(F.col("content"), most)).otherwise(F.col("content"))
-    return rows.withColumn("n_tokens", response_tokens(most)).select("session_id", "chunk", "idx", "role", capped.alias("content"), "arguments", "n_tokens")
+    return rows.select("session_id", "chunk", "idx", "role", capped.alias("content"), "arguments", F.col("capped_tokens").alias("n_tokens"))
 
 
-def fill(messages: DataFrame, targets: DataFrame, budget: int = 8192, goal_budget: int = 2048, reserve: int = 512, min_context: int = 10) -> DataFrame:
+def fill(messages: DataFrame, targets: DataFrame, measure: Measure = Measure(), budget: int = 8192, goal_budget: int = 2048, reserve: int = 512, min_context: int = 10) -> DataFrame:
     """Per target the newest messages up to ``end_idx`` that fit beside goal and completion: ``targets`` with first_idx, n_context and n_tokens.
 
     ``targets``: session_id, end_idx, completion_tokens and more. The goal is message 0, a user's, and must fit ``goal_budget``; what is
     left beside goal and completion must be ``reserve`` at least; fewer than ``min_context`` messages give no chunk.
-    Running sums and thresholds are sorted together, so the fill is a lookup: no target reads messages another has read.
+    Running sums and thresholds are sorted together, largest first, and each takes the last message that came before it: one running
+    frame, linear in a session however many targets it has.
     """
     order = W.partitionBy("session_id").orderBy("idx")
     sums = messages.select("session_id", "idx", F.sum("n_tokens").over(order).alias("upto"))
-    goals = messages.where("idx = 0 and role = 'user'").where(F.col("n_tokens") <= goal_budget).select("session_id", F.col("n_tokens").alias("goal_tokens"))
+    goals = messages.where("idx = 0 and role = 'user'").where(measure.count(F.coalesce("content", F.lit(""))) <= goal_budget).select("session_id", (F.col("n_tokens") + measure.fixed()).alias("goal_tokens"))
     room = F.lit(budget) - F.col("goal_tokens") - F.col("completion_tokens")
     t = targets.join(goals, "session_id").where(room >= reserve).join(sums.withColumnsRenamed({"idx": "end_idx", "upto": "total"}), ["session_id", "end_idx"])
     wanted = t.select("session_id", (F.col("total") - room).alias("value"), F.lit(-1).cast("bigint").alias("idx"), F.struct(*t.columns).alias("t"))
     rows = wanted.unionByName(sums.select("session_id", F.col("upto").alias("value"), "idx"), allowMissingColumns=True)
-    onward = W.partitionBy("session_id").orderBy("value", "idx").rowsBetween(W.currentRow, W.unboundedFollowing)
-    before = F.first(F.when(F.col("idx") >= 0, F.struct("idx", "value")), ignorenulls=True).over(onward)  # the last message that does not go in
+    larger = W.partitionBy("session_id").orderBy(F.desc("value"), F.desc("idx")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = F.last(F.when(F.col("idx") >= 0, F.struct("idx", "value")), ignorenulls=True).over(larger)  # the last message that does not go in
     t = rows.withColumn("before", before).where("idx < 0").select("t.*", "before")
     t = t.withColumn("first_idx", F.least(F.col("before.idx"), F.col("end_idx")) + 1).withColumn("n_context", F.col("end_idx") - F.col("first_idx") + 1).where(F.col("n_context") >= min_context)
     used = F.when(F.col("n_context") > 0, F.col("total") - F.col("before.value")).otherwise(0)
     return t.withColumn("n_tokens", F.col("goal_tokens") + F.col("completion_tokens") + used).drop("total", "before")
 
 
-def positives(messages: DataFrame, checkpoints: DataFrame, post: int = 1, most: int = 500, **limits: int) -> DataFrame:
+def positives(messages: DataFrame, checkpoints: DataFrame, post: int = 1, most: int = 500, measure: Measure = Measure(), **limits: int) -> DataFrame:
     """A chunk per checkpoint that fits: its call, the answer and what really followed are the completion."""
-    m = token_counts(messages)
+    m = token_counts(messages, measure, most)
     at = anchors(m, checkpoints)
     call = F.to_json(F.struct("progress_type", "finding", "evidence", "next_direction"))
+    none, tool = F.lit(None).cast("string"), F.lit(CHECKPOINT_TOOL)
+    own = measure.message(F.lit("assistant"), none, tool, call) + measure.message(F.lit("tool"), F.lit(CHECKPOINT_ACK), tool, none)
     after = completions(m, at, post, most).groupBy("session_id", "chunk").agg(F.sum("n_tokens").alias("after_tokens"), F.count_if(F.col("role") == "assistant").alias("post_steps"))
-    t = at.join(after, ["session_id", "chunk"], "left").select("session_id", "chunk", F.col("anchor_idx").alias("end_idx"), F.col("after_step").alias("checkpoint_step"), "progress_type", call.alias("call"), (estimate_tokens(call) + estimate_tokens(F.lit(CHECKPOINT_ACK)) + F.coalesce("after_tokens", F.lit(0))).alias("completion_tokens"), F.coalesce("post_steps", F.lit(0)).alias("post_steps"))
-    return fill(m, t, **limits)
+    t = at.join(after, ["session_id", "chunk"], "left").select("session_id", "chunk", F.col("anchor_idx").alias("end_idx"), F.col("after_step").alias("checkpoint_step"), "progress_type", call.alias("call"), (own + F.coalesce("after_tokens", F.lit(0))).alias("completion_tokens"), F.coalesce("post_steps", F.lit(0)).alias("post_steps"))
+    return fill(m, t, measure, **limits)
 
 
 def completion_messages(messages: DataFrame, checkpoints: DataFrame, post: int = 1, most: int = 500) -> DataFrame:
@@ -133,28 +149,28 @@ def negative_candidates(messages: DataFrame, at: DataFrame, seed: int = 42) -> D
     return fit.select("session_id", "idx", F.row_number().over(W.partitionBy("session_id").orderBy(key, "idx")).alias("rank"))
 
 
-def negatives(messages: DataFrame, checkpoints: DataFrame, made: DataFrame, ratio: float = 1.0, seed: int = 42, most: int = 500, **limits: int) -> DataFrame:
+def negatives(messages: DataFrame, checkpoints: DataFrame, made: DataFrame, ratio: float = 1.0, seed: int = 42, most: int = 500, measure: Measure = Measure(), **limits: int) -> DataFrame:
     """Per session round-half-even(positive chunks x ratio) chunks whose completion is an ordinary call and its capped response.
 
     ``made``: the positive chunks. Three times as many candidates are taken by rank; the first that fit count.
     """
-    m = token_counts(messages)
+    m = token_counts(messages, measure, most)
     quota = made.groupBy("session_id").agg(F.bround(F.count(F.lit(1)) * F.lit(ratio)).cast("bigint").alias("quota")).where("quota > 0")
     c = negative_candidates(m, anchors(m, checkpoints), seed).join(quota, "session_id").where("rank <= quota * 3")
-    response = m.where("role = 'tool'").select("session_id", (F.col("idx") - 1).alias("idx"), response_tokens(most).alias("response_tokens"))
+    response = m.where("role = 'tool'").select("session_id", (F.col("idx") - 1).alias("idx"), F.col("capped_tokens").alias("response_tokens"))
     own = m.select("session_id", "idx", F.col("n_tokens").alias("own_tokens"))
     t = c.join(own, ["session_id", "idx"]).join(response, ["session_id", "idx"], "left").select("session_id", F.col("idx").alias("anchor_idx"), (F.col("idx") - 1).alias("end_idx"), "rank", "quota", (F.col("own_tokens") + F.coalesce("response_tokens", F.lit(0))).alias("completion_tokens"))
-    built = fill(m, t, **limits).withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("rank")))
+    built = fill(m, t, measure, **limits).withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy("rank")))
     return built.where("n <= quota").drop("n", "quota", "rank")
 
 
-def cold_starts(messages: DataFrame, most: int = 500) -> DataFrame:
+def cold_starts(messages: DataFrame, most: int = 500, measure: Measure = Measure()) -> DataFrame:
     """Per session that begins with a user's message: the goal alone, completed by the first assistant tool call and its capped response."""
-    m = token_counts(messages)
-    goals = m.where("idx = 0 and role = 'user'").select("session_id", F.col("n_tokens").alias("goal_tokens"))
+    m = token_counts(messages, measure, most)
+    goals = m.where("idx = 0 and role = 'user'").select("session_id", (F.col("n_tokens") + measure.fixed()).alias("goal_tokens"))
     first = m.where("role = 'assistant' and arguments is not null and idx > 0").groupBy("session_id").agg(F.min("idx").alias("call_idx"))
     own = m.select("session_id", F.col("idx").alias("call_idx"), F.col("n_tokens").alias("own_tokens"))
-    response = m.where("role = 'tool'").select("session_id", (F.col("idx") - 1).alias("call_idx"), response_tokens(most).alias("response_tokens"))
+    response = m.where("role = 'tool'").select("session_id", (F.col("idx") - 1).alias("call_idx"), F.col("capped_tokens").alias("response_tokens"))
     rows = goals.join(first, "session_id").join(own, ["session_id", "call_idx"]).join(response, ["session_id", "call_idx"], "left")
     return rows.select("session_id", "call_idx", (F.col("goal_tokens") + F.col("own_tokens") + F.coalesce("response_tokens", F.lit(0))).alias("n_tokens"))
 

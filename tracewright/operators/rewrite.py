@@ -86,10 +86,10 @@ def with_checkpoints(messages: DataFrame) -> DataFrame:
 
 
 def _elided(messages: DataFrame) -> DataFrame:
-    order = W.partitionBy("req").orderBy("idx")
+    back = W.partitionBy("req").orderBy(F.desc("idx"))  # from the end, so the next checkpoint is the last one so far
     rows = with_checkpoints(messages).withColumn("anchor", F.col("summary").isNotNull())
     at = F.when(F.col("anchor"), F.struct("idx", "summary"))
-    rows = rows.select("*", F.first(at, ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("next"), F.coalesce(F.lag("anchor").over(order), F.lit(False)).alias("after"))
+    rows = rows.select("*", F.last(at, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("next"), F.coalesce(F.lead("anchor").over(back), F.lit(False)).alias("after"))
     pair = F.col("anchor") | ((F.col("role") == "user") & F.col("after"))
     return rows.withColumn("elided", (F.col("idx") > 0) & F.col("next").isNotNull() & ~pair)
 

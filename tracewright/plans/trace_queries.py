@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import annotate, labels, normalize, render, rewrite, sessions, state
+from tracewright.operators import annotate, chunk_rows, labels, normalize, prompts, render, rewrite, sessions, state
 from tracewright.plans import views as V
 from tracewright.plans.catalog import query
+from tracewright.sources.shared import stored
 
 ERR = r"(?i)\b(error|exception|traceback|undefined|cannot find|failed|fatal|not found|syntax error|unresolved|permission denied|no such file|abort|segmentation fault|command not found)\b"
 GOOD = r"(?i)\b(build (succeeded|successful)|compilation (successful|ok)|passed|passing|\bok\b|finished in \d|tests? (passed|ok)|\[==========\] .* passed|all tests passed)\b"
@@ -217,25 +218,36 @@ query(
 CM = """c0 as (select *, unnest(case when role = 'tool' then [0, 1] else [0] end) as part from trace),
   cm as (select session_id, (row_number() over (partition by session_id order by idx, part) - 1)::bigint as idx, idx as step, case when role = 'user_text' then 'user' when part = 1 then 'tool' else 'assistant' end as role, case when role <> 'tool' then text when part = 1 then output end as content, case when role = 'tool' then tool_name end as tool, case when role = 'tool' then 'call_' || idx end as call_id,
     case when role = 'tool' and part = 0 then case when tool_name = 'Bash' then '{"command":"' || cmd || '"}' when tool_name = 'Read' then '{"file_path":"' || coalesce(input_file, cmd) || '"}' when tool_name in ('Edit', 'Write', 'MultiEdit') then '{"file_path":"' || coalesce(input_file, cmd) || '","content":"[elided]"}' when tool_name in ('Grep', 'Glob') then '{"pattern":"' || cmd || '"}' else '{"input":"' || cmd || '"}' end end as arguments from c0),
-  ct as (select *, floor(length(coalesce(content, '') || coalesce(arguments, '')) / 4)::bigint as n_tokens, floor(length(case when length(content) > 500 then left(content, 500) || chr(10) || '[truncated]' else coalesce(content, '') end || coalesce(arguments, '')) / 4)::bigint as capped_tokens, case when length(content) > 500 then left(content, 500) || chr(10) || '[truncated]' else content end as capped from cm),
+  @ct@,
   us as (select *, sum(n_tokens) over (partition by session_id order by idx) as upto from ct),
   ca as (select ann.*, m.idx as anchor_idx, row_number() over (partition by ann.session_id order by after_step) - 1 as chunk, '{"progress_type":"' || progress_type || '","finding":"' || finding || '","evidence":"' || evidence || '","next_direction":"' || next_direction || '"}' as call from ann join (select session_id, step, max(idx) as idx from cm group by 1, 2) m on m.session_id = ann.session_id and m.step = ann.after_step),
   nc as (select ca.session_id, ca.chunk, min(m.idx) as call_idx from ca join cm m on m.session_id = ca.session_id and m.idx > ca.anchor_idx and m.role = 'assistant' and m.arguments is not null group by 1, 2)"""
 
 
-def fill_sql(targets: str, out: str, budget: int) -> str:
-    return f"""{out}_g as (select t.*, g.n_tokens as goal_tokens, {budget} - g.n_tokens - t.completion_tokens as room from {targets} t join ct g on g.session_id = t.session_id and g.idx = 0 and g.role = 'user' and g.n_tokens <= 2048 where {budget} - g.n_tokens - t.completion_tokens >= 512),
+PLAIN = """ct as (select *, floor(length(coalesce(content, '') || coalesce(arguments, '')) / 4)::bigint as n_tokens, floor(length(case when length(content) > 500 then left(content, 500) || chr(10) || '[truncated]' else coalesce(content, '') end || coalesce(arguments, '')) / 4)::bigint as capped_tokens, case when length(content) > 500 then left(content, 500) || chr(10) || '[truncated]' else content end as capped from cm)"""
+# The same by turns of a template, as text.
+_turn = lambda role, said: f"'<|im_start|>' || {role} || chr(10) || {said} || '<|im_end|>' || chr(10)"
+_call = lambda tool, arguments: f"""'<tool_call>' || chr(10) || '{{"name": "' || {tool} || '", "arguments": ' || {arguments} || '}}' || chr(10) || '</tool_call>'"""
+_said = lambda content: f"case when arguments is null then coalesce({content}, '') when coalesce({content}, '') = '' then {_call('tool', 'arguments')} else {content} || chr(10) || {_call('tool', 'arguments')} end"
+TURNS = f"""ct0 as (select *, case when length(content) > 500 then left(content, 500) || chr(10) || '[truncated]' else content end as capped from cm),
+  ct as (select *, {_turn("role", _said("content"))} as turn, {_turn("role", _said("capped"))} as capped_turn, floor(length({_turn("role", _said("content"))}) / 4)::bigint as n_tokens, floor(length({_turn("role", _said("capped"))}) / 4)::bigint as capped_tokens from ct0)"""
+CALL_TURN, ACK_TURN = _turn("'assistant'", _call("'mcp__bookmarks__checkpoint_progress'", "call")), _turn("'tool'", "'Checkpoint saved. Prior exploration may now be condensed.'")
+CM0, CM = CM, CM.replace("@ct@", PLAIN)
+
+
+def fill_sql(targets: str, out: str, budget: int, fixed: int) -> str:
+    return f"""{out}_g as (select t.*, g.n_tokens + {fixed} as goal_tokens, {budget} - g.n_tokens - {fixed} - t.completion_tokens as room from {targets} t join ct g on g.session_id = t.session_id and g.idx = 0 and g.role = 'user' and floor(length(coalesce(g.content, '')) / 4) <= 2048 where {budget} - g.n_tokens - {fixed} - t.completion_tokens >= 512),
   {out}_i as (select g.*, (select min(u.idx) from us u where u.session_id = g.session_id and u.idx between 1 and g.end_idx and e.upto - u.upto + u.n_tokens <= g.room) as first_idx, e.upto as total from {out}_g g join us e on e.session_id = g.session_id and e.idx = g.end_idx),
   {out} as (select i.*, (end_idx - first_idx + 1)::bigint as n_context, (goal_tokens + completion_tokens + total - (u.upto - u.n_tokens))::bigint as n_tokens from {out}_i i join us u on u.session_id = i.session_id and u.idx = i.first_idx where end_idx - first_idx + 1 >= 10)"""
 
 
-def chunks_sql(budget: int) -> str:
-    return f"""{CM}, pt as (select ca.session_id, ca.chunk, anchor_idx as end_idx, after_step, progress_type, floor(length(call) / 4) + 14 + coalesce(c.n_tokens, 0) + coalesce(r.capped_tokens, 0) as completion_tokens from ca left join nc on nc.session_id = ca.session_id and nc.chunk = ca.chunk left join ct c on c.session_id = ca.session_id and c.idx = nc.call_idx left join ct r on r.session_id = ca.session_id and r.idx = nc.call_idx + 1 and r.role = 'tool'),
-  {fill_sql("pt", "pf", budget)}, qt as (select session_id, count(*) as quota from pf group by 1),
+def chunks_sql(budget: int, ct: str = PLAIN, own: str = "floor(length(call) / 4) + 14", fixed: int = 0) -> str:
+    return f"""{CM0.replace("@ct@", ct)}, pt as (select ca.session_id, ca.chunk, anchor_idx as end_idx, after_step, progress_type, call, {own} + coalesce(c.n_tokens, 0) + coalesce(r.capped_tokens, 0) as completion_tokens from ca left join nc on nc.session_id = ca.session_id and nc.chunk = ca.chunk left join ct c on c.session_id = ca.session_id and c.idx = nc.call_idx left join ct r on r.session_id = ca.session_id and r.idx = nc.call_idx + 1 and r.role = 'tool'),
+  {fill_sql("pt", "pf", budget, fixed)}, qt as (select session_id, count(*) as quota from pf group by 1),
   ng as (select c.session_id, c.idx, row_number() over (partition by c.session_id order by md5(c.session_id || '/' || c.idx || '/42'), c.idx) as rank from ct c join ct p on p.session_id = c.session_id and p.idx = c.idx - 1 and p.role in ('tool', 'user') where c.role = 'assistant' and c.arguments is not null and not exists (select 1 from ca where ca.session_id = c.session_id and ca.anchor_idx = c.idx - 1)),
   nt as (select ng.session_id, ng.idx as anchor_idx, ng.idx - 1 as end_idx, rank, quota, c.n_tokens + coalesce(r.capped_tokens, 0) as completion_tokens from ng join qt using (session_id) join ct c on c.session_id = ng.session_id and c.idx = ng.idx left join ct r on r.session_id = ng.session_id and r.idx = ng.idx + 1 and r.role = 'tool' where rank <= quota * 3),
-  {fill_sql("nt", "nf", budget)}, nb as (select * from (select *, row_number() over (partition by session_id order by rank) as n from nf) where n <= quota),
-  cs as (select g.session_id, f.idx as call_idx, g.n_tokens + c.n_tokens + coalesce(r.capped_tokens, 0) as n_tokens from ct g join (select session_id, min(idx) as idx from ct where role = 'assistant' and arguments is not null and idx > 0 group by 1) f using (session_id) join ct c on c.session_id = g.session_id and c.idx = f.idx left join ct r on r.session_id = g.session_id and r.idx = f.idx + 1 and r.role = 'tool' where g.idx = 0 and g.role = 'user'),
+  {fill_sql("nt", "nf", budget, fixed)}, nb as (select * from (select *, row_number() over (partition by session_id order by rank) as n from nf) where n <= quota),
+  cs as (select g.session_id, f.idx as call_idx, g.n_tokens + {fixed} + c.n_tokens + coalesce(r.capped_tokens, 0) as n_tokens from ct g join (select session_id, min(idx) as idx from ct where role = 'assistant' and arguments is not null and idx > 0 group by 1) f using (session_id) join ct c on c.session_id = g.session_id and c.idx = f.idx left join ct r on r.session_id = g.session_id and r.idx = f.idx + 1 and r.role = 'tool' where g.idx = 0 and g.role = 'user'),
   ch as (select session_id, 'positive' as label, after_step as at, progress_type, first_idx, end_idx, n_context, n_tokens from pf union all select session_id, 'negative', anchor_idx, null, first_idx, end_idx, n_context, n_tokens from nb union all select session_id, 'cold_start', call_idx, null, 1, 0, 0, n_tokens from cs)"""
 
 
@@ -244,24 +256,50 @@ def _chat(s, d):
 
 
 def _chunks(s, d, **limits):
-    """Messages and checkpoints are read several times: persisted, to be made once."""
-    return render.chunks(_chat(s, d).persist(), annotate.annotate(V.trace(s, d)).persist(), **limits)
+    return render.chunks(*_inputs(s, d), **limits)
+
+
+def _inputs(s, d):
+    """Messages and checkpoints are read several times, so they are made once: both from one stored trace."""
+    t = stored(V.trace(s, d))
+    return stored(render.chat_messages(t)), stored(annotate.annotate(t))
+
+
+def _rows(s, d):
+    template = prompts.Template(preamble="<|im_start|>system\nTools: Bash, Read, Edit, Grep<|im_end|>\n")
+    r = chunk_rows.chunk_rows(*_inputs(s, d), template=template)
+    cut = lambda c: F.coalesce(c, F.lit("-"))
+    call = lambda m: F.get(m["tool_calls"], F.lit(0))
+    line = lambda m: F.concat_ws("|", m["role"], cut(m["content"]), cut(call(m)["id"]), cut(call(m)["name"]), cut(call(m)["arguments"]), cut(m["tool_call_id"]), cut(m["name"]))
+    return r.select("prompt", "completion", F.array_join(F.transform("messages", line), "\n").alias("messages"), "meta.*")
+
+
+ROWS = f"""ch1 as (select session_id, 'positive' as label, chunk as n, after_step as at, progress_type, call, first_idx, end_idx, n_context, n_tokens from pf union all select session_id, 'negative', anchor_idx, anchor_idx, null, null, first_idx, end_idx, n_context, n_tokens from nb union all select session_id, 'cold_start', call_idx, call_idx, null, null, 1, 0, 0, n_tokens from cs),
+  pm as (select x.session_id, label, n, false as done, m.idx as ord, turn, m.role, content, tool, m.call_id, arguments from ch1 x join ct m on m.session_id = x.session_id and (m.idx = 0 or m.idx between first_idx and end_idx)
+    union all select x.session_id, label, n, true, m.idx, capped_turn, m.role, case when m.role = 'tool' then coalesce(capped, '') else content end, tool, m.call_id, arguments from ch1 x join ct m on m.session_id = x.session_id and label <> 'positive' and (m.idx = n and arguments is not null or m.idx = n + 1 and m.role = 'tool')
+    union all select session_id, label, n, true, -2, {CALL_TURN}, 'assistant', null, 'mcp__bookmarks__checkpoint_progress', 'call_ckpt_' || n, call from ch1 where label = 'positive'
+    union all select session_id, label, n, true, -1, {ACK_TURN}, 'tool', 'Checkpoint saved. Prior exploration may now be condensed.', 'mcp__bookmarks__checkpoint_progress', 'call_ckpt_' || n, null from ch1 where label = 'positive'
+    union all select x.session_id, label, n, true, m.idx, capped_turn, m.role, case when m.role = 'tool' then capped else content end, tool, m.call_id, arguments from ch1 x join nc on nc.session_id = x.session_id and nc.chunk = n join ct m on m.session_id = x.session_id and label = 'positive' and (m.idx = nc.call_idx or m.idx = nc.call_idx + 1 and m.role = 'tool')),
+  pl as (select session_id, label, n, '<|im_start|>system' || chr(10) || 'Tools: Bash, Read, Edit, Grep<|im_end|>' || chr(10) || string_agg(turn, '' order by ord) filter (not done) || '<|im_start|>assistant' || chr(10) as prompt, substr(string_agg(turn, '' order by ord) filter (done), 23) as completion,
+    string_agg(role || '|' || coalesce(content, '-') || '|' || case when arguments is null then '-|-|-' else call_id || '|' || tool || '|' || arguments end || '|' || case when role = 'tool' then call_id || '|' || tool else '-|-' end, chr(10) order by done, ord) as messages from pm group by 1, 2, 3)
+  select prompt, completion, messages, label, session_id as source_session, case label when 'positive' then ch1.at end as checkpoint_step, progress_type, case label when 'negative' then ch1.at end as negative_anchor_idx, n_tokens, n_context as n_context_msgs from ch1 join pl using (session_id, label, n)"""
 
 
 query("rn5_chat_messages", f"with {ALL}, {CM} select session_id, idx, role, content, tool, call_id, arguments, step from cm")(_chat)
 query("rn8_completions", f"with {ALL}, {CM} select session_id, chunk, -2::bigint as idx, 'assistant' as role, null as content, call as arguments, 'mcp__bookmarks__checkpoint_progress' as tool from ca union all select session_id, chunk, -1, 'tool', 'Checkpoint saved. Prior exploration may now be condensed.', null, 'mcp__bookmarks__checkpoint_progress' from ca union all select nc.session_id, chunk, m.idx, m.role, case when m.role = 'tool' then capped else content end, arguments, tool from nc join ct m on m.session_id = nc.session_id and (m.idx = nc.call_idx or m.idx = nc.call_idx + 1 and m.role = 'tool')")(
     lambda s, d: render.completion_messages(_chat(s, d), annotate.annotate(V.trace(s, d)))
 )
+query("rn6_chunk_rows", f"with {ALL}, {chunks_sql(8192, TURNS, f'floor(length({CALL_TURN}) / 4) + floor(length({ACK_TURN}) / 4)', 14)}, {ROWS}")(_rows)
 query("rn7_chunks", f"with {ALL}, {chunks_sql(8192)} select * from ch")(_chunks)
 query("rn11_chunks_small_budget", f"with {ALL}, {chunks_sql(1500)} select * from ch")(lambda s, d: _chunks(s, d, budget=1500))
 query("rn10_cold_starts", f"with {ALL}, {chunks_sql(8192)} select * from cs")(lambda s, d: render.cold_starts(_chat(s, d)))
-query("sl7_negative_anchors", f"with {ALL}, {chunks_sql(8192)} select * from ng")(lambda s, d: render.negative_candidates(_chat(s, d), render.anchors(_chat(s, d), annotate.annotate(V.trace(s, d)))))
+query("sl7_negative_anchors", f"with {ALL}, {chunks_sql(8192)} select * from ng")(lambda s, d: (lambda m, c: render.negative_candidates(m, render.anchors(m, c)))(*_inputs(s, d)))
 query("jn5_anchor_messages", f"with {ALL}, {CM} select session_id, after_step, progress_type, anchor_idx, chunk from ca")(lambda s, d: render.anchors(_chat(s, d), annotate.annotate(V.trace(s, d))).select("session_id", "after_step", "progress_type", "anchor_idx", "chunk"))
 query("ag21_chunk_totals", f"with {ALL}, {chunks_sql(8192)}, l as (select list(n_tokens order by n_tokens) as l, count(*) filter (label = 'positive') as positive, count(*) filter (label = 'negative') as negative, count(*) filter (label = 'cold_start') as cold_start from ch) select positive, negative, cold_start, l[1] as min, l[1 + floor(len(l) * 0.25)::int] as p25, l[1 + floor(len(l) * 0.5)::int] as p50, l[1 + floor(len(l) * 0.75)::int] as p75, l[1 + floor(len(l) * 0.95)::int] as p95, l[len(l)] as max from l")(
     lambda s, d: render.chunk_totals(_chunks(s, d))
 )
 query("rn9_chunk_messages", f"with {ALL}, {chunks_sql(8192)}, x as (select *, case label when 'negative' then end_idx + 1 when 'cold_start' then ch.at end as call from ch) select x.session_id, label, x.at, m.idx, false as done, m.role, m.content, m.arguments from x join ct m on m.session_id = x.session_id and (m.idx = 0 or m.idx between x.first_idx and x.end_idx) union all select x.session_id, label, x.at, m.idx, true, m.role, case when m.role = 'tool' then capped else content end, m.arguments from x join ct m on m.session_id = x.session_id and (m.idx = x.call and m.arguments is not null or m.idx = x.call + 1 and m.role = 'tool')")(
-    lambda s, d: render.chunk_messages(_chat(s, d), _chunks(s, d))
+    lambda s, d: (lambda m, c: render.chunk_messages(m, render.chunks(m, c)))(*_inputs(s, d))
 )
 query("flt11_unknown_tools", f"with {V.TRACE} select session_id, list_sort(list(distinct tool_name) filter (tool_name not in ('Bash', 'Read', 'Edit', 'Grep', 'Glob', 'mcp__bookmarks__checkpoint_progress'))) as unknown from trace where role = 'tool' group by 1")(
     lambda s, d: render.unknown_tools(_chat(s, d), ["Bash", "Read", "Edit", "Grep", "Glob", "mcp__bookmarks__checkpoint_progress"])

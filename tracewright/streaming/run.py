@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark runs on this machine alone."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="tracewright-stream-")
+from tracewright.sources.shared import shared_folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
