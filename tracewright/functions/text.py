@@ -65,18 +65,26 @@ def cap_response(text: Column, most: int = 500) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[truncated]"))).otherwise(text)
 
 
+def numbered_lines(text: Column, most: int = 500) -> Column:
+    """A file as the reading tool shows it: its first ``most`` lines, then a mark if there are more, each with its number."""
+    lines = F.split(F.regexp_replace(text, r"(\r\n|[\n\r])\z", ""), r"\r\n|[\n\r]")
+    shown = F.when(F.size(lines) > most, F.concat(F.slice(lines, 1, most), F.array(F.lit(f"... [truncated at {most} lines]")))).otherwise(lines)
+    return F.when(text == "", "").otherwise(F.array_join(F.transform(shown, lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n"))
+
+
 def parse_verdict(text: Column) -> Column:
-    """struct<should, reason, summary> of a judge's reply."""
-    got = lambda rx: F.nullif(F.regexp_extract(text, rx, 1), F.lit(""))
-    return F.struct(F.upper(got(r"(?i)SHOULD_CHECKPOINT:\s*(YES|NO)\b")).alias("should"), F.trim(got(r"(?i)REASON:[ \t]*([^\n]+)")).alias("reason"), trim_space(got(r"(?is)SUMMARY:\s*(.+)")).alias("summary"))
+    """struct<should, reason, summary> of a judge's reply. The answer may be in any case, the marks before reason and summary not;
+    a reason is one line, the next one if its own is blank; a blank one is ''."""
+    got = lambda rx: F.when(F.regexp_instr(text, F.lit(rx)) > 0, trim_space(F.regexp_extract(text, rx, 1)))
+    return F.struct(F.upper(got(r"(?iU)SHOULD_CHECKPOINT:\s*(YES|NO)\b")).alias("should"), got(r"(?U)REASON:\s*(.+)").alias("reason"), got(r"(?sU)SUMMARY:\s*(.+)").alias("summary"))
 
 
 def parse_tool_call(text: Column) -> Column:
     """struct<name, arguments> of the first call in a reply; the last of repeated parameters counts; else null."""
-    rx = r"(?s)<tool_call>\s*<function=([^>]+)>(.*?)</function>\s*</tool_call>"
+    rx = r"(?sU)<tool_call>\s*<function=(\w+)>(.*?)</function>\s*</tool_call>"
     name, body = F.regexp_extract(text, rx, 1), F.regexp_extract(text, rx, 2)
-    par = r"(?s)<parameter=([^>]+)>(.*?)</parameter>"
-    keys, values = F.regexp_extract_all(body, F.lit(par), F.lit(1)), F.transform(F.regexp_extract_all(body, F.lit(par), F.lit(2)), trim_space)
+    par = r"(?sU)<parameter=(\w+)>\s*(.*?)\s*</parameter>"
+    keys, values = F.regexp_extract_all(body, F.lit(par), F.lit(1)), F.regexp_extract_all(body, F.lit(par), F.lit(2))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["k"]))
     return F.when(name != "", F.struct(name.alias("name"), F.map_from_entries(last).alias("arguments")))
@@ -99,14 +107,14 @@ def summary_text(kind: Column, finding: Column, evidence: Column, next_direction
 def extract_usage(body: Column, most: int | None = None) -> Column:
     """The first usage of an event stream or JSON body: struct<input_tokens, cache_creation, cache_read, output_tokens>.
 
-    The whole body is read; a caller that only holds the head of a body says so by ``most`` characters.
+    A count that is no number is null, a fraction loses what stands behind the point. The whole body is read; a caller that only holds the head of a body says so by ``most`` characters.
     """
     head = body if most is None else F.left(body, F.lit(most))
     events = F.transform(F.filter(F.split(head, "\n"), lambda x: F.startswith(x, F.lit("data: "))), lambda x: trim_space(F.substr(x, F.lit(7))))
     usage = lambda x: F.coalesce(F.get_json_object(x, "$.message.usage"), F.get_json_object(x, "$.usage"))
     found = F.filter(F.transform(events, usage), lambda x: F.startswith(x, F.lit("{")))
     raw = F.coalesce(F.get(found, F.lit(0)), F.get_json_object(head, "$.usage"))
-    n = lambda k: F.get_json_object(raw, f"$.{k}").cast("bigint")
+    n = lambda k: F.get_json_object(raw, f"$.{k}").try_cast("double").try_cast("bigint")
     return F.when(F.startswith(raw, F.lit("{")), F.struct(n("input_tokens").alias("input_tokens"), n("cache_creation_input_tokens").alias("cache_creation"), n("cache_read_input_tokens").alias("cache_read"), n("output_tokens").alias("output_tokens")))
 
 
@@ -128,6 +136,7 @@ def utf16_length(text: Column) -> Column:
 def render_step(idx: Column, role: Column, tool: Column, cmd: Column, output: Column, text: Column, most: int = 2000) -> Column:
     """A step as one prompt entry."""
     number = F.format_string("[%3d] ", idx)
+    cmd, tool, text = (F.coalesce(c, F.lit("")) for c in (cmd, tool, text))
     over = lambda c, n, form: F.when(F.length(c) > n, F.format_string(form, F.length(c) - n)).otherwise("")
     said = lambda who: F.concat(number, F.lit(who), F.left(text, F.lit(500)), over(text, 500, "  (…%s more chars)"))
     out = truncate_output(F.coalesce(output, F.lit("")))

@@ -64,6 +64,9 @@ def tally_results(messages: DataFrame) -> DataFrame:
 def request_summary(bodies: DataFrame) -> DataFrame:
     """(req, body, betas) to what a request asks for; ``body`` is its JSON, ``betas`` the header's value.
 
+    ``context_management`` has the number of edits and, of each, its type and settings as JSON; ``tool_results`` the tally of the
+    messages' results. Both are null where the request has none.
+
     A body that is no JSON object gives nulls and zeros, as an empty one does.
     """
     body = lambda path: F.get_json_object("body", path)
@@ -71,12 +74,21 @@ def request_summary(bodies: DataFrame) -> DataFrame:
     system = F.coalesce(F.from_json(body("$.system"), "array<struct<text:string>>"), F.array().cast("array<struct<text:string>>"))
     plain = ~F.startswith(F.ltrim(body("$.system")), F.lit("["))
     total = F.aggregate(system, F.lit(0).cast("bigint"), lambda a, b: a + F.coalesce(text_functions.utf16_length(b["text"]), F.lit(0).cast("bigint")))
-    edits = F.from_json(body("$.context_management.edits"), "array<struct<type:string>>")
+    managed = body("$.context_management")
+    truthy = managed.isNotNull() & ~managed.isin("", "0", "false", "null")
+    edits = F.coalesce(F.when(F.startswith(body("$.context_management.edits"), F.lit("[")), F.from_json(body("$.context_management.edits"), "array<string>")), F.array().cast("array<string>"))
+    knobs = ["type", "trigger", "keep", "clear_at_least", "exclude_tools"]
+    strategies = F.transform(edits, lambda e: F.struct(*[F.get_json_object(e, f"$.{k}").alias(k) for k in knobs]))
+    from tracewright.sources import wire
+
+    tally = tally_results(wire.messages(bodies.where(F.startswith(body("$.messages"), F.lit("["))))).where("count > 0")
+    tally = tally.select(F.col("req").alias("_req"), F.struct(*[c for c in tally.columns if c != "req"]).alias("tool_results"))
+    bodies = bodies.join(tally, F.col("req").eqNullSafe(F.col("_req")), "left")
     return bodies.select(
-        "req", body("$.model").alias("model"), (F.coalesce(body("$.stream"), F.lit("")) == "true").alias("stream"), body("$.max_tokens").cast("bigint").alias("max_tokens"),
+        "req", body("$.model").alias("model"), (F.coalesce(body("$.stream"), F.lit("")) == "true").alias("stream"), body("$.max_tokens").try_cast("double").try_cast("bigint").alias("max_tokens"),
         F.filter(F.transform(F.coalesce(F.split("betas", ","), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "").alias("betas"),
         F.when(size("$.messages") > 0, size("$.messages")).otherwise(0).cast("bigint").alias("message_count"), F.when(size("$.tools") > 0, size("$.tools")).otherwise(0).cast("bigint").alias("tool_count"),
-        F.coalesce(F.when(plain, text_functions.utf16_length(body("$.system"))), total).alias("system_size_chars"), F.when(body("$.context_management").isNotNull(), F.coalesce(F.transform(edits, lambda e: e["type"]), F.array().cast("array<string>"))).alias("strategies"),
+        F.coalesce(F.when(plain, text_functions.utf16_length(body("$.system"))), total).alias("system_size_chars"), F.when(truthy, F.struct(F.size(edits).cast("bigint").alias("edit_count"), strategies.alias("strategies"))).alias("context_management"), "tool_results",
         text_functions.utf16_length(F.col("body")).alias("body_size_chars"),
     )
 
@@ -118,10 +130,10 @@ def tool_calls(messages: DataFrame) -> DataFrame:
 
 
 def command(i: Column) -> Column:
-    """By key presence: command, file_path, pattern; if that is empty: description or prompt, 200 characters."""
+    """By key presence: command, file_path, pattern; if that is empty: description, or prompt, by key presence too, 200 characters."""
     get = lambda k: F.try_element_at(i, F.lit(k))
     first = F.when(F.map_contains_key(i, "command"), get("command")).when(F.map_contains_key(i, "file_path"), get("file_path")).otherwise(get("pattern"))
-    said = F.left(F.coalesce(F.nullif(get("description"), F.lit("")), get("prompt"), F.lit("")), F.lit(200))
+    said = F.left(F.coalesce(F.when(F.map_contains_key(i, "description"), get("description")).otherwise(get("prompt")), F.lit("")), F.lit(200))
     return F.when(F.coalesce(first, F.lit("")) != "", first).otherwise(said)
 
 

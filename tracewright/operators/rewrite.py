@@ -1,7 +1,7 @@
 """Order-preserving history rewrites over message tables (req, idx, role, content), one partitioning per request.
 
 ``content`` is a string or a JSON array of blocks; ``idx`` is the message's place, from 0 without gaps. Blocks that a
-rewrite does not touch keep their JSON text. Rewrites return ``ord`` (double) where messages come in between;
+rewrite does not touch keep their JSON text; of a block that changes all but its content stays, byte for byte. Rewrites return ``ord`` (double) where messages come in between;
 ``renumber`` makes it an idx again. Lengths are counted as UTF-16 units, as the protocol's clients do.
 
 Defined results: null content is no list; empty tables give empty tables; requests without what a rewrite looks for stay as they are.
@@ -9,12 +9,17 @@ Defined results: null content is no list; empty tables give empty tables; reques
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions.jsontext import let, member, quoted, with_member
 from tracewright.functions.text import summary_text, utf16_length
 from tracewright.operators.normalize import field, raw_blocks, result_text, tool_names
+from tracewright.sources.shared import stored
 
 #: The checkpoint tool's name, by itself or behind a server's prefix; the notes that rewrites leave. Fixed values.
 CHECKPOINT_TOOL = "checkpoint_progress"
@@ -23,12 +28,6 @@ SHADOW_NOTE = "[Checkpoint note from your prior reasoning — prior exploration
 HARNESS_NOTE = "[Checkpoint note from your prior reasoning]\n%s\n\nThe turn immediately above shows the verification evidence. Continue with any remaining work from the original task."
 
 
-def quoted(text: Column) -> Column:
-    """``text`` as a JSON string."""
-    j = F.to_json(F.struct(text.alias("t")))
-    return F.substr(j, F.lit(6), F.length(j) - 6)
-
-
 def text_message(text: Column) -> Column:
     return F.concat(F.lit('[{"type":"text","text":'), quoted(text), F.lit("}]"))
 
@@ -61,10 +60,7 @@ def compacted_blocks(messages: DataFrame, stale_turns: int = 2, keep_first: int
     short = truncate_lines(F.col("text"), keep_first, keep_last, "\n[... %s lines compacted ...]\n", min_lines)
     b = b.where(~seen).withColumn("out", F.concat(F.format_string("[COMPACTED — %s lines → %s]\n", "lines", F.lit(keep_first + keep_last)), short))
     b = b.withColumn("saved", utf16_length(F.col("text")) - utf16_length(F.col("out"))).where("saved > 0")
-    base = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.col("id").alias("tool_use_id"), F.col("out").alias("content"), field("b", "is_error").cast("boolean").alias("is_error")))
-    cache = field("b", "cache_control")
-    block = F.when(cache.isNull(), base).otherwise(F.concat(F.left(base, F.length(base) - 1), F.lit(',"cache_control":'), cache, F.lit("}")))
-    return b.select("req", "idx", "pos", block.alias("block"), "lines", F.floor(F.col("saved") / 4 + 0.5).alias("tokens_saved"))
+    return b.select("req", "idx", "pos", with_member(F.col("b"), "content", quoted(F.col("out"))).alias("block"), "lines", F.floor(F.col("saved") / 4 + 0.5).alias("tokens_saved"))
 
 
 def compact(messages: DataFrame, stale_turns: int = 2, keep_first: int = 30, keep_last: int = 10, min_lines: int = 50) -> DataFrame:
@@ -154,13 +150,39 @@ def harness_rewind(messages: DataFrame, summaries: DataFrame) -> DataFrame:
     return kept.unionByName(notes)
 
 
+#: The edit's type; a fixed value.
+CLEAR_EDIT = "clear_tool_uses_20250919"
+
+
 def inject_clear(edits: Column, trigger: int = 30000, keep: int = 3, at_least: int = 5000, exclude: tuple[str, ...] = ("Read", "Grep", "Glob")) -> Column:
     """Append the clear-tool-uses edit unless one is there; edits is array<struct<type, trigger, keep, clear_at_least, exclude_tools>>."""
-    kind = "clear_tool_uses_20250919"
+    kind = CLEAR_EDIT
     new = F.struct(F.lit(kind).alias("type"), F.lit(trigger).cast("bigint").alias("trigger"), F.lit(keep).cast("bigint").alias("keep"), F.lit(at_least).cast("bigint").alias("clear_at_least"), F.array(*map(F.lit, exclude)).alias("exclude_tools"))
     return F.when(F.exists(edits, lambda e: e["type"] == kind), edits).otherwise(F.concat(F.coalesce(edits, F.array().cast("array<struct<type:string,trigger:bigint,keep:bigint,clear_at_least:bigint,exclude_tools:array<string>>>")), F.array(new)))
 
 
+def inject_text(trigger: int = 30000, keep: int = 3, at_least: int = 5000, exclude: tuple[str, ...] = ("Read", "Grep", "Glob")) -> str:
+    """The clear-tool-uses edit as JSON."""
+    knob = lambda kind, n: {"type": kind, "value": n}
+    return json.dumps({"type": CLEAR_EDIT, "trigger": knob("input_tokens", trigger), "keep": knob("tool_uses", keep), "clear_at_least": knob("input_tokens", at_least), "exclude_tools": list(exclude)}, separators=(",", ":"))
+
+
+def inject(body: Column, edit: str | None = None) -> Column:
+    """A request's JSON with the clear-tool-uses edit as its last edit; one that has it already, or is no object, stays as it is."""
+    edit = edit or inject_text()
+
+    def into(p: Column) -> Column:
+        listed = F.coalesce(F.startswith(F.ltrim(p["edits"]), F.lit("[")), F.lit(False))
+        items = F.when(listed, F.from_json(p["edits"], "array<string>")).otherwise(F.array().cast("array<string>"))
+        there = F.exists(items, lambda e: F.coalesce(F.get_json_object(e, "$.type") == CLEAR_EDIT, F.lit(False)))
+        edits = F.when(F.size(items) > 0, F.concat(F.regexp_replace(p["edits"], r"\]\s*$", ""), F.lit("," + edit + "]"))).otherwise(F.lit("[" + edit + "]"))
+        return F.when(there, p["body"]).otherwise(with_member(p["body"], "context_management", with_member(p["cm"], "edits", edits)))
+
+    own = member(body, "context_management")
+    cm = F.when(F.startswith(F.ltrim(own), F.lit("{")), own).otherwise(F.lit("{}"))
+    return F.when(F.startswith(F.ltrim(body), F.lit("{")), let(F.struct(body.alias("body"), cm.alias("cm"), member(cm, "edits").alias("edits")), into)).otherwise(body)
+
+
 def cache_mark(messages: DataFrame) -> DataFrame:
     """The second-to-last message (the last if there is only one) becomes the cache point: its last block is marked, a string becomes a text block."""
     req = W.partitionBy("req")
@@ -175,11 +197,29 @@ def cache_mark(messages: DataFrame) -> DataFrame:
     return messages.select("req", "idx", "role", content.alias("content"))
 
 
-def rewrite(messages: DataFrame, summaries: DataFrame | None = None, rewinds: bool = True, compacts: bool = True) -> DataFrame:
-    """The chain of one request: rewind at checkpoints, then the judge's rewind where ``summaries`` has one, then compaction: (req, idx, role, content)."""
-    out = messages.select("req", "idx", "role", "content")
+def rewrite(messages: DataFrame, summaries: DataFrame | None = None, rewinds: bool = True, compacts: bool = True, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """The chain of one request: rewind at checkpoints, then the judge's rewind where ``summaries`` has one, then compaction: (req, idx, role, content).
+
+    Each step reads its input several times, so what comes in and what a step gives is kept: written once to the shared folder, unless ``keep`` does otherwise.
+    """
+    out = keep(messages.select("req", "idx", "role", "content"))
     if rewinds:
-        out = renumber(rewind(out))
+        out = keep(renumber(rewind(out)))
     if summaries is not None:
-        out = renumber(judge_rewind(out, summaries))
+        out = keep(renumber(judge_rewind(out, summaries)))
     return compact(out).select("req", "idx", "role", "content") if compacts else out
+
+
+def forward(bodies: DataFrame, summaries: DataFrame | None = None, rewinds: bool = True, compacts: bool = True, edit: str | None = None, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """What goes on to the model, (req, body): each request's messages through the chain, then the edit that clears old tool uses.
+
+    ``bodies``: (req, body), a request's JSON. Of a body only its ``messages`` and the edits change; what is no object with a list
+    of messages goes through the edit alone.
+    """
+    from tracewright.sources import wire
+
+    done = rewrite(wire.messages(bodies), summaries, rewinds, compacts, keep)
+    new = wire.bodies(done).select("req", member(F.col("body"), "messages").alias("_messages"))
+    joined = bodies.select("req", "body").join(new, "req", "left")
+    changed = F.when(F.col("_messages").isNull(), F.col("body")).otherwise(with_member(F.col("body"), "messages", F.col("_messages")))
+    return joined.select("req", inject(changed, edit).alias("body"))

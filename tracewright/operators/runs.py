@@ -10,9 +10,25 @@ from pyspark.sql import functions as F
 def adjacent_pairs(runs: DataFrame) -> DataFrame:
     """Per task: an off run directly followed by the on run with the next number."""
     order = W.partitionBy("task").orderBy("num")
-    rows = runs.where(F.col("proxy").isin("off", "on")).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("proxy", "num", "dur")])
+    extra = [c for c in ("exit_code", "verify_exit") if c in runs.columns]
+    rows = runs.where(F.col("proxy").isin("off", "on")).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ["proxy", "num", "dur", *extra]])
     hit = (F.col("proxy") == "off") & (F.col("next_proxy") == "on") & (F.col("next_num") == F.col("num") + 1)
-    return rows.where(hit).select("task", F.col("num").alias("off_num"), F.col("next_num").alias("on_num"), F.col("dur").alias("off_dur"), F.col("next_dur").alias("on_dur"))
+    return rows.where(hit).select("task", F.col("num").alias("off_num"), F.col("next_num").alias("on_num"), F.col("dur").alias("off_dur"), F.col("next_dur").alias("on_dur"), *[x for c in extra for x in (F.col(c).alias(f"off_{c}"), F.col(f"next_{c}").alias(f"on_{c}"))])
+
+
+def pass_counts(pairs: DataFrame) -> DataFrame:
+    """Per task of ``adjacent_pairs``: pairs, runs of either side that ended with 0, and that passed verification with 0; null where no off run was verified."""
+    passed = lambda c: F.count_if(F.col(c) == 0)
+    verified = F.count("off_verify_exit") > 0
+    return pairs.groupBy("task").agg(
+        F.count(F.lit(1)).alias("n"), passed("off_exit_code").alias("off_pass"), passed("on_exit_code").alias("on_pass"),
+        F.when(verified, passed("off_verify_exit")).alias("off_verify_pass"), F.when(verified, passed("on_verify_exit")).alias("on_verify_pass"),
+    )
+
+
+def distinct_rewinds(elisions: DataFrame) -> DataFrame:
+    """Per run how many different rewinds (by place and summary) its telemetry holds: each later request repeats the earlier ones."""
+    return elisions.groupBy("run").agg(F.count_distinct("anchor_idx", F.coalesce("summary", F.lit(""))).alias("rewinds"), F.count(F.lit(1)).alias("events"))
 
 
 def positional_pairs(runs: DataFrame) -> DataFrame:
@@ -100,14 +116,17 @@ def cache_run(telemetry: DataFrame) -> DataFrame:
 
 
 def prefix_match(keys: DataFrame, prompts: DataFrame, most: int = 64) -> DataFrame:
-    """Event keys to tasks whose prompt starts with the key, or the reverse, on ``most`` characters; the smallest task counts.
+    """Event keys to tasks whose prompt starts with the key, or the reverse, on ``most`` characters; the smallest task counts, an empty key has none.
 
-    Both sides meet on equal prefixes: one join per distinct prompt length (``most`` at most), never a nested loop.
+    Prompts are first reduced to one task for each text, then for each prefix of it; so a key meets one row for itself and one for
+    each of its own prefixes, however many prompts begin alike. The two joins are by hash, on texts of ``most`` characters at most.
     """
-    k = keys.select("key", F.left("key", F.lit(most)).alias("k"))
-    p = prompts.select("task", F.left("prompt", F.lit(most)).alias("p"))
-    longer = k.select("key", F.explode(F.sequence(F.lit(0), F.length("k"))).alias("n"), "k").select("key", F.left("k", F.col("n")).alias("x")).join(p.select("task", F.col("p").alias("x")), "x")
-    shorter = p.select("task", F.explode(F.sequence(F.lit(0), F.length("p"))).alias("n"), "p").select("task", F.left("p", F.col("n")).alias("x")).join(k.select("key", F.col("k").alias("x")), "x")
+    heads = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.left(c, n))).alias("x")
+    k = keys.where("key <> ''").select("key", F.left("key", F.lit(most)).alias("k"))
+    p = prompts.where("prompt is not null").groupBy(F.left("prompt", F.lit(most)).alias("p")).agg(F.min("task").alias("task"))
+    longer = k.select("key", heads(F.col("k"))).join(p.withColumnRenamed("p", "x"), "x")
+    began = p.select("task", heads(F.col("p"))).groupBy("x").agg(F.min("task").alias("task"))
+    shorter = k.select("key", F.col("k").alias("x")).join(began, "x")
     return longer.select("key", "task").unionByName(shorter.select("key", "task")).groupBy("key").agg(F.min("task").alias("task"))
 
 

@@ -30,7 +30,7 @@ query("rn2_transcript", f"with {MSG} select req, string_agg(case role when 'user
 
 R = V.RUNS
 AP = "ap as (select * from (select task, num as off_num, lead(num) over o as on_num, dur as off_dur, lead(dur) over o as on_dur, proxy, lead(proxy) over o as np from runs window o as (partition by task order by num)) where proxy = 'off' and np = 'on' and on_num = off_num + 1)"
-query("jn6_adjacent_pairs", f"with {R}, {AP} select task, off_num, on_num, off_dur, on_dur from ap")(lambda s, d: runs.adjacent_pairs(V.runs(s, d)))
+query("jn6_adjacent_pairs", f"with {R}, {AP} select task, off_num, on_num, off_dur, on_dur from ap")(lambda s, d: runs.adjacent_pairs(V.runs(s, d)).select("task", "off_num", "on_num", "off_dur", "on_dur"))
 query("jn7_positional_pairs", f"with {R}, a as (select proxy, num, dur, row_number() over (partition by proxy order by num::varchar) as k from runs) select x.k, x.num as off_num, x.dur as off_dur, y.num as on_num, y.dur as on_dur from a x join a y on x.k = y.k and x.proxy = 'off' and y.proxy = 'on'")(lambda s, d: runs.positional_pairs(V.runs(s, d)))
 query("jn8_compare", f"with {R}, f as (select task, count(dur) filter (proxy = 'off') as n_off, median(dur) filter (proxy = 'off') as median_off, count(dur) filter (proxy = 'on') as n_on, median(dur) filter (proxy = 'on') as median_on from runs group by task) select task, n_off, round(median_off, 4) as median_off, n_on, round(median_on, 4) as median_on, round((median_on - median_off) * 100 / median_off, 4) as delta_pct from f")(
     lambda s, d: runs.compare(V.runs(s, d)).select("task", "n_off", F.round("median_off", 4).alias("median_off"), "n_on", F.round("median_on", 4).alias("median_on"), F.round("delta_pct", 4).alias("delta_pct"))
@@ -43,6 +43,10 @@ query("ag6_paired_stats", f"with {R}, {AP}, s as (select task, count(*) as n, av
 query("ag8_pooled_change", f"with {R}, {AP} select count(*) as n, round(sum(off_dur), 2) as off_total, round(sum(on_dur), 2) as on_total, round((sum(on_dur) - sum(off_dur)) * 100 / greatest(sum(off_dur), 1), 6) as pct from ap")(
     lambda s, d: runs.adjacent_pairs(V.runs(s, d)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("off_dur"), 2).alias("off_total"), F.round(F.sum("on_dur"), 2).alias("on_total"), F.round((F.sum("on_dur") - F.sum("off_dur")) * 100 / F.greatest(F.sum("off_dur"), F.lit(1.0)), 6).alias("pct"))
 )
+query(
+    "ag7_pass_counts",
+    f"with {R}, q as (select *, lead(proxy) over w as np, lead(num) over w as nn, lead(exit_code) over w as ne, lead(verify_exit) over w as nv from runs window w as (partition by task order by num)) select task, count(*) as n, count(*) filter (exit_code = 0) as off_pass, count(*) filter (ne = 0) as on_pass, case when count(verify_exit) > 0 then count(*) filter (verify_exit = 0) end as off_verify_pass, case when count(verify_exit) > 0 then count(*) filter (nv = 0) end as on_verify_pass from q where proxy = 'off' and np = 'on' and nn = num + 1 group by task",
+)(lambda s, d: runs.pass_counts(runs.adjacent_pairs(V.runs(s, d))))
 MED = ", ".join(f"round(median({c}){f}, 4) as median_{n}{o}" for f, o in (("", ""), (" filter (verdict = 'ok')", "_ok")) for n, c in (("cost", "cost"), ("dur", "dur_ms"), ("turns", "turns"), ("saved", "bytes_saved")))
 query("ag9_by_condition", f"with {V.BENCH_RUNS} select task, condition, count(*) as n, {MED}, round(avg(case when checkpoints > 0 then 1 else 0 end), 6) as checkpoint_rate, round(avg(case when verdict = 'ok' then 1 else 0 end), 6) as ok_rate, count(*) filter (verdict = 'ok') as n_ok, round(avg(case when checkpoints > 0 then 1 else 0 end) filter (verdict = 'ok'), 6) as checkpoint_rate_ok from bench group by task, condition")(
     lambda s, d: (lambda g: g.select(*[F.round(c, 4 if c.startswith("median") else 6).alias(c) if c.startswith(("median", "checkpoint", "ok")) else c for c in g.columns]))(runs.by_condition(V.bench_runs(s, d)))
@@ -113,6 +117,9 @@ query("rw10_truncate_output", "with l as (select doc_id, text, string_split(text
 query("rw11_truncate_middle", "select doc_id, case when length(text) > 8000 then left(text, 4000) || chr(10) || '... [truncated, total ' || length(text) || ' chars]' || chr(10) || right(text, 4000) else text end as middle, case when length(text) > 500 then left(text, 500) || chr(10) || '[truncated]' else text end as capped from documents")(
     lambda s, d: V.load(s, d, "documents").select("doc_id", text.truncate_middle(F.col("text")).alias("middle"), text.cap_response(F.col("text")).alias("capped"))
 )
+query("rw11_numbered_lines", "with l as (select doc_id, text, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) as l from documents), m as (select doc_id, text, case when len(l) > 500 then list_append(l[1:500], '... [truncated at 500 lines]') else l end as l from l) select doc_id, case when text = '' then '' else array_to_string(list_transform(l, lambda x, i: i || ': ' || x), chr(10)) end as shown from m")(
+    lambda s, d: V.load(s, d, "documents").select("doc_id", text.numbered_lines(F.col("text")).alias("shown"))
+)
 query("wn8_command_signature", "select doc_id, left(array_to_string(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \\t\\n\\x0b\\f\\r]+')[1:3], ' '), 80) as sig from documents")(lambda s, d: V.load(s, d, "documents").select("doc_id", text.command_signature(F.col("text")).alias("sig")))
 query("rn15_cost_estimate", "select source, count(*) as n, sum(length(text))::bigint as chars, round((sum(length(text)) / 4.0) / 1e6 * 3 + 1000 / 1e6 * 15, 6)::double as usd from documents group by source")(
     lambda s, d: V.load(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"), F.round(F.sum(F.length("text")) / 4 / 1e6 * 3 + F.lit(1000 / 1e6 * 15), 6).alias("usd"))
@@ -123,8 +130,8 @@ query("jn10_resume", "select distinct conv_id as session_id from conversations w
 query("jn11_allow_list", "select distinct conv_id as session_id from conversations where conv_id in (select doc_id from labels where quality = 1)")(
     lambda s, d: V.load(s, d, "conversations").select(F.col("conv_id").alias("session_id")).distinct().join(V.load(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("session_id")), "session_id", "left_semi")
 )
-query("jn9_prefix_match", "with k as (select distinct left(text, 64) as key from conversations where role = 'user'), p as (select conv_id as task, arg_min(text, turn) as prompt from conversations where role = 'user' group by conv_id) select key, min(task) as task from k join p on starts_with(left(key, 64), left(prompt, 64)) or starts_with(left(prompt, 64), left(key, 64)) group by key")(
-    lambda s, d: runs.prefix_match(V.load(s, d, "conversations").where("role = 'user'").select(F.left("text", F.lit(64)).alias("key")).distinct(), V.load(s, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("task")).agg(F.min_by("text", "turn").alias("prompt")))
+query("jn9_prefix_match", "with k as (select distinct left(text, 64) as key from conversations where role = 'user' union select distinct left(text, 9) from conversations where role = 'user' union select ''), p as (select conv_id as task, arg_min(text, turn) as prompt from conversations where role = 'user' group by conv_id) select key, min(task) as task from k join p on starts_with(left(key, 64), left(prompt, 64)) or starts_with(left(prompt, 64), left(key, 64)) where key <> '' group by key")(
+    lambda s, d: runs.prefix_match(V.load(s, d, "conversations").where("role = 'user'").select(F.explode(F.array(F.left("text", F.lit(64)), F.left("text", F.lit(9)), F.lit(""))).alias("key")).distinct(), V.load(s, d, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("task")).agg(F.min_by("text", "turn").alias("prompt")))
 )
 query("sl6_seeded_sample", "select doc_id from (select doc_id, row_number() over (order by md5(doc_id || '/42'), doc_id) as rn from documents) where rn <= 20")(
     lambda s, d: V.load(s, d, "documents").select("doc_id").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/42"))), "doc_id").limit(20)

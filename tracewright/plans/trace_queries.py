@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import annotate, chunk_rows, labels, normalize, prompts, render, rewrite, sessions, state
+from tracewright.operators import annotate, chunk_rows, labels, normalize, prompts, render, rewrite, runs, sessions, state
 from tracewright.plans import views as V
 from tracewright.plans.catalog import query
+from tracewright.sources import wire
 from tracewright.sources.shared import stored
 
 ERR = r"(?i)\b(error|exception|traceback|undefined|cannot find|failed|fatal|not found|syntax error|unresolved|permission denied|no such file|abort|segmentation fault|command not found)\b"
@@ -145,7 +146,7 @@ def compact_sql(t: str, out: str) -> str:
     {out}_k as (select *, string_split(txt, chr(10)) as l from {out}_t),
     {out}_z as (select *, '[COMPACTED — ' || len(l) || ' lines → 40]' || chr(10) || array_to_string(l[1:30], chr(10)) || chr(10) || chr(10) || '[... ' || (len(l) - 40) || ' lines compacted ...]' || chr(10) || chr(10) || array_to_string(l[len(l) - 9:len(l)], chr(10)) as z from {out}_k),
     {out}_g as (select *, coalesce(role = 'user' and name = 'Bash' and age >= 2 and len(l) >= 50 and not starts_with(txt, '[COMPACTED') and length(txt) > length(z), false) as goes from {out}_z),
-    {out}_m as (select req, idx, '[' || string_agg(case when goes then '{{"type":"tool_result","tool_use_id":"' || (b->>'$.tool_use_id') || '","content":' || to_json(z)::varchar || '}}' else b::varchar end, ',' order by pos) || ']' as content, count(*) filter (goes) as n, sum(case when goes then floor((length(txt) - length(z)) / 4 + 0.5) else 0 end)::bigint as saved from {out}_g group by 1, 2),
+    {out}_m as (select req, idx, '[' || string_agg(case when goes then replace(b::varchar, '"content":' || (b->'$.content')::varchar || case when (b->'$.meta') is null then '}}' else ',"is_error"' end, '"content":' || to_json(z)::varchar || case when (b->'$.meta') is null then '}}' else ',"is_error"' end) else b::varchar end, ',' order by pos) || ']' as content, count(*) filter (goes) as n, sum(case when goes then floor((length(txt) - length(z)) / 4 + 0.5) else 0 end)::bigint as saved from {out}_g group by 1, 2),
     {out} as (select m.req, m.idx, m.role, coalesce(c.content, m.content) as content, coalesce(n, 0) as n_compacted, coalesce(saved, 0)::bigint as tokens_saved from {t} m left join {out}_m c on c.req = m.req and c.idx = m.idx)"""
 
 
@@ -181,6 +182,27 @@ query(
 )(lambda s, d: rewrite.cache_mark(V.requests(s, d)))
 CHAIN = f"{rewind_sql('messages', 'a')}, {renumber_sql('a', 'a1')}, {judge_sql('a1', 'b')}, {renumber_sql('b', 'b1')}, {compact_sql('b1', 'z')}"
 query("rw9_request_chain", f"with {R}, {CHAIN} select req, idx, role, content from z")(lambda s, d: rewrite.rewrite(V.requests(s, d), _summaries(V.requests(s, d))))
+
+
+def _whole_bodies(s, d):
+    """Bodies around the messages: without edits, with others, or with the edit that is added."""
+    m = wire.bodies(V.requests(s, d)).select("req", F.expr("substr(body, 13, length(body) - 13)").alias("m"))
+    edits = F.when(F.col("req") % 3 == 0, ',"context_management":{"edits":[{"type":"clear_thinking_20251015"}],"x":[1, 2]}').when(F.col("req") % 3 == 1, ',"context_management":{"edits":[{"type":"clear_tool_uses_20250919","keep":1}]}').otherwise("")
+    return m.select("req", F.concat(F.lit('{"model":"m","messages":'), "m", F.lit(',"max_tokens" : 5'), edits, F.lit("}")).alias("body"))
+
+
+ADDED = '{"type":"clear_tool_uses_20250919","trigger":{"type":"input_tokens","value":30000},"keep":{"type":"tool_uses","value":3},"clear_at_least":{"type":"input_tokens","value":5000},"exclude_tools":["Read","Grep","Glob"]}'
+query(
+    "rw9_forwarded_bodies",
+    f"""with {R}, {CHAIN}, f as (select req, '[' || string_agg('{{"role":"' || role || '","content":' || case when starts_with(content, '[') then content else to_json(content)::varchar end || '}}', ',' order by idx) || ']' as m from z group by req)
+    select req, '{{"model":"m","messages":' || m || ',"max_tokens" : 5,"context_management":' || case req % 3 when 0 then '{{"edits":[{{"type":"clear_thinking_20251015"}},{ADDED}],"x":[1, 2]}}' when 1 then '{{"edits":[{{"type":"clear_tool_uses_20250919","keep":1}}]}}' else '{{"edits":[{ADDED}]}}' end || '}}' as body from f""",
+)(lambda s, d: rewrite.forward(_whole_bodies(s, d), _summaries(V.requests(s, d))))
+query("rw7_inject", f"""select doc_id as req, '{{"text":' || to_json(text)::varchar || ',"context_management":{{"edits":[{ADDED}]}}}}' as body from documents where text is not null""")(
+    lambda s, d: V.load(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("req"), rewrite.inject(F.concat(F.lit('{"text":'), rewrite.quoted(F.col("text")), F.lit("}"))).alias("body"))
+)
+query("ag16_distinct_rewinds", f"with {R}, {gaps_sql('messages', 'g')}, e as (select g.req, g.idx, g.summary from g where exists (select 1 from messages m where m.req = g.req and m.idx >= cursor and m.idx < g.idx)) select req as run, count(*) as rewinds, 2 * count(*) as events from e group by req")(
+    lambda s, d: (lambda e: runs.distinct_rewinds(e.unionByName(e).withColumnRenamed("req", "run")))(rewrite.elisions(V.requests(s, d)))
+)
 query("nrm11_tool_names", f"with {R}, {blocks_sql('messages', 'x')} select req, b->>'$.id' as id, b->>'$.name' as name from x where role = 'assistant' and b->>'$.type' = 'tool_use'")(lambda s, d: normalize.tool_names(V.requests(s, d)))
 RESULT = "case when json_type(b->'$.content') = 'ARRAY' then array_to_string(list_transform(from_json(b->'$.content', '[\"json\"]'), lambda x: x->>'$.text'), chr(10)) else b->>'$.content' end"
 query(
@@ -201,17 +223,24 @@ def _bodies(s, d):
     q = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
     k = F.col("doc_id")
     system = F.when(k % 3 == 0, q('"rules ', k, '"')).when(k % 3 == 1, q('[{"type":"text","text":"a', k, '"},{"type":"text","text":"bb"},{"type":"x"}]')).otherwise("null")
-    edits = F.when(k % 4 == 0, ',"context_management":{"edits":[{"type":"clear_thinking_20251015"},{"type":"other","keep":2}]}').when(k % 4 == 1, ',"context_management":{}').otherwise("")
-    body = q('{"model":"m', k % 5, '","stream":', F.when(k % 2 == 0, "true").otherwise("false"), ',"max_tokens":', k, ',"system":', system, ',"messages":[{"role":"user","content":"x"},{"role":"user","content":[]}],"tools":[{},{},{}]', edits, "}")
+    edits = F.when(k % 4 == 0, q(',"context_management":{"edits":[{"type":"clear_tool_uses_20250919","trigger":{"type":"input_tokens","value":', k, '},"exclude_tools":["Read","Grep"]},{"type":"other","keep":2}]}')).when(k % 4 == 1, ',"context_management":{}').otherwise("")
+    result = F.when(k % 5 == 0, q('[{"type":"tool_result","tool_use_id":"t","content":"', F.repeat(F.lit("y"), (k % 50).cast("int")), '"},{"type":"text","text":"z"}]')).otherwise('"x"')
+    body = q('{"model":"m', k % 5, '","stream":', F.when(k % 2 == 0, "true").otherwise("false"), ',"max_tokens":', k, ',"system":', system, ',"messages":[{"role":"user","content":', result, '},{"role":"user","content":[]}],"tools":[{},{},{}]', edits, "}")
     return V.load(s, d, "documents").select(F.col("doc_id").alias("req"), body.alias("body"), F.when(k % 6 != 0, q("beta-", k, ", ,b2 ")).alias("betas"))
 
 
 query(
     "ag2_request_summary",
-    """with q as (select doc_id as req, doc_id as k, '{"model":"m' || (doc_id % 5) || '","stream":' || case when doc_id % 2 = 0 then 'true' else 'false' end || ',"max_tokens":' || doc_id || ',"system":' || case doc_id % 3 when 0 then '"rules ' || doc_id || '"' when 1 then '[{"type":"text","text":"a' || doc_id || '"},{"type":"text","text":"bb"},{"type":"x"}]' else 'null' end || ',"messages":[{"role":"user","content":"x"},{"role":"user","content":[]}],"tools":[{},{},{}]' || case doc_id % 4 when 0 then ',"context_management":{"edits":[{"type":"clear_thinking_20251015"},{"type":"other","keep":2}]}' when 1 then ',"context_management":{}' else '' end || '}' as body from documents)
+    """with q as (select doc_id as req, doc_id as k, '{"model":"m' || (doc_id % 5) || '","stream":' || case when doc_id % 2 = 0 then 'true' else 'false' end || ',"max_tokens":' || doc_id || ',"system":' || case doc_id % 3 when 0 then '"rules ' || doc_id || '"' when 1 then '[{"type":"text","text":"a' || doc_id || '"},{"type":"text","text":"bb"},{"type":"x"}]' else 'null' end || ',"messages":[{"role":"user","content":' || case when doc_id % 5 = 0 then '[{"type":"tool_result","tool_use_id":"t","content":"' || repeat('y', (doc_id % 50)::int) || '"},{"type":"text","text":"z"}]' else '"x"' end || '},{"role":"user","content":[]}],"tools":[{},{},{}]' || case doc_id % 4 when 0 then ',"context_management":{"edits":[{"type":"clear_tool_uses_20250919","trigger":{"type":"input_tokens","value":' || doc_id || '},"exclude_tools":["Read","Grep"]},{"type":"other","keep":2}]}' when 1 then ',"context_management":{}' else '' end || '}' as body from documents)
     select req, 'm' || (k % 5) as model, k % 2 = 0 as stream, k::bigint as max_tokens, case when k % 6 <> 0 then ['beta-' || k, 'b2'] else []::varchar[] end as betas, 2::bigint as message_count, 3::bigint as tool_count, (case k % 3 when 0 then length('rules ' || k) when 1 then length('a' || k) + 2 else 0 end)::bigint as system_size_chars,
-      case k % 4 when 0 then ['clear_thinking_20251015', 'other'] when 1 then []::varchar[] end as strategies, length(body)::bigint as body_size_chars from q""",
-)(lambda s, d: normalize.request_summary(_bodies(s, d)))
+      case k % 4 when 0 then 2 when 1 then 0 end::bigint as edit_count, case k % 4 when 0 then 'clear_tool_uses_20250919|{"type":"input_tokens","value":' || k || '}|-|-|["Read","Grep"]' || chr(10) || 'other|-|2|-|-' when 1 then '' end as strategies, case when k % 5 = 0 then k % 50 end as result_chars, case when k % 5 = 0 then 1 end::bigint as results, length(body)::bigint as body_size_chars from q""",
+)(lambda s, d: _summary(normalize.request_summary(_bodies(s, d))))
+
+
+def _summary(r):
+    line = lambda e: F.concat_ws("|", *[F.coalesce(e[k], F.lit("-")) for k in ("type", "trigger", "keep", "clear_at_least", "exclude_tools")])
+    flat = F.array_join(F.transform("context_management.strategies", line), "\n")
+    return r.withColumns({"edit_count": F.col("context_management.edit_count"), "strategies": flat, "result_chars": F.col("tool_results.total_chars").cast("bigint"), "results": F.col("tool_results.count")}).drop("context_management", "tool_results")
 
 
 # Training chunks. Token counts are the estimate of four characters a token.

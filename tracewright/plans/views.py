@@ -125,7 +125,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("tool_name") == "Bash", q('"command":"', F.col("cmd"), '"')).when(F.col("tool_name").isin("Grep", "Glob"), q('"pattern":"', F.col("cmd"), '"')).when(F.col("tool_name").contains("checkpoint"), said).otherwise(q('"file_path":"', F.col("cmd"), '"'))
     use = q('[{"type":"tool_use","id":"call_', step, '","name":"', F.col("tool_name"), '","input":{', given, "}}]")
     out = q('"', F.replace("output", F.lit("\n"), F.lit("\\n")), '"')
-    result = q('[{"type":"tool_result","tool_use_id":"call_', step, '","content":', F.when(F.col("k") % 3 == 0, q('[{"type":"text","text":', out, "}]")).otherwise(out), "}", F.when(F.col("k") % 5 == 0, ',{"type":"text","text":"note"}').otherwise(""), "]")
+    result = q('[{"type":"tool_result","tool_use_id":"call_', step, '","content":', F.when(F.col("k") % 3 == 0, q('[{"type":"text","text":', out, "}]")).otherwise(out), F.when(F.col("k") % 4 < 2, ',"is_error":false,"meta":{"content":[1,"a,b}"]}').otherwise(""), "}", F.when(F.col("k") % 5 == 0, ',{"type":"text","text":"note"}').otherwise(""), "]")
     role = F.when((F.col("role") == "user_text") | (F.col("part") == 1), "user").otherwise("assistant")
     idx = (F.row_number().over(W.partitionBy("session_id").orderBy("idx", "part")) - 1).cast("bigint")
     return rows.select(F.col("session_id").alias("req"), idx.alias("idx"), role.alias("role"), F.when(~tool, F.col("text")).when(F.col("part") == 0, use).otherwise(result).alias("content"))
@@ -137,7 +137,7 @@ REQUESTS = TRACE + """, rq0 as (select *, unnest(case when role = 'tool' then [0
       case when tool_name = 'Bash' then '"command":"' || cmd || '"' when tool_name in ('Grep', 'Glob') then '"pattern":"' || cmd || '"' when tool_name like '%checkpoint%' then
         case when k % 8 = 1 then '"summary":"legacy ' || k || '"' else '"progress_type":"' || case when k % 3 = 0 then 'approach_eliminated' else 'milestone_achieved' end || '","finding":"f' || k || '","evidence":"' || case when k % 5 = 0 then '' else 'e' || k end || '","next_direction":"n' || k || '"' end
       else '"file_path":"' || cmd || '"' end || '}}]'
-    else '[{"type":"tool_result","tool_use_id":"call_' || idx || '","content":' || case when k % 3 = 0 then '[{"type":"text","text":"' || replace(output, chr(10), '\\n') || '"}]' else '"' || replace(output, chr(10), '\\n') || '"' end || '}' || case when k % 5 = 0 then ',{"type":"text","text":"note"}' else '' end || ']' end as content from rq0)"""
+    else '[{"type":"tool_result","tool_use_id":"call_' || idx || '","content":' || case when k % 3 = 0 then '[{"type":"text","text":"' || replace(output, chr(10), '\\n') || '"}]' else '"' || replace(output, chr(10), '\\n') || '"' end || case when k % 4 < 2 then ',"is_error":false,"meta":{"content":[1,"a,b}"]}' else '' end || '}' || case when k % 5 = 0 then ',{"type":"text","text":"note"}' else '' end || ']' end as content from rq0)"""
 
 
 def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import prompts, runs, state
+from tracewright.operators import normalize, prompts, runs, state
 from tracewright.plans import views as V
 from tracewright.plans.catalog import query
 from tracewright.plans.registry import ST1, _judge_input
@@ -46,37 +46,37 @@ query(
 
 
 def _usage(s, d):
-    """Event streams, plain bodies and broken ones; long texts stand before the numbers."""
+    """Event streams, plain bodies and broken ones; long texts stand before the numbers, some counts are no whole numbers."""
     e = V.load(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-    at, nums = F.col("event_id") % 4, Q('{"input_tokens":', F.col("k"), ',"output_tokens":', F.col("event_id").cast("string"), "}")
+    n = F.col("event_id").cast("string")
+    at, nums = F.col("event_id") % 4, Q('{"input_tokens":', F.col("k"), ',"output_tokens":', F.when(F.col("event_id") % 5 == 0, Q(n, ".5")).when(F.col("event_id") % 5 == 1, '"x"').otherwise(n), "}")
     body = F.when(at == 0, Q("event: message_start\n", 'data: {"type":"message_start","message":{"usage":', nums, "}}\n\n", 'data: {"usage":{"output_tokens":1}}\n')).when(at == 1, Q('{"content":"', F.repeat(F.lit("x"), 40000), '","usage":', nums, "}")).when(at == 2, Q("data: {", nums)).otherwise("")
     return e.select("event_id", text.extract_usage(body).alias("u")).select("event_id", "u.*")
 
 
-query("src12_usage", "with e as (select event_id, json_extract_string(props, '$.k')::bigint as k, event_id % 4 < 2 as ok from events) select event_id, case when ok then k end as input_tokens, null::bigint as cache_creation, null::bigint as cache_read, case when ok then event_id end as output_tokens from e")(_usage)
+query("src12_usage", "with e as (select event_id, json_extract_string(props, '$.k')::bigint as k, event_id % 4 < 2 as ok from events) select event_id, case when ok then k end as input_tokens, null::bigint as cache_creation, null::bigint as cache_read, case when ok and event_id % 5 <> 1 then event_id end as output_tokens from e")(_usage)
 
 
 def _replies(s, d):
     c = V.load(s, d, "conversations")
-    return c.select("conv_id", "turn", "role", F.regexp_replace("text", "[^A-Za-z0-9 .]", "").alias("t"))
+    return c.select("conv_id", "turn", "role", F.col("text").alias("t"))
 
 
-SAID = "r as (select conv_id, turn, role, regexp_replace(text, '[^A-Za-z0-9 .]', '', 'g') as t from conversations)"
+SAID = "r as (select conv_id, turn, role, text as t from conversations)"
 TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 query(
     "nrm14_tool_call",
-    f"with {SAID} select conv_id, turn, case when turn % 3 <> 2 then case when turn % 2 = 0 then 'mcp__bookmarks__checkpoint_progress' else 'Bash' end end as name, case when turn % 3 <> 2 then {TRIM.format('t')} end as command, turn % 3 <> 2 and turn % 2 = 0 as is_checkpoint from r",
+    f"with {SAID} select conv_id, turn, case when turn % 3 <> 2 then case when turn % 2 = 0 then 'mcp__bookmarks__checkpoint_progress' else 'Bash' end end as name, case when turn % 3 <> 2 then {TRIM.format('t')} end as command, case when turn % 3 <> 2 then 1 end as n_arguments, turn % 3 <> 2 and turn % 2 = 0 as is_checkpoint from r",
 )(
     lambda s, d: _replies(s, d)
-    .select("conv_id", "turn", text.parse_tool_call(F.when(F.col("turn") % 3 != 2, Q("thinking <tool_call>\n<function=", F.when(F.col("turn") % 2 == 0, "mcp__bookmarks__checkpoint_progress").otherwise("Bash"), ">\n<parameter=command>old</parameter><parameter=command>\n", F.col("t"), "\n</parameter></function>\n</tool_call> tail")).otherwise(F.col("t"))).alias("c"))
-    .select("conv_id", "turn", "c.name", F.try_element_at("c.arguments", F.lit("command")).alias("command"), text.is_checkpoint(F.col("c.name")).alias("is_checkpoint"))
+    .select("conv_id", "turn", text.parse_tool_call(F.when(F.col("turn") % 3 != 2, Q("thinking <tool_call><function=no-name></function></tool_call> <tool_call>\n<function=", F.when(F.col("turn") % 2 == 0, "mcp__bookmarks__checkpoint_progress").otherwise("Bash"), ">\n<parameter=a-b>no</parameter><parameter=command>old</parameter><parameter=command>\n", F.col("t"), "\n</parameter></function>\n</tool_call> tail")).otherwise(F.col("t"))).alias("c"))
+    .select("conv_id", "turn", "c.name", F.try_element_at("c.arguments", F.lit("command")).alias("command"), F.nullif(F.size("c.arguments"), F.lit(-1)).alias("n_arguments"), text.is_checkpoint(F.col("c.name")).alias("is_checkpoint"))
 )
 query(
     "nrm16_verdicts",
-    f"with {SAID} select conv_id, turn, case turn % 4 when 0 then 'YES' when 1 then 'NO' end as should, nullif(trim(t), '') as reason, {TRIM.format('t')} || chr(10) || 'end' as summary from r where {TRIM.format('t')} <> ''",
+    f"with {SAID} select conv_id, turn, case turn % 4 when 0 then 'YES' when 1 then 'NO' end as should, case when turn % 5 <> 0 then case when {TRIM.format('t')} = '' then 'SUMMARY:' else {TRIM.format("string_split(" + TRIM.format('t') + ", chr(10))[1]")} end end as reason, {TRIM.format("t || chr(10) || 'end'")} as summary from r",
 )(
-    lambda s, d: _replies(s, d).where(text.trim_space(F.col("t")) != "")
-    .select("conv_id", "turn", text.parse_verdict(Q("should_checkpoint: ", F.when(F.col("turn") % 4 == 0, "yes").when(F.col("turn") % 4 == 1, "NO").otherwise("NOTHING"), "\nREASON: ", F.col("t"), "\nSUMMARY:\n", F.col("t"), "\nend \n")).alias("v"))
+    lambda s, d: _replies(s, d).select("conv_id", "turn", text.parse_verdict(Q("should_checkpoint: ", F.when(F.col("turn") % 4 == 0, "yes").when(F.col("turn") % 4 == 1, "NO").otherwise("NOTHING"), F.when(F.col("turn") % 5 == 0, "\nReason: ").otherwise("\nREASON: \n "), F.col("t"), "\nSUMMARY:\n", F.col("t"), "\nend \n")).alias("v"))
     .select("conv_id", "turn", "v.*")
 )
 query("flt14_passed_headers", "select event_id, case when event_id % 3 = 0 then 'k' || event_id end as \"key\", 3 + (case when event_id % 3 = 0 then 1 else 0 end) + (case when event_id % 2 = 0 then 1 else 0 end) as n from events")(
@@ -135,3 +135,18 @@ query(
 def _last_step(messages):
     last = messages.groupBy("session_id").agg(F.max("step").alias("last"))
     return messages.join(last, "session_id").withColumn("part", F.when(F.col("step") == F.col("last"), "completion").otherwise("prompt"))
+
+
+def _inputs(s, d):
+    """Inputs of tool uses, with empty and missing keys by the event's number."""
+    n, t = F.col("event_id"), F.col("props")
+    given = lambda c, key, value: F.when(c, F.create_map(F.lit(key), value)).otherwise(F.create_map().cast("map<string,string>"))
+    parts = [given(n % 2 == 0, "command", F.when(n % 4 == 0, "").otherwise(t)), given(n % 3 == 0, "file_path", F.lit("f")), given(n % 5 == 0, "pattern", F.lit("p")), given(n % 7 < 3, "description", F.when(n % 7 == 1, "").otherwise(F.repeat(t, 20))), given(n % 11 < 6, "prompt", F.concat(F.lit("say "), t))]
+    return V.load(s, d, "events").select("event_id", F.map_concat(*parts).alias("i"))
+
+
+query(
+    "nrm6_commands",
+    """with e as (select event_id, event_id as n, props as t from events), f as (select *, case when n % 2 = 0 then case when n % 4 = 0 then '' else t end when n % 3 = 0 then 'f' when n % 5 = 0 then 'p' else '' end as first from e)
+    select event_id, case when first <> '' then first else left(case when n % 7 < 3 then case when n % 7 = 1 then '' else repeat(t, 20) end when n % 11 < 6 then 'say ' || t else '' end, 200) end as cmd from f""",
+)(lambda s, d: _inputs(s, d).select("event_id", normalize.command(F.col("i")).alias("cmd")))
