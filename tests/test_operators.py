@@ -93,20 +93,6 @@ def test_deduplicate_simulation(spark):
     assert sorted((r.session_id, r.after_step) for r in annotate.deduplicate(df).collect()) == sorted(want)
 
 
-def test_judge_stream_equals_fold(spark, tmp_path):
-    from tracewright.streaming import telemetry
-
-    rng = random.Random(3)
-    rows = [(f"k{i % 5}", i, rng.randint(3, 12), rng.choice(["YES", "NO", "YES", None]), rng.choice(["s", ""]), rng.random() < 0.8) for i in range(200)]
-    df = spark.createDataFrame(rows, "key string, seq long, n_messages int, verdict string, summary string, can_elide boolean")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = telemetry.judge(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("judged").outputMode("append").trigger(once=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.table("judged").select("key", "seq", "outcome", "cooldown").collect())
-    assert got == sorted(tuple(r) for r in state.judge(df).collect())
-
-
 MESSAGE = "req int, idx long, role string, content string"
 
 

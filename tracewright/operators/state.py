@@ -1,68 +1,124 @@
 """Keyed state machines over ordered streams, and event-sourced bookmarks.
 
-A machine's rows are dealt by key and sorted; one pass carries a counter from row to row, so the work is linear and
-a task holds one batch, however many requests a key has.
+A machine's state is a cooldown of a few requests, so each row is a map from state to state, and maps compose: rows go by key into
+blocks of consecutive numbers, each block becomes one map, blocks of blocks one more; then the states run down again, from the first
+state of a key to that of each block and to its rows. No task holds more of a key than a block, and a key with a third of all
+rows is spread over as many tasks as it has blocks. All of it is SQL functions.
+
+Defined results: a null key is a key of its own, as any other; rows without a number come first in their key; equal numbers go in
+the order of what the rows say, and repeated rows all count. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-OUTCOMES = "key {}, seq long, outcome string, cooldown int"
+#: Numbers of a block, as a power of two, and levels of blocks: keys with up to 2^36 numbers have no group of more than 4,096 rows.
+BITS, LEVELS = 12, 2
+#: States have four bits each in a map.
+MOST = 15
+DIGITS = "0123456789abcdef"
+
+
+def after(step: Column, state: Column) -> Column:
+    """The state that the map ``step`` gives for ``state``."""
+    return F.call_function("shiftright", step, (state * 4).cast("int")).bitwiseAND(15).cast("int")
+
+
+def packed(states: list[Column]) -> Column:
+    """The map of the states that follow 0, 1 and so on."""
+    out = F.lit(0).cast("bigint")
+    for i, s in enumerate(states):
+        out = out + F.shiftleft(s.cast("bigint"), 4 * i)
+    return out
+
+
+def composed(steps: Column, states: int) -> Column:
+    """One map for all of an array of maps, in order."""
+    identity = packed([F.lit(s) for s in range(states)])
+    return F.aggregate(steps, identity, lambda f, g: packed([after(g, after(f, F.lit(s))) for s in range(states)]))
+
+
+def states_before(steps: Column, first: Column) -> Column:
+    """The state before each of an array of maps, a digit each."""
+    begin = F.struct(first.cast("int").alias("s"), F.lit("").alias("out"))
+    digit = lambda s: F.substr(F.lit(DIGITS), s + 1, F.lit(1))
+    return F.aggregate(steps, begin, lambda a, m: F.struct(after(m, a["s"]).alias("s"), F.concat(a["out"], digit(a["s"])).alias("out")), lambda a: a["out"])
+
+
+def state_at(digits: Column, i: Column) -> Column:
+    return F.instr(F.lit(DIGITS), F.substr(digits, i + 1, F.lit(1))) - 1
+
+
+def _machine(rows: DataFrame, cooldown: int, waiting: str) -> DataFrame:
+    """(key, seq, passes, outcome, fires) to (key, seq, outcome, cooldown), from no cooldown on.
+
+    A row that ``passes`` leaves the state and has its outcome. Any other counts a cooldown down, with the outcome ``waiting``;
+    without one it has its own outcome, and if it ``fires`` the cooldown begins.
+    """
+    if not 0 <= cooldown <= MOST:
+        raise ValueError(f"a cooldown of {cooldown} is over {MOST}")
+    n = cooldown + 1
+    counts = [F.when(F.col("fires"), F.lit(cooldown)).otherwise(0), *[F.lit(s - 1) for s in range(1, n)]]
+    step = F.when(F.col("passes"), packed([F.lit(s) for s in range(n)])).otherwise(packed(counts))
+    block = F.coalesce(F.shiftright(F.col("seq").cast("bigint"), BITS), F.lit(-(1 << 60)))
+    row = F.struct("seq", "passes", "outcome", "fires", step.alias("m"))
+    maps = lambda c: F.transform(c, lambda x: x["m"])
+    level = [rows.groupBy("key", block.alias("b")).agg(F.array_sort(F.collect_list(row)).alias("rows"))]
+    for _ in range(LEVELS):
+        below = level[-1].select("key", F.struct("b", composed(maps("rows"), n).alias("m")).alias("x"))
+        level.append(below.groupBy("key", F.shiftright(F.col("x.b"), BITS).alias("b")).agg(F.array_sort(F.collect_list("x")).alias("rows")))
+    top = level[-1].select("key", F.struct("b", composed(maps("rows"), n).alias("m")).alias("x")).groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    down = F.transform("rows", lambda x, i: F.struct(x["b"].alias("b"), state_at(F.col("digits"), i).alias("first")))
+    starts = top.withColumn("digits", states_before(maps("rows"), F.lit(0))).select("key", F.inline(down))
+    for blocks in reversed(level[1:]):
+        starts = _beside(blocks, starts).withColumn("digits", states_before(maps("rows"), F.col("first"))).select("key", F.inline(down))
+    done = _beside(level[0], starts).withColumn("digits", states_before(maps("rows"), F.col("first")))
+
+    def result(x: Column, i: Column) -> Column:
+        state = state_at(F.col("digits"), i)
+        return F.struct(x["seq"].alias("seq"), F.when(x["passes"] | (state == 0), x["outcome"]).otherwise(waiting).alias("outcome"), after(x["m"], state).alias("cooldown"))
+
+    return done.select("key", F.inline(F.transform("rows", result)))
 
 
-def _machine(rows: DataFrame, step: Callable[[int, object], tuple[str, int]]) -> DataFrame:
-    """``step(cooldown, row)`` gives outcome and cooldown after each row of a key, in the order of seq."""
+def _beside(blocks: DataFrame, starts: DataFrame) -> DataFrame:
+    s = starts.withColumnsRenamed({"key": "_key", "b": "_b"})
+    return blocks.join(s, F.col("key").eqNullSafe(F.col("_key")) & (F.col("b") == F.col("_b"))).drop("_key", "_b")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, left = None, 0
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                if r.key != key:
-                    key, left = r.key, 0
-                outcome, left = step(left, r)
-                out.append((r.key, r.seq, outcome, left))
-            yield pd.DataFrame(out, columns=["key", "seq", "outcome", "cooldown"])
 
-    schema = OUTCOMES.format(rows.schema["key"].dataType.simpleString())
-    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, schema)
+def judge_outcome(n_messages: Column, verdict: Column, summary: Column, can_elide: Column) -> Column:
+    """What a request comes to out of cooldown: a null verdict is an error, a null answer to whether anything goes is no."""
+    said = F.when(F.coalesce(summary, F.lit("")) == "", "no_summary").when(F.coalesce(can_elide, F.lit(False)), "fired").otherwise("nothing_to_elide")
+    return F.when(verdict.isNull(), "shadow_error").when(verdict != "YES", "shadow_no").otherwise(said)
 
 
-def judge_step(r, left: int, cooldown: int, min_messages: int) -> tuple[str, int]:
-    """One request: too_short leaves the state; in cooldown the judge is not asked; a null verdict is an error."""
-    if r.n_messages < min_messages:
-        return "too_short", left
-    if left > 0:
-        return "cooldown", left - 1
-    if r.verdict is None:
-        return "shadow_error", 0
-    if r.verdict != "YES":
-        return "shadow_no", 0
-    if not r.summary:
-        return "no_summary", 0
-    return ("fired", cooldown) if r.can_elide else ("nothing_to_elide", 0)
+def too_short(n_messages: Column, min_messages: int) -> Column:
+    """Requests of few messages leave the state; so do those without a count."""
+    return F.coalesce(n_messages < min_messages, F.lit(True))
 
 
 def judge(requests: DataFrame, cooldown: int = 3, min_messages: int = 6) -> DataFrame:
     """(key, seq, n_messages, verdict, summary, can_elide) to outcomes, in request order."""
-    return _machine(requests.select("key", "seq", "n_messages", "verdict", "summary", "can_elide"), lambda left, r: judge_step(r, left, cooldown, min_messages))
+    short = too_short(F.col("n_messages"), min_messages)
+    outcome = F.when(short, "too_short").otherwise(judge_outcome(*map(F.col, ("n_messages", "verdict", "summary", "can_elide"))))
+    return _machine(requests.select("key", "seq", short.alias("passes"), outcome.alias("outcome"), (outcome == "fired").alias("fires")), cooldown, "cooldown")
 
 
 def harness(turns: DataFrame, cooldown: int = 3) -> DataFrame:
     """(key, seq, verdict, summary, n_elided): the judge is asked each turn; fires on YES with a summary out of cooldown."""
+    yes = F.coalesce((F.col("verdict") == "YES") & (F.col("summary") != ""), F.lit(False))
+    outcome = F.when(~yes, "wait").when(F.coalesce(F.col("n_elided") >= 1, F.lit(False)), "fired").otherwise("unchanged")
+    return _machine(turns.select("key", "seq", F.lit(False).alias("passes"), outcome.alias("outcome"), (outcome == "fired").alias("fires")), cooldown, "wait")
 
-    def step(left: int, r) -> tuple[str, int]:
-        if r.verdict == "YES" and r.summary and left == 0:
-            return ("fired", cooldown) if r.n_elided >= 1 else ("unchanged", left)
-        return "wait", max(left - 1, 0)
 
-    return _machine(turns.select("key", "seq", "verdict", "summary", "n_elided"), step)
+def harness_totals(turns: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Per key of ``harness``: how often it fired, and how often the judge said YES while it waited."""
+    same = [F.col("t.key").eqNullSafe(F.col("o.key")), F.col("t.seq") == F.col("o.seq")]
+    both = turns.alias("t").join(outcomes.alias("o"), same).select("t.key", "outcome", F.coalesce((F.col("verdict") == "YES") & (F.col("summary") != ""), F.lit(False)).alias("yes"))
+    return both.groupBy("key").agg(F.count_if(F.col("outcome") == "fired").alias("fired"), F.count_if(F.col("yes") & (F.col("outcome") == "wait")).alias("yes_in_cooldown"))
 
 
 def bookmark_lists(events: DataFrame) -> DataFrame:
