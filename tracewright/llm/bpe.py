@@ -1,12 +1,9 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The words (pre-tokens) that a worker has not met yet are laid out once each as one array of symbols,
-and an index over it holds the rank of the pair at each position. Each word's lowest active rank is
-applied at all its positions, left to right, and only the entries of the pairs beside a merge change;
-this repeats until no rank is active. As words share no pair, that is the same as to apply the ranks in ascending order over
-the whole partition, but a round does it for all words at once. Long words go through the same index kept
-as lists of positions by pair with a heap of the active ranks. A worker keeps the ids of words it has met in a
-table of bounded size that is emptied when full; words are then encoded again, with the same ids.
+The words (pre-tokens) that a worker has not met yet are laid out once each as one array of symbols. An index maps each
+pair, by its rank, to all its positions in all these words. The active ranks are applied in ascending order, each
+at all its positions, left to right; a merge updates the lists of the two pairs beside it, and no other. A worker keeps the
+ids of words it has met in a table of bounded size that is emptied when full; words are then encoded again, with the same ids.
 
 Byte-level vocabularies in the ``tokenizers`` JSON form are read; a file with settings that this module does not
 follow is refused. The vocabulary file is read once on the driver and travels with the task. Words are split
@@ -26,6 +23,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 from operator import itemgetter
@@ -47,8 +45,10 @@ ASCII_ONLY = r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r A-Za-z0-9]
 TABLE_WORDS, TABLE_CHARS = 250_000, 6_000_000
 #: Characters of texts, and words of one text, that are held at once.
 GROUP_CHARS, GROUP_WORDS = 1 << 20, 1 << 18
-#: Bytes of a word beyond which the index is kept as lists.
-LONG_WORD = 64
+#: Positions of a rank beyond which they are merged as arrays.
+MANY = 128
+#: What stands after each word.
+END = 1 << 19
 #: The rank of a pair that has none.
 NO_RANK = np.int32(1 << 30)
 
@@ -106,72 +106,11 @@ class Vocabulary:
 
 
 class PairIndex:
-    """Encodes many words at once."""
+    """Encodes many words at once: each pair, by its rank, has all its positions in all words."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-
-    def encode(self, words: list[str]) -> list[list[int]]:
-        rank, merge, byte_id = self.v.rank.get, self.v.merge, self.v.byte_id
-        end = 1 << 19  # stands after each word; in no pair
-        sym: list[int] = []
-        starts = [0]
-        small = bytes(byte_id) if max(byte_id) < 256 else None  # ids of bytes are often a permutation of them
-        for w in words:
-            raw = w.encode("utf-8", "replace")
-            sym += raw.translate(small) if small else [byte_id[b] for b in raw]
-            sym.append(end)
-            starts.append(len(sym))
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        where: dict[int, list[int]] = {}  # the index, by rank of the pair
-        for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)):
-            r = rank(a << 20 | b)
-            if r is not None:
-                if r in where:
-                    where[r].append(i)
-                else:
-                    where[r] = [i]
-        active = list(where)
-        heapq.heapify(active)
-        push, pop = heapq.heappush, heapq.heappop
-        while active:
-            r = pop(active)
-            at = where.pop(r)
-            at.sort()
-            a, b, new = merge[r]
-            for i in at:
-                j = nxt[i]
-                if sym[i] != a or sym[j] != b:
-                    continue  # an earlier merge took one of the two
-                sym[i], sym[j] = new, -1
-                nxt[i] = k = nxt[j]
-                prv[k] = i
-                r = rank(new << 20 | sym[k])
-                if r is not None:
-                    if r in where:
-                        where[r].append(i)
-                    else:
-                        where[r] = [i]
-                        push(active, r)
-                h = prv[i]
-                if h >= 0:
-                    r = rank(sym[h] << 20 | new)
-                    if r is not None:
-                        if r in where:
-                            where[r].append(h)
-                        else:
-                            where[r] = [h]
-                            push(active, r)
-        return [[s for s in sym[a : b - 1] if s >= 0] for a, b in zip(starts, starts[1:], strict=False)]
-
-
-class ArrayIndex:
-    """The index as arrays: encodes many short words at once."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
         self.byte_id = np.array(vocabulary.byte_id, np.int32)
-        self.made = np.array([m[2] for m in vocabulary.merge], np.int32)
         merges = np.array([m[:2] for m in vocabulary.merge], np.int64).reshape(-1, 2)
         self.keys = np.append(merges[:, 0] << 20 | merges[:, 1], -1)  # by rank; the last stands for none
         self.slots = np.full(1 << 20, -1, np.int32)
@@ -200,41 +139,85 @@ class ArrayIndex:
         return out
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after the other, and how many each has; no word is empty."""
-        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, words), np.int64, len(words)))
-        rank = np.full(len(sym), NO_RANK)
-        inside = np.flatnonzero(word[1:] == word[:-1])
-        rank[inside] = self.ranks(sym[inside], sym[inside + 1])
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(sym):
-            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            lowest = np.minimum.reduceat(rank, starts)
-            sizes = np.diff(starts, append=len(sym))
-            live = lowest < NO_RANK
-            if not live.all():
-                m = np.repeat(live, sizes)
-                done.append((word[~m], sym[~m]))
-                sym, word, rank, lowest, sizes = sym[m], word[m], rank[m], lowest[live], sizes[live]
-                if not len(sym):
-                    break
-            at = np.flatnonzero(rank == np.repeat(lowest, sizes))
-            first = np.concatenate(([True], np.diff(at) != 1))
-            if not first.all():  # the same letter in a row: every other pair of it
-                at = at[(at - at[first][np.cumsum(first) - 1]) % 2 == 0]
-            sym[at] = self.made[rank[at]]
-            stays = np.ones(len(sym), bool)
-            stays[at + 1] = False
-            sym, word, rank = sym[stays], word[stays], rank[stays]
-            at -= np.arange(len(at))
-            for beside in (at[at > 0] - 1, at):
-                rank[beside] = NO_RANK
-                beside = beside[beside < len(sym) - 1]
-                beside = beside[word[beside] == word[beside + 1]]
-                rank[beside] = self.ranks(sym[beside], sym[beside + 1])
-        order = np.argsort(np.concatenate([d[0] for d in done]), kind="stable") if done else np.empty(0, np.int64)
-        ids = np.concatenate([d[1] for d in done])[order] if done else np.empty(0, np.int32)
-        return ids, np.bincount(np.concatenate([d[0] for d in done]) if done else np.empty(0, np.int64), minlength=len(words))
+        """The ids of all words, one after the other, and how many each has; no word is empty.
+
+        The index is filled at once, positions sorted by rank; ranks are taken in ascending order, and each merge adds the
+        two pairs beside it to the lists of their ranks. Long lists are merged as arrays, short ones position by position.
+        """
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1  # a mark stands after each word, and is in no pair
+        ends = np.cumsum(size)
+        n = int(ends[-1])
+        inside = np.ones(n, bool)
+        inside[ends - 1] = False
+        symbols = np.full(n, END, np.int32)
+        symbols[inside] = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        # arrays of numbers and views on the same memory: single positions are read through the one, many through the other
+        sym, nxt, prv = (array("i", x.tobytes()) for x in (symbols, np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)))
+        syms, nexts, prevs = (np.frombuffer(x, np.int32) for x in (sym, nxt, prv))
+        rank = self.ranks(syms[:-1], syms[1:])
+        places = np.flatnonzero(rank < NO_RANK)
+        places = places[np.argsort(rank[places], kind="stable")]
+        active, first = np.unique(rank[places], return_index=True)
+        where = dict(zip(active.tolist(), zip(first.tolist(), np.append(first[1:], len(places)).tolist(), strict=True), strict=True))  # the index: spans of ``places``,
+        added: dict[int, list[int]] = {}  # and the positions that merges have added
+        queue = active.tolist()  # ascending, so a heap
+        push, pop, find, merge = heapq.heappush, heapq.heappop, self.v.rank.get, self.v.merge
+
+        def add(r: int, at: list[int]) -> None:
+            if r in added:
+                added[r] += at
+            else:
+                added[r] = at
+                if r not in where:
+                    push(queue, r)
+
+        while queue:
+            r = pop(queue)
+            lo, hi = where.pop(r, (0, 0))
+            more = added.pop(r, None)
+            a, b, new = merge[r]
+            if hi - lo + len(more or ()) > MANY and a != b:
+                at = np.unique(np.concatenate((places[lo:hi], np.array(more, np.int64)))) if more else places[lo:hi]
+                to = nexts[at]
+                fits = (syms[at] == a) & (syms[to] == b)  # else an earlier merge took one of the two
+                at, to = at[fits], to[fits]
+                after = nexts[to]
+                syms[at], syms[to], nexts[at], prevs[after] = new, -1, after, at
+                before = prevs[at]
+                left = at[before >= 0]
+                before = before[before >= 0]
+                beside = np.concatenate((self.ranks(np.full(len(at), new), syms[after]), self.ranks(syms[before], np.full(len(left), new))))
+                which = np.concatenate((at, before))[beside < NO_RANK]
+                beside = beside[beside < NO_RANK]
+                order = np.argsort(beside, kind="stable")
+                kinds, starts = np.unique(beside[order], return_index=True)
+                which = which[order].tolist()
+                starts = [*starts.tolist(), len(which)]
+                for i, q in enumerate(kinds.tolist()):
+                    add(q, which[starts[i] : starts[i + 1]])
+                continue
+            at = places[lo:hi].tolist()
+            if more:
+                at = sorted(at + more)
+            for i in at:
+                j = nxt[i]
+                if sym[i] != a or sym[j] != b:
+                    continue
+                sym[i], sym[j] = new, -1
+                nxt[i] = k = nxt[j]
+                prv[k] = i
+                q = find(new << 20 | sym[k])
+                if q is not None:
+                    add(q, [i])
+                h = prv[i]
+                if h >= 0:
+                    q = find(sym[h] << 20 | new)
+                    if q is not None:
+                        add(q, [h])
+        live = (syms >= 0) & (syms != END)
+        return syms[live], np.add.reduceat(live.astype(np.int64), ends - size)
 
 
 class WordNumbers(dict):
@@ -275,7 +258,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         import regex
 
-        self.v, self.lists, self.arrays = vocabulary, PairIndex(vocabulary), ArrayIndex(vocabulary)
+        self.v, self.index = vocabulary, PairIndex(vocabulary)
         self.pattern, self.ascii = regex.compile(LETTERS_FIRST), re.compile(ASCII_ONLY)
         self.newer = regex.compile(unassigned_class()).search
         self.first_newer = next(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
@@ -316,24 +299,12 @@ class Encoder:
         if not new:
             return
         special = self.v.special
-        raw = [w.encode("utf-8", "replace") for w in new]
-        apart = {i: [special[w]] if w in special else None for i, w in enumerate(new) if len(raw[i]) > LONG_WORD or w in special}
-        long = [i for i, ids in apart.items() if ids is None]
-        apart |= zip(long, self.lists.encode([new[i] for i in long]), strict=True)
-        ids, size = self.arrays.encode([r for i, r in enumerate(raw) if i not in apart] if apart else raw)
+        apart = [i for i, w in enumerate(new) if w in special] if special else []
+        ids, size = self.index.encode([w.encode("utf-8", "replace") for w in new if w not in special] if apart else [w.encode("utf-8", "replace") for w in new])
         if apart:
-            sizes = np.zeros(len(new), np.int64)
-            short = np.ones(len(new), bool)
-            short[list(apart)] = False
-            sizes[short] = size
-            sizes[list(apart)] = [len(x) for x in apart.values()]
-            every = np.empty(sizes.sum(), np.int32)
-            starts = np.cumsum(sizes) - sizes
-            mine = np.repeat(short, sizes)
-            every[mine] = ids
-            for i, x in apart.items():
-                every[starts[i] : starts[i] + len(x)] = x
-            ids, size = every, sizes
+            at = np.array(apart)
+            before = np.concatenate([[0], np.cumsum(size)])[at - np.arange(len(at))]  # ids of the words before each special one
+            ids, size = np.insert(ids, before, [special[new[i]] for i in apart]), np.insert(size, at - np.arange(len(at)), 1)
         base = len(self.size)
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
         self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
