@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.operators import order
+
 
 def adjacent_pairs(runs: DataFrame) -> DataFrame:
     """Per task: an off run directly followed by the on run with the next number."""
-    order = W.partitionBy("task").orderBy("num")
+    in_task = W.partitionBy("task").orderBy("num")
     extra = [c for c in ("exit_code", "verify_exit") if c in runs.columns]
-    rows = runs.where(F.col("proxy").isin("off", "on")).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in ["proxy", "num", "dur", *extra]])
+    rows = runs.where(F.col("proxy").isin("off", "on")).select("*", *[F.lead(c).over(in_task).alias(f"next_{c}") for c in ["proxy", "num", "dur", *extra]])
     hit = (F.col("proxy") == "off") & (F.col("next_proxy") == "on") & (F.col("next_num") == F.col("num") + 1)
     return rows.where(hit).select("task", F.col("num").alias("off_num"), F.col("next_num").alias("on_num"), F.col("dur").alias("off_dur"), F.col("next_dur").alias("on_dur"), *[x for c in extra for x in (F.col(c).alias(f"off_{c}"), F.col(f"next_{c}").alias(f"on_{c}"))])
 
@@ -32,15 +34,19 @@ def distinct_rewinds(elisions: DataFrame) -> DataFrame:
 
 
 def positional_pairs(runs: DataFrame) -> DataFrame:
-    """The k-th off run with the k-th on run, in the order of their names, over all runs; the longer side's rest goes. A row per run directory is numbered in one task."""
-    side = lambda p: runs.where(F.col("proxy") == p).select(F.row_number().over(W.orderBy(F.col("num").cast("string"))).cast("bigint").alias("k"), F.col("num").alias(f"{p}_num"), F.col("dur").alias(f"{p}_dur"))
-    return side("off").join(side("on"), "k")
+    """The k-th off run with the k-th on run, in the order of their names, over all runs; the longer side's rest goes."""
+    side = lambda p: order.numbered(runs.where(F.col("proxy") == p).select(F.col("num").alias(f"{p}_num"), F.col("dur").alias(f"{p}_dur")), [F.col(f"{p}_num").cast("string")])
+    return side("off").join(side("on"), "k").select("k", "off_num", "off_dur", "on_num", "on_dur")
 
 
 def compare(runs: DataFrame) -> DataFrame:
     """Per task: medians of either side, change in percent; tasks of one side only stay."""
-    side = lambda p: runs.where(F.col("proxy") == p).groupBy("task").agg(F.count("dur").alias(f"n_{p}"), F.median("dur").alias(f"median_{p}"))
-    both = side("off").join(side("on"), "task", "full_outer")
+    sides = runs.where(F.col("proxy").isin("off", "on"))
+    names = sides.groupBy("task").agg(*[F.max(F.col("proxy") == p).alias(f"has_{p}") for p in ("off", "on")])
+    m = order.medians(sides, ["task", "proxy"], "dur")
+    side = lambda p: m.where(F.col("proxy") == p).select("task", F.col("n").alias(f"n_{p}"), F.col("median").alias(f"median_{p}"))
+    both = names.join(side("off"), "task", "left").join(side("on"), "task", "left")
+    both = both.withColumns({f"n_{p}": F.when(F.col(f"has_{p}"), F.coalesce(f"n_{p}", F.lit(0))) for p in ("off", "on")}).select("task", "n_off", "median_off", "n_on", "median_on")
     return both.withColumn("delta_pct", F.try_divide((F.col("median_on") - F.col("median_off")) * 100, F.col("median_off")))
 
 
@@ -59,10 +65,13 @@ def by_condition(runs: DataFrame) -> DataFrame:
     ok = F.coalesce(F.col("verdict") == "ok", F.lit(False))
     values = {"cost": "cost", "dur": "dur_ms", "turns": "turns", "saved": "bytes_saved"}
     has = (F.col("checkpoints") > 0).cast("int")
-    return runs.groupBy("task", "condition").agg(
-        F.count(F.lit(1)).alias("n"), *[F.median(c).alias(f"median_{n}") for n, c in values.items()], F.avg(has).alias("checkpoint_rate"), F.avg(ok.cast("int")).alias("ok_rate"),
-        F.count_if(ok).alias("n_ok"), *[F.median(F.when(ok, F.col(c))).alias(f"median_{n}_ok") for n, c in values.items()], F.avg(F.when(ok, has)).alias("checkpoint_rate_ok"),
-    )
+    rates = runs.groupBy("task", "condition").agg(F.count(F.lit(1)).alias("n"), F.avg(has).alias("checkpoint_rate"), F.avg(ok.cast("int")).alias("ok_rate"), F.count_if(ok).alias("n_ok"), F.avg(F.when(ok, has)).alias("checkpoint_rate_ok"))
+    each = [F.struct(F.lit(f"median_{n}").alias("metric"), F.col(c).cast("double").alias("value")) for n, c in values.items()] + [F.struct(F.lit(f"median_{n}_ok").alias("metric"), F.when(ok, F.col(c)).cast("double").alias("value")) for n, c in values.items()]
+    m = order.medians(runs.select("task", "condition", F.inline(F.array(*each))), ["task", "condition", "metric"], "value")
+    names = [f"median_{n}{end}" for end in ("", "_ok") for n in values]
+    wide = m.groupBy(F.col("task").alias("_t"), F.col("condition").alias("_c")).agg(*[F.max(F.when(F.col("metric") == x, F.col("median"))).alias(x) for x in names])
+    both = rates.join(wide, F.col("task").eqNullSafe(F.col("_t")) & F.col("condition").eqNullSafe(F.col("_c")), "left")
+    return both.select("task", "condition", "n", *names[:4], "checkpoint_rate", "ok_rate", "n_ok", *names[4:], "checkpoint_rate_ok")
 
 
 def rewind_totals(telemetry: DataFrame) -> DataFrame:
@@ -83,7 +92,7 @@ METRICS = ["duration_seconds", "input_tokens", "output_tokens", "cache_creation_
 def task_metrics(summaries: DataFrame) -> DataFrame:
     """Per task and metric: how many runs have a number for it and its median; tasks without any number give no row."""
     values = [F.struct(F.lit(m).alias("metric"), F.col(m).try_cast("double").alias("value")) for m in METRICS]
-    return summaries.select("task", F.inline(F.array(*values))).where("value is not null").groupBy("task", "metric").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("median"))
+    return order.medians(summaries.select("task", F.inline(F.array(*values))), ["task", "metric"], "value")
 
 
 def harness_totals(turns: DataFrame) -> DataFrame:
@@ -97,8 +106,8 @@ def harness_totals(turns: DataFrame) -> DataFrame:
 
 def cache_run(telemetry: DataFrame) -> DataFrame:
     """Per run: token totals, weighted cost, hit rate, compactions and the spike after them."""
-    order = W.partitionBy("run").orderBy("line")
-    grp = F.count_if(F.col("type") == "cache_stats").over(order.rowsBetween(W.unboundedPreceding, -1))
+    lines = W.partitionBy("run").orderBy("line")
+    grp = F.count_if(F.col("type") == "cache_stats").over(lines.rowsBetween(W.unboundedPreceding, -1))
     rows = telemetry.where(F.col("type").isin("cache_stats", "compact")).withColumn("grp", grp)
     follow = F.max(F.col("type") == "compact").over(W.partitionBy("run", "grp"))
     rows = rows.withColumn("follow_up", (F.col("type") == "cache_stats") & follow)

@@ -35,47 +35,96 @@ def explode_steps(df: DataFrame) -> DataFrame:
     return df.select("session_id", F.inline("steps"))
 
 
+def lines(spark: SparkSession, path: str | list[str], **options: object) -> DataFrame:
+    """(file, line, raw): the lines of text files, read by splits, so a large file is read by many tasks. ``line`` tells the order in a file: the split's first byte, then the
+    place in the task that read it, which reads a split from begin to end."""
+    found = spark.read.text(path, **options)
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return found.select(F.col("_metadata.file_path").alias("file"), at.alias("line"), F.col("value").alias("raw"))
+
+
+def _parsed(raw: DataFrame, schema: str) -> DataFrame:
+    broken = "_broken string"
+    return raw.withColumn("e", F.from_json("raw", f"{schema}, {broken}", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+
+
 def telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Event files, malformed lines skipped, with file and line order as written."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
-    parsed = raw.withColumn("e", F.from_json("raw", EVENT, {"mode": "PERMISSIVE"})).where("e.type is not null")
-    return parsed.select("file", F.col("line").cast("bigint").alias("line"), "e.*")
+    """Event files, malformed lines skipped (``malformed`` has them), with file and line order as written."""
+    return _parsed(lines(spark, path), EVENT).where("e.type is not null and e._broken is null").select("file", "line", "e.*").drop("_broken")
 
 
-def with_run(df: DataFrame) -> DataFrame:
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of event files that are not blank and no JSON object: (file, line, raw)."""
+    return _parsed(lines(spark, path), EVENT).where((F.trim("raw") != "") & (F.col("e._broken").isNotNull() | F.col("e").isNull())).select("file", "line", "raw")
+
+
+def with_run(df: DataFrame, path: str = "_metadata.file_path") -> DataFrame:
     """run, task and rep from the path."""
-    p = F.col("_metadata.file_path")
+    p = F.col(path)
     part = lambda rx: F.nullif(F.regexp_extract(p, rx, 1), F.lit(""))
     return df.select("*", part(r"(run_\d+)").alias("run"), part(r"run_\d+/([^/]+)/").alias("task"), part(r"_(\d+)\.[a-z]+$").cast("bigint").alias("rep"))
 
 
-def summaries(spark: SparkSession, root: str) -> DataFrame:
-    return with_run(spark.read.schema(SUMMARY).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "summary_*.json").json(root))
+def run_files(spark: SparkSession, root: str, name: str, runs: list[str] | None = None, tasks: list[str] | None = None) -> list[str]:
+    """Paths of a run directory's files, by globs over the run and task folders wanted, so no other folder is listed or read; none where there is none.
+
+    ``tasks``: [] for files of the run itself.
+    """
+    any_of = lambda names, every: every if names is None else "{" + ",".join(names) + "}"
+    glob = "/".join([root.rstrip("/"), any_of(runs, "run_*"), *([] if tasks == [] else [any_of(tasks, "*")]), name])
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [glob] if found is not None and len(found) else []
 
 
-def verify_results(spark: SparkSession, root: str) -> DataFrame:
-    return with_run(spark.read.schema("verify_exit bigint").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "verify_*.json").json(root))
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema).select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("run", "string"), ("task", "string"), ("rep", "bigint"))])
 
 
-def run_config(spark: SparkSession, root: str) -> DataFrame:
-    """key=value pairs of the first line of run.log that holds run_id= and proxy=."""
-    raw = with_run(spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="run.log"))
-    lines = F.filter(F.split("value", "\n"), lambda x: F.contains(x, F.lit("run_id=")) & F.contains(x, F.lit("proxy=")))
-    head = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    get = lambda k: F.nullif(F.regexp_extract(head, rf"\b{k}=(\S+)", 1), F.lit("")).alias(k)
-    return raw.select("run", *map(get, ["run_id", "proxy", "bookmarks", "rewind", "rewind_hint", "shadow"]))
+def summaries(spark: SparkSession, root: str, runs: list[str] | None = None, tasks: list[str] | None = None) -> DataFrame:
+    """Summaries of all runs, or of those named; folders of others are not opened."""
+    paths = run_files(spark, root, "summary_*.json", runs, tasks)
+    return with_run(spark.read.schema(SUMMARY).option("multiLine", True).json(paths)) if paths else _empty(spark, SUMMARY)
 
 
-def last_result(spark: SparkSession, root: str) -> DataFrame:
-    """The last record of type result of each transcript."""
-    raw = with_run(spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="transcript_*.jsonl"))
-    rx = "type string, num_turns bigint, total_cost_usd double, duration_ms bigint, duration_api_ms bigint, stop_reason string, is_error boolean"
-    rows = F.filter(F.transform(F.split("value", "\n"), lambda x: F.from_json(x, rx)), lambda r: r["type"] == "result")
-    return raw.select("run", "task", "rep", F.try_element_at(rows, F.lit(-1)).alias("r")).where("r is not null").select("run", "task", "rep", "r.*")
+def verify_results(spark: SparkSession, root: str, runs: list[str] | None = None, tasks: list[str] | None = None) -> DataFrame:
+    paths = run_files(spark, root, "verify_*.json", runs, tasks)
+    return with_run(spark.read.schema("verify_exit bigint").option("multiLine", True).json(paths)) if paths else _empty(spark, "verify_exit bigint")
 
 
-def patches(spark: SparkSession, root: str) -> DataFrame:
-    return with_run(spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="patch_*.diff")).withColumnRenamed("value", "diff")
+def run_config(spark: SparkSession, root: str, runs: list[str] | None = None) -> DataFrame:
+    """A row per run with a run.log: key=value pairs of its first line that holds run_id= and proxy=; and of its first line that holds proxy= what the two analyses take for the
+    proxy's state: ``side``, off before on, null where neither (the run counts on no side), and ``cached``, on or else off."""
+    keys = ["run_id", "proxy", "bookmarks", "rewind", "rewind_hint", "shadow"]
+    paths = run_files(spark, root, "run.log", runs, [])
+    if not paths:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ["run", *keys, "side", "cached"]))
+    raw = with_run(lines(spark, paths), "file").select("run", "line", "raw")
+    named = F.contains("raw", F.lit("proxy="))
+    first = lambda c: F.coalesce(F.min_by(F.when(c, F.col("raw")), F.when(c, F.col("line"))), F.lit(""))
+    heads = raw.groupBy("run").agg(first(named & F.contains("raw", F.lit("run_id="))).alias("head"), first(named).alias("any"))
+    get = lambda k: F.nullif(F.regexp_extract("head", rf"\b{k}=(\S+)", 1), F.lit("")).alias(k)
+    on, off = (F.contains("any", F.lit(f"proxy={x}")) for x in ("on", "off"))
+    return heads.select("run", *map(get, keys), F.when(off, "off").when(on, "on").alias("side"), F.when(on, "on").otherwise("off").alias("cached"))
+
+
+RESULT = "type string, num_turns bigint, total_cost_usd double, duration_ms bigint, duration_api_ms bigint, stop_reason string, is_error boolean, usage struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
+
+
+def last_result(spark: SparkSession, root: str, runs: list[str] | None = None, tasks: list[str] | None = None) -> DataFrame:
+    """The last record of type result of each transcript, with its usage and line; lines that are no JSON go. A transcript is read by splits, its last record found by a maximum."""
+    paths = run_files(spark, root, "transcript_*.jsonl", runs, tasks)
+    if not paths:
+        return _empty(spark, f"{RESULT}, line struct<split:bigint,row:bigint>").select("run", "task", "rep", "line", *[c.split()[0] for c in RESULT.split(", ")])
+    parsed = _parsed(with_run(lines(spark, paths), "file"), RESULT).where("e.type = 'result' and e._broken is null")
+    last = parsed.groupBy("file", "run", "task", "rep").agg(F.max("line").alias("line"), F.max_by("e", "line").alias("r"))
+    return last.select("run", "task", "rep", "line", "r.*").drop("_broken")
+
+
+def patches(spark: SparkSession, root: str, runs: list[str] | None = None, tasks: list[str] | None = None) -> DataFrame:
+    """A patch is one value, so its file is read whole."""
+    paths = run_files(spark, root, "patch_*.diff", runs, tasks)
+    return with_run(spark.read.text(paths, wholetext=True)).withColumnRenamed("value", "diff") if paths else _empty(spark, "diff string")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -120,8 +169,10 @@ def seeded_choice(sessions_: DataFrame, order: str, seed: int = 42, of_first: in
 
 
 def nth(rows: DataFrame, order: list[str], n: int) -> DataFrame:
-    """The row at the 0-based position; none where there are fewer."""
-    return rows.orderBy(*order).offset(n).limit(1)
+    """The row at the 0-based position; none where there are fewer. Places are given by ranges, so no task reads all rows before it."""
+    from tracewright.operators.order import numbered
+
+    return numbered(rows, order, "_nth").where(F.col("_nth") == n + 1).drop("_nth")
 
 
 def write_sessions(df: DataFrame, path: str, append: bool = False) -> None:
