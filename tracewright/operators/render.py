@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import cap_response, estimate_tokens
+from tracewright.functions.wrap import wrapped
 from tracewright.operators.prompts import Template, turn_text
 
 #: The checkpoint tool's name in training data and its answer; fixed values.
@@ -219,11 +220,23 @@ def unknown_tools(messages: DataFrame, known: list[str]) -> DataFrame:
     return names.select("session_id", F.array_sort(F.array_except("names", F.array(*map(F.lit, known)))).alias("unknown"))
 
 
-def review(steps: DataFrame, checkpoints: DataFrame, expires: DataFrame, most: int = 110) -> DataFrame:
-    """A line a step for human review: number, an EXPIRED badge, the entry's first ``most`` characters, and what checkpoints fire after it."""
-    marks = checkpoints.groupBy("session_id", F.col("after_step").alias("idx")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("progress_type", F.lit(": "), "finding"))), " | ").alias("fires"))
+def review(steps: DataFrame, checkpoints: DataFrame, expires: DataFrame, most: int = 300) -> DataFrame:
+    """A session's steps for human review: (session_id, idx, entry, fires).
+
+    ``entry``: number, role or tool, an EXPIRE badge, then text (300 characters), command (200) and output (``most``; 0 leaves it out), with what is left out
+    counted, wrapped at 110. ``fires``: a banner with finding, evidence and next direction for each checkpoint after the step; null without.
+    """
+    over = lambda c, n, what: F.concat(F.left(c, F.lit(n)), F.when(F.length(c) > n, F.format_string(f"  (…%d more{what})", F.length(c) - n)).otherwise(""))
+    text, cmd, output, tool = (F.coalesce(F.col(c), F.lit("")) for c in ("text", "cmd", "output", "tool_name"))
+    badge = F.when(F.col("gone"), F.format_string("  ◀── EXPIRE (step %d)", "idx")).otherwise("")
+    said = lambda who: F.concat(F.format_string(f"[%3d] {who} TEXT", "idx"), badge, F.lit("\n    "), wrapped(over(text, 300, "")))
+    call = F.concat(F.format_string("[%3d] TOOL  ", "idx"), tool, badge, F.lit("\n    cmd: "), wrapped(over(cmd, 200, "")))
+    call = F.concat(call, F.when(output != "", F.concat(F.lit("\n    out: "), wrapped(over(output, most, " chars")))).otherwise("")) if most > 0 else call
+    entry = F.when(F.col("role") == "user_text", said("USER")).when(F.col("role") == "assistant_text", said("ASST")).otherwise(call)
+    head = F.format_string("━━━━━━━━━━  CHECKPOINT after step %d  [%s]  ━━━━━━━━━━", "after_step", F.coalesce("progress_type", F.lit("?")))
+    field = lambda name, c: F.concat(F.lit(f"  {name}:".ljust(13)), wrapped(F.col(c), indent=" " * 13), F.lit("\n"))
+    banner = F.concat(F.lit("\n"), head, F.lit("\n"), field("finding", "finding"), field("evidence", "evidence"), field("next", "next_direction"), F.repeat(F.lit("━"), F.length(head)), F.lit("\n"))
+    marks = checkpoints.select("session_id", F.col("after_step").alias("idx"), banner.alias("banner")).groupBy("session_id", "idx").agg(F.array_join(F.array_sort(F.collect_list("banner")), "").alias("fires"))
     gone = expires.select("session_id", F.col("expire").alias("idx"), F.lit(True).alias("gone")).distinct()
-    entry = F.when(F.col("role") == "tool", F.concat_ws(" ", F.concat(F.lit("TOOL "), "tool_name"), "cmd")).otherwise(F.concat(F.when(F.col("role") == "user_text", "USER: ").otherwise("ASST: "), "text"))
     rows = steps.join(marks, ["session_id", "idx"], "left").join(gone, ["session_id", "idx"], "left")
-    line = F.concat(F.format_string("[%3d]", "idx"), F.when(F.col("gone"), " [EXPIRED] ").otherwise(" "), F.left(entry, F.lit(most)))
-    return rows.select("session_id", "idx", line.alias("line"), "fires")
+    return rows.select("session_id", "idx", entry.alias("entry"), "fires")

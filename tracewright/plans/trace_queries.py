@@ -333,8 +333,15 @@ query("rn9_chunk_messages", f"with {ALL}, {chunks_sql(8192)}, x as (select *, ca
 query("flt11_unknown_tools", f"with {V.TRACE} select session_id, list_sort(list(distinct tool_name) filter (tool_name not in ('Bash', 'Read', 'Edit', 'Grep', 'Glob', 'mcp__bookmarks__checkpoint_progress'))) as unknown from trace where role = 'tool' group by 1")(
     lambda s, d: render.unknown_tools(_chat(s, d), ["Bash", "Read", "Edit", "Grep", "Glob", "mcp__bookmarks__checkpoint_progress"])
 )
-query("rn12_review", f"with {ALL}, {EXP}, f as (select session_id, after_step as idx, progress_type || ': ' || finding as fires from ann) select session_id, idx, '[' || lpad(idx::varchar, greatest(3, length(idx::varchar))::int, ' ') || ']' || case when ex.expire is not null then ' [EXPIRED] ' else ' ' end || left(case role when 'tool' then 'TOOL ' || tool_name || ' ' || cmd when 'user_text' then 'USER: ' || text else 'ASST: ' || text end, 110) as line, fires from trace left join f using (session_id, idx) left join ex on ex.session_id = trace.session_id and ex.expire = trace.idx")(
-    lambda s, d: render.review(V.trace(s, d), annotate.annotate(V.trace(s, d)), annotate.stale_outputs(V.trace(s, d)))
+# Greedy wrap of lines whose words are short and stand apart by one space, as those of the traces do.
+_line = lambda c: f"case when length({c}) <= 110 then {c} else list_reduce(string_split({c}, ' '), lambda a, w: case when length(regexp_extract(a, '[^' || chr(10) || ']*$')) + 1 + length(w) <= 110 then a || ' ' || w else a || chr(10) || w end) end"
+_wrap = lambda c, n: f"replace(array_to_string(list_transform(string_split(regexp_replace({c}, chr(10) || '$', ''), chr(10)), lambda x: {_line('x')}), chr(10)), chr(10), chr(10) || repeat(' ', {n}))"
+_over = lambda c, n, what: f"left({c}, {n}) || case when length({c}) > {n} then '  (…' || (length({c}) - {n}) || ' more{what})' else '' end"
+REVIEW = f"""v as (select t.session_id, t.idx, role, tool_name, '[' || lpad(t.idx::varchar, greatest(3, length(t.idx::varchar))::int, ' ') || '] ' as n, case when ex.expire is not null then '  ◀── EXPIRE (step ' || t.idx || ')' else '' end as badge, {_over("text", 300, "")} as text, {_over("cmd", 200, "")} as cmd, {_over("output", 300, " chars")} as output from trace t left join ex on ex.session_id = t.session_id and ex.expire = t.idx),
+  b as (select session_id, after_step as idx, '━━━━━━━━━━  CHECKPOINT after step ' || after_step || '  [' || progress_type || ']  ━━━━━━━━━━' as head, finding, evidence, next_direction from ann),
+  f as (select session_id, idx, string_agg(chr(10) || head || chr(10) || '  finding:   ' || {_wrap("finding", 13)} || chr(10) || '  evidence:  ' || {_wrap("evidence", 13)} || chr(10) || '  next:      ' || {_wrap("next_direction", 13)} || chr(10) || repeat('━', length(head)) || chr(10), '') as fires from b group by 1, 2)"""
+query("rn12_review", f"with {ALL}, {EXP}, {REVIEW} select session_id, idx, n || case role when 'tool' then 'TOOL  ' || tool_name || badge || chr(10) || '    cmd: ' || {_wrap('cmd', 4)} || case when output <> '' then chr(10) || '    out: ' || {_wrap('output', 4)} else '' end else case role when 'user_text' then 'USER' else 'ASST' end || ' TEXT' || badge || chr(10) || '    ' || {_wrap('text', 4)} end as entry, fires from v left join f using (session_id, idx)")(
+    lambda s, d: (lambda t: render.review(t, annotate.annotate(t), annotate.stale_outputs(t)))(stored(V.trace(s, d)))
 )
 
 
