@@ -102,3 +102,18 @@ def test_the_session_keeps_its_settings(spark):
     with run.with_state(spark):
         assert spark.conf.get(run.PROVIDER) == run.ROCKS
     assert spark.conf.get(run.PROVIDER) == before
+
+
+def test_bookmark_lists_equal_a_replay(spark):
+    rng = random.Random(8)
+    events = [(s, i, rng.choice(["mark", "list", "recall"]), f"n{rng.randrange(6)}", rng.choice([f"s{i}", None])) for s in ("x", "y") for i in range(300)]
+    df = spark.createDataFrame(events, "session string, seq long, kind string, name string, summary string")
+    got = sorted((r.session, r.seq, r["count"], r.listed) for r in state.bookmark_lists(df.where("summary is not null or kind <> 'mark'")).collect())
+    kept = {}
+    for s, i, kind, name, summary in events:
+        if kind == "mark" and summary is not None:
+            kept.setdefault(s, {})[name] = summary
+        if kind == "list":
+            lines = [f"- {n}: {x}" for n, x in kept.get(s, {}).items()]
+            assert (s, i, len(lines), "\n".join(lines) or "(no bookmarks saved yet)") == got.pop(0)
+    assert not got

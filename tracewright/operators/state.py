@@ -122,11 +122,19 @@ def harness_totals(turns: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def bookmark_lists(events: DataFrame) -> DataFrame:
-    """What each list event (session, seq, kind 'list') returns: names in the order they were first marked, each with its latest summary."""
-    order = W.partitionBy("session", "name").orderBy("seq")
-    marks = events.where("kind = 'mark'").select("session", "name", "summary", F.col("seq").alias("since"), F.lead("seq").over(order).alias("until"), F.first("seq").over(order).alias("born"))
+    """What each list event (session, seq, kind 'list') returns: names in the order they were first marked, each with its latest summary.
+
+    Lists meet the names of their session, and each line takes its summary by one running frame over the marks of its name: the work grows
+    with the marks and the lines listed, not with lists times marks.
+    """
+    marks = events.where("kind = 'mark'").select("session", "name", "seq", "summary")
     lists = events.where("kind = 'list'").select("session", "seq")
-    live = lists.join(marks, "session").where("since < seq and (until is null or until > seq)")
+    names = marks.groupBy("session", "name").agg(F.min("seq").alias("born"))
+    asked = lists.join(names, "session").where("born < seq").withColumn("summary", F.lit(None).cast("string"))  # a row for each line that is listed, no more
+    both = asked.select("session", "name", "seq", "summary", "born", F.lit(0).alias("mark")).unionByName(marks.select("*", F.lit(1).alias("mark")), allowMissingColumns=True)
+    until_now = W.partitionBy("session", "name").orderBy("seq", "mark").rowsBetween(W.unboundedPreceding, W.currentRow)
+    said = F.last(F.when(F.col("mark") == 1, F.struct("summary")), ignorenulls=True).over(until_now)
+    live = both.withColumn("summary", said["summary"]).where("mark = 0")
     lines = live.groupBy("session", "seq").agg(F.array_sort(F.collect_list(F.struct("born", F.concat(F.lit("- "), "name", F.lit(": "), "summary").alias("line")))).alias("a"))
     joined = lists.join(lines, ["session", "seq"], "left")
     return joined.select("session", "seq", F.coalesce(F.size("a"), F.lit(0)).alias("count"), F.when(F.size("a") > 0, F.array_join(F.transform("a", lambda x: x["line"]), "\n")).otherwise("(no bookmarks saved yet)").alias("listed"))

@@ -141,4 +141,4 @@ query("relational_smoke", "select n_name, o_orderpriority, count(*) as n, round(
     .cube("n_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 )
 
-from tracewright.plans import stream_queries, wire_queries  # noqa: E402, F401  (they take inputs of this module)
+from tracewright.plans import file_queries, stream_queries, wire_queries  # noqa: E402, F401  (they take inputs of this module)

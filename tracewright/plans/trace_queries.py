@@ -68,12 +68,13 @@ query("flt5_outputs", f"with {V.TRACE} select session_id, idx, regexp_matches(ou
 query("nrm5_tool_class", f"with {V.TRACE} select session_id, idx, case when tool_name in ('Bash', 'bash') then 'bash' when tool_name in ('Read', 'view') then 'view' when tool_name in ('Edit', 'Write', 'MultiEdit') then 'edit' when tool_name in ('Grep', 'Glob') then 'search' else 'other' end as kind from trace where role = 'tool'")(
     lambda s, d: V.trace(s, d).where("role = 'tool'").select("session_id", "idx", text.tool_class(F.col("tool_name")).alias("kind"))
 )
-query(
-    "rn1_render_step",
-    f"""with {V.TRACE}, r as (select *, string_split(output, chr(10)) as l from trace), t as (select *, case when len(l) <= 28 then output else array_to_string(l[1:15], chr(10)) || chr(10) || '[... ' || (len(l) - 25) || ' lines omitted ...]' || chr(10) || array_to_string(l[len(l) - 9:len(l)], chr(10)) end as o from r)
+RENDERED = f"""with {V.TRACE}, r as (select *, string_split(output, chr(10)) as l from trace), t as (select *, case when len(l) <= 28 then output else array_to_string(l[1:15], chr(10)) || chr(10) || '[... ' || (len(l) - 25) || ' lines omitted ...]' || chr(10) || array_to_string(l[len(l) - 9:len(l)], chr(10)) end as o from r)
     select session_id, idx, '[' || lpad(idx::varchar, greatest(3, length(idx::varchar))::int, ' ') || '] ' || case role when 'tool' then 'TOOL ' || tool_name || ': ' || left(cmd, 200) || case when length(cmd) > 200 then ' (…' || (length(cmd) - 200) || ')' else '' end || chr(10) || '     → ' || left(o, 2000) || case when length(o) > 2000 then chr(10) || '[... ' || (length(o) - 2000) || ' chars truncated ...]' else '' end
-      else case role when 'user_text' then 'USER: ' else 'ASST: ' end || left(text, 500) || case when length(text) > 500 then '  (…' || (length(text) - 500) || ' more chars)' else '' end end as entry from t""",
-)(lambda s, d: V.trace(s, d).select("session_id", "idx", text.render_step(*map(F.col, ("idx", "role", "tool_name", "cmd", "output", "text"))).alias("entry")))
+      else case role when 'user_text' then 'USER: ' else 'ASST: ' end || left(text, 500) || case when length(text) > 500 then '  (…' || (length(text) - 500) || ' more chars)' else '' end end as entry from t"""
+query("rn1_render_step", RENDERED)(lambda s, d: V.trace(s, d).select("session_id", "idx", text.render_step(*map(F.col, ("idx", "role", "tool_name", "cmd", "output", "text"))).alias("entry")))
+query("rn2_step_transcript", f"select session_id, string_agg(entry, chr(10) order by idx) as transcript from ({RENDERED}) group by session_id")(
+    lambda s, d: render.transcript(V.trace(s, d).withColumn("entry", text.render_step(*map(F.col, ("idx", "role", "tool_name", "cmd", "output", "text")))), "session_id", "idx", "entry")
+)
 
 
 def _label_events(s, d):
