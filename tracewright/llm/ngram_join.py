@@ -24,6 +24,7 @@ Defined results
   null, empty or wordless text: the empty set, linked with nothing, component: itself.
   fewer words than n: the whole sequence is the one n-gram.
   rows that repeat a doc_id are one document with each row's links. null doc_id: null component, no links.
+  doc_id: a whole number; ids of other types are numbered first, by the caller.
   empty table: empty result. Very long texts: whole. Extra columns pass by unread.
 """
 

@@ -12,7 +12,7 @@ text (two different windows of one text of a million words share a hash with a c
 Defined results
   null or empty text: all measurements 0; rule ``few_words`` fails.
   a text with fewer than three words has no window. Lines without a word are no lines.
-  repeated rows are judged alike; an empty table gives an empty ledger.
+  repeated rows are judged alike; an empty table gives an empty ledger. Very long texts: measured whole, n log n in their words.
   Extra columns pass through; columns named like a measurement, or fail_bits, are replaced.
 """
 
@@ -113,6 +113,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", *MEASURES, base_failed.alias("base_failed"), kept().alias("kept"), "n_lines", "fail_bits")
 
 
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and with others, over all documents."""
+    return ablation(ledger(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 ORACLE = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 s as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
@@ -129,3 +134,8 @@ b as (select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_re
       + case when word_chars > 20 * n_words then 16 else 0 end + case when 3 * n_dup_lines > n_lines and n_dup_lines >= 3 then 32 else 0 end)::bigint as fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept, n_lines, fail_bits from b
 """
+
+ABLATION_ORACLE = f"""
+with l as ({ORACLE}), r(rule, bit) as (values ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32))
+select rule, bit::bigint as bit, count(*) filter (fail_bits & bit <> 0) as failed, count(*) filter (fail_bits = bit) as "only", count(*) filter (fail_bits - (fail_bits & bit) = 0) as kept_without from l, r group by rule, bit
+"""

@@ -26,8 +26,8 @@ OPERATORS = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in OPERATORS.items()}
+    return {name: module.query for name, module in OPERATORS.items()} | {"quality_ablation": quality_rules.ablation_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.ORACLE for name, module in OPERATORS.items() if module.ORACLE}
+    return {name: module.ORACLE for name, module in OPERATORS.items() if module.ORACLE} | {"quality_ablation": quality_rules.ABLATION_ORACLE}

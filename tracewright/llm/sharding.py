@@ -13,7 +13,8 @@ fixed bound) give the offsets. No task holds a shard, and no key's repeats meet
 Defined results
   null key: hashed as the empty string. null text: size 8, checksum 0.
   repeated rows: each gets its own slot; slots go by (bucket, key, checksum, size).
-  empty input: an empty result. Clashing column names: ``assign`` replaces ``shard``.
+  empty input: an empty result. Clashing column names: ``assign`` replaces ``shard``; ``place`` returns a key that is named
+  like one of its outputs, in any case, with an underscore before it. Very long texts: only their size and checksum travel.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import load
+from tracewright.llm.common import fresh, load, quoted
 
 SHARDS = 24
 
@@ -53,8 +54,10 @@ def assign(df: DataFrame, key: str, weights: Sequence[float], shard: str = "shar
 
 def place(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text: str = "text", overhead: int = 8, buckets: int = 256) -> DataFrame:
     """Per row: key, size, text_crc32, law, shard, slot, grown_shard (with one more shard of mean weight)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("_k"), (F.octet_length(body) + overhead).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    body = F.coalesce(quoted(text), F.lit(""))
+    outputs = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    name = fresh(outputs, key)[0] if key.lower() in outputs else key
+    rows = docs.select(quoted(key).alias("_k"), (F.octet_length(body) + overhead).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     distinct = rows.groupBy("_k", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
     grown = [*weights, sum(weights) / len(weights)]
     placed = distinct.select("*", rendezvous(F.col("_k"), weights).alias("shard"), F.pmod(F.xxhash64("_k", "size", "text_crc32"), F.lit(buckets)).cast("int").alias("_b"))
@@ -69,7 +72,7 @@ def place(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
     pieces = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), ((F.col("_n") - 1) / step).cast("bigint"))).alias("_piece"))
     listed = pieces.select("*", F.explode(F.sequence(F.col("_piece") * step, F.least(F.col("_n"), (F.col("_piece") + 1) * step) - 1)).alias("_i"))
     return listed.select(
-        F.col("_k").alias(key),
+        F.col("_k").alias(name),
         "size",
         "text_crc32",
         F.lit("key").alias("law"),

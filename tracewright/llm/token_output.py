@@ -15,7 +15,7 @@ A task that finds more sequences than were reserved for it fails rather than wri
 Defined results
   null text: the empty document, its end mark alone. Empty table: no sequences.
   repeated rows: each gets its own tokens. Very long documents: many sequences, cut and sent as they fill.
-  null ids stay null in the lists. Extra columns are not carried into records.
+  doc_id: a whole number; null ids stay null in the lists. Extra columns are not carried into records.
 """
 
 from __future__ import annotations

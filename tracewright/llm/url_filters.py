@@ -9,7 +9,7 @@ URL's row pops what no longer covers its key and takes the deepest rule that is
 
 Skew: the sweep runs in ``lanes`` independent lanes. URLs go to a lane by their row's own number
 rather than by host, so one host or URL with a third of all rows spreads evenly; each lane gets
-a copy of the rules (rules x lanes small rows). Nothing is broadcast or collected.
+a copy of the rules (rules x lanes small rows). Nothing is broadcast; of the rules only the numbers of labels that their hosts have are collected.
 
 Defined results
   null url, or no ``://``: host and path empty, no rule, default verdict.
