@@ -144,7 +144,6 @@ def test_bpe_query_digests_equal_library(spark, monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_WORDS", 50)
     monkeypatch.setattr(bpe, "GROUP_CHARS", 3000)
     monkeypatch.setattr(bpe, "GROUP_WORDS", 70)
-    monkeypatch.setattr(bpe, "_workers", {})
     lib = Tokenizer.from_file(bpe.vocabulary_file())
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = registry.queries()["op5_bpe"](spark, SF).collect()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import give_back, kept_columns, load, map_arrow, quoted, small_batches
+from tracewright.llm.common import give_back, held, kept_columns, load, map_arrow, quoted, small_batches
 
 #: The byte-level pattern for words; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,7 +44,7 @@ ASCII_ONLY = r" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\t-\r A-Za-z0-9]
 #: Words, and letters of words, that a worker keeps before it empties its table.
 TABLE_WORDS, TABLE_CHARS = 250_000, 6_000_000
 #: Characters of texts, and words of one text, that are held at once.
-GROUP_CHARS, GROUP_WORDS = 1 << 20, 1 << 18
+GROUP_CHARS, GROUP_WORDS = 1 << 19, 1 << 17
 #: Positions of a rank beyond which they are merged as arrays.
 MANY = 128
 #: What stands after each word.
@@ -255,9 +255,10 @@ def unassigned_class() -> str:
 class Encoder:
     """Texts to ids and back, with the table of words met."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, share: float = 1.0) -> None:
         import regex
 
+        self.share = share
         self.v, self.index = vocabulary, PairIndex(vocabulary)
         self.pattern, self.ascii = regex.compile(LETTERS_FIRST), re.compile(ASCII_ONLY)
         self.newer = regex.compile(unassigned_class()).search
@@ -293,6 +294,9 @@ class Encoder:
                 while some := list(islice(found, GROUP_WORDS)):
                     yield some
 
+    def full(self) -> bool:
+        return self.chars > TABLE_CHARS * self.share or len(self.table) > TABLE_WORDS * self.share
+
     def learn(self) -> None:
         """Encodes the words that the table has numbered but holds no ids of."""
         new, self.table.new = self.table.new, []
@@ -322,7 +326,7 @@ class Encoder:
             out = []
             for words in self.words(text, plain):
                 for a in range(0, len(words), GROUP_WORDS):
-                    if self.chars > TABLE_CHARS or len(self.table) > TABLE_WORDS:
+                    if self.full():
                         self.forget()
                     part = words[a : a + GROUP_WORDS]
                     numbers = np.fromiter(map(self.table.__getitem__, part), np.int64, len(part))
@@ -339,7 +343,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Per text its ids."""
-        if self.chars > TABLE_CHARS or len(self.table) > TABLE_WORDS:
+        if self.full():
             self.forget()
         find = self.table.__getitem__
         if len(texts) == 1 and len(texts[0] or "") > GROUP_CHARS:
@@ -378,34 +382,30 @@ class Encoder:
         return out.hexdigest()
 
 
-def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+def groups(texts: list[str | None], share: float = 1.0) -> Iterator[list[str | None]]:
     """``texts`` in order, in groups of about ``GROUP_CHARS`` characters; a longer text is a group of its own."""
-    held: list[str | None] = []
+    group: list[str | None] = []
     size = 0
     for t in texts:
-        if held and size + len(t or "") > GROUP_CHARS:
-            yield held
-            held, size = [], 0
-        held.append(t)
+        if group and size + len(t or "") > GROUP_CHARS * share:
+            yield group
+            group, size = [], 0
+        group.append(t)
         size += len(t or "")
-    if held:
-        yield held
-
+    if group:
+        yield group
 
-_workers: dict[str, Encoder] = {}
 
-
-def worker_encoder(source: str) -> Encoder:
+def worker_encoder(source: str, share: float) -> Encoder:
     """This Python worker's encoder: it lives from task to task."""
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Encoder(Vocabulary(source))
-    return _workers[key]
+    return held("encoder", f"{share}/{hashlib.sha256(source.encode()).hexdigest()}", lambda: Encoder(Vocabulary(source), share))
+
 
+def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool = False, share: float = 1.0) -> DataFrame:
+    """``df`` with ``n_tokens`` and ``ids`` (array of int) and, for ``text``, what the ids decode to; with ``digest`` hashes of both instead.
 
-def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool = False) -> DataFrame:
-    """``df`` with ``n_tokens`` and ``ids`` (array of int) and, for ``text``, what the ids decode to; with ``digest`` hashes of both instead."""
+    ``share``: of the words that a worker's table holds, and of the texts that go together; less of it takes less memory and more time, the ids are the same.
+    """
     small_batches(df.sparkSession)
     with open(vocabulary_path, encoding="utf-8") as f:
         source = f.read()
@@ -421,9 +421,9 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool
         encoder = None
         for batch in batches:
             if encoder is None:
-                encoder = worker_encoder(packed.value)
+                encoder = worker_encoder(packed.value, share)
             counts, first, second = [], [], []
-            for ids in (x for group in groups(batch.column(batch.num_columns - 1).to_pylist()) for x in encoder.encode_all(group)):
+            for ids in (x for group in groups(batch.column(batch.num_columns - 1).to_pylist(), share) for x in encoder.encode_all(group)):
                 decoded = encoder.decode(ids)
                 counts.append(len(ids))
                 first.append(encoder.digest(ids) if digest else ids)
@@ -432,7 +432,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", digest: bool
             arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *made])
             del batch, counts, first, second, arrays
-        give_back()
+            give_back()
 
     return map_arrow(df.select(*map(quoted, kept), F.col(text)), run, schema)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+T_ = TypeVar("T_")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -42,6 +47,21 @@ def give_back() -> None:
         pass
 
 
+_held: dict[tuple[str, str], object] = {}
+
+
+def held(kind: str, name: str, make: Callable[[], T_], most: int = 1) -> T_:
+    """What this Python worker keeps from task to task: ``most`` objects of one kind. Those of other kinds go, so a worker that has served one operator holds nothing of it in another."""
+    if (kind, name) not in _held:
+        for key in [k for k in _held if k[0] != kind]:
+            del _held[key]
+        while len(_held) >= most:
+            del _held[next(iter(_held))]
+        give_back()
+        _held[kind, name] = make()
+    return _held[kind, name]
+
+
 class Stored:
     """Intermediate tables in the shared folder: they cut lineage, outlive executors and go when done."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import kept_columns, load, map_arrow, quoted, small_batches
+from tracewright.llm.common import held, kept_columns, load, map_arrow, quoted, small_batches
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -222,16 +222,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     return out if blocks else map_arrow(out, _marker(None, kept, text, window), schema)
 
 
-_workers: dict[str, Automaton] = {}
-
-
 def worker_automaton(name: str, block: list[tuple[str, list[bytes]]], window: int) -> Automaton:
     """This Python worker's automaton of a block: it lives from task to task."""
-    if name not in _workers:
-        while len(_workers) > 1:
-            _workers.pop(next(iter(_workers)))
-        _workers[name] = Automaton(block, window)
-    return _workers[name]
+    return held("automaton", name, lambda: Automaton(block, window), most=2)
 
 
 def _marker(sent, kept: list[str], text: str, window: int):
