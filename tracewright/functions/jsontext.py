@@ -30,7 +30,7 @@ def _extent(tokens: Column, key: str) -> Column:
     begin = F.struct(i(0).alias("at"), i(0).alias("depth"), F.lit("").alias("before"), i(0).alias("mode"), i(-1).alias("start"), i(-1).alias("end"), F.lit(False).alias("members"))
 
     def step(s: Column, t: Column) -> Column:
-        blank = F.trim(F.translate(t, "\t\n\r", "   ")) == ""
+        blank = ~t.rlike(r"[^ \t\n\r]")
         down = s["depth"] - F.when(t.isin("}", "]"), 1).otherwise(0)
         top = s["depth"] == 1
         is_key = top & (t == F.lit(f'"{key}"')) & s["before"].isin("{", ",")

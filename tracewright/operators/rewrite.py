@@ -178,9 +178,14 @@ def inject(body: Column, edit: str | None = None) -> Column:
         edits = F.when(F.size(items) > 0, F.concat(F.regexp_replace(p["edits"], r"\]\s*$", ""), F.lit("," + edit + "]"))).otherwise(F.lit("[" + edit + "]"))
         return F.when(there, p["body"]).otherwise(with_member(p["body"], "context_management", with_member(p["cm"], "edits", edits)))
 
-    own = member(body, "context_management")
-    cm = F.when(F.startswith(F.ltrim(own), F.lit("{")), own).otherwise(F.lit("{}"))
-    return F.when(F.startswith(F.ltrim(body), F.lit("{")), let(F.struct(body.alias("body"), cm.alias("cm"), member(cm, "edits").alias("edits")), into)).otherwise(body)
+    def managed(p: Column) -> Column:
+        cm = F.when(F.startswith(F.ltrim(p["own"]), F.lit("{")), p["own"]).otherwise(F.lit("{}"))
+        return let(F.struct(p["body"].alias("body"), cm.alias("cm")), lambda q: let(F.struct(q["body"].alias("body"), q["cm"].alias("cm"), member(q["cm"], "edits").alias("edits")), into))
+
+    def whole(b: Column) -> Column:  # each step's text is made once, however often the next one names it
+        return F.when(F.startswith(F.ltrim(b), F.lit("{")), let(F.struct(b.alias("body"), member(b, "context_management").alias("own")), managed)).otherwise(b)
+
+    return let(body, whole)
 
 
 def cache_mark(messages: DataFrame) -> DataFrame:
@@ -219,7 +224,7 @@ def forward(bodies: DataFrame, summaries: DataFrame | None = None, rewinds: bool
     from tracewright.sources import wire
 
     done = rewrite(wire.messages(bodies), summaries, rewinds, compacts, keep)
-    new = wire.bodies(done).select("req", member(F.col("body"), "messages").alias("_messages"))
+    new = wire.lists(done).withColumnRenamed("messages", "_messages")
     joined = bodies.select("req", "body").join(new, "req", "left")
     changed = F.when(F.col("_messages").isNull(), F.col("body")).otherwise(with_member(F.col("body"), "messages", F.col("_messages")))
     return joined.select("req", inject(changed, edit).alias("body"))

@@ -28,8 +28,8 @@ def messages(requests: DataFrame) -> DataFrame:
     return requests.select("req", F.posexplode(body["messages"]).alias("idx", "m")).select("req", F.col("idx").cast("bigint").alias("idx"), "m.role", "m.content")
 
 
-def bodies(messages_: DataFrame) -> DataFrame:
-    """(req, idx, role, content) to one body a request, messages in order: what is forwarded after rewriting.
+def lists(messages_: DataFrame) -> DataFrame:
+    """(req, idx, role, content) to (req, messages), the JSON list of a request's messages in order.
 
     Content that is a JSON list goes in as it is, all other text as a string, null as null.
     """
@@ -39,7 +39,12 @@ def bodies(messages_: DataFrame) -> DataFrame:
     role = F.to_json(F.struct("role"))
     one = F.concat(F.left(role, F.length(role) - 1), F.lit(',"content":'), content, F.lit("}"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("json")))), lambda x: x["json"])
-    return messages_.groupBy("req").agg(F.concat(F.lit('{"messages":['), F.array_join(ordered, ","), F.lit("]}")).alias("body"))
+    return messages_.groupBy("req").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("messages"))
+
+
+def bodies(messages_: DataFrame) -> DataFrame:
+    """(req, idx, role, content) to one body a request: what is forwarded after rewriting."""
+    return lists(messages_).select("req", F.concat(F.lit('{"messages":'), "messages", F.lit("}")).alias("body"))
 
 
 def frames(lines: DataFrame, line: str = "value") -> DataFrame:
