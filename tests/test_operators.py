@@ -1,12 +1,13 @@
 """Shapes of messages, replies and bodies, and state machines against step-by-step simulations."""
 
+import datetime
 import json
 import random
 
 from pyspark.sql import functions as F
 
 from tracewright.functions import text
-from tracewright.operators import annotate, normalize, rewrite, runs, state
+from tracewright.operators import annotate, normalize, render, rewrite, runs, state
 from tracewright.sources import readers
 
 
@@ -346,3 +347,26 @@ def test_runs_of_task(spark):
     assert sorted((x.run, x.task) for x in runs.of_task(r, "a").collect()) == [(1, "a"), (1, "b")]
     assert {x.task for x in runs.task_names(r, r.where("run = 2")).collect()} == {"a", "b", None}
     assert runs.task_names(r.limit(0), r.limit(0)).count() == 0
+
+
+def test_sessions_without_unknown_tools_have_null(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "Bash"), (1, 2, "tool", "Bash"), (2, 1, "assistant", "Glob"), (2, 2, "tool", "Glob"), (2, 3, "assistant", "Abc"), (3, 0, "user", None), (4, 0, "tool", None)]
+    df = spark.createDataFrame(rows, "session_id long, idx long, role string, tool string")
+    got = {r.session_id: r.unknown for r in render.unknown_tools(df, ["Bash", "Read"]).collect()}
+    assert got == {1: None, 2: ["Abc", "Glob"], 4: None}
+
+
+def test_unknown_tools_equal_their_sql_where_all_are_known(spark, tmp_path):
+    """A session whose tools are all known, and one of a single text: as the SQL says, null and no row."""
+    import duckdb
+
+    from tracewright.plans import registry
+
+    day = datetime.datetime(2024, 1, 1)
+    events = [(i, day + datetime.timedelta(minutes=i), u, kind, 0.0, json.dumps({"k": k})) for i, (u, kind, k) in enumerate([(1, "click", 1), (1, "click", 2), (2, "view", 1), (2, "view", 2), (3, "view", 1)])]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(registry.ORACLES["flt11_unknown_tools"]).fetchall())
+    got = sorted((r.session_id, r.unknown) for r in registry.QUERIES["flt11_unknown_tools"](spark, str(tmp_path)).select("session_id", "unknown").collect())
+    assert got == want == [(1, None), (2, ["read_file"])]

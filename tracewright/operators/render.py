@@ -215,9 +215,10 @@ def chunk_totals(made: DataFrame) -> DataFrame:
 
 
 def unknown_tools(messages: DataFrame, known: list[str]) -> DataFrame:
-    """Per session the tool names that are not ``known``."""
-    names = messages.where("tool is not null").groupBy("session_id").agg(F.collect_set("tool").alias("names"))
-    return names.select("session_id", F.array_sort(F.array_except("names", F.array(*map(F.lit, known)))).alias("unknown"))
+    """Per session with tool messages the tool names that are not ``known``; null where there are none."""
+    tools = messages.where((F.col("role") == "tool") | F.col("tool").isNotNull())
+    names = tools.groupBy("session_id").agg(F.array_sort(F.collect_set(F.when(~F.col("tool").isin(known), F.col("tool")))).alias("names"))
+    return names.select("session_id", F.when(F.size("names") > 0, F.col("names")).alias("unknown"))
 
 
 def review(steps: DataFrame, checkpoints: DataFrame, expires: DataFrame, most: int = 300) -> DataFrame:
