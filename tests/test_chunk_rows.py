@@ -4,11 +4,12 @@ import glob
 import time
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tracewright.operators import annotate, chunk_rows, prompts, render, rewrite
-from tracewright.plans import views
+from tracewright.plans import registry, views
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +84,17 @@ def test_frames_do_not_reach_to_the_end_of_a_group(spark, inputs):
     assert not any("currentrow$(), unboundedfollowing$()" in plan(df) for df in frames)
 
 
+@pytest.mark.parametrize("name", ["rn6_chunk_rows"])
+def test_no_stored_table_goes_through_the_driver(spark, monkeypatch, name):
+    """Files of repetitive texts are small; by their size alone Spark would broadcast the rows."""
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(plan(self._df)), write(self, *a, **k))[1])
+    plans.append(plan(registry.QUERIES[name](spark, SF)))
+    assert len(plans) > 5  # trace, messages, checkpoints, counted messages, positive chunks, the rest
+    assert [p for p in plans if "BroadcastHashJoin" in p] == []
+    assert max(p.count("Exchange") for p in plans) < 45
+
+
 def test_a_request_twice_as_long_takes_about_twice_the_time(spark):
     def seconds(n):
         best = []

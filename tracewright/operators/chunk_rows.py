@@ -3,7 +3,8 @@
 A chunk is an interval of its session's messages: the goal, the newest messages that fit, and what the model is to say. Its
 messages come by a join on places, in order, as nested rows, and its texts are their turns in the template, one after the
 other. Costs are running sums of the turns' tokens, counted once a message by the count that is given; a turn ends with a
-mark of the template's, so the tokens of a text are those of its turns.
+mark of the template's, so the tokens of a text are those of its turns. Counted messages and chunks are stored, unless ``keep`` says
+otherwise: each step is planned by itself, and messages meet chunks by merges, not through the driver.
 
 Defined results: a chunk whose whole text does not start with its prompt gives no row, as for the tokens of one that
 does not fit; null contents stay null in the messages and count as empty in the texts. Empty tables give no rows.
@@ -11,12 +12,15 @@ does not fit; null contents stay null in the messages and count as empty in the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import cap_response
 from tracewright.operators import render
 from tracewright.operators.prompts import Template, turn_text
+from tracewright.sources.shared import stored_large
 
 MESSAGE = "struct<role:string,content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>,tool_call_id:string,name:string>"
 
@@ -28,9 +32,10 @@ def message(role: Column, content: Column, tool: Column, call_id: Column, argume
     return F.struct(role.alias("role"), content.alias("content"), calls.alias("tool_calls"), F.when(is_response, call_id).alias("tool_call_id"), F.when(is_response, tool).alias("name")).cast(MESSAGE)
 
 
-def specs(messages: DataFrame, checkpoints: DataFrame, ratio: float, seed: int, post: int, most: int, measure: render.Measure, **limits: int) -> DataFrame:
+def specs(messages: DataFrame, checkpoints: DataFrame, ratio: float, seed: int, post: int, most: int, measure: render.Measure, keep: Callable[[DataFrame], DataFrame] = stored_large, **limits: int) -> DataFrame:
     """Which chunks there are: (session_id, label, n, at, progress_type, first_idx, end_idx, n_context, n_tokens); ``n`` is the checkpoint's number, or the call's place."""
-    pos = render.positives(messages, checkpoints, post, most, measure, **limits)
+    messages = render.counted(messages, measure, most)
+    pos = keep(render.positives(messages, checkpoints, post, most, measure, **limits))
     neg = render.negatives(messages, checkpoints, pos, ratio, seed, most, measure, **limits)
     none = F.lit(None).cast("string").alias("progress_type")
     span = ["first_idx", "end_idx", "n_context", "n_tokens"]
@@ -59,14 +64,15 @@ def parts(messages: DataFrame, checkpoints: DataFrame, made: DataFrame, post: in
 
 
 def chunk_rows(
-    messages: DataFrame, checkpoints: DataFrame, template: Template = Template(), measure: render.Measure | None = None, ratio: float = 1.0, seed: int = 42, cold: int = 1, post: int = 1, most: int = 500, **limits: int
+    messages: DataFrame, checkpoints: DataFrame, template: Template = Template(), measure: render.Measure | None = None, ratio: float = 1.0, seed: int = 42, cold: int = 1, post: int = 1, most: int = 500, keep: Callable[[DataFrame], DataFrame] = stored_large, **limits: int
 ) -> DataFrame:
     """Every training chunk as (prompt, completion, messages, meta), cold starts ``cold`` times each; ``meta`` has label, source_session, the place, n_tokens and more.
 
     ``measure``: how turns are counted; by default four characters of a turn a token. A chunk holds at most its budget of tokens.
     """
     measure = measure or render.Measure(template=template)
-    made = specs(messages, checkpoints, ratio, seed, post, most, measure, **limits)
+    messages = keep(render.token_counts(messages, measure, most))
+    made = keep(specs(messages, checkpoints, ratio, seed, post, most, measure, keep, **limits))
     rows = parts(messages, checkpoints, made, post, most)
     turn = turn_text(template, *map(F.col, ("role", "content", "tool", "arguments")))
     one = F.struct("done", "ord", turn.alias("turn"), message(*map(F.col, ("role", "content", "tool", "call_id", "arguments"))).alias("message"))

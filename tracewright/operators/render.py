@@ -3,6 +3,9 @@
 Messages of a session: (session_id, idx, role, content, tool, call_id, arguments, step). What they cost is a ``Measure``: a count
 of a text column, four characters a token unless one is given, of the content and arguments or of turns as a template writes them.
 
+``chunks`` stores the counted messages and the positive chunks, which it reads more than once, unless ``keep`` says otherwise: each is
+planned by itself, and none is sent whole through the driver.
+
 Defined results: null texts count as empty; sessions without steps give no messages; chunks that do not fit give no row.
 """
 
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import cap_response, estimate_tokens
 from tracewright.functions.wrap import wrapped
 from tracewright.operators.prompts import Template, turn_text
+from tracewright.sources.shared import stored_large
 
 #: The checkpoint tool's name in training data and its answer; fixed values.
 CHECKPOINT_TOOL = "mcp__bookmarks__checkpoint_progress"
@@ -82,10 +86,15 @@ def token_counts(messages: DataFrame, measure: Measure = Measure(), most: int =
     return messages.withColumns({"n_tokens": measure.message(F.col("role"), F.col("content"), *named), "capped_tokens": measure.message(F.col("role"), capped, *named)})
 
 
+def counted(messages: DataFrame, measure: Measure = Measure(), most: int = 500) -> DataFrame:
+    """``token_counts`` of messages that are not counted yet."""
+    return messages if "capped_tokens" in messages.columns else token_counts(messages, measure, most)
+
+
 def completions(messages: DataFrame, at: DataFrame, post: int = 1, most: int = 500) -> DataFrame:
     """Per checkpoint the next ``post`` assistant tool calls after it with their responses, capped: (session_id, chunk, idx, role, content, arguments, n_tokens)."""
     order = W.partitionBy("session_id").orderBy("idx")
-    messages = messages if "capped_tokens" in messages.columns else token_counts(messages, most=most)
+    messages = counted(messages, most=most)
     calls = messages.withColumn("is_call", (F.col("role") == "assistant") & F.col("arguments").isNotNull()).withColumn("answers", F.coalesce(F.lag("is_call").over(order), F.lit(False)) & (F.col("role") == "tool"))
     numbered = calls.withColumn("call", F.count_if("is_call").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     seen = numbered.select("session_id", F.col("idx").alias("anchor_idx"), F.col("call").alias("calls_before"))
@@ -120,7 +129,7 @@ def fill(messages: DataFrame, targets: DataFrame, measure: Measure = Measure(),
 
 def positives(messages: DataFrame, checkpoints: DataFrame, post: int = 1, most: int = 500, measure: Measure = Measure(), **limits: int) -> DataFrame:
     """A chunk per checkpoint that fits: its call, the answer and what really followed are the completion."""
-    m = token_counts(messages, measure, most)
+    m = counted(messages, measure, most)
     at = anchors(m, checkpoints)
     call = F.to_json(F.struct("progress_type", "finding", "evidence", "next_direction"))
     none, tool = F.lit(None).cast("string"), F.lit(CHECKPOINT_TOOL)
@@ -155,7 +164,7 @@ def negatives(messages: DataFrame, checkpoints: DataFrame, made: DataFrame, rati
 
     ``made``: the positive chunks. Three times as many candidates are taken by rank; the first that fit count.
     """
-    m = token_counts(messages, measure, most)
+    m = counted(messages, measure, most)
     quota = made.groupBy("session_id").agg(F.bround(F.count(F.lit(1)) * F.lit(ratio)).cast("bigint").alias("quota")).where("quota > 0")
     c = negative_candidates(m, anchors(m, checkpoints), seed).join(quota, "session_id").where("rank <= quota * 3")
     response = m.where("role = 'tool'").select("session_id", (F.col("idx") - 1).alias("idx"), F.col("capped_tokens").alias("response_tokens"))
@@ -167,7 +176,7 @@ def negatives(messages: DataFrame, checkpoints: DataFrame, made: DataFrame, rati
 
 def cold_starts(messages: DataFrame, most: int = 500, measure: Measure = Measure()) -> DataFrame:
     """Per session that begins with a user's message: the goal alone, completed by the first assistant tool call and its capped response."""
-    m = token_counts(messages, measure, most)
+    m = counted(messages, measure, most)
     goals = m.where("idx = 0 and role = 'user'").select("session_id", (F.col("n_tokens") + measure.fixed()).alias("goal_tokens"))
     first = m.where("role = 'assistant' and arguments is not null and idx > 0").groupBy("session_id").agg(F.min("idx").alias("call_idx"))
     own = m.select("session_id", F.col("idx").alias("call_idx"), F.col("n_tokens").alias("own_tokens"))
@@ -176,9 +185,10 @@ def cold_starts(messages: DataFrame, most: int = 500, measure: Measure = Measure
     return rows.select("session_id", "call_idx", (F.col("goal_tokens") + F.col("own_tokens") + F.coalesce("response_tokens", F.lit(0))).alias("n_tokens"))
 
 
-def chunks(messages: DataFrame, checkpoints: DataFrame, ratio: float = 1.0, seed: int = 42, cold: int = 1, post: int = 1, most: int = 500, **limits: int) -> DataFrame:
+def chunks(messages: DataFrame, checkpoints: DataFrame, ratio: float = 1.0, seed: int = 42, cold: int = 1, post: int = 1, most: int = 500, keep: Callable[[DataFrame], DataFrame] = stored_large, **limits: int) -> DataFrame:
     """All training chunks: (session_id, label, at, progress_type, first_idx, end_idx, n_context, n_tokens); cold starts ``cold`` times each."""
-    pos = positives(messages, checkpoints, post, most, **limits)
+    messages = keep(token_counts(messages, most=most))
+    pos = keep(positives(messages, checkpoints, post, most, **limits))
     neg = negatives(messages, checkpoints, pos, ratio, seed, most, **limits)
     shape = ["session_id", "label", "at", "progress_type", "first_idx", "end_idx", "n_context", "n_tokens"]
     none, zero = F.lit(None).cast("string").alias("progress_type"), F.lit(0).cast("bigint")

@@ -23,3 +23,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_large(df: DataFrame) -> DataFrame:
+    """``stored``, and joined by merges: repetitive texts make files far smaller than their rows, so a file's size would let Spark send a large table through the driver."""
+    return stored(df).hint("merge")
