@@ -204,8 +204,7 @@ def chunk_messages(messages: DataFrame, chunk: DataFrame, most: int = 500) -> Da
     ``chunk``: rows of ``chunks``. A chunk's context is at most its budget of tokens, whatever its session holds.
     """
     m = messages.withColumn("capped", cap_response(F.col("content"), most))
-    rows = chunk.where("label <> 'positive'").withColumn("call", F.when(F.col("label") == "negative", F.col("end_idx") + 1).otherwise(F.col("at")))
-    rows = rows.unionByName(chunk.where("label = 'positive'").withColumn("call", F.lit(None).cast("bigint")))
+    rows = chunk.withColumn("call", F.when(F.col("label") == "negative", F.col("end_idx") + 1).when(F.col("label") == "cold_start", F.col("at")))
     places = F.array_union(F.array(F.lit(0).cast("bigint")), F.when(F.col("n_context") > 0, F.sequence("first_idx", "end_idx")).otherwise(F.array().cast("array<bigint>")))
     places = F.transform(places, lambda x: F.struct(x.alias("idx"), F.lit(False).alias("done")))
     tail = F.when(F.col("call").isNull(), F.array().cast("array<struct<idx:bigint,done:boolean>>")).otherwise(F.array(F.struct(F.col("call").alias("idx"), F.lit(True).alias("done")), F.struct((F.col("call") + 1).alias("idx"), F.lit(True).alias("done"))))
