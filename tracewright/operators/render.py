@@ -213,10 +213,11 @@ def chunk_messages(messages: DataFrame, chunk: DataFrame, most: int = 500) -> Da
     return joined.select("session_id", "label", "at", "idx", "done", "role", F.when(F.col("done") & (F.col("role") == "tool"), F.col("capped")).otherwise(F.col("content")).alias("content"), "arguments")
 
 
-def chunk_totals(made: DataFrame) -> DataFrame:
+def chunk_totals(made: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored_large) -> DataFrame:
     """Counts by label and the spread of token counts: sorted[floor(n * q)]."""
     from tracewright.functions.stats import floor_percentiles
 
+    made = keep(made.select("label", "n_tokens"))
     n = lambda label: F.count_if(F.col("label") == label).alias(label)
     counts = made.agg(n("positive"), n("negative"), n("cold_start"), F.min("n_tokens").alias("min"))
     spread = floor_percentiles(made.withColumn("one", F.lit(1)), ["one"], "n_tokens", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}).select("p25", "p50", "p75", "p95", "max")
