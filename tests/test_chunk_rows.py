@@ -84,7 +84,7 @@ def test_frames_do_not_reach_to_the_end_of_a_group(spark, inputs):
     assert not any("currentrow$(), unboundedfollowing$()" in plan(df) for df in frames)
 
 
-@pytest.mark.parametrize("name", ["rn6_chunk_rows", "rn9_chunk_messages", "ag21_chunk_totals", "rn7_chunks"])
+@pytest.mark.parametrize("name", ["rn6_chunk_rows", "rn9_chunk_messages", "ag21_chunk_totals", "rn7_chunks", "rn11_chunks_small_budget"])
 def test_no_stored_table_goes_through_the_driver(spark, monkeypatch, name):
     """Files of repetitive texts are small; by their size alone Spark would broadcast the rows."""
     plans, write = [], DataFrameWriter.parquet
