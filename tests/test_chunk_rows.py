@@ -95,6 +95,12 @@ def test_no_stored_table_goes_through_the_driver(spark, monkeypatch, name):
     assert max(p.count("Exchange") for p in plans) < 45
 
 
+@pytest.mark.parametrize("name", ["rn7_chunks", "rn11_chunks_small_budget"])
+def test_chunks_are_joined_by_merges_alone(spark, name):
+    made = plan(registry.QUERIES[name](spark, SF))
+    assert "SortMergeJoin" in made and "Broadcast" not in made
+
+
 def test_a_request_twice_as_long_takes_about_twice_the_time(spark):
     def seconds(n):
         best = []
